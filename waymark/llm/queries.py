@@ -6,18 +6,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, media, merkle, mixing, quality, url_filter
+from waymark.llm import bpe, lm_scoring, media, merkle, mixing, pii, quality, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scoring.score_documents(_table(spark, sf_dir, "documents"))
+    return scored.withColumn("log_score", F.round("log_score", 4))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge_urls(_table(spark, sf_dir, "pages"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.find(docs, ["doc_id"], pii.learn(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", F.col("m_domain").alias("domain"), "lang", "source", F.col("m_tokens").alias("n_tokens"), F.col("m_copies").alias("n_copies"))
@@ -52,13 +63,21 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", F.round("q_mean", 6).alias("log_ratio"), "q_weight", F.col("q_kept").alias("kept"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_url_filter": op2_url_filter,
+    "op3_pii": op3_pii,
     "op4_mixing": op4_mixing,
     "op5_media": op5_media,
     "op7_merkle": op7_merkle,
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_lm_scoring": lm_scoring.ORACLE}
