@@ -1,11 +1,17 @@
-"""The corpus pipeline: quality, near duplicates, personal data, mixture, tokens."""
+"""The corpus pipeline: quality, near duplicates, personal data, mixture, tokens.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the
+last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from waymark.llm import bpe, mixing, quality
-import public_tokenizers
+from waymark.llm import bpe, mixing, ngram_join, pii, quality
+from waymark.llm.common import save
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,12 +19,46 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-STAGES = [("quality", quality_stage)]
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of least id stays."""
+    return ngram_join.one_of_each(docs)
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts becomes [EMAIL], [IP], [CARD] or [PHONE]; n_chars follows."""
+    return pii.redacted(docs, pii.learn(docs))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture takes it."""
+    return mixing.taken(docs)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (little-endian, 32 bits) of each text, and a digest of what they decode to."""
+    coded = bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), ["doc_id", "lang", "source"])
+    return coded.select(
+        "doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("personal_data", personal_data_stage),
+    ("mixing", mixing_stage),
+    ("encoding", encoding_stage),
+]
+#: Hashed models, boosted trees and BPE merges have no SQL; tests/llm holds run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over documents; each result but the last is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = save(docs)
     return docs

@@ -60,6 +60,18 @@ def join_checked(big: DataFrame, small: DataFrame, on: str, how: str, row_bytes:
     return big.join(F.broadcast(small) if small_enough(small, row_bytes) else small, on, how)
 
 
+def numbered(docs: DataFrame, name: str, key: str, ties: list[str]) -> DataFrame:
+    """Adds `name` (long, unique), in the order of key, nulls last, then ties: the key itself where keys are unique and not null.
+
+    Otherwise rows get their places in a distributed sort.
+    """
+    seen = docs.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("ids")).first()
+    if seen["rows"] == seen["ids"]:
+        return docs.withColumn(name, F.col(key).cast("long"))
+    ordered = docs.orderBy(F.col(key).asc_nulls_last(), *ties).rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
+    return save(docs.sparkSession.createDataFrame(ordered, docs.schema.add(name, "long")))
+
+
 def groups_for(units: int, per_group: int, least: int = 12) -> int:
     """How many hash groups keep each near `per_group` units; grows with the data, has no ceiling."""
     return max(least, -(-int(units) // per_group))

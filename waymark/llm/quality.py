@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import gram_hashes, save, steps, utf8, word_hashes
+from waymark.llm.common import gram_hashes, join_checked, save, steps, utf8, word_hashes
 
 BUCKETS = 1 << 16
 #: At most so many labelled documents are looked at, those of least hash of the id.
@@ -166,5 +166,6 @@ def top_k(df: DataFrame, value: str, ties: list[str], k: int, kept: str) -> Data
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that judged() keeps, with their columns."""
-    good = judged(docs, labels, **options).where("q_kept").select(F.col("doc_id").alias("q_id"), F.col("q_key").alias("q_of")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("q_id")) & F.xxhash64("text").eqNullSafe(F.col("q_of")), "left_semi")
+    poor = save(judged(docs, labels, **options).where("not q_kept").select(F.xxhash64("doc_id", "q_key").alias("q_name")).distinct())
+    named = docs.withColumn("q_name", F.xxhash64("doc_id", F.xxhash64("text")))
+    return join_checked(named, poor, "q_name", "left_anti", "8").select(*docs.columns)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, lm_scoring, media, merkle, mixing, pii, quality, suffix_dedup, url_filter
+from waymark.llm import bpe, lm_scoring, media, merkle, mixing, ngram_join, pii, quality, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,11 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.classes(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+
+
 def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -74,6 +79,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_mixing": op4_mixing,
     "op5_media": op5_media,
+    "op6_ngram_join": op6_ngram_join,
     "op7_merkle": op7_merkle,
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,

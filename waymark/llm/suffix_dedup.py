@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import groups_for, join_checked, mixed, save, steps, utf8
+from waymark.llm.common import groups_for, join_checked, mixed, numbered, save, steps, utf8
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM  # a window begins at most so far before its anchor
@@ -355,20 +355,6 @@ def _hot_runs(edges: DataFrame, reach: int, length: int, gram: int) -> DataFrame
 # --- the operator ------------------------------------------------------------------
 
 
-def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """n (long, unique, in the order of key, nulls last, then text), key and text.
-
-    Where keys are unique and not null n is the key. Otherwise rows get their places in a
-    distributed sort.
-    """
-    docs = docs.select(docs[key].alias("k"), docs[text].alias("t"))
-    seen = docs.agg(F.count("*").alias("rows"), F.count_distinct("k").alias("ids")).first()
-    if seen["rows"] == seen["ids"]:
-        return docs.select(F.col("k").cast("long").alias("n"), "k", "t")
-    ordered = docs.orderBy(F.col("k").asc_nulls_last(), "t").rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
-    return save(docs.sparkSession.createDataFrame(ordered, f"n long, k {docs.schema['k'].dataType.simpleString()}, t string"))
-
-
 OUT = "n_bytes long, n_removed long, n_spans long, kept binary"
 
 
@@ -382,7 +368,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     read, so other columns cannot clash; no rows in, no rows out.
     """
     reach = length - gram
-    docs = numbered(df, key, text)
+    docs = numbered(df.select(df[key].alias("k"), df[text].alias("t")), "n", "k", ["t"])
     total = docs.agg(F.coalesce(F.sum(F.octet_length("t").cast("long")), F.lit(0)).alias("b")).first()["b"]
     groups = groups_for(total, ANCHOR_GROUP)
     sent = docs.select("n", "t").mapInArrow(_send_anchors(groups, length, gram), PACKED)
