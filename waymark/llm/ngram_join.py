@@ -9,17 +9,22 @@ same set form a class; classes are joined, not documents.
    holds can link with nothing. What follows sees the others only, with all their shingles.
 2. Prefix. Ordered by how many sets hold it, a set's rarest n - ceil(SHARE n) + 1 shingles must
    hold one that a partner's hold; shingles of one set only count towards them and are not kept.
-3. Tiles. Sets that share such a shingle are cut into bands of size; only bands within SHARE of
-   each other meet, and the bits of hashed bitmap signatures that only one of two sets has bound
-   their overlap from above. What passes is verified by intersecting the sorted arrays.
-   In the first round a set meets only leaders of its tile, which joins groups of near copies by
-   stars; in the second, all pairs of a tile that the first left in different components.
+3. Leaders. Among the sets that hold such a shingle each meets the first leader that the bound
+   below lets it link with, or becomes a leader; what meets is verified. That joins groups of near
+   copies by stars, without all their pairs.
+4. Tiles. Sets that share a rare shingle and are still apart go, under the least of them, to tiles
+   by band of size; a tile holds one band and the one below, since sets that link are in one or in
+   neighbouring bands. A tile of more than TILE sets is cut into pairs of blocks. Hashed bitmap
+   signatures, wide for the sets of the tile, bound overlaps from above: each bit that only one of
+   two sets has is a shingle that they don't share. What passes is verified by intersecting the
+   sorted arrays, and a link is kept if its sets were not yet joined.
    So no link between components is lost, and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,6 +37,8 @@ from waymark.llm.common import gram_hashes, groups_for, join_checked, mixed, num
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Bits of a signature, and the ratio of neighbouring bands' sizes.
 BITS, BAND = 512, 0.75
+#: Sets of one tile beyond which it is cut into pairs of blocks.
+TILE = 2048
 #: Shingles of a group of the first filter and of the later ones; rows that a task gathers before it sends them on.
 FILTER_GROUP, SHINGLE_GROUP, SET_GROUP, GATHER = 2_000_000, 1_000_000, 20_000, 1 << 20
 
@@ -255,56 +262,75 @@ def bands(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / -np.log(BAND) + 1e-9).astype(np.int64)
 
 
-def tile_pairs(n: np.ndarray, bits: np.ndarray, component: np.ndarray | None) -> list[tuple[int, int]]:
-    """Places of pairs to verify among sets that share a shingle.
+def leader_pairs(n: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
+    """Places of pairs to verify among sets that share a shingle: each set with the first leader that may link with it."""
+    left, out = np.argsort(n, kind="stable"), []
+    while len(left) > 1:
+        leader, left = left[0], left[1:]
+        fits = bands(n[left]) <= bands(n[leader : leader + 1])[0] + 1
+        fits[fits] = may_link(bits[left[fits]], n[left[fits]], bits[leader], n[leader])
+        out += [(int(leader), int(x)) for x in left[fits]]
+        left = left[~fits]
+    return out
 
-    Without components: each set with the first leader that may link with it; a set without one
-    becomes a leader. With components: all pairs of different components that may link.
-    """
+
+def _leaders(group: pd.DataFrame) -> pd.DataFrame:
+    keys, place = np.unique(group["set_key"].to_numpy(), return_index=True)
+    n = group["n"].to_numpy()[place]
+    bits = np.frombuffer(b"".join(group["bits"].iloc[place]), np.uint8).reshape(len(keys), -1)
+    posting = pd.DataFrame({"hash": group["hash"].to_numpy(), "who": np.searchsorted(keys, group["set_key"].to_numpy())}).drop_duplicates().sort_values(["hash", "who"])
+    who, hashes = posting["who"].to_numpy(), posting["hash"].to_numpy()
+    edges = np.concatenate([[0], np.flatnonzero(hashes[1:] != hashes[:-1]) + 1, [len(who)]])
+    pairs: set[tuple[int, int]] = set()
+    seen: set[bytes] = set()
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        own = who[a:b]
+        if b - a < 2 or (name := own.tobytes()) in seen:
+            continue
+        seen.add(name)  # shingles of the same sets make the same pairs
+        pairs.update(tuple(sorted((int(own[x]), int(own[y])))) for x, y in leader_pairs(n[own], bits[own]))
+    found = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+    return pd.DataFrame({"a": keys[found[:, 0]], "b": keys[found[:, 1]]})
+
+
+def join_tile(arrays: list[np.ndarray], component: np.ndarray, may_meet: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links (places) that join sets of different components; may_meet(x, others) says which pairs belong to the tile."""
+    n = np.array([len(a) for a in arrays])
+    width = min(1 << 15, 1 << int(8 * n.max()).bit_length())
+    bits = np.zeros((len(n), width // 8), np.uint8)
+    for i, hashes in enumerate(arrays):
+        row = np.zeros(width, np.uint8)
+        row[(hashes & _U(width - 1)).astype(np.int64)] = 1
+        bits[i] = np.packbits(row)
     order = np.argsort(n, kind="stable")
-    band = bands(n)[order]
-    out = []
-    if component is None:
-        left = order
-        while len(left) > 1:
-            leader, left = left[0], left[1:]
-            near = bands(n[left]) <= bands(n[leader : leader + 1])[0] + 1
-            fits = near.copy()
-            fits[near] = may_link(bits[left[near]], n[left[near]], bits[leader], n[leader])
-            out += [(int(leader), int(x)) for x in left[fits]]
-            left = left[~fits]
-        return out
-    last = np.searchsorted(band, band + 1, "right")  # tiles: the own band and the next
-    for i, x in enumerate(order):
+    last = np.searchsorted(n[order], n[order] * DENOMINATOR // NUMERATOR, "right")  # larger ones can't link
+    component, out = component.copy(), []
+    for i, x in enumerate(order.tolist()):
         others = order[i + 1 : last[i]]
         others = others[component[others] != component[x]]
-        if len(others):
-            out += [(int(x), int(y)) for y in others[may_link(bits[others], n[others], bits[x], n[x])]]
+        others = others[may_meet(x, others)] if len(others) else others
+        if not len(others):
+            continue
+        for y in others[may_link(bits[others], n[others], bits[x], n[x])].tolist():
+            if component[y] != component[x] and links(arrays[x], arrays[y]):
+                out.append((x, y))
+                component[component == component[y]] = component[x]
     return out
 
 
-def _tiles(with_components: bool):
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        keys, place = np.unique(group["set_key"].to_numpy(), return_index=True)
-        n = group["n"].to_numpy()[place]
-        bits = np.frombuffer(b"".join(group["bits"].iloc[place]), np.uint8).reshape(len(keys), -1)
-        component = group["component"].to_numpy()[place] if with_components else None
-        posting = pd.DataFrame({"hash": group["hash"].to_numpy(), "who": np.searchsorted(keys, group["set_key"].to_numpy())}).drop_duplicates().sort_values(["hash", "who"])
-        who = posting["who"].to_numpy()
-        edges = np.flatnonzero(np.diff(posting["hash"].to_numpy(), prepend=0, append=0) != 0) if len(who) else np.zeros(1, int)
-        edges = np.unique(np.concatenate([[0], edges, [len(who)]]))
-        pairs: set[tuple[int, int]] = set()
-        seen: set[bytes] = set()
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            own = who[a:b]
-            if b - a < 2 or (component is not None and (component[own] == component[own[0]]).all()) or (name := own.tobytes()) in seen:
-                continue
-            seen.add(name)  # shingles with the same sets make the same pairs
-            pairs.update(tuple(sorted((int(own[x]), int(own[y])))) for x, y in tile_pairs(n[own], bits[own], None if component is None else component[own]))
-        found = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": keys[found[:, 0]], "b": keys[found[:, 1]]})
+def _tiles(group: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    for (_, top, one, two), tile in group.groupby(["owner", "top", "one", "two"]):
+        tile = tile.drop_duplicates("set_key")
+        band, block, keys = tile["band"].to_numpy(), tile["block"].to_numpy(), tile["set_key"].to_numpy()
+
+        def may_meet(x: int, others: np.ndarray, band=band, block=block, top=top, cross=one != two) -> np.ndarray:
+            return ((band[others] == top) | (band[x] == top)) & ((block[others] != block[x]) | (not cross))
 
-    return meet
+        names = tile["component"].factorize()[0]
+        found = join_tile([np.frombuffer(h, np.uint64) for h in tile["hashes"]], names, may_meet)
+        out += [(keys[x], keys[y]) for x, y in found]
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,6 +364,25 @@ def components(links_: DataFrame, start: DataFrame | None = None) -> DataFrame:
         labels = new.select("node", "component")
 
 
+def _apart(rare: DataFrame, arrays: DataFrame, joined: DataFrame) -> DataFrame:
+    """Links (a, b) that join components, from tiles of the sets whose rare shingles more than one component holds."""
+    named = joined.select(F.col("node").alias("set_key"), "component")
+    held = rare.join(named, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
+    shared = held.groupBy("hash").agg(F.min("set_key").alias("owner"), F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d")
+    members = save(held.join(shared.select("hash", "owner"), "hash").select("owner", "set_key", "component").distinct())
+    sizes = members.groupBy("owner").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    size_band = F.floor(F.ln("n") / -math.log(BAND) + 1e-9).cast("int").alias("band")
+    rows = members.join(sizes, "owner").join(arrays.select("set_key", "n", size_band).dropDuplicates(["set_key"]), "set_key")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("set_key"), "blocks").cast("int"))
+    rows = rows.withColumns({"top": F.explode(F.array(F.col("band"), F.col("band") + 1))})
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
+    groups = groups_for(rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"], SHINGLE_GROUP)
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("owner", "top", "one", "two"), F.lit(groups)))
+    full = rows.join(arrays.select("set_key", "hashes").dropDuplicates(["set_key"]), "set_key")
+    return save(full.select("tile", "owner", "top", "one", "two", "set_key", "component", "band", "block", "hashes").groupBy("tile").applyInPandas(_tiles, "a long, b long"))
+
+
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: key, n_shingles and component (the least key reachable by links, itself included).
 
@@ -368,15 +413,14 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     groups = groups_for(tokens, SHINGLE_GROUP)
     counted = arrays.select("set_key", "n", "hashes").mapInArrow(_all_shingles(groups), POSTINGS).groupBy("g").applyInPandas(_frequencies(set_groups), BY_SET)
     rare = save(counted.groupBy("g").applyInPandas(_rare_prefixes, "hash long, set_key long"))
-    # 3: tiles, leaders first, then what they left apart
+    # 3: leaders
     tile = F.pmod(F.xxhash64("hash"), F.lit(groups_for(rare.count(), 50_000))).alias("tile")
     outline = arrays.select("set_key", "n", "bits").dropDuplicates(["set_key"])
     postings = rare.join(outline, "set_key").select(tile, "hash", "set_key", "n", "bits")
-    first = _links(postings.groupBy("tile").applyInPandas(_tiles(False), "a long, b long"), arrays)
+    first = _links(postings.groupBy("tile").applyInPandas(_leaders, "a long, b long"), arrays)
     joined = components(first)
-    together = joined.select(F.col("node").alias("set_key"), "component")
-    apart = rare.join(outline, "set_key").join(together, "set_key", "left").select(tile, "hash", "set_key", "n", "bits", F.coalesce("component", "set_key").alias("component"))
-    second = _links(apart.groupBy("tile").applyInPandas(_tiles(True), "a long, b long"), arrays)
+    # 4: what is still apart
+    second = _apart(rare, arrays, joined)
     if not second.isEmpty():
         joined = components(first.unionByName(second))
     # components by name, for classes and then for documents
