@@ -1,6 +1,552 @@
-"""Queries of the target-relocation operators and their SQL."""
+"""Queries of the target-relocation operators over the driver tables, and the SQL they must equal.
+
+Bindings (waymark.sources.bindings) say what stands for queries, candidates and screens. Derived
+doubles are rounded to 6 digits on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from waymark.functions import features as X
+from waymark.functions.report import format_percent
+from waymark.functions.scoring import softmax
+from waymark.operators import baselines, learned, losses, metrics, rank
+from waymark.sources import bindings as B
+from waymark.sources import schema
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query, and the SQL that must give the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- shared SQL -----------------------------------------------------------------------
+
+CAND = """cand AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS query_id, p AS pos, CAST(l_orderkey AS VARCHAR) || '-' || CAST(p AS VARCHAR) AS candidate_id,
+    round(l_quantity * 0.1 + l_discount * 10 - l_tax * 5, 6) AS score, l_extendedprice, l_partkey, l_quantity, l_returnflag, l_linestatus, l_shipdate
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS p FROM lineitem)
+)"""
+GOLD = """gold AS (
+  SELECT query_id, candidate_id AS gold FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY l_extendedprice DESC, pos) AS r FROM cand) WHERE r = 1
+),
+q AS (SELECT CAST(o_orderkey AS VARCHAR) AS query_id, gold FROM orders LEFT JOIN gold ON gold.query_id = CAST(o_orderkey AS VARCHAR))"""
+BEST = """best AS (
+  SELECT query_id, candidate_id AS selected, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS r FROM cand) WHERE r = 1
+)"""
+NULL_SCORE, MARGIN = 2.0, 0.05
+ABSTAIN = f"""plus AS (
+  SELECT query_id, pos, candidate_id, score FROM cand UNION ALL SELECT query_id, 2147483647, NULL, {NULL_SCORE} FROM q
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS r FROM plus),
+sel AS (
+  SELECT query_id, CASE WHEN max(CASE WHEN r = 1 THEN score END) - coalesce(max(CASE WHEN r = 2 THEN score END), -1e300) >= {MARGIN} THEN max(CASE WHEN r = 1 THEN candidate_id END) END AS selected
+  FROM ranked GROUP BY query_id
+)"""
+
+
+def _orders(spark: SparkSession, d: str, *more: str) -> tuple[DataFrame, DataFrame]:
+    candidates = B.order_candidates(spark, d, *more)
+    return candidates, B.order_queries(spark, d, candidates)
+
+
+def _best(candidates: DataFrame) -> DataFrame:
+    return rank.top(candidates).select("query_id", F.col("candidate_id").alias("selected"), "score")
+
+
+def _abstaining(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    candidates, queries = _orders(spark, d)
+    return queries, rank.select_or_abstain(candidates, queries, NULL_SCORE, MARGIN)
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    candidates, _ = _orders(spark, d)
+    return candidates.join(B.order_gold(candidates), "query_id")
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+# --- metrics ------------------------------------------------------------------------------
+
+
+@query(f"""WITH {CAND}, {GOLD}, {BEST}
+SELECT CAST(sum(CASE WHEN selected = gold THEN 1 ELSE 0 END) AS BIGINT) AS correct, count(*) AS total,
+  round(coalesce(sum(CASE WHEN selected = gold THEN 1.0 ELSE 0.0 END) / nullif(count(*), 0), 0.0), 6) AS top1
+FROM best JOIN q USING (query_id) WHERE gold IS NOT NULL""")
+def top1_code(spark: SparkSession, d: str) -> DataFrame:
+    candidates, queries = _orders(spark, d)
+    return _rounded(metrics.top1_code(queries, _best(candidates)), "top1")
+
+
+@query("""SELECT CAST(sum(CASE WHEN CAST(length(text) % 2 AS VARCHAR) = CAST(quality AS VARCHAR) THEN 1 ELSE 0 END) AS BIGINT) AS correct, count(*) AS total,
+  round(sum(CASE WHEN CAST(length(text) % 2 AS VARCHAR) = CAST(quality AS VARCHAR) THEN 1.0 ELSE 0.0 END) / count(*), 6) AS top1
+FROM documents JOIN labels USING (doc_id)""")
+def top1_partial_gold(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents have a gold answer, others none; the prediction is the parity of the length."""
+    docs = B.table(spark, d, "documents").join(B.table(spark, d, "labels"), "doc_id", "left")
+    queries = docs.select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("ord"), F.col("quality").cast("string").alias("gold"))
+    predictions = docs.select(F.col("doc_id").alias("query_id"), (F.length("text") % 2).cast("string").alias("selected"))
+    return _rounded(metrics.top1_code(queries, predictions), "top1")
+
+
+@query(f"""WITH {CAND}, {GOLD}, {ABSTAIN}
+SELECT CAST(sum(CASE WHEN selected IS NOT DISTINCT FROM gold THEN 1 ELSE 0 END) AS BIGINT) AS correct, count(*) AS total,
+  round(sum(CASE WHEN selected IS NOT DISTINCT FROM gold THEN 1.0 ELSE 0.0 END) / count(*), 6) AS top1
+FROM q JOIN sel USING (query_id)""")
+def top1_doc(spark: SparkSession, d: str) -> DataFrame:
+    queries, selected = _abstaining(spark, d)
+    return _rounded(metrics.top1_doc(queries, selected), "top1")
+
+
+SAFETY = f"""WITH {CAND}, {GOLD}, {ABSTAIN},
+counts AS (
+  SELECT count(gold) AS gold_concrete, count(*) - count(gold) AS gold_null,
+    count(*) FILTER (WHERE selected = gold) AS correct,
+    count(*) FILTER (WHERE gold IS NULL AND selected IS NOT NULL) AS false_positive, count(*) FILTER (WHERE gold IS NULL AND selected IS NULL) AS abstain_right,
+    count(*) FILTER (WHERE selected <> gold) AS wrong_target, count(*) FILTER (WHERE gold IS NOT NULL AND selected IS NULL) AS abstain_wrong
+  FROM q JOIN sel USING (query_id)
+)"""
+
+
+@query(f"{SAFETY} SELECT * FROM counts")
+def safety_counts(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.safety_counts(*_abstaining(spark, d))
+
+
+@query(f"""{SAFETY} SELECT round(coalesce(false_positive * 1.0 / nullif(gold_null, 0), 0.0), 6) AS false_positive_rate,
+  round(coalesce(abstain_right * 1.0 / nullif(gold_null, 0), 0.0), 6) AS abstain_accuracy, round(coalesce(wrong_target * 1.0 / nullif(gold_concrete, 0), 0.0), 6) AS wrong_target_rate FROM counts""")
+def safety_rates(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(metrics.safety_rates(*_abstaining(spark, d)), "false_positive_rate", "abstain_accuracy", "wrong_target_rate")
+
+
+@query("""SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms FROM events GROUP BY event_type""")
+def latency_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(metrics.latency_summary(B.table(spark, d, "events"), "event_type", "value"), "mean_ms", "p95_ms")
+
+
+@query(f"""WITH {CAND}, {GOLD} SELECT count(*) AS queries, (SELECT count(*) FROM cand) AS candidates, count(gold) AS positives FROM q""")
+def dataset_summary(spark: SparkSession, d: str) -> DataFrame:
+    candidates, queries = _orders(spark, d)
+    return metrics.dataset_summary(queries, candidates)
+
+
+SPLIT = "CASE WHEN s < 8 THEN 'train' WHEN s = 8 THEN 'dev' ELSE 'test' END"
+
+
+@query(f"""SELECT query_id, {SPLIT} AS split FROM (SELECT CAST(o_orderkey AS VARCHAR) AS query_id, CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 10 AS s FROM orders)""")
+def split_assign(spark: SparkSession, d: str) -> DataFrame:
+    ids = B.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("query_id"))
+    return ids.withColumn("split", metrics.split_of(F.col("query_id")))
+
+
+@query(f"""WITH {CAND}, {GOLD}, {BEST},
+s AS (SELECT *, CAST('0x' || substr(md5(query_id), 1, 8) AS BIGINT) % 10 AS s FROM q)
+SELECT {SPLIT} AS split, 'linear' AS matcher, count(*) AS queries, count(gold) AS positives,
+  round(coalesce(sum(CASE WHEN selected = gold THEN 1.0 ELSE 0.0 END) / nullif(count(gold), 0), 0.0), 6) AS top1
+FROM s LEFT JOIN best USING (query_id) GROUP BY 1""")
+def report_summary(spark: SparkSession, d: str) -> DataFrame:
+    candidates, queries = _orders(spark, d)
+    met = queries.join(_best(candidates), "query_id", "left").withColumn("split", metrics.split_of(F.col("query_id")))
+    out = met.groupBy("split").agg(F.count("*").alias("queries"), F.count("gold").alias("positives"), F.count_if(F.col("selected") == F.col("gold")).alias("c"))
+    top1 = F.round(F.coalesce(F.try_divide("c", "positives"), F.lit(0.0)), 6)
+    return out.select("split", F.lit("linear").alias("matcher"), "queries", "positives", top1.alias("top1"))
+
+
+@query(f"""WITH {CAND}, {GOLD}, {BEST}
+SELECT o_orderstatus, printf('%.2f%%', 100.0 * CAST(sum(CASE WHEN selected = gold THEN 1 ELSE 0 END) AS DOUBLE) / count(*)) AS top1
+FROM best JOIN q USING (query_id) JOIN orders ON CAST(o_orderkey AS VARCHAR) = query_id WHERE gold IS NOT NULL GROUP BY o_orderstatus""")
+def percent_report(spark: SparkSession, d: str) -> DataFrame:
+    candidates, queries = _orders(spark, d)
+    status = B.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("query_id"), "o_orderstatus")
+    met = queries.where("gold is not null").join(_best(candidates), "query_id").join(status, "query_id")
+    rows = met.groupBy("o_orderstatus").agg((F.count_if(F.col("selected") == F.col("gold")) / F.count("*")).alias("v"))
+    return rows.select("o_orderstatus", format_percent("v").alias("top1"))
+
+
+# --- ranking ---------------------------------------------------------------------------------
+
+
+@query(f"WITH {CAND} SELECT query_id, CAST(pos - 1 AS INTEGER) AS pos, candidate_id, score FROM cand")
+def flatten_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Nested and flattened again, as queries come from files."""
+    return rank.flatten(rank.nest(_orders(spark, d)[0], "candidate_id", "score"))
+
+
+@query(f"WITH {CAND}, {BEST} SELECT query_id, selected, score FROM best")
+def argmax_top1(spark: SparkSession, d: str) -> DataFrame:
+    return _best(_orders(spark, d)[0])
+
+
+@query(f"""WITH {CAND} SELECT query_id, candidate_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS r FROM cand) WHERE r <= 3""")
+def topk_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return rank.top(_orders(spark, d)[0], 3).select("query_id", "candidate_id", "score", "rank")
+
+
+@query(f"WITH {CAND}, {GOLD}, {ABSTAIN} SELECT * FROM sel")
+def argmax_with_null(spark: SparkSession, d: str) -> DataFrame:
+    return _abstaining(spark, d)[1]
+
+
+@query(f"""WITH {CAND}, t AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS m FROM cand)
+SELECT query_id, candidate_id, round(exp(score - m) / sum(exp(score - m)) OVER (PARTITION BY query_id), 6) AS probability FROM t""")
+def softmax_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _orders(spark, d)[0].select("query_id", "candidate_id", F.round(softmax(F.col("score")), 6).alias("probability"))
+
+
+@query(f"""WITH {CAND}, {GOLD}, {BEST}
+SELECT query_id, selected, CAST(n AS BIGINT) AS n_scores, round(total, 6) AS score_sum FROM best JOIN (SELECT query_id, count(*) AS n, sum(score) AS total FROM cand GROUP BY query_id) USING (query_id)""")
+def structured_ranker(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions with their score maps."""
+    made = _orders(spark, d)[0].transform(rank.predictions)
+    total = F.aggregate(F.array_sort(F.map_values("scores")), F.lit(0.0), lambda a, x: a + x)
+    return made.select("query_id", F.col("selected_candidate_id").alias("selected"), F.size("scores").cast("long").alias("n_scores"), F.round(total, 6).alias("score_sum"))
+
+
+BOX = "{'x0': l_quantity / 60.0, 'y0': (pos - 1) / 10.0, 'x1': l_quantity / 60.0 + 0.2, 'y1': pos / 10.0}"
+
+
+def _box() -> F.Column:
+    corners = {"x0": F.col("l_quantity") / 60.0, "y0": (F.col("pos") - 1) / 10.0, "x1": F.col("l_quantity") / 60.0 + 0.2, "y1": F.col("pos") / 10.0}
+    return F.struct(*(v.alias(k) for k, v in corners.items()))
+
+
+@query(f"""WITH {CAND}, {GOLD}, {ABSTAIN}
+SELECT q.query_id, o_orderpriority AS operation, selected, round((l_quantity / 60.0 + l_quantity / 60.0 + 0.2) / 2, 6) AS point_x, round(((c.pos - 1) / 10.0 + c.pos / 10.0) / 2, 6) AS point_y
+FROM q JOIN sel USING (query_id) JOIN orders ON CAST(o_orderkey AS VARCHAR) = q.query_id LEFT JOIN cand c ON c.query_id = q.query_id AND c.candidate_id = selected""")
+def replay_action(spark: SparkSession, d: str) -> DataFrame:
+    candidates, queries = _orders(spark, d, "l_quantity")
+    selected = rank.select_or_abstain(candidates, queries, NULL_SCORE, MARGIN)
+    recorded = B.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("query_id"), F.col("o_orderpriority").alias("operation"))
+    return _rounded(rank.replay_action(selected, recorded, candidates.withColumn("bbox", _box())), "point_x", "point_y")
+
+
+# --- losses -------------------------------------------------------------------------------------
+
+LOSS = f"""WITH {CAND}, {GOLD}, sc AS (SELECT cand.*, gold FROM cand JOIN gold USING (query_id)),
+lc AS (SELECT query_id, m + ln(z) - score AS loss FROM (
+  SELECT *, sum(exp(score - m)) OVER (PARTITION BY query_id) AS z FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS m FROM sc)) WHERE candidate_id = gold),
+lm AS (SELECT query_id, CASE WHEN max(score) FILTER (WHERE candidate_id <> gold) IS NULL THEN 0.0
+  ELSE greatest(0.0, 1.0 - max(score) FILTER (WHERE candidate_id = gold) + max(score) FILTER (WHERE candidate_id <> gold)) END AS loss FROM sc GROUP BY query_id)"""
+MARGIN_LOSS, LAMBDA_PATCH, LAMBDA_MARGIN = 1.0, 0.5, 0.25
+
+
+@query(f"{LOSS} SELECT query_id, round(loss, 6) AS loss FROM lc")
+def loss_candidate(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(losses.candidate_loss(_scored(spark, d)), "loss")
+
+
+@query(f"{LOSS} SELECT query_id, round(loss, 6) AS loss FROM lm")
+def loss_margin(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(losses.margin_loss(_scored(spark, d), MARGIN_LOSS), "loss")
+
+
+@query(f"{LOSS} SELECT query_id, candidate_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS r FROM sc WHERE candidate_id <> gold) WHERE r = 1")
+def hard_negative(spark: SparkSession, d: str) -> DataFrame:
+    return losses.hard_negative(_scored(spark, d))
+
+
+PATCH = """patch AS (SELECT CAST(vec_id AS VARCHAR) AS query_id, -sum(CASE WHEN e > 0 THEN ln(p) ELSE ln(1 - p) END) / count(*) AS loss
+FROM (SELECT vec_id, e, 1 / (1 + exp(-CAST(e AS DOUBLE) * 3)) * 0.9 + 0.05 AS p FROM (SELECT vec_id, unnest(embedding) AS e FROM embeddings)) GROUP BY vec_id)"""
+
+
+def _masks(spark: SparkSession, d: str) -> DataFrame:
+    return B.table(spark, d, "embeddings").select(
+        F.col("vec_id").cast("string").alias("query_id"),
+        F.transform("embedding", lambda e: 1 / (1 + F.exp(-e.cast("double") * 3)) * 0.9 + 0.05).alias("predicted"),
+        F.transform("embedding", lambda e: F.when(e > 0, 1.0).otherwise(0.0)).alias("gold_mask"),
+    )
+
+
+@query(f"WITH {PATCH} SELECT query_id, round(loss, 6) AS loss FROM patch")
+def loss_patch(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(losses.patch_loss(_masks(spark, d)), "loss")
+
+
+@query(f"{LOSS}, {PATCH} SELECT query_id, round(lc.loss + {LAMBDA_PATCH} * coalesce(patch.loss, 0.0) + {LAMBDA_MARGIN} * lm.loss, 6) AS loss FROM lc JOIN lm USING (query_id) LEFT JOIN patch USING (query_id)")
+def loss_total(spark: SparkSession, d: str) -> DataFrame:
+    scored = _scored(spark, d)
+    parts = losses.candidate_loss(scored), losses.patch_loss(_masks(spark, d)), losses.margin_loss(scored, MARGIN_LOSS)
+    return _rounded(losses.total_loss(*parts, LAMBDA_PATCH, LAMBDA_MARGIN), "loss")
+
+
+# --- features ---------------------------------------------------------------------------------------
+
+
+def _jaccard_sql(a: str, b: str) -> str:
+    return f"coalesce(CAST(len(list_intersect(list_distinct({a}), list_distinct({b}))) AS DOUBLE) / nullif(len(list_distinct(list_concat({a}, {b}))), 0), 0.0)"
+
+
+@query(f"""SELECT a.doc_id, round({_jaccard_sql("string_split(a.text, ' ')", "string_split(b.text, ' ')")}, 6) AS overlap FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1""")
+def feature_text(spark: SparkSession, d: str) -> DataFrame:
+    """Words that each whole text shares with the next."""
+    docs = B.table(spark, d, "documents").select("doc_id", F.array_distinct(F.split("text", " ")).alias("words"))
+    other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("words").alias("others"))
+    return docs.join(other, "doc_id").select("doc_id", F.round(X.jaccard(F.col("words"), F.col("others")), 6).alias("overlap"))
+
+
+@query(f"""SELECT a.p_partkey, round({_jaccard_sql("string_split_regex(a.p_brand || '/' || a.p_type, '[_/:#]')", "string_split_regex(b.p_brand || '/' || b.p_type, '[_/:#]')")}, 6) AS id_overlap,
+  CASE WHEN a.p_type = b.p_type THEN 1e0 ELSE 0e0 END AS same_class, round(1 - levenshtein(a.p_name, b.p_name) * 1e0 / greatest(length(a.p_name), length(b.p_name)), 6) AS name_likeness
+FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1""")
+def feature_id_class(spark: SparkSession, d: str) -> DataFrame:
+    part = B.table(spark, d, "part").select("p_partkey", "p_name", "p_type", F.concat_ws("/", "p_brand", "p_type").alias("ident"))
+    other = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("n"), F.col("p_type").alias("t"), F.col("ident").alias("i"))
+    return part.join(other, "p_partkey").select(
+        "p_partkey", F.round(X.id_overlap(F.col("ident"), F.col("i")), 6).alias("id_overlap"), X.same(F.col("p_type"), F.col("t")).alias("same_class"),
+        F.round(X.edit_likeness(F.col("p_name"), F.col("n")), 6).alias("name_likeness"),
+    )
+
+
+FIRST = "first AS (SELECT * FROM cand WHERE pos = 1)"
+
+
+@query(f"""WITH {CAND}, {FIRST} SELECT c.query_id, c.candidate_id, CASE WHEN c.l_returnflag = f.l_returnflag THEN 1e0 ELSE 0e0 END AS clickable,
+  CASE WHEN c.l_linestatus = f.l_linestatus THEN 1e0 ELSE 0e0 END AS editable, CASE WHEN (c.l_quantity > 25) = (f.l_quantity > 25) THEN 1e0 ELSE 0e0 END AS scrollable
+FROM cand c JOIN first f USING (query_id)""")
+def feature_action(spark: SparkSession, d: str) -> DataFrame:
+    """Flags of each candidate against those of the first, which stands for the source."""
+    candidates = _orders(spark, d, "l_returnflag", "l_linestatus", "l_quantity")[0]
+    flags = {"clickable": F.col("l_returnflag"), "editable": F.col("l_linestatus"), "scrollable": F.col("l_quantity") > 25}
+    first = Window.partitionBy("query_id").orderBy("pos")
+    return candidates.select("query_id", "candidate_id", *(X.same(c, F.first(c).over(first)).alias(n) for n, c in flags.items()))
+
+
+@query("""WITH b AS (SELECT p_partkey, (p_partkey % 40) / 50.0 AS x0, p_size / 60.0 AS y0, (p_partkey % 40) / 50.0 + p_size / 250.0 AS x1, p_size / 60.0 + 0.1 AS y1 FROM part)
+SELECT p_partkey, round((x1 - x0) * (y1 - y0), 6) AS area, round((x1 - x0) / (y1 - y0), 6) AS aspect,
+  CAST(least(floor((y0 + y1) / 2 * 3), 2) * 3 + least(floor((x0 + x1) / 2 * 3), 2) AS INTEGER) AS region, round(x0 / 1.5, 6) AS norm_x FROM b""")
+def feature_geometry(spark: SparkSession, d: str) -> DataFrame:
+    box = (F.col("p_partkey") % 40 / 50.0, F.col("p_size") / 60.0, F.col("p_partkey") % 40 / 50.0 + F.col("p_size") / 250.0, F.col("p_size") / 60.0 + 0.1)
+    return B.table(spark, d, "part").select(
+        "p_partkey", F.round(X.area(*box), 6).alias("area"), F.round(X.aspect(*box), 6).alias("aspect"), X.region(*box).alias("region"),
+        F.round(X.normalized(box[0], F.lit(1.5)), 6).alias("norm_x"),
+    )
+
+
+LINKS = """raw AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS t FROM pages),
+el AS (SELECT page_id, i - 1 AS pos, h[i] AS href, t[i] AS label FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM raw)),
+ctx AS (SELECT *, count(*) OVER w AS n_siblings, lag(label) OVER (PARTITION BY page_id ORDER BY pos) AS left_label, lead(label) OVER (PARTITION BY page_id ORDER BY pos) AS right_label FROM el WINDOW w AS (PARTITION BY page_id))"""
+
+
+@query(f"""WITH {LINKS} SELECT c.page_id, CAST(c.pos AS INTEGER) AS pos, p.url AS parent, CAST(n_siblings AS BIGINT) AS n_siblings, round(c.pos * 1.0 / n_siblings, 6) AS row_place FROM ctx c JOIN pages p USING (page_id)""")
+def feature_parent_row(spark: SparkSession, d: str) -> DataFrame:
+    """The parent (page) of each link, and its place in the row of links."""
+    n = F.count("*").over(Window.partitionBy("page_id"))
+    rows = B.links(spark, d).withColumn("n_siblings", n).join(B.table(spark, d, "pages").select("page_id", F.col("url").alias("parent")), "page_id")
+    return rows.select("page_id", "pos", "parent", "n_siblings", F.round(F.col("pos") / F.col("n_siblings"), 6).alias("row_place"))
+
+
+@query("""SELECT conv_id, turn, role, lag(role) OVER w AS before, lead(role) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)""")
+def feature_sibling(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    return B.table(spark, d, "conversations").select("conv_id", "turn", "role", F.lag("role").over(w).alias("before"), F.lead("role").over(w).alias("after"))
+
+
+@query(f"""WITH {CAND}, {FIRST} SELECT c.query_id, c.candidate_id, round((c.l_quantity - f.l_quantity) / 60.0, 6) AS dx, round((c.pos - f.pos) / 10.0, 6) AS dy FROM cand c JOIN first f USING (query_id)""")
+def feature_relative_layout(spark: SparkSession, d: str) -> DataFrame:
+    """Offsets from the anchor, the first candidate."""
+    candidates = _orders(spark, d, "l_quantity")[0]
+    anchor = candidates.where("pos = 1").select("query_id", F.col("l_quantity").alias("aq"), F.col("pos").alias("ap"))
+    met = candidates.join(anchor, "query_id")
+    return met.select("query_id", "candidate_id", F.round((F.col("l_quantity") - F.col("aq")) / 60.0, 6).alias("dx"), F.round((F.col("pos") - F.col("ap")) / 10.0, 6).alias("dy"))
+
+
+@query("""SELECT event_id, count(*) OVER w AS uses_before, last_value(event_type) OVER w AS last_before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def feature_history(spark: SparkSession, d: str) -> DataFrame:
+    events = B.table(spark, d, "events").withColumn("at", F.struct("ts", "event_id"))
+    return baselines.history(events, "user_id", "at", "event_type").select("event_id", "uses_before", "last_before")
+
+
+PAIR_WEIGHTS = {"same_type": 1.0, "size_likeness": 0.5, "name_overlap": 2.0, "flag": 0.25}
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates with all features against the first candidate of their query."""
+    part = B.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type", "p_size")
+    candidates = _orders(spark, d, "l_partkey", "l_returnflag")[0].join(part, "l_partkey")
+    first = Window.partitionBy("query_id").orderBy("pos")
+    source = {c: F.first(c).over(first) for c in ("p_name", "p_type", "p_size", "l_returnflag")}
+    return candidates.select(
+        "query_id", "pos", "candidate_id",
+        X.same(F.col("p_type"), source["p_type"]).alias("same_type"),
+        F.round(1 - F.abs(F.col("p_size") - source["p_size"]) / 50.0, 6).alias("size_likeness"),
+        F.round(X.text_overlap(F.col("p_name"), source["p_name"]), 6).alias("name_overlap"),
+        X.same(F.col("l_returnflag"), source["l_returnflag"]).alias("flag"),
+    )
+
+
+PAIRS = f"""pc AS (SELECT cand.*, p_name, p_type, p_size FROM cand JOIN part ON p_partkey = l_partkey),
+src AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS r FROM pc) WHERE r = 1),
+pairs AS (SELECT c.query_id, c.pos, c.candidate_id, CASE WHEN c.p_type = s.p_type THEN 1e0 ELSE 0e0 END AS same_type, round(1 - abs(c.p_size - s.p_size) / 50.0, 6) AS size_likeness,
+  round({_jaccard_sql("string_split(c.p_name, ' ')", "string_split(s.p_name, ' ')")}, 6) AS name_overlap, CASE WHEN c.l_returnflag = s.l_returnflag THEN 1e0 ELSE 0e0 END AS flag
+  FROM pc c JOIN src s USING (query_id))"""
+
+
+@query(f"WITH {CAND}, {PAIRS} SELECT query_id, candidate_id, same_type, size_likeness, name_overlap, flag FROM pairs")
+def pair_features_all(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).drop("pos")
+
+
+# --- baselines ----------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {CAND}, {FIRST}, pt AS (SELECT query_id, l_quantity / 60.0 + 0.1 AS x, 0.05 AS y FROM first),
+hit AS (SELECT pt.query_id, candidate_id, c.pos, pow((l_quantity / 60.0 + (l_quantity / 60.0 + 0.2)) / 2 - x, 2) + pow(((c.pos - 1) / 10.0 + c.pos / 10.0) / 2 - y, 2) AS near FROM pt JOIN cand c USING (query_id)
+  WHERE x BETWEEN l_quantity / 60.0 AND l_quantity / 60.0 + 0.2 AND y BETWEEN (c.pos - 1) / 10.0 AND c.pos / 10.0)
+SELECT pt.query_id, candidate_id AS selected FROM pt LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY near, pos) AS r FROM hit) h ON h.query_id = pt.query_id AND r = 1""")
+def baseline_coordinate(spark: SparkSession, d: str) -> DataFrame:
+    candidates = _orders(spark, d, "l_quantity")[0].withColumn("bbox", _box())
+    points = candidates.where("pos = 1").select("query_id", (F.col("l_quantity") / 60.0 + 0.1).alias("x"), F.lit(0.05).alias("y"))
+    return baselines.coordinate(points, candidates.select("query_id", "pos", "candidate_id", "bbox"))
+
+
+@query(f"""WITH {CAND}, {PAIRS} SELECT query_id, candidate_id AS selected, round(s, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, pos) AS r FROM (SELECT *, name_overlap * 2.0 + size_likeness * 1.0 + same_type * 0.5 AS s FROM pairs WHERE pos > 1)) WHERE r = 1""")
+def baseline_text(spark: SparkSession, d: str) -> DataFrame:
+    """The candidate most like the first, among the others."""
+    pairs = _pairs(spark, d).where("pos > 1").withColumnsRenamed({"name_overlap": "text", "size_likeness": "ident", "same_type": "kind"})
+    return _rounded(baselines.text_scorer(pairs, (2.0, 1.0, 0.5)), "score")
+
+
+SCREENS = f"""{LINKS},
+first AS (SELECT page_id, min(href) AS href FROM el GROUP BY page_id),
+pairs AS (SELECT page_id, target_id, href FROM (SELECT *, lead(page_id) OVER (PARTITION BY href ORDER BY page_id) AS target_id FROM first) WHERE target_id IS NOT NULL),
+src AS (SELECT p.page_id AS query_id, min(c.pos) AS pos, p.href, p.target_id FROM pairs p JOIN el c ON c.page_id = p.page_id AND c.href = p.href GROUP BY ALL),
+srcc AS (SELECT s.*, c.left_label FROM src s JOIN ctx c ON c.page_id = s.query_id AND c.pos = s.pos),
+tgt AS (SELECT s.query_id, (c.pos + c.page_id % 3) % c.n_siblings AS pos, CAST(c.page_id AS VARCHAR) || '-' || CAST(c.pos AS VARCHAR) AS candidate_id, c.href, c.left_label FROM src s JOIN ctx c ON c.page_id = s.target_id)"""
+
+
+def _screens(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Sources (query_id, path, anchor, href) and candidates (query_id, pos, path, anchor, href, candidate_id) of page pairs.
+
+    The path is the place among the links, rotated on the target; the anchor is the label to the left.
+    """
+    elements = B.links(spark, d)
+    around = Window.partitionBy("page_id").orderBy("pos")
+    elements = elements.withColumn("anchor", F.coalesce(F.lag("label").over(around), F.lit("")))
+    pairs = B.page_pairs(elements).withColumnRenamed("page_id", "query_id")
+    own = elements.withColumnRenamed("page_id", "query_id")
+    source = pairs.join(own, ["query_id", "href"]).groupBy("query_id", "href", "target_id").agg(F.min(F.struct("pos", "anchor")).alias("s"))
+    sources = source.select("query_id", F.col("s.pos").alias("path"), F.col("s.anchor").alias("anchor"), "href")
+    named = elements.withColumn("candidate_id", F.concat_ws("-", "page_id", "pos"))
+    target = B.shifted(named).withColumnRenamed("page_id", "target_id")
+    candidates = pairs.select("query_id", "target_id").join(target, "target_id").select("query_id", "pos", F.col("pos").alias("path"), "anchor", "href", "candidate_id")
+    return sources, candidates
+
+
+@query(f"""WITH {SCREENS} SELECT s.query_id, CASE WHEN count(t.candidate_id) = 1 THEN max(t.candidate_id) END AS selected FROM srcc s LEFT JOIN tgt t ON t.query_id = s.query_id AND t.pos = s.pos GROUP BY s.query_id""")
+def baseline_tree(spark: SparkSession, d: str) -> DataFrame:
+    sources, candidates = _screens(spark, d)
+    return baselines.exact_tree(sources.select("query_id", "path"), candidates.select("query_id", "path", "candidate_id"))
+
+
+@query(f"""WITH {SCREENS} SELECT s.query_id, CASE WHEN count(t.candidate_id) = 1 THEN max(t.candidate_id) END AS selected FROM srcc s LEFT JOIN tgt t ON t.query_id = s.query_id AND t.pos = s.pos AND coalesce(t.left_label, '') = coalesce(s.left_label, '') GROUP BY s.query_id""")
+def baseline_tree_anchor(spark: SparkSession, d: str) -> DataFrame:
+    sources, candidates = _screens(spark, d)
+    return baselines.tree_with_anchor(sources.select("query_id", "path", "anchor"), candidates.select("query_id", "path", "anchor", "candidate_id"))
+
+
+@query(f"""WITH {SCREENS}, sc AS (SELECT t.query_id, t.pos, t.candidate_id, CASE WHEN t.href = s.href THEN 2e0 ELSE 0e0 END + CASE WHEN coalesce(t.left_label, '') = coalesce(s.left_label, '') THEN 1e0 ELSE 0e0 END - abs(t.pos - s.pos) * 1e-2 AS score FROM srcc s JOIN tgt t USING (query_id) WHERE t.href <> '')
+SELECT query_id, candidate_id AS selected, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, pos) AS r FROM sc) WHERE r = 1""")
+def two_layer(spark: SparkSession, d: str) -> DataFrame:
+    """Proposal of links with an address, then scoring by address, neighbor and layout."""
+    sources, candidates = _screens(spark, d)
+    source = sources.select("query_id", F.col("path").alias("sp"), F.col("anchor").alias("sa"), F.col("href").alias("sh"))
+    met = rank.propose(candidates, F.col("href") != "").join(source, "query_id")
+    met = met.withColumns({"address": X.same(F.col("href"), F.col("sh")), "neighbor": X.same(F.col("anchor"), F.col("sa")), "shift": F.abs(F.col("pos") - F.col("sp")).cast("double")})
+    scored = met.withColumn("score", F.round(rank.linear_score({"address": 2.0, "neighbor": 1.0, "shift": -0.01}), 6))
+    return _best(scored.select("query_id", "pos", "candidate_id", "score"))
+
+
+NEAR = 20
+
+
+@query(f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS candidate, a.label AS la, b.label AS lb, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
+  FROM (SELECT *, unnest(range(1, {NEAR} + 1)) AS k FROM embeddings) a JOIN embeddings b ON b.vec_id = a.vec_id + a.k)
+SELECT query_id, candidate, score, la = lb AS same_label FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate) AS r FROM p) WHERE r = 1""")
+def embedding_match(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector's candidates are the {NEAR} that follow it, as a screen's are given."""
+    vectors = B.table(spark, d, "embeddings")
+    asked = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"), F.col("label").alias("la"), F.explode(F.sequence(F.lit(1), F.lit(NEAR))).alias("k"))
+    met = asked.withColumn("vec_id", F.col("query_id") + F.col("k")).join(vectors, "vec_id")
+    scored = met.select("query_id", F.col("vec_id").alias("pos"), F.round(X.cosine(F.col("e"), F.col("embedding")), 6).alias("score"), (F.col("la") == F.col("label")).alias("same_label"))
+    return rank.top(scored).select("query_id", F.col("pos").alias("candidate"), "score", "same_label")
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    candidates = _orders(spark, d, "l_quantity", "l_discount", "l_tax")[0]
+    gold = B.order_gold(candidates).withColumnRenamed("gold", "candidate_id").withColumn("label", F.lit(1.0))
+    return candidates.join(gold, ["query_id", "candidate_id"], "left").na.fill(0.0, ["label"])
+
+
+@query()
+def ranker_gbt(spark: SparkSession, d: str) -> DataFrame:
+    return learned.rank(_labelled(spark, d), ["l_quantity", "l_discount", "l_tax"], "gbt")
+
+
+@query()
+def ranker_logistic(spark: SparkSession, d: str) -> DataFrame:
+    return learned.rank(_labelled(spark, d), ["l_quantity", "l_discount", "l_tax"], "logistic")
+
+
+@query()
+def ranker_mlp(spark: SparkSession, d: str) -> DataFrame:
+    return learned.rank(_labelled(spark, d), ["l_quantity", "l_discount", "l_tax"], "mlp")
+
+
+# --- files and validation ---------------------------------------------------------------------------
+
+
+@query(f"""WITH {CAND}, {GOLD}
+SELECT query_id, 'unknown_query' AS violation FROM (SELECT CAST(c_custkey AS VARCHAR) AS query_id FROM customer) c WHERE query_id NOT IN (SELECT query_id FROM q)
+UNION SELECT query_id, 'selected_not_candidate' FROM (SELECT CAST(c_custkey AS VARCHAR) AS query_id FROM customer) c WHERE query_id || '-1' NOT IN (SELECT candidate_id FROM cand)""")
+def validate_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions by customer number: some name no query, some select an id that is no candidate."""
+    candidates, queries = _orders(spark, d)
+    predictions = B.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("query_id"), F.concat(F.col("c_custkey").cast("string"), F.lit("-1")).alias("selected"))
+    return schema.validate_queries(queries, candidates, predictions)
+
+
+@query(f"""WITH {CAND}, {GOLD} SELECT q.query_id, gold AS gold_candidate_id, CASE WHEN gold IS NULL THEN 'NULL' ELSE 'CONCRETE' END AS gold_kind, count(candidate_id) AS n_candidates, round(coalesce(sum(l_quantity / 60.0), 0.0), 4) AS sum_x0
+FROM q LEFT JOIN cand USING (query_id) GROUP BY q.query_id, gold""")
+def jsonl_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Queries written as JSON Lines, read back with the declared schema, and summed up."""
+    candidates, queries = _orders(spark, d, "l_quantity")
+    boxed = candidates.select("query_id", "pos", "candidate_id", _box().alias("bbox"), F.parse_json(F.lit("{}")).alias("metadata"))
+    nested = rank.nest_variants(boxed)
+    rows = queries.join(nested, "query_id", "left").select("query_id", F.parse_json(F.lit("{}")).alias("source"), "target_candidates", F.col("gold").alias("gold_candidate_id"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/waymark-jsonl"
+    path = f"{folder}/queries-{uuid.uuid4().hex}"
+    schema.write_jsonl(rows, path)
+    back = schema.load_queries(spark, path)
+    total = F.aggregate("target_candidates", F.lit(0.0), lambda a, c: a + c["bbox"]["x0"])
+    return back.select("query_id", "gold_candidate_id", "gold_kind", F.size("target_candidates").cast("long").alias("n_candidates"), F.round(total, 4).alias("sum_x0"))
+
+
+@query(f"""WITH {CAND}, pb AS (SELECT CAST(o_orderkey AS VARCHAR) AS query_id, (o_orderkey % 50) / 60.0 AS x0 FROM orders),
+hit AS (SELECT pb.query_id, candidate_id, c.pos, greatest(least(x0 + 0.3, l_quantity / 60.0 + 0.2) - greatest(x0, l_quantity / 60.0), 0.0) * greatest(least(0.35, c.pos / 10.0) - greatest(0.05, (c.pos - 1) / 10.0), 0.0) AS i,
+  (x0 + 0.3 - x0) * (0.35 - 0.05) + ((l_quantity / 60.0 + 0.2) - l_quantity / 60.0) * (c.pos / 10.0 - (c.pos - 1) / 10.0) AS a FROM pb JOIN cand c USING (query_id)),
+sc AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(i / (a - i), 6) DESC, pos) AS r FROM hit WHERE round(i / (a - i), 6) > 0)
+SELECT pb.query_id, candidate_id AS selected FROM pb LEFT JOIN sc ON sc.query_id = pb.query_id AND r = 1""")
+def external_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of an external model, here made from the order number, to candidates."""
+    candidates = _orders(spark, d, "l_quantity")[0].withColumn("bbox", _box())
+    x0 = F.col("o_orderkey") % 50 / 60.0
+    box = F.struct(x0.alias("x0"), F.lit(0.05).alias("y0"), (x0 + 0.3).alias("x1"), F.lit(0.35).alias("y1"))
+    predicted = B.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("query_id"), box.alias("box"))
+    return baselines.from_boxes(predicted, candidates.select("query_id", "pos", "candidate_id", "bbox"))
