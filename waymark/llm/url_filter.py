@@ -13,6 +13,8 @@ scalar subquery carries them to the tasks; counts are aggregated over every labe
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,12 +80,17 @@ def _signs(url: Column) -> Column:
 
 def _slots(signs: Column) -> Column:
     """For each position the number that packs its ORDER signs before (0: none) and itself."""
-    before = [F.concat(F.array_repeat(F.lit(0), k), signs) for k in range(ORDER, -1, -1)]
-    packed = F.lit(0)
-    return F.transform(
-        signs,
-        lambda _, i: sum((F.get(before[ORDER - k], i) * SYMBOLS**k for k in range(ORDER, -1, -1)), packed),
-    )
+
+    def packed(own: Column) -> Column:
+        before = lambda i, k: F.coalesce(F.get(own, i - F.lit(k)), F.lit(0)) * F.lit(SYMBOLS**k)
+        return F.transform(own, lambda sign, i: sum((before(i, k) for k in range(1, ORDER + 1)), sign))
+
+    return _let(signs, packed)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once for each row, not once for each mention or element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def ratio_model(labelled: DataFrame) -> DataFrame:
@@ -125,8 +132,12 @@ def ratio_model(labelled: DataFrame) -> DataFrame:
 def with_score(df: DataFrame, model: DataFrame) -> DataFrame:
     """Adds score, the mean log ratio over the signs (0 without signs)."""
     df = df.withColumn("ratios", model.scalar())
-    total = F.aggregate("slots", F.lit(0.0), lambda so_far, s: so_far + F.get("ratios", s))
-    mean = F.when(F.size("slots") > 0, total / F.size("slots")).otherwise(0.0)
+
+    def mean_of(own: Column) -> Column:
+        total = F.aggregate(own, F.lit(0.0), lambda so_far, s: so_far + F.get("ratios", s))
+        return F.when(F.size(own) > 0, total / F.size(own)).otherwise(0.0)
+
+    mean = _let(F.col("slots"), mean_of)
     return df.withColumn("score", F.round(F.greatest(F.least(mean, F.lit(CLIP)), F.lit(-CLIP)), 6)).drop("ratios")
 
 
