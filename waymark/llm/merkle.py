@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PIECE, SECTION = 64, 16
+#: Texts of at most SHORT code points have pieces of FINE, so that half of one is still told.
+SHORT, FINE = 256, 16
 #: Documents of one block of the id order, about; blocks, not this, grow with the data.
 BLOCK = 4000
 
@@ -27,12 +29,12 @@ BLOCK = 4000
 def leaves_of(text: str) -> list[str]:
     """Digests (8 hex digits) of the paragraphs, line ends included."""
     digest = xxhash.xxh32_hexdigest
-    if len(text) <= PIECE:
-        return [digest(text)] if text else []
-    out = []
+    if not text:
+        return []
+    out, piece = [], FINE if len(text) <= SHORT else PIECE
     for line in text.split("\n"):
-        for i in range(0, len(line), PIECE):
-            out.append(digest(line[i : i + PIECE]))
+        for i in range(0, len(line), piece):
+            out.append(digest(line[i : i + piece]))
         if not line:
             out.append(digest("\n"))
     return out
@@ -89,7 +91,7 @@ def _blocks(df: DataFrame, key: str, per_block: int) -> list[int]:
     n = -(-spread["n"] // per_block)
     if n <= 1:
         return [spread["top"]] if spread["n"] else []
-    found = df.select(F.percentile_approx(key, [F.lit(i / n) for i in range(1, n + 1)], F.lit(max(10_000, 20 * n))).alias("p")).first()["p"]
+    found = df.select(F.percentile_approx(key, [i / n for i in range(1, n + 1)], max(10_000, 20 * n)).alias("p")).first()["p"]
     return sorted({*found, spread["top"]}, reverse=True)
 
 
