@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-OF_QUERY = Window.partitionBy("query_id")
+
+def of_query() -> WindowSpec:
+    return Window.partitionBy("query_id")
 
 
 def clean(score: Column) -> Column:
@@ -13,13 +15,15 @@ def clean(score: Column) -> Column:
     return F.when(~F.isnan(score), score)
 
 
-def log_sum_exp(score: Column, over=OF_QUERY) -> Column:
+def log_sum_exp(score: Column, over: WindowSpec | None = None) -> Column:
+    over = over or of_query()
     top = F.max(score).over(over)
     return top + F.log(F.sum(F.exp(score - top)).over(over))
 
 
-def softmax(score: Column, over=OF_QUERY) -> Column:
+def softmax(score: Column, over: WindowSpec | None = None) -> Column:
     """Shifted by the largest score, so that large scores don't overflow."""
+    over = over or of_query()
     top = F.max(score).over(over)
     return F.exp(score - top) / F.sum(F.exp(score - top)).over(over)
 

@@ -16,9 +16,6 @@ from waymark.functions.scoring import clean
 #: A matcher turns queries into predictions; use it with DataFrame.transform.
 Matcher = Callable[[DataFrame], DataFrame]
 
-_RANKED = Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), F.col("pos").asc())
-
-
 def flatten(queries: DataFrame) -> DataFrame:
     """A row for each candidate: query_id, pos and the candidate's fields."""
     return queries.select("query_id", F.posexplode("target_candidates").alias("pos", "c")).select("query_id", "pos", "c.*")
@@ -53,7 +50,8 @@ def linear_score(weights: dict[str, float]) -> Column:
 
 def top(candidates: DataFrame, k: int = 1) -> DataFrame:
     """The k best candidates of each query, with rank; NaN and null scores last, ties by pos."""
-    ranked = candidates.withColumn("score", clean(F.col("score"))).withColumn("rank", F.row_number().over(_RANKED))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), F.col("pos").asc())
+    ranked = candidates.withColumn("score", clean(F.col("score"))).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k)
 
 

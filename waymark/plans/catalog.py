@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import features as X
@@ -222,7 +222,7 @@ def structured_ranker(spark: SparkSession, d: str) -> DataFrame:
 BOX = "{'x0': l_quantity / 60.0, 'y0': (pos - 1) / 10.0, 'x1': l_quantity / 60.0 + 0.2, 'y1': pos / 10.0}"
 
 
-def _box() -> F.Column:
+def _box() -> Column:
     corners = {"x0": F.col("l_quantity") / 60.0, "y0": (F.col("pos") - 1) / 10.0, "x1": F.col("l_quantity") / 60.0 + 0.2, "y1": F.col("pos") / 10.0}
     return F.struct(*(v.alias(k) for k, v in corners.items()))
 
