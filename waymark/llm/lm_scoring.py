@@ -6,9 +6,9 @@ the sum of log S over its words.
 
 The corpus is dealt into chunks of documents by a hash, and each chunk counts its own distinct
 n-grams. These partial counts are dealt by hash of the n-gram and added up; so a very common
-n-gram costs a row for each chunk, not for each use. The totals go back to the chunks that hold
-the n-gram, where they are joined to the chunk's exploded n-grams and summed by document. Totals
-of 1 are not sent: a missing total is 1. N-grams are identified by 64-bit hashes.
+n-gram costs an entry for each chunk, not for each use. The totals go back to the chunks in the
+order in which they sent their n-grams, where they are joined to the exploded n-grams and summed
+by document. N-grams are identified by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -48,32 +48,43 @@ def _group_of(hashes: np.ndarray, groups: int) -> np.ndarray:
     return ((hashes >> _U(32)) * _U(groups) >> _U(32)).astype(np.int64)
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """64-bit numbers by planes of equal bytes, which shuffle files compress where high bytes are alike."""
+    return numbers.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(np.frombuffer(data, np.uint8).reshape(8, -1).T.tobytes(), kind)
+
+
+def distinct(hashes: list[np.ndarray], inside: list[np.ndarray], **options):
+    """The n-grams of a chunk in the order that both uses of the chunk agree on."""
+    return np.unique(np.concatenate([h[i] for h, i in zip(hashes, inside, strict=True)]), **options)
+
+
 def _count(order: int, groups: int):
     def count(chunk: pa.Table) -> pa.Table:
         _, hashes, inside = grams(chunk["text"], order)
-        found, times = np.unique(np.concatenate([h[i] for h, i in zip(hashes, inside, strict=True)]), return_counts=True)
+        found, times = distinct(hashes, inside, return_counts=True)
         edges = np.searchsorted(_group_of(found, groups), np.arange(groups + 1))
         number = chunk["chunk"][0].as_py()
-        rows = [(g, number, found[a:b].tobytes(), times[a:b].tobytes()) for g, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
-        columns = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["g", "chunk", "hashes", "times"])
+        steps_ = np.diff(found, prepend=_U(0))
+        rows = [(g, number, found[a - 1 : a].tobytes() if a else bytes(8), packed(steps_[a:b]), packed(times[a:b])) for g, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["g", "chunk", "base", "steps", "times"])
 
     return count
 
 
 def _add(group: pd.DataFrame) -> pd.DataFrame:
-    """Totals of a group's n-grams, for each chunk that holds them; totals of 1 are left out."""
-    parts = [np.frombuffer(x, np.uint64) for x in group["hashes"]]
+    """Totals of a group's n-grams, for each chunk in its order."""
+    parts = [np.cumsum(unpacked(s, np.uint64)) + np.frombuffer(b, np.uint64) for s, b in zip(group["steps"], group["base"], strict=True)]
     found, place = np.unique(np.concatenate(parts), return_inverse=True)
-    total = np.bincount(place, np.concatenate([np.frombuffer(x, np.int64) for x in group["times"]])).astype(np.int64)
-    out, at = [], 0
-    for chunk, part in zip(group["chunk"], parts, strict=True):
-        own = total[place[at : at + len(part)]]
-        at += len(part)
-        more = own > 1
-        out.append((chunk, part[more].tobytes(), own[more].tobytes()))
-    return pd.DataFrame(out, columns=["chunk", "hashes", "times"])
+    total = np.bincount(place, np.concatenate([unpacked(x, np.int64) for x in group["times"]])).astype(np.int64)
+    ends = np.cumsum([len(p) for p in parts])
+    totals = [packed(total[place[e - len(p) : e]]) for e, p in zip(ends, parts, strict=True)]
+    return pd.DataFrame({"chunk": group["chunk"], "g": group["g"], "totals": totals})
 
 
 SCORED = "n_tokens long, n_single long, n_backed_off long, part double"
@@ -82,17 +93,17 @@ SCORED = "n_tokens long, n_single long, n_backed_off long, part double"
 def _score(order: int, least: int, backoff: float, key_field: pa.Field):
     def score(docs: pa.Table, totals: pa.Table) -> pa.Table:
         row, hashes, inside = grams(docs["text"], order)
-        known = np.frombuffer(b"".join(totals["hashes"].to_pylist()), np.uint64)
-        times = np.frombuffer(b"".join(totals["times"].to_pylist()), np.int64)
-        by = np.argsort(known)
-        known, times = np.append(known[by], _U(0xFFFFFFFFFFFFFFFF)), np.append(times[by], 1)
-
-        def logs(h: np.ndarray) -> np.ndarray:
-            own, place = np.unique(h, return_inverse=True)
-            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-            return np.where(known[at] == own, times[at], 1).astype(float)[place]
-
-        counts = [logs(h) for h in hashes]
+        found, place = distinct(hashes, inside, return_inverse=True)
+        by_group = np.argsort(totals["g"].to_numpy())
+        data = totals["totals"].to_pylist()
+        total = np.concatenate([np.zeros(0, np.int64), *(unpacked(data[i], np.int64) for i in by_group)])
+        if len(total) != len(found):
+            raise ValueError("the chunk's n-grams changed between its two uses")
+        counts, at = [], 0
+        for own in inside:
+            counts.append(np.ones(len(own)))
+            counts[-1][own] = total[place[at : at + own.sum()]]
+            at += own.sum()
         n, docs_n = len(row), len(docs)
         value = np.log(counts[0])
         single, used = np.ones(n, bool), np.ones(n, np.int64)
@@ -129,8 +140,8 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text", orde
     chunks, groups = groups_for(size, CHUNK), groups_for(size, GRAM_GROUP)
     # both uses of the chunks below share this one exchange of the texts
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("k", F.length("text")), F.lit(chunks))).repartition(chunks, "chunk")
-    counted = dealt.groupBy("chunk").applyInArrow(_count(order, groups), "g long, chunk long, hashes binary, times binary")
-    totals = counted.groupBy("g").applyInPandas(_add, "chunk long, hashes binary, times binary")
+    counted = dealt.groupBy("chunk").applyInArrow(_count(order, groups), "g long, chunk long, base binary, steps binary, times binary")
+    totals = counted.groupBy("g").applyInPandas(_add, "chunk long, g long, totals binary")
     kind = docs.schema["k"].dataType
     score = _score(order, least, backoff, pa.field("k", to_arrow_type(kind)))
     scored = dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(score, f"k {kind.simpleString()}, {SCORED}")
