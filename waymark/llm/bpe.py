@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from waymark.llm.common import fields
+
 #: Words whose encodings a Python worker keeps between batches; beyond it they are computed again.
 KEPT_WORDS = 400_000
 #: Pairs of tokens whose validity a worker keeps.
@@ -205,8 +207,6 @@ def encode_decode(df: DataFrame, path: str, keys: list[str], text: str = "text",
     gives no ids and an empty string. Rows are independent (no shuffle); a worker holds one run
     of texts of about `batch_chars` and a bounded cache. Only `keys` and the text are read.
     """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (df.schema[k] for k in keys))
-
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
@@ -222,4 +222,4 @@ def encode_decode(df: DataFrame, path: str, keys: list[str], text: str = "text",
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=[*keys, "ids", "decoded"])
                 low = high
 
-    return df.select(*keys, df[text]).mapInArrow(convert, f"{fields}, ids binary, decoded string")
+    return df.select(*keys, df[text]).mapInArrow(convert, fields(df, keys, "ids binary, decoded string"))

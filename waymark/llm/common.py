@@ -10,8 +10,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one step of a numpy loop holds; whole documents are never cut for it.
 STEP_BYTES = 1 << 20
@@ -50,6 +51,16 @@ def drop(spark: SparkSession, path: str) -> None:
         return
 
 
+def whole(df: DataFrame) -> Column:
+    """A row as one column, row, so that names of its columns can't clash with an operator's own; row.* takes it apart."""
+    return F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("row")
+
+
+def fields(df: DataFrame, keys: list[str], more: str) -> StructType:
+    """Columns `keys` of df and those of a DDL string."""
+    return StructType([*(df.schema[k] for k in keys), *StructType.fromDDL(more).fields])
+
+
 def small_enough(df: DataFrame, row_bytes: str, limit: int = 32 << 20) -> bool:
     """Whether the rows of a saved table, each of the bytes `row_bytes` says in SQL, fit in `limit`."""
     return (df.agg(F.coalesce(F.sum(F.expr(row_bytes)), F.lit(0)).alias("n")).first()["n"]) <= limit

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from waymark.llm.common import utf8
+from waymark.llm.common import fields, utf8
 
 # Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -152,8 +152,6 @@ def media_columns(df: DataFrame, keys: list[str], text: str = "text") -> DataFra
     Rows are independent: no shuffle, one row in memory beyond the Arrow batch. Only `keys` and
     the text are read, so other columns cannot clash.
     """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (df.schema[k] for k in keys))
-
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, len(batch), 256):
@@ -164,7 +162,7 @@ def media_columns(df: DataFrame, keys: list[str], text: str = "text") -> DataFra
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *map(pa.array, zip(*rows, strict=True))], names=names)
 
     names = [*keys, *(x.split()[0] for x in SCHEMA.split(", "))]
-    return df.select(*keys, df[text]).mapInArrow(convert, f"{fields}, {SCHEMA}")
+    return df.select(*keys, df[text]).mapInArrow(convert, fields(df, keys, SCHEMA))
 
 
 def one(text: bytes) -> tuple:

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.llm.common import whole
+
 #: Share of the input's tokens that the mixture takes.
 SHARE = 0.5
 #: A document is used at most so often.
@@ -109,9 +111,9 @@ def mix(
     """
     weights = WEIGHTS if weights is None else weights
     added = ["m_domain", "m_tokens", "m_copies"]
-    kept = [c for c in docs.columns if c not in added]
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in added]
     name = lambda c: F.coalesce(F.col(c), F.lit("-"))
-    placed = docs.select(*kept, domain_of(F.col("source")).alias("m_domain"), tokens_of(F.col("text")).alias("m_tokens"))
+    placed = docs.select(whole(docs), "doc_id", "lang", "source", domain_of(F.col("source")).alias("m_domain"), tokens_of(F.col("text")).alias("m_tokens"))
     narrow = placed.select(F.col("m_domain").alias("domain"), name("lang").alias("lang"), name("source").alias("source"), "doc_id", F.col("m_tokens").alias("n"))
     leaves = narrow.groupBy(*LEVELS).agg(F.sum("n").alias("tokens"))
     grants = leaf_budgets(leaves, share, epochs, weights, default).select(
@@ -140,5 +142,5 @@ def mix(
 
 def taken(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: each document as often as mix() takes it, with the columns of `docs`."""
-    mixed = mix(docs, **options)
-    return mixed.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("m_copies"), F.lit(1))))).where("m_copies > 0").select(*docs.columns)
+    mixed = mix(docs.select("doc_id", "lang", "source", "text", whole(docs)), **options).where("m_copies > 0")
+    return mixed.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_copies")))).select("row.*")

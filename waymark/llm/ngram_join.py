@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import gram_hashes, groups_for, join_checked, mixed, numbered, save, steps, utf8, word_hashes
+from waymark.llm.common import gram_hashes, groups_for, join_checked, mixed, numbered, save, steps, utf8, whole, word_hashes
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Bits of a signature, and the ratio of neighbouring bands' sizes.
@@ -433,7 +433,6 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs`, of each component that with the least key only (of equal keys the first by text); rows without shingles all stay."""
-    place = "j_place"
-    rows = numbered(docs, place, key, [text])
-    heads = save(classes(rows, place, text).where(F.col("component") == F.col(place)).select(place))
-    return join_checked(rows, heads, place, "left_semi", "8").select(*docs.columns)
+    rows = numbered(docs.select(docs[key].alias("k"), docs[text].alias("t"), whole(docs)), "n", "k", ["t"])
+    heads = save(classes(rows, "n", "t").where(F.col("component") == F.col("n")).select("n"))
+    return join_checked(rows.select("n", "row"), heads, "n", "left_semi", "8").select("row.*")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import gram_hashes, join_checked, save, steps, utf8, word_hashes
+from waymark.llm.common import fields, gram_hashes, join_checked, save, steps, utf8, whole, word_hashes
 
 BUCKETS = 1 << 16
 #: At most so many labelled documents are looked at, those of least hash of the id.
@@ -83,8 +83,6 @@ def log_ratios(marked: DataFrame) -> np.ndarray:
 
 def with_means(df: DataFrame, columns: list[str], ratios: np.ndarray) -> DataFrame:
     """`columns` of `df` and q_mean, the mean log ratio over a text's n-grams (0 without any)."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (df.schema[c] for c in columns))
-
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             means = np.zeros(len(batch))
@@ -94,7 +92,7 @@ def with_means(df: DataFrame, columns: list[str], ratios: np.ndarray) -> DataFra
                 means[low:high] = np.bincount(row, ratios[bucket], high - low) / (n + PRIOR)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(means)], names=[*columns, "q_mean"])
 
-    return df.select(*columns, df["text"].alias("__text")).mapInArrow(score, f"{fields}, q_mean double")
+    return df.select(*columns, df["text"].alias("__text")).mapInArrow(score, fields(df, columns, "q_mean double"))
 
 
 def calibrated(means: list[tuple[float, int]]) -> float:
@@ -167,5 +165,5 @@ def top_k(df: DataFrame, value: str, ties: list[str], k: int, kept: str) -> Data
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that judged() keeps, with their columns."""
     poor = save(judged(docs, labels, **options).where("not q_kept").select(F.xxhash64("doc_id", "q_key").alias("q_name")).distinct())
-    named = docs.withColumn("q_name", F.xxhash64("doc_id", F.xxhash64("text")))
-    return join_checked(named, poor, "q_name", "left_anti", "8").select(*docs.columns)
+    named = docs.select(whole(docs), F.xxhash64("doc_id", F.xxhash64("text")).alias("q_name"))
+    return join_checked(named, poor, "q_name", "left_anti", "8").select("row.*")

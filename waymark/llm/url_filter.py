@@ -18,6 +18,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.llm.common import whole
+
 #: (verdict, host, path): a rule holds for the host and its subdomains where the path starts so.
 RULES = [
     ("allow", "com", "/"),
@@ -175,8 +177,9 @@ def judge_urls(df: DataFrame, url: str = "url", rules: list[tuple[str, str, str]
     """
     rules = RULES if rules is None else rules
     added = ("host", "path", "rule", "verdict", "score")
-    kept = [c for c in df.columns if c not in added]
-    judged = df.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    kept = [F.col(f"row.`{c}`") for c in df.columns if c not in added]
+    judged = df.select(whole(df), df[url].alias("url"), host_of(df[url]).alias("host"), path_of(df[url]).alias("path"))
+    url = "url"
     judged = with_rule(judged, rules)
     labelled = (
         judged.where("rule is not null")
