@@ -7,7 +7,9 @@ is first cut down, without loss, to small texts in which all equal windows meet:
    leftmost of equals). Equal windows hold equal anchors at equal places.
 2. Anchors are dealt by hash, each with a hash of its context: all bytes that windows around it
    can reach. Within equal anchors, a context that also occurs earlier is covered by it whole.
-   What is left are the first occurrences of differing contexts: only the edges of repeats.
+   What is left are first occurrences of differing contexts. Every window holds its anchor and
+   half of what it reaches beyond it on one side or the other, so contexts whose halves (32-bit
+   hashes) no other context of the anchor has are left out: the edges of repeats remain.
 3. These contexts are dealt by anchor. Each task sorts the suffixes of its contexts, derives the
    Burrows-Wheeler transform, and extends all intervals backward breadth-first: level l finds
    every place where neighbouring suffixes share exactly l bytes, and the work stops at LENGTH.
@@ -68,11 +70,11 @@ def window_values(grams: np.ndarray, starts: np.ndarray, length: int, gram: int)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Row, place in the row, anchor hash and context hash of every anchor."""
+    """Row, place in the row, anchor hash, context hash and the hashes of both halves (32 bits each, 0: none) of every anchor."""
     none = np.zeros(0, np.int64)
     n, reach = len(data), length - gram
     if n < length:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, *[none.astype(np.uint64)] * 3
     grams = gram_values(data, gram)
     bits = _U(max(1, n.bit_length()))
     least = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
@@ -92,37 +94,44 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     for i in np.flatnonzero(~whole):  # only at both ends of a document
         piece = data[low[i] : high[i]].tobytes() + bytes([at[i] - low[i]])
         context[i] = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little")
-    return row[at], at - begin, grams[at], context
+    half = reach // 2
+    sides = []
+    for start, stop in ((at - half, at + gram), (at, at + gram + half)):
+        side = np.zeros(len(at), np.uint64)
+        there = (start >= begin) & (stop <= end)
+        side[there] = window_values(grams, start[there], gram + half, gram) >> _U(32) | _U(1)
+        sides.append(side)
+    return row[at], at - begin, grams[at], context, sides[0] << _U(32) | sides[1]
 
 
 # --- from documents to anchors, and from anchors to what is covered ------------
 
-PACKED = "key long, kind int, doc binary, at binary, hash binary, context binary"
+PACKED = "key long, kind int, doc binary, at binary, hash binary, context binary, halves binary"
 #: Kinds of packed rows after step 2: covered as a whole; to compare by suffixes; by window hashes.
 COVERED, EDGE, HOT_EDGE = 0, 1, 2
 
 
-def _packed(key: np.ndarray, kind: int, doc: np.ndarray, at: np.ndarray, first: np.ndarray, second: np.ndarray) -> dict[str, list]:
+def _packed(key: np.ndarray, kind: int, doc: np.ndarray, at: np.ndarray, value: np.ndarray, context: np.ndarray, halves: np.ndarray) -> dict[str, list]:
     """A row for each key with the arrays' parts as bytes."""
     order = np.argsort(key, kind="stable")
     key = key[order]
     edges = np.flatnonzero(np.diff(key, prepend=key[:1] - 1, append=key[-1:] + 1)) if len(key) else np.zeros(1, int)
-    parts = [a[order] if len(a) else a for a in (doc.astype(np.int64), at.astype(np.int64), first, second)]
+    parts = [a[order] if len(a) else a for a in (doc.astype(np.int64), at.astype(np.int64), value, context, halves)]
     spans = list(zip(edges[:-1], edges[1:], strict=True))
     return {
         "key": [int(key[a]) for a, _ in spans],
         "kind": [kind] * len(spans),
-        **{name: [p[a:b].tobytes() for a, b in spans] for name, p in zip(("doc", "at", "hash", "context"), parts, strict=True)},
+        **{name: [p[a:b].tobytes() for a, b in spans] for name, p in zip(("doc", "at", "hash", "context", "halves"), parts, strict=True)},
     }
 
 
 def _record(rows: dict[str, list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
 
 
 def _unpacked(group: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    kinds = (("doc", np.int64), ("at", np.int64), ("hash", np.uint64), ("context", np.uint64))
+    kinds = (("doc", np.int64), ("at", np.int64), ("hash", np.uint64), ("context", np.uint64), ("halves", np.uint64))
     return tuple(np.frombuffer(b"".join(group[name]), kind) for name, kind in kinds)
 
 
@@ -132,8 +141,8 @@ def _send_anchors(groups: int, length: int, gram: int):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for low, high, data, offsets in steps(*utf8(batch.column(1))):
-                row, at, value, context = anchors(data, offsets, length, gram)
-                held.append((ids[low:high][row], at, value, context))
+                row, *found = anchors(data, offsets, length, gram)
+                held.append((ids[low:high][row], *found))
                 if sum(len(x[0]) for x in held) >= GATHER:
                     yield flush(held)
                     held = []
@@ -141,26 +150,39 @@ def _send_anchors(groups: int, length: int, gram: int):
             yield flush(held)
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        doc, at, value, context = (np.concatenate(x) for x in zip(*held, strict=True))
-        return _record(_packed((value % _U(groups)).astype(np.int64), 0, doc, at, value, context))
+        doc, at, value, *more = (np.concatenate(x) for x in zip(*held, strict=True))
+        return _record(_packed((value % _U(groups)).astype(np.int64), 0, doc, at, value, *more))
 
     return send
 
 
+def _shared(anchor: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """Whether another entry of the same anchor has the same half (0 is none)."""
+    order = np.lexsort((half, anchor))
+    a, h = anchor[order], half[order]
+    same = (a[1:] == a[:-1]) & (h[1:] == h[:-1]) & (h[1:] > 0)
+    out = np.zeros(len(anchor), bool)
+    out[order] = np.append(False, same) | np.append(same, False)
+    return out
+
+
 def _meet_anchors(doc_groups: int, hot: int):
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        doc, at, value, context = _unpacked(group)
-        order = np.lexsort((at, doc, context, value))
-        doc, at, value, context = doc[order], at[order], value[order], context[order]
+        packed = _unpacked(group)
+        order = np.lexsort((packed[1], packed[0], packed[3], packed[2]))
+        doc, at, value, context, halves = (x[order] for x in packed)
         new = np.append(True, value[1:] != value[:-1])
         first = new.copy()
         first[1:] |= context[1:] != context[:-1]
-        kinds_of = np.add.reduceat(first, np.flatnonzero(new))[np.cumsum(new) - 1]  # differing contexts of the anchor
+        anchor = np.cumsum(new) - 1
+        edge = np.zeros(len(doc), bool)
+        edge[first] = _shared(anchor[first], halves[first] >> _U(32)) | _shared(anchor[first], halves[first] & _U(0xFFFFFFFF))
+        edges_of = np.bincount(anchor[edge], minlength=anchor[-1] + 1)[anchor]
         out = []
-        for kind, chosen in ((COVERED, ~first), (EDGE, first & (kinds_of > 1) & (kinds_of <= hot)), (HOT_EDGE, first & (kinds_of > hot))):
+        for kind, chosen in ((COVERED, ~first), (EDGE, edge & (edges_of <= hot)), (HOT_EDGE, edge & (edges_of > hot))):
             d = doc[chosen]
             key = (mixed(d.view(np.uint64)) % _U(doc_groups)).astype(np.int64)
-            out.append(pd.DataFrame(_packed(key, kind, d, at[chosen], value[chosen] if kind else np.zeros(0, np.uint64), np.zeros(0, np.uint64))))
+            out.append(pd.DataFrame(_packed(key, kind, d, at[chosen], value[chosen] if kind else value[:0], value[:0], value[:0])))
         return pd.concat(out)
 
     return meet
@@ -180,7 +202,7 @@ def _by_document(reach: int, length: int):
         rows: dict[int, list] = {}
         for kind in (COVERED, EDGE, HOT_EDGE):
             part = group[group["kind"] == kind]
-            doc, at, value, _ = _unpacked(part)
+            doc, at, value, *_ = _unpacked(part)
             order = np.lexsort((at, doc))
             doc, at = doc[order], at[order]
             value = value[order] if kind else value
@@ -191,8 +213,8 @@ def _by_document(reach: int, length: int):
                     low, high = merged(np.maximum(at[a:b] - reach, 0), at[a:b] + length)
                     row[0], row[1] = low.tobytes(), high.tobytes()
                 else:
-                    row[2] += at[a:b].tobytes()
-                    row[3] += value[a:b].tobytes()
+                    row[2] += at[a:b].astype(np.uint32).tobytes()
+                    row[3] += (value[a:b] >> _U(32)).astype(np.uint32).tobytes()
                     row[4] += bytes([kind]) * (b - a)
         names = ["low", "high", "edge", "anchor", "how"]
         return pd.DataFrame({"n": list(rows), **{c: [r[i] for r in rows.values()] for i, c in enumerate(names)}}).astype({"n": "int64"})
@@ -213,15 +235,16 @@ def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
         key = (key << _U(8)) | np.where(places + k <= ends, padded[k : n + k], 0)
     longest, known = int((ends - places).max()) + 1, 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.append(0, ordered[1:] != ordered[:-1]))
-        if known >= longest or rank[order[-1]] == n - 1:
+        rank = np.empty(n, np.uint64)
+        rank[order] = np.cumsum(np.append(0, ordered[1:] != ordered[:-1])).astype(np.uint64)
+        if rank[order[-1]] == n - 1:
             return order
+        if known >= longest:  # equal suffixes: by place, as if their ends grew
+            return np.argsort((rank << _U(32)) | places.astype(np.uint64))
         beyond = np.minimum(places + known, n - 1)
-        second = np.where(places + known <= ends, rank[beyond] + 1, 0)
-        key = (rank.astype(np.uint64) << _U(32)) | second.astype(np.uint64)
+        key = (rank << _U(32)) | np.where(places + known <= ends, rank[beyond] + _U(1), _U(0))
         known *= 2
 
 
@@ -230,29 +253,36 @@ def parted(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
 
     From the Burrows-Wheeler transform alone: between q and the last place before it of the same
     sign, a boundary of level l makes one of level l + 1 where q's sign, put in front, leads.
-    Breadth-first by level, each boundary is found once, at its exact common prefix.
+    Breadth-first by level, each boundary is found once, at its exact common prefix. Within a run
+    of one sign, that last place is the neighbour, so only new boundaries are followed; for the
+    first place of a run, boundaries are counted by run.
     """
-    n = len(text)
     first = text[order]
     found = np.append(True, first[1:] != first[:-1]) | (first == 0)  # level 0
     before = text[order - 1]
     by_sign = np.argsort(before, kind="stable")
-    target = np.empty(n, np.int64)
-    target[by_sign] = np.arange(n)
-    last = np.full(n, -1)
-    same = before[by_sign[1:]] == before[by_sign[:-1]]
-    last[by_sign[1:][same]] = by_sign[:-1][same]
-    place = np.flatnonzero((before != 0) & (last >= 0) & ~found[target])
-    last, target = last[place], target[place]
+    leads = np.empty(len(text), np.int64)  # where the sign before, put in front, leads
+    leads[by_sign] = np.arange(len(text))
+    heads = np.append(True, before[1:] != before[:-1])
+    run, starts = np.cumsum(heads) - 1, np.flatnonzero(heads)
+    signs = before[starts]
+    runs_by_sign = np.argsort(signs, kind="stable")
+    last = np.full(len(starts), -1)
+    same = signs[runs_by_sign[1:]] == signs[runs_by_sign[:-1]]
+    last[runs_by_sign[1:][same]] = runs_by_sign[:-1][same]
+    open_runs = np.flatnonzero((signs != 0) & (last >= 0) & ~found[leads[starts]])
+    counts, new = np.zeros(len(starts), np.int64), np.flatnonzero(found)
     for _ in range(length - 1):
-        if not len(place):
-            break
-        so_far = np.cumsum(found, dtype=np.int32)
-        hit = so_far[place] > so_far[last]
-        if not hit.any():
+        counts += np.bincount(run[new], minlength=len(starts))
+        so_far = np.append(0, np.cumsum(counts))
+        hit = (so_far[open_runs] > so_far[last[open_runs] + 1]) | found[starts[open_runs]]
+        within = new[~heads[new] & (before[new] != 0)]
+        new = np.concatenate([leads[within], leads[starts[open_runs[hit]]]])
+        new = new[~found[new]]
+        if not len(new):
             break
-        found[target[hit]] = True
-        place, last, target = place[~hit], last[~hit], target[~hit]
+        found[new] = True
+        open_runs = open_runs[~hit]
     return found
 
 
@@ -293,8 +323,8 @@ def _send_contexts(groups: int, reach: int, length: int):
             for i, (n, edge, anchor, how) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True)):
                 body = data[offsets[i] : offsets[i + 1]]
                 chosen = np.frombuffer(how, np.uint8) == EDGE
-                at, value = np.frombuffer(edge, np.int64)[chosen], np.frombuffer(anchor, np.uint64)[chosen]
-                for a, k in zip(at.tolist(), (value % _U(groups)).tolist(), strict=True):
+                at, value = np.frombuffer(edge, np.uint32)[chosen], np.frombuffer(anchor, np.uint32)[chosen]
+                for a, k in zip(at.tolist(), (value % groups).tolist(), strict=True):
                     low = max(a - reach, 0)
                     out.append((k, n, low, body[low : a + length].tobytes()))
             if out:
@@ -329,7 +359,7 @@ def _send_windows(reach: int, length: int, gram: int):
             data, offsets = utf8(batch.column(1))
             for i, (n, edge, how) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 2, 4)), strict=True)):
                 body = data[offsets[i] : offsets[i + 1]]
-                at = np.frombuffer(edge, np.int64)[np.frombuffer(how, np.uint8) == HOT_EDGE]
+                at = np.frombuffer(edge, np.uint32)[np.frombuffer(how, np.uint8) == HOT_EDGE].astype(np.int64)
                 starts = np.unique((at[:, None] - np.arange(reach + 1)[None]).ravel())
                 starts = starts[(starts >= 0) & (starts <= len(body) - length)]
                 if len(starts):
