@@ -107,7 +107,7 @@ def calibrated(means: list[tuple[float, int]]) -> float:
     kept = 1 - np.searchsorted(good, middle) / len(good)
     stopped = np.searchsorted(poor, middle) / len(poor)
     best = float(middle[np.argmax(kept + stopped)])
-    return min(best, float(np.quantile(good, 1 - KEEP)))
+    return min(best, float(np.quantile(good, 1 - KEEP)), 0.0)  # as likely in the target as in the corpus is good enough
 
 
 def judged(docs: DataFrame, labels: DataFrame, seed: str = SEED, labelled: int = LABELLED) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, lm_scoring, media, merkle, mixing, ngram_join, pii, quality, suffix_dedup, url_filter
+from waymark.llm import bpe, lm_scoring, media, merkle, mixing, ngram_join, oracles, pii, quality, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,4 +86,4 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLES = {"op1_lm_scoring": lm_scoring.ORACLE}
+ORACLES = {"op1_lm_scoring": lm_scoring.ORACLE, "op2_url_filter": oracles.URL_FILTER, "op4_mixing": oracles.MIXING}

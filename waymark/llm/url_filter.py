@@ -146,7 +146,8 @@ def with_score(df: DataFrame, model: DataFrame) -> DataFrame:
 def threshold(scored: DataFrame) -> DataFrame:
     """One row: the lowest score that counts as allowed, by balanced accuracy (0 where a class is missing).
 
-    Ties go to the bin nearest 0, then the lower. At most 2 * CLIP / BIN bins reach the window.
+    It lies midway between the bins that it parts. Ties go to the bin nearest 0, then the lower. At
+    most 2 * CLIP / BIN bins reach the window.
     """
     bins = scored.groupBy(F.floor(F.col("score") / BIN).cast("int").alias("bin")).agg(
         F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b")
@@ -155,13 +156,14 @@ def threshold(scored: DataFrame) -> DataFrame:
     below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     rated = bins.select(
         "bin",
+        F.lag("bin").over(Window.orderBy("bin")).alias("lower"),
         F.sum("g").over(up).alias("kept"),
         F.coalesce(F.sum("b").over(below), F.lit(0)).alias("stopped"),
         F.sum("g").over(Window.partitionBy()).alias("all_g"),
         F.sum("b").over(Window.partitionBy()).alias("all_b"),
     ).where("all_g > 0 and all_b > 0")
     best = F.max_by(
-        F.col("bin") * F.lit(BIN),
+        (F.col("bin") + F.coalesce(F.col("lower") + 1, F.col("bin"))) * F.lit(BIN / 2),
         F.struct(F.round(F.col("kept") / F.col("all_g") + F.col("stopped") / F.col("all_b"), 9), -F.abs("bin"), -F.col("bin")),
     )
     return rated.groupBy().agg(F.coalesce(best, F.lit(0.0)).alias("least"))
@@ -183,7 +185,7 @@ def judge_urls(df: DataFrame, url: str = "url", rules: list[tuple[str, str, str]
     judged = with_rule(judged, rules)
     labelled = (
         judged.where("rule is not null")
-        .select((F.col("rule_verdict") == "allow").alias("good"), _slots(_signs(F.col(url))).alias("slots"), (F.pmod(F.crc32(F.col(url)), F.lit(HOLD_OUT)) == 0).alias("held"))
+        .select((F.col("rule_verdict") == "allow").alias("good"), _slots(_signs(F.col(url))).alias("slots"), (F.conv(F.substring(F.md5(F.col(url).cast("binary")), 1, 6), 16, 10).cast("long") % HOLD_OUT == 0).alias("held"))
     )
     model = ratio_model(labelled.where("not held"))
     least = threshold(with_score(labelled.where("held"), model))
