@@ -11,21 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import bpe, mixing, ngram_join, pii, quality
-from waymark.llm.common import save
+from waymark.llm.common import save, small_batches
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_good(docs, small_batches(spark).read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of least id stays."""
+    small_batches(spark)
     return ngram_join.one_of_each(docs)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts becomes [EMAIL], [IP], [CARD] or [PHONE]; n_chars follows."""
+    small_batches(spark)
     return pii.redacted(docs, pii.learn(docs))
 
 
@@ -36,6 +38,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian, 32 bits) of each text, and a digest of what they decode to."""
+    small_batches(spark)
     coded = bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), ["doc_id", "lang", "source"])
     return coded.select(
         "doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",

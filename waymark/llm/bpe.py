@@ -23,12 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from waymark.llm.common import fields
+from waymark.llm.common import fields, tidy
 
 #: Words whose encodings a Python worker keeps between batches; beyond it they are computed again.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 #: Pairs of tokens whose validity a worker keeps.
-KEPT_PAIRS = 1_000_000
+KEPT_PAIRS = 300_000
 SUFFIX = "</w>"
 
 
@@ -222,4 +222,4 @@ def encode_decode(df: DataFrame, path: str, keys: list[str], text: str = "text",
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=[*keys, "ids", "decoded"])
                 low = high
 
-    return df.select(*keys, df[text]).mapInArrow(convert, fields(df, keys, "ids binary, decoded string"))
+    return df.select(*keys, df[text]).mapInArrow(tidy(convert), fields(df, keys, "ids binary, decoded string"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes of text that one step of a numpy loop holds; whole documents are never cut for it.
 STEP_BYTES = 1 << 20
+#: Documents in one Arrow batch.
+BATCH_ROWS = 1000
 
 _own_folder: list[str] = []
 
@@ -27,9 +31,44 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="waymark-"))
+        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
     return "file://" + _own_folder[0]
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Rows of whole texts go to Python in batches of BATCH_ROWS, so that batches fit beside the heap on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
+def tidy(step: Callable) -> Callable:
+    """A function for mapInArrow or applyInPandas that afterwards hands freed memory back to the system.
+
+    Python workers wait for more work; what they hold meanwhile lies beside the executor's heap.
+    """
+
+    def run(rows):
+        out = step(rows)
+        if isinstance(out, Iterator):
+            return _then_trim(out)
+        _trim()
+        return out
+
+    return run
+
+
+def _then_trim(out: Iterator) -> Iterator:
+    yield from out
+    _trim()
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def save(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back: lineage ends here.
 
@@ -66,7 +105,7 @@ def small_enough(df: DataFrame, row_bytes: str, limit: int = 32 << 20) -> bool:
     return (df.agg(F.coalesce(F.sum(F.expr(row_bytes)), F.lit(0)).alias("n")).first()["n"]) <= limit
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: str, how: str, row_bytes: str) -> DataFrame:
+def join_checked(big: DataFrame, small: DataFrame, on: str | list[str], how: str, row_bytes: str) -> DataFrame:
     """Broadcast `small` if its measured bytes allow that, else let Spark shuffle both sides."""
     return big.join(F.broadcast(small) if small_enough(small, row_bytes) else small, on, how)
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from waymark.llm.common import fields, utf8
+from waymark.llm.common import fields, tidy, utf8
 
 # Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -162,7 +162,7 @@ def media_columns(df: DataFrame, keys: list[str], text: str = "text") -> DataFra
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *map(pa.array, zip(*rows, strict=True))], names=names)
 
     names = [*keys, *(x.split()[0] for x in SCHEMA.split(", "))]
-    return df.select(*keys, df[text]).mapInArrow(convert, fields(df, keys, SCHEMA))
+    return df.select(*keys, df[text]).mapInArrow(tidy(convert), fields(df, keys, SCHEMA))
 
 
 def one(text: bytes) -> tuple:

@@ -19,11 +19,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.llm.common import tidy
+
 PIECE, SECTION = 64, 16
 #: Texts of at most SHORT code points have pieces of FINE, so that half of one is still told.
 SHORT, FINE = 256, 16
-#: Documents of one block of the id order, about; blocks, not this, grow with the data.
-BLOCK = 4000
+#: Documents of one block of the id order, about, as long as that makes BLOCKS or fewer; then blocks
+#: grow. A task streams its blocks and holds two documents of them, so long blocks are no matter of memory.
+BLOCK, BLOCKS = 4000, 4096
 
 
 def leaves_of(text: str) -> list[str]:
@@ -85,10 +88,10 @@ def edited(text: str, following: str) -> str:
 def _blocks(df: DataFrame, key: str, per_block: int) -> list[int]:
     """Ids that open the blocks of the descending order: the upper ends of id ranges, as a range partitioner's bounds.
 
-    One number for each block of `per_block` rows comes to the driver, never ids of all documents.
+    One number for each of at most BLOCKS blocks comes to the driver.
     """
     spread = df.agg(F.count(key).alias("n"), F.max(key).alias("top")).first()
-    n = -(-spread["n"] // per_block)
+    n = min(-(-spread["n"] // per_block), BLOCKS)
     if n <= 1:
         return [spread["top"]] if spread["n"] else []
     found = df.select(F.percentile_approx(key, [i / n for i in range(1, n + 1)], max(10_000, 20 * n)).alias("p")).first()["p"]
@@ -123,7 +126,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", per_blo
     dealt = dealt.select("k", "t", F.col("at.b").alias("b"), F.col("at.copy").alias("copy"))
     order = [F.col("b"), F.col("copy"), F.col("k").desc_nulls_last(), F.col("t")]
     dealt = dealt.repartition(max(n, 1), "b").sortWithinPartitions(*order)
-    return dealt.mapInArrow(_walk, f"`{key}` {kind}, {SCHEMA}")
+    return dealt.mapInArrow(tidy(_walk), f"`{key}` {kind}, {SCHEMA}")
 
 
 def _position(k: Column, heads: list[int], kind: str) -> Column:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import fields, gram_hashes, join_checked, save, steps, utf8, whole, word_hashes
+from waymark.llm.common import fields, gram_hashes, join_checked, save, steps, tidy, utf8, whole, word_hashes
 
 BUCKETS = 1 << 16
 #: At most so many labelled documents are looked at, those of least hash of the id.
@@ -70,7 +70,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def log_ratios(marked: DataFrame) -> np.ndarray:
     """Log of target over raw probability for each bucket; `marked` has good (1, 0 or null) and text."""
-    rows = marked.select("good", "text").mapInArrow(_counts, "bucket long, raw long, target long")
+    rows = marked.select("good", "text").mapInArrow(tidy(_counts), "bucket long, raw long, target long")
     rows = rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # BUCKETS rows at most
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for b, r, t in rows:
@@ -92,7 +92,7 @@ def with_means(df: DataFrame, columns: list[str], ratios: np.ndarray) -> DataFra
                 means[low:high] = np.bincount(row, ratios[bucket], high - low) / (n + PRIOR)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(means)], names=[*columns, "q_mean"])
 
-    return df.select(*columns, df["text"].alias("__text")).mapInArrow(score, fields(df, columns, "q_mean double"))
+    return df.select(*columns, df["text"].alias("__text")).mapInArrow(tidy(score), fields(df, columns, "q_mean double"))
 
 
 def calibrated(means: list[tuple[float, int]]) -> float:

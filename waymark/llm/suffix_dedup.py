@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import groups_for, join_checked, mixed, numbered, save, steps, utf8
+from waymark.llm.common import groups_for, join_checked, mixed, numbered, save, steps, tidy, utf8
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM  # a window begins at most so far before its anchor
@@ -371,7 +371,7 @@ def _send_windows(reach: int, length: int, gram: int):
 
 def _hot_runs(edges: DataFrame, reach: int, length: int, gram: int) -> DataFrame:
     """Runs of hot anchors' windows that also start earlier, by window hash; counts combine map-side, and AQE splits what is skewed."""
-    windows = edges.mapInArrow(_send_windows(reach, length, gram), "window long, n long, start long")
+    windows = edges.mapInArrow(tidy(_send_windows(reach, length, gram)), "window long, n long, start long")
     firsts = windows.groupBy("window").agg(F.min(F.struct("n", "start")).alias("first"))
     later = windows.join(firsts, "window").where(F.struct("n", "start") > F.col("first"))
 
@@ -379,7 +379,7 @@ def _hot_runs(edges: DataFrame, reach: int, length: int, gram: int) -> DataFrame
         start = np.unique(group["start"].to_numpy())
         return _runs(np.full(len(start), group["n"].iloc[0]), start, length)
 
-    return later.select("n", "start").groupBy("n").applyInPandas(runs, RUNS)
+    return later.select("n", "start").groupBy("n").applyInPandas(tidy(runs), RUNS)
 
 
 # --- the operator ------------------------------------------------------------------
@@ -401,23 +401,23 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     docs = numbered(df.select(df[key].alias("k"), df[text].alias("t")), "n", "k", ["t"])
     total = docs.agg(F.coalesce(F.sum(F.octet_length("t").cast("long")), F.lit(0)).alias("b")).first()["b"]
     groups = groups_for(total, ANCHOR_GROUP)
-    sent = docs.select("n", "t").mapInArrow(_send_anchors(groups, length, gram), PACKED)
-    met = sent.groupBy("key").applyInPandas(_meet_anchors(groups, hot), PACKED)
-    known = save(met.groupBy("key").applyInPandas(_by_document(reach, length), "n long, low binary, high binary, edge binary, anchor binary, how binary"))
+    sent = docs.select("n", "t").mapInArrow(tidy(_send_anchors(groups, length, gram)), PACKED)
+    met = sent.groupBy("key").applyInPandas(tidy(_meet_anchors(groups, hot)), PACKED)
+    known = save(met.groupBy("key").applyInPandas(tidy(_by_document(reach, length)), "n long, low binary, high binary, edge binary, anchor binary, how binary"))
     sizes = "octet_length(low) + octet_length(high) + octet_length(edge) + octet_length(anchor) + octet_length(how) + 40"
     edged = known.where("octet_length(how) > 0").select("n", "edge", "anchor", "how", F.lit(b"").alias("low"), F.lit(b"").alias("high"))
     edges = join_checked(docs.select("n", "t"), edged, "n", "inner", sizes).select("n", "t", "edge", "anchor", "how")
     count = edged.agg(F.coalesce(F.sum(F.octet_length("how").cast("long")), F.lit(0)).alias("c")).first()["c"]
     suffix_groups = groups_for(count * (reach + length), SUFFIX_GROUP)
-    contexts = edges.mapInArrow(_send_contexts(suffix_groups, reach, length), CONTEXTS)
-    runs = contexts.groupBy("key").applyInPandas(_meet_contexts(length), RUNS)
+    contexts = edges.mapInArrow(tidy(_send_contexts(suffix_groups, reach, length)), CONTEXTS)
+    runs = contexts.groupBy("key").applyInPandas(tidy(_meet_contexts(length)), RUNS)
     if not edged.where(F.instr(F.hex("how"), f"{HOT_EDGE:02X}") > 0).isEmpty():
         runs = runs.unionByName(_hot_runs(edges, reach, length, gram))
     runs = runs.unionByName(known.where("octet_length(low) > 0").select("n", "low", "high"))
     covered = save(runs.groupBy("n").agg(F.collect_list(F.struct("low", "high")).alias("runs")).select("n", F.expr("reduce(runs, cast('' as binary), (a, x) -> concat(a, x.low))").alias("low"), F.expr("reduce(runs, cast('' as binary), (a, x) -> concat(a, x.high))").alias("high")))
     all_ = join_checked(docs, covered, "n", "left", "octet_length(low) + octet_length(high) + 40")
     kind = docs.schema["k"].dataType.simpleString()
-    return all_.select("k", "t", "low", "high").mapInArrow(_cut, f"`{key}` {kind}, {OUT}")
+    return all_.select("k", "t", "low", "high").mapInArrow(tidy(_cut), f"`{key}` {kind}, {OUT}")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
