@@ -9,15 +9,17 @@ same set form a class; classes are joined, not documents.
    holds can link with nothing. What follows sees the others only, with all their shingles.
 2. Prefix. Ordered by how many sets hold it, a set's rarest n - ceil(SHARE n) + 1 shingles must
    hold one that a partner's hold; shingles of one set only count towards them and are not kept.
-3. Leaders. Among the sets that hold such a shingle each meets the first leader that the bound
-   below lets it link with, or becomes a leader; what meets is verified. That joins groups of near
-   copies by stars, without all their pairs.
+3. Leaders. Among the sets that hold such a shingle (in blocks of TILE) each meets the first leader
+   that the bound below lets it link with, or becomes a leader; what meets is verified. A second
+   round does so with one set of each component. That joins groups of near copies by stars,
+   without all their pairs.
 4. Tiles. Sets that share a rare shingle and are still apart go, under the least of them, to tiles
    by band of size; a tile holds one band and the one below, since sets that link are in one or in
-   neighbouring bands. A tile of more than TILE sets is cut into pairs of blocks. Hashed bitmap
-   signatures, wide for the sets of the tile, bound overlaps from above: each bit that only one of
-   two sets has is a shingle that they don't share. What passes is verified by intersecting the
-   sorted arrays, and a link is kept if its sets were not yet joined.
+   neighbouring bands. More than TILE sets are cut into blocks: sets of the largest component
+   meet only the others. Hashed bitmap signatures, wide for the sets of the tile, bound overlaps
+   from above: each bit that only one of two sets has is a shingle that they don't share. What
+   passes is verified by intersecting the sorted arrays, and a link is kept if its sets were not
+   yet joined.
    So no link between components is lost, and no group is expanded into all its pairs.
 """
 
@@ -32,15 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import gram_hashes, groups_for, join_checked, mixed, numbered, save, steps, utf8, whole, word_hashes
+from waymark.llm.common import gram_hashes, groups_for, join_checked, mixed, numbered, save, steps, tidy, utf8, whole, word_hashes
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Bits of a signature, and the ratio of neighbouring bands' sizes.
 BITS, BAND = 512, 0.75
-#: Sets of one tile beyond which it is cut into pairs of blocks.
-TILE = 2048
+#: Sets of one tile beyond which it is cut into blocks, and rounds of leaders.
+TILE, ROUNDS = 2048, 2
 #: Shingles of a group of the first filter and of the later ones; rows that a task gathers before it sends them on.
-FILTER_GROUP, SHINGLE_GROUP, SET_GROUP, GATHER = 2_000_000, 1_000_000, 20_000, 1 << 20
+FILTER_GROUP, SHINGLE_GROUP, SET_GROUP, LEADER_GROUP, GATHER = 1_000_000, 500_000, 20_000, 30_000, 1 << 19
 
 _U = np.uint64
 
@@ -278,9 +280,10 @@ def _leaders(group: pd.DataFrame) -> pd.DataFrame:
     keys, place = np.unique(group["set_key"].to_numpy(), return_index=True)
     n = group["n"].to_numpy()[place]
     bits = np.frombuffer(b"".join(group["bits"].iloc[place]), np.uint8).reshape(len(keys), -1)
-    posting = pd.DataFrame({"hash": group["hash"].to_numpy(), "who": np.searchsorted(keys, group["set_key"].to_numpy())}).drop_duplicates().sort_values(["hash", "who"])
-    who, hashes = posting["who"].to_numpy(), posting["hash"].to_numpy()
-    edges = np.concatenate([[0], np.flatnonzero(hashes[1:] != hashes[:-1]) + 1, [len(who)]])
+    posting = pd.DataFrame({"hash": group["hash"].to_numpy(), "block": group["block"].to_numpy(), "who": np.searchsorted(keys, group["set_key"].to_numpy())})
+    posting = posting.drop_duplicates().sort_values(["hash", "block", "who"])
+    who, names = posting["who"].to_numpy(), posting[["hash", "block"]].to_numpy()
+    edges = np.concatenate([[0], np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1, [len(who)]])
     pairs: set[tuple[int, int]] = set()
     seen: set[bytes] = set()
     for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -320,12 +323,13 @@ def join_tile(arrays: list[np.ndarray], component: np.ndarray, may_meet: Callabl
 
 def _tiles(group: pd.DataFrame) -> pd.DataFrame:
     out = []
-    for (_, top, one, two), tile in group.groupby(["owner", "top", "one", "two"]):
+    for (_, top, kind, one, two), tile in group.groupby(["owner", "top", "kind", "one", "two"]):
         tile = tile.drop_duplicates("set_key")
-        band, block, keys = tile["band"].to_numpy(), tile["block"].to_numpy(), tile["set_key"].to_numpy()
+        band, keys = tile["band"].to_numpy(), tile["set_key"].to_numpy()
+        part = tile["big" if kind else "block"].to_numpy()  # sets of one part don't meet here
 
-        def may_meet(x: int, others: np.ndarray, band=band, block=block, top=top, cross=one != two) -> np.ndarray:
-            return ((band[others] == top) | (band[x] == top)) & ((block[others] != block[x]) | (not cross))
+        def may_meet(x: int, others: np.ndarray, band=band, part=part, top=top, whole=not kind and one == two) -> np.ndarray:
+            return ((band[others] == top) | (band[x] == top)) & (whole | (part[others] != part[x]))
 
         names = tile["component"].factorize()[0]
         found = join_tile([np.frombuffer(h, np.uint64) for h in tile["hashes"]], names, may_meet)
@@ -343,7 +347,7 @@ def _links(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     """Pairs (a, b) of set keys that pass the exact test."""
     part = lambda side, name: arrays.select(F.col("set_key").alias(side), F.col("hashes").alias(name)).dropDuplicates([side])
     both = pairs.distinct().join(part("a", "x"), "a").join(part("b", "y"), "b").select("a", "b", "x", "y")
-    return save(both.mapInArrow(_verified, "a long, b long"))
+    return save(both.mapInArrow(tidy(_verified), "a long, b long"))
 
 
 def components(links_: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -364,23 +368,54 @@ def components(links_: DataFrame, start: DataFrame | None = None) -> DataFrame:
         labels = new.select("node", "component")
 
 
+def _led(rare: DataFrame, arrays: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """Links (a, b) from one round of leaders, among the first sets of the components that hold a shingle."""
+    heads = rare
+    if joined is not None:
+        named = joined.select(F.col("node").alias("set_key"), "component")
+        held = rare.join(named, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
+        heads = held.groupBy("hash", "component").agg(F.min("set_key").alias("set_key")).drop("component")
+    blocks = heads.groupBy("hash").agg(F.count("*").alias("held")).where("held > 1").select("hash", F.ceil(F.col("held") / TILE).alias("blocks"))
+    rows = save(heads.join(blocks, "hash").select("hash", "set_key", F.pmod(F.xxhash64("set_key"), "blocks").cast("int").alias("block")))
+    tile = F.pmod(F.xxhash64("hash", "block"), F.lit(groups_for(rows.count(), LEADER_GROUP))).alias("tile")
+    outline = arrays.select("set_key", "n", "bits").dropDuplicates(["set_key"])
+    postings = rows.join(outline, "set_key").select(tile, "hash", "block", "set_key", "n", "bits")
+    return _links(postings.groupBy("tile").applyInPandas(tidy(_leaders), "a long, b long"), arrays)
+
+
 def _apart(rare: DataFrame, arrays: DataFrame, joined: DataFrame) -> DataFrame:
-    """Links (a, b) that join components, from tiles of the sets whose rare shingles more than one component holds."""
+    """Links (a, b) that join components, from tiles of the sets whose rare shingles more than one component holds.
+
+    Under each owner, sets of its largest component (big) and the others are cut into blocks. Blocks of
+    others meet each other (kind 0) and those of the big (kind 1), so a large group that is one
+    component already goes to one tile each, and is not met with itself.
+    """
     named = joined.select(F.col("node").alias("set_key"), "component")
     held = rare.join(named, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     shared = held.groupBy("hash").agg(F.min("set_key").alias("owner"), F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d")
     members = save(held.join(shared.select("hash", "owner"), "hash").select("owner", "set_key", "component").distinct())
-    sizes = members.groupBy("owner").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    sizes = members.groupBy("owner", "component").agg(F.count("*").alias("held")).groupBy("owner")
+    largest = F.max(F.struct("held", "component"))
+    blocks = lambda n: F.greatest(F.ceil(n / TILE), F.lit(1)).cast("int")
+    sizes = sizes.agg(
+        largest["component"].alias("largest"), blocks(largest["held"]).alias("big_blocks"), blocks(F.sum("held") - largest["held"]).alias("blocks")
+    )
     size_band = F.floor(F.ln("n") / -math.log(BAND) + 1e-9).cast("int").alias("band")
     rows = members.join(sizes, "owner").join(arrays.select("set_key", "n", size_band).dropDuplicates(["set_key"]), "set_key")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("set_key"), "blocks").cast("int"))
-    rows = rows.withColumns({"top": F.explode(F.array(F.col("band"), F.col("band") + 1))})
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
+    rows = rows.withColumn("big", F.col("component") == F.col("largest"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("set_key"), F.when(F.col("big"), F.col("big_blocks")).otherwise(F.col("blocks"))).cast("int"))
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda kind, one, two: F.struct(F.lit(kind).alias("kind"), one.alias("one"), two.alias("two"))
+    own = F.col("block")
+    to_others = F.transform(each("blocks"), lambda j: place(0, F.least(own, j), F.greatest(own, j)))
+    to_big = F.transform(each("big_blocks"), lambda j: place(1, own, j))
+    from_big = F.transform(each("blocks"), lambda i: place(1, i, own))
+    rows = rows.withColumn("to", F.explode(F.when(F.col("big"), from_big).otherwise(F.concat(to_others, to_big))))
+    rows = rows.select("owner", "set_key", "component", "n", "band", "big", "block", "to.*", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("top"))
     groups = groups_for(rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"], SHINGLE_GROUP)
-    rows = rows.withColumn("tile", F.pmod(F.xxhash64("owner", "top", "one", "two"), F.lit(groups)))
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("owner", "top", "kind", "one", "two"), F.lit(groups)))
     full = rows.join(arrays.select("set_key", "hashes").dropDuplicates(["set_key"]), "set_key")
-    return save(full.select("tile", "owner", "top", "one", "two", "set_key", "component", "band", "block", "hashes").groupBy("tile").applyInPandas(_tiles, "a long, b long"))
+    return save(full.drop("n").groupBy("tile").applyInPandas(tidy(_tiles), "a long, b long"))
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -393,36 +428,33 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """
     docs = df.select(df[key].alias("k"), F.coalesce(df[text], F.lit("")).alias("t"), F.xxhash64(F.coalesce(df[text], F.lit(""))).alias("text_key"))
     kind = docs.schema["k"].dataType.simpleString()
-    summary = save(docs.select("k", "t", "text_key").mapInArrow(_summaries, f"k {kind}, text_key long, n long, set_key long"))
+    summary = save(docs.select("k", "t", "text_key").mapInArrow(tidy(_summaries), f"k {kind}, text_key long, n long, set_key long"))
     sets = save(
         summary.where("n > 0").groupBy("set_key").agg(F.max("n").alias("n"), F.min("k").alias("least"), F.min(F.struct("k", "text_key")).alias("one"), F.count("*").alias("docs"))
     )
     sizes = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("sets")).first()
     set_groups = groups_for(sizes["sets"], SET_GROUP)
     # 1: sets that may link at all
-    sent = docs.select("t").mapInArrow(_prefixes(groups := groups_for(sizes["n"] // 2, FILTER_GROUP)), POSTINGS)
-    shared = sent.groupBy("g").applyInPandas(_count_shared(set_groups), BY_SET).groupBy("g").applyInPandas(_add_shared, "set_key long, shared long")
+    sent = docs.select("t").mapInArrow(tidy(_prefixes(groups_for(sizes["n"] // 2, FILTER_GROUP))), POSTINGS)
+    shared = sent.groupBy("g").applyInPandas(tidy(_count_shared(set_groups)), BY_SET).groupBy("g").applyInPandas(tidy(_add_shared), "set_key long, shared long")
     least = f"floor(ceil(n * {NUMERATOR} / {DENOMINATOR}) / 4) + 1"
     alive = save(sets.join(shared, "set_key").where(f"shared >= {least}").select(F.col("one.k").alias("k"), F.col("one.text_key").alias("text_key"), "n"))
     tokens = alive.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     # their shingles as arrays
     names = alive.select(F.xxhash64("k", "text_key").alias("name"))
     named = docs.select("t", F.xxhash64("k", "text_key").alias("name"))
-    arrays = save(join_checked(named, names, "name", "left_semi", "8").select("t").mapInArrow(_arrays, "set_key long, n long, hashes binary, bits binary"))
+    arrays = save(join_checked(named, names, "name", "left_semi", "8").select("t").mapInArrow(tidy(_arrays), "set_key long, n long, hashes binary, bits binary"))
     # 2: rarest shingles
     groups = groups_for(tokens, SHINGLE_GROUP)
-    counted = arrays.select("set_key", "n", "hashes").mapInArrow(_all_shingles(groups), POSTINGS).groupBy("g").applyInPandas(_frequencies(set_groups), BY_SET)
-    rare = save(counted.groupBy("g").applyInPandas(_rare_prefixes, "hash long, set_key long"))
-    # 3: leaders
-    tile = F.pmod(F.xxhash64("hash"), F.lit(groups_for(rare.count(), 50_000))).alias("tile")
-    outline = arrays.select("set_key", "n", "bits").dropDuplicates(["set_key"])
-    postings = rare.join(outline, "set_key").select(tile, "hash", "set_key", "n", "bits")
-    first = _links(postings.groupBy("tile").applyInPandas(_leaders, "a long, b long"), arrays)
-    joined = components(first)
-    # 4: what is still apart
-    second = _apart(rare, arrays, joined)
-    if not second.isEmpty():
-        joined = components(first.unionByName(second))
+    counted = arrays.select("set_key", "n", "hashes").mapInArrow(tidy(_all_shingles(groups)), POSTINGS).groupBy("g").applyInPandas(tidy(_frequencies(groups)), BY_SET)
+    rare = save(counted.groupBy("g").applyInPandas(tidy(_rare_prefixes), "hash long, set_key long"))
+    # 3 and 4: links enough to join what links
+    joined, found = None, None
+    for step in (*[_led] * ROUNDS, _apart):
+        new = step(rare, arrays, joined)
+        if joined is None or not new.isEmpty():
+            found = new if found is None else found.unionByName(new)
+            joined = components(found)
     # components by name, for classes and then for documents
     placed = sets.join(joined.select(F.col("node").alias("set_key"), "component"), "set_key", "left").select("set_key", "least", F.coalesce("component", "set_key").alias("component"))
     heads = placed.groupBy("component").agg(F.min("least").alias("head"))
