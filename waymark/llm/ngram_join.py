@@ -122,7 +122,11 @@ class Postings:
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.keys, self.sizes, self.held, self.count = [], [], [], set(), 0
+        self.hashes: list[np.ndarray] = []
+        self.keys: list[int] = []
+        self.sizes: list[int] = []
+        self.held: set[int] = set()
+        self.count = 0
 
     def add(self, key: int, size: int, hashes: np.ndarray) -> bool:
         """Whether it is time to send."""
@@ -200,7 +204,8 @@ def _count_shared(groups: int):
     def count(group: pd.DataFrame) -> pd.DataFrame:
         _, keys, _, _ = _met(group, np.uint32)
         own, times = np.unique(keys, return_counts=True)
-        return _by_set(groups, own, a=times.astype(np.int64), b=times[:0].astype(np.int64).repeat(len(own)) if not len(own) else np.zeros(len(own), np.int8), sizes=np.zeros(len(own), np.int8))
+        nothing = np.zeros(len(own), np.int8)
+        return _by_set(groups, own, a=times.astype(np.int64), b=nothing, sizes=nothing)
 
     return count
 
