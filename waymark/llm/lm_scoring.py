@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from waymark.llm.common import gram_hashes, groups_for, mixed, save, steps, utf8, word_hashes
+from waymark.llm.common import gram_hashes, groups_for, mixed, save, steps, tidy, utf8, word_hashes
 
 ORDER, MIN_COUNT, BACKOFF = 2, 2, 0.4
 #: Bytes of text of a chunk of documents, and of text for a group of n-grams.
-CHUNK, GRAM_GROUP = 12 << 20, 8 << 20
+CHUNK, GRAM_GROUP = 8 << 20, 4 << 20
 
 _U = np.uint64
 
@@ -140,8 +140,8 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text", orde
     chunks, groups = groups_for(size, CHUNK), groups_for(size, GRAM_GROUP)
     # both uses of the chunks below share this one exchange of the texts
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("k", F.length("text")), F.lit(chunks))).repartition(chunks, "chunk")
-    counted = dealt.groupBy("chunk").applyInArrow(_count(order, groups), "g long, chunk long, base binary, steps binary, times binary")
-    totals = counted.groupBy("g").applyInPandas(_add, "chunk long, g long, totals binary")
+    counted = dealt.groupBy("chunk").applyInArrow(tidy(_count(order, groups)), "g long, chunk long, base binary, steps binary, times binary")
+    totals = counted.groupBy("g").applyInPandas(tidy(_add), "chunk long, g long, totals binary")
     kind = docs.schema["k"].dataType
     score = _score(order, least, backoff, pa.field("k", to_arrow_type(kind)))
     scored = dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(score, f"k {kind.simpleString()}, {SCORED}")
