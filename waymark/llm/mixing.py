@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import whole
+from waymark.llm.common import join_checked, save, whole
 
 #: Share of the input's tokens that the mixture takes.
 SHARE = 0.5
@@ -112,32 +112,37 @@ def mix(
     weights = WEIGHTS if weights is None else weights
     added = ["m_domain", "m_tokens", "m_copies"]
     kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in added]
-    name = lambda c: F.coalesce(F.col(c), F.lit("-"))
-    placed = docs.select(whole(docs), "doc_id", "lang", "source", domain_of(F.col("source")).alias("m_domain"), tokens_of(F.col("text")).alias("m_tokens"))
-    narrow = placed.select(F.col("m_domain").alias("domain"), name("lang").alias("lang"), name("source").alias("source"), "doc_id", F.col("m_tokens").alias("n"))
-    leaves = narrow.groupBy(*LEVELS).agg(F.sum("n").alias("tokens"))
-    grants = leaf_budgets(leaves, share, epochs, weights, default).select(
-        *LEVELS, F.floor(F.col("grant") / F.col("tokens")).cast("long").alias("full_epochs"), (F.col("grant") % F.col("tokens")).alias("rest")
+    leaf = list(LEVELS)
+    places = [F.col("m_domain").alias("domain"), *(F.coalesce(F.col(c), F.lit("-")).alias(c) for c in ("lang", "source"))]
+    counted = docs.select(whole(docs), "doc_id", "lang", "source", domain_of(F.col("source")).alias("m_domain"), tokens_of(F.col("text")).alias("m_tokens"))
+    placed = counted.select("row", "m_domain", "doc_id", "m_tokens", *places)
+    narrow = placed.select(*leaf, "doc_id", F.col("m_tokens").alias("n"))
+    grants = save(
+        leaf_budgets(narrow.groupBy(*leaf).agg(F.sum("n").alias("tokens")), share, epochs, weights, default).select(
+            *leaf, F.floor(F.col("grant") / F.col("tokens")).cast("long").alias("full_epochs"), (F.col("grant") % F.col("tokens")).alias("rest")
+        )
     )
     # where in the order of each leaf the rest ends: bucket first, then document
-    keyed = narrow.join(grants.where("rest > 0"), list(LEVELS)).withColumn("key", _order_key(seed, F.col("full_epochs"), F.col("doc_id")))
+    size = "length(domain) + length(lang) + length(source) + 60"
+    keyed = join_checked(narrow, grants.where("rest > 0"), leaf, "inner", size).withColumn("key", _order_key(seed, F.col("full_epochs"), F.col("doc_id")))
     keyed = keyed.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
-    sums = keyed.groupBy(*LEVELS, "bucket", "rest").agg(F.sum("n").alias("n"))
-    before = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ends = sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where("before < rest and rest <= before + n").select(*LEVELS, "bucket", "before")
-    within = Window.partitionBy(*LEVELS).orderBy("key", "n").rowsBetween(Window.unboundedPreceding, -1)
+    sums = keyed.groupBy(*leaf, "bucket", "rest").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy(*leaf).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    ends = save(sums.where("before < rest and rest <= before + n").select(*leaf, "bucket", "before"))
+    within = Window.partitionBy(*leaf).orderBy("key", "n").rowsBetween(Window.unboundedPreceding, -1)
     cuts = (
-        keyed.join(ends, [*LEVELS, "bucket"])
+        join_checked(keyed, ends, [*leaf, "bucket"], "inner", size)
         .withColumn("so_far", F.col("before") + F.coalesce(F.sum("n").over(within), F.lit(0)))
         .where("so_far < rest")
-        .groupBy(*LEVELS)
+        .groupBy(*leaf)
         .agg(F.max(F.struct("key", "n")).alias("cut"))
     )
-    plan = grants.join(cuts, list(LEVELS), "left").select(*(F.col(c).alias(f"m_{c}_") for c in LEVELS), "full_epochs", "cut")
-    same = (F.col("m_domain") == F.col("m_domain_")) & (name("lang") == F.col("m_lang_")) & (name("source") == F.col("m_source_"))
+    plan = save(grants.join(cuts, leaf, "left").select(*leaf, "full_epochs", "cut"))
     key = F.struct(_order_key(seed, F.col("full_epochs"), F.col("doc_id")).alias("key"), F.col("m_tokens").alias("n"))
     copies = F.col("full_epochs") + F.when(F.col("cut").isNotNull() & (key <= F.col("cut")), 1).otherwise(0)
-    return placed.join(plan, same, "left").select(*kept, "m_domain", "m_tokens", copies.cast("long").alias("m_copies"))
+    met = join_checked(placed, plan, leaf, "left", size)
+    return met.select(*kept, "m_domain", "m_tokens", copies.cast("long").alias("m_copies"))
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
