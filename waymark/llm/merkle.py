@@ -125,7 +125,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", per_blo
     dealt = docs.withColumn("b", block).withColumn("at", F.explode(F.when(is_head, F.array(F.struct(F.col("b").alias("b"), F.lit(0).alias("copy")), F.struct(before.cast("int").alias("b"), F.lit(1).alias("copy")))).otherwise(F.array(F.struct(F.col("b").alias("b"), F.lit(0).alias("copy"))))))
     dealt = dealt.select("k", "t", F.col("at.b").alias("b"), F.col("at.copy").alias("copy"))
     order = [F.col("b"), F.col("copy"), F.col("k").desc_nulls_last(), F.col("t")]
-    dealt = dealt.repartition(max(n, 1), "b").sortWithinPartitions(*order)
+    dealt = dealt.repartitionById(max(n, 1), F.col("b")).sortWithinPartitions(*order)
     return dealt.mapInArrow(tidy(_walk), f"`{key}` {kind}, {SCHEMA}")
 
 
