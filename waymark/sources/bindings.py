@@ -21,19 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def order_candidates(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """query_id, pos, candidate_id, score and l_extendedprice of each line, and columns `more`."""
-    by_order = Window.partitionBy("l_orderkey").orderBy(*LINE)
-    lines = table(spark, sf_dir, "lineitem").withColumn("pos", F.row_number().over(by_order))
-    return lines.select(
-        F.col("l_orderkey").cast("string").alias("query_id"), "pos",
-        F.concat_ws("-", "l_orderkey", "pos").alias("candidate_id"),
+    by_order = Window.partitionBy("query_id").orderBy(*LINE)  # the one shuffle: all that follows keeps this key
+    lines = table(spark, sf_dir, "lineitem").withColumn("query_id", F.col("l_orderkey").cast("string"))
+    return lines.withColumn("pos", F.row_number().over(by_order)).select(
+        "query_id", "pos", F.concat_ws("-", "query_id", "pos").alias("candidate_id"),
         F.expr(LINE_SCORE).alias("score"), "l_extendedprice", *more,
     )
 
 
 def order_gold(candidates: DataFrame) -> DataFrame:
     """query_id and gold: the dearest line, the first of equals."""
-    best = Window.partitionBy("query_id").orderBy(F.desc("l_extendedprice"), "pos")
-    return candidates.withColumn("r", F.row_number().over(best)).where("r = 1").select("query_id", F.col("candidate_id").alias("gold"))
+    best = F.max(F.struct("l_extendedprice", -F.col("pos"), "candidate_id"))
+    return candidates.groupBy("query_id").agg(best["candidate_id"].alias("gold"))
 
 
 def order_queries(spark: SparkSession, sf_dir: str, candidates: DataFrame) -> DataFrame:
