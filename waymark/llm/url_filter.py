@@ -108,7 +108,7 @@ def ratio_model(labelled: DataFrame) -> DataFrame:
     )
     slots = F.col("slot")
     grid = labelled.sparkSession.range(SYMBOLS ** (ORDER + 1)).select(F.col("id").cast("int").alias("slot"))
-    table = grid.join(counts, "slot", "left").na.fill(0)
+    table = grid.join(counts, "slot", "left").na.fill(0).coalesce(1)  # a bounded table: windows without exchanges
     probability = {"g": F.lit(1.0 / SYMBOLS), "b": F.lit(1.0 / SYMBOLS)}
     for k in range(ORDER + 1):  # a context of k signs
         event = (slots % SYMBOLS ** (k + 1)).cast("int")
