@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waymark.llm import mixing, url_filter
+from waymark.llm import mixing, ngram_join, suffix_dedup, url_filter
 
 
 def _weight(level: str, column: str) -> str:
@@ -84,3 +84,35 @@ rated AS (SELECT bin, lag(bin) OVER (ORDER BY bin) AS lower, sum(g) OVER (ORDER
 best AS (SELECT (bin + coalesce(lower + 1, bin)) * {url_filter.BIN / 2} AS least FROM rated WHERE all_g > 0 AND all_b > 0 ORDER BY round(CAST(kept AS DOUBLE) / CAST(all_g AS DOUBLE) + CAST(stopped AS DOUBLE) / CAST(all_b AS DOUBLE), 9) DESC, abs(bin), bin LIMIT 1)
 SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN score >= coalesce((SELECT least FROM best), 0) THEN 'allow' ELSE 'block' END) AS verdict FROM scored
 """
+
+NGRAM_JOIN = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D ]+'), lambda x: x <> '') AS w
+  FROM documents
+),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + {ngram_join.WORDS - 1}], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {ngram_join.WORDS - 1}, least(len(w), 1)) + 1)) AS i FROM d)
+),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE {ngram_join.DENOMINATOR} * c >= {ngram_join.NUMERATOR} * (a.n + b.n - c)),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(least.y, d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least ON least.x = d.doc_id
+"""
+
+LENGTH = suffix_dedup.LENGTH
+SUFFIX_DEDUP = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) AS s FROM (SELECT doc_id, h, unnest(range(0, n - {LENGTH - 1})) AS i FROM d WHERE n >= {LENGTH})),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM w),
+later AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH} THEN 0 ELSE 1 END AS new FROM f WHERE r > 1),
+runs AS (SELECT doc_id, min(i) AS low, max(i) + {LENGTH} AS high FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM later) GROUP BY doc_id, g),
+ends AS (SELECT doc_id, low, high FROM runs UNION ALL SELECT doc_id, n, n FROM d),
+kept AS (SELECT doc_id, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low, high), 0) AS a, low AS b, high - low AS gone FROM ends)
+SELECT d.doc_id, CAST(any_value(n) AS BIGINT) AS n_bytes, CAST(sum(gone) AS BIGINT) AS n_removed, count(*) FILTER (WHERE gone > 0) AS n_spans,
+  sha256(unhex(string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a, b))) AS kept_sha256
+FROM d JOIN kept USING (doc_id) GROUP BY d.doc_id
+"""
