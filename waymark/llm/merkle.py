@@ -2,7 +2,7 @@
 
 Leaves are paragraphs: lines, and pieces of PIECE code points of longer lines. SECTION leaves
 that follow one another form a section, whose digest is over the leaves' digests; the root is
-over the sections' digests and the number of code points. The fingerprint writes the tree down:
+over the text and the sections' digests. The fingerprint writes the tree down:
 root, then each section's digest with its leaves. Equal roots mean equal texts; where roots
 differ, only sections whose digests differ need to be looked into to find the edited paragraphs.
 """
@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,29 +28,29 @@ SHORT, FINE = 256, 16
 BLOCK, BLOCKS = 4000, 4096
 
 
+def digest(text: str, digits: int) -> str:
+    return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()[:digits]
+
+
 def leaves_of(text: str) -> list[str]:
-    """Digests (8 hex digits) of the paragraphs, line ends included."""
-    digest = xxhash.xxh32_hexdigest
+    """Digests (8 hex digits) of the paragraphs; an empty line has that of a line end."""
     if not text:
         return []
     out, piece = [], FINE if len(text) <= SHORT else PIECE
     for line in text.split("\n"):
         for i in range(0, len(line), piece):
-            out.append(digest(line[i : i + piece]))
+            out.append(digest(line[i : i + piece], 8))
         if not line:
-            out.append(digest("\n"))
+            out.append(digest("\n", 8))
     return out
 
 
 def fingerprint(text: str, leaves: list[str]) -> str:
     """root|section:leaf,leaf,...|section:..., digests in hex."""
-    parts = []
-    for i in range(0, len(leaves), SECTION):
-        body = ",".join(leaves[i : i + SECTION])
-        parts.append(f"{xxhash.xxh64_hexdigest(body)}:{body}")
-    root = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8)
-    root.update(("|".join(p[:16] for p in parts)).encode())
-    return "|".join([root.hexdigest(), *parts])
+    bodies = (",".join(leaves[i : i + SECTION]) for i in range(0, len(leaves), SECTION))
+    parts = [f"{digest(body, 16)}:{body}" for body in bodies]
+    root = digest("|".join([text, *(p[:16] for p in parts)]), 16)
+    return "|".join([root, *parts])
 
 
 def sections(tree: str) -> list[tuple[str, list[str]]]:

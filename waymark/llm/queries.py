@@ -87,4 +87,4 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLES = {"op1_lm_scoring": lm_scoring.ORACLE, "op2_url_filter": oracles.URL_FILTER, "op4_mixing": oracles.MIXING, "op6_ngram_join": oracles.NGRAM_JOIN, "op10_suffix_dedup": oracles.SUFFIX_DEDUP}
+ORACLES = {"op1_lm_scoring": lm_scoring.ORACLE, "op2_url_filter": oracles.URL_FILTER, "op4_mixing": oracles.MIXING, "op6_ngram_join": oracles.NGRAM_JOIN, "op7_merkle": oracles.MERKLE, "op10_suffix_dedup": oracles.SUFFIX_DEDUP}
