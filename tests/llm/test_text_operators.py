@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm import edge
-from waymark.llm import bpe, lm_scoring, media, merkle, pii
+from waymark.llm import bpe, lm_scoring, media, merkle, pii, queries
 
 # --- 1: LM scoring
 
@@ -52,6 +52,14 @@ def test_scores_equal_brute_force(spark, order):
     assert sorted((tuple(r) for r in got), key=str) == brute_scores(rows, order, 2, 0.4)
 
 
+def test_the_query_of_order_3_equals_brute_force(spark, tmp_path):
+    rows = [(1, "a b c a b c d"), (2, "a b c"), (3, "b c d a b"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in queries.QUERIES["lm_scoring_order3"](spark, str(tmp_path)).collect()]
+    want = brute_scores(rows, 3, 2, 0.4)
+    assert sorted(r[:3] for r in got) == [r[:3] for r in want] and [r[3] for r in sorted(got)] == pytest.approx([r[3] for r in want], abs=1e-4)
+
+
 def test_scores_of_nothing(spark):
     assert lm_scoring.score_documents(edge.none(spark)).count() == 0
 

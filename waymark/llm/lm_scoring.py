@@ -174,3 +174,34 @@ SELECT d.doc_id, CAST(coalesce(n_tokens, 0) AS BIGINT) AS n_tokens, CAST(coalesc
   round(coalesce(s, 0), 4) AS log_score
 FROM documents d LEFT JOIN scored USING (doc_id)
 """
+
+#: Order 3: a word is scored by the two words before it, else by one, else by none.
+ORACLE_3 = """
+WITH docs AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D ]+'), lambda x: x <> '') AS w
+  FROM documents
+),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM docs),
+tok AS (SELECT doc_id, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM places),
+one AS (SELECT c, count(*) AS n FROM tok GROUP BY c),
+two AS (SELECT b, c, count(*) AS n FROM tok WHERE i > 1 GROUP BY b, c),
+three AS (SELECT a, b, c, count(*) AS n FROM tok WHERE i > 2 GROUP BY a, b, c),
+total AS (SELECT count(*) AS n FROM tok),
+found AS (
+  SELECT tok.doc_id, least(i, 3) AS longest, CASE WHEN three.n >= 2 THEN 3 WHEN two.n >= 2 THEN 2 ELSE 1 END AS used,
+    own.n AS n1, ctx.n AS c1, two.n AS n2, before.n AS c2, three.n AS n3
+  FROM tok JOIN one own ON own.c = tok.c
+  LEFT JOIN one ctx ON ctx.c = tok.b
+  LEFT JOIN two ON two.b = tok.b AND two.c = tok.c
+  LEFT JOIN two before ON before.b = tok.a AND before.c = tok.b
+  LEFT JOIN three ON three.a = tok.a AND three.b = tok.b AND three.c = tok.c
+),
+scored AS (
+  SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (WHERE longest > used) AS n_backed_off,
+    sum((longest - used) * ln(0.4) + CASE used WHEN 3 THEN ln(n3) - ln(c2) WHEN 2 THEN ln(n2) - ln(c1) ELSE ln(n1) - ln((SELECT n FROM total)) END) AS s
+  FROM found GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n_tokens, 0) AS BIGINT) AS n_tokens, CAST(coalesce(n_backed_off, 0) AS BIGINT) AS n_backed_off,
+  round(coalesce(s, 0), 4) AS log_score
+FROM documents d LEFT JOIN scored USING (doc_id)
+"""
