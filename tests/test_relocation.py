@@ -2,13 +2,14 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import features as X
 from waymark.functions.report import format_percent
 from waymark.functions.scoring import softmax
-from waymark.operators import baselines, losses, metrics, rank
+from waymark.operators import baselines, losses, metrics, nearest, rank
 from waymark.sources import schema
 
 Q = "query_id string, ord long, gold string"
@@ -127,3 +128,17 @@ def test_validation_finds_each_violation(spark):
     made = spark.createDataFrame([("q", "b"), ("x", None)], P)
     got = {tuple(r) for r in schema.validate_queries(queries, candidates, made).collect()}
     assert got == {("q", "duplicate_candidate"), ("q", "duplicate_query"), ("r", "gold_not_candidate"), ("q", "selected_not_candidate"), ("x", "unknown_query")}
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_nearest_of_all_other_vectors(spark, block):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)] + [(60, [0.0] * 4), (61, None)]
+    rows[59] = (59, rows[0][1])  # the best of the first comes last
+    df = spark.createDataFrame(rows, "id long, e array<double>").repartition(3)
+    asked = df.where("id % 10 = 0")
+    got = {r["query_id"]: (r["candidate"], r["score"]) for r in nearest.nearest(df, asked, block).collect()}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows[:60]}
+    want = {i: min((-round(float(unit[i] @ unit[k]), 6), k) for k in unit if k != i) for i in range(0, 60, 10)}
+    assert got == {i: (k, -s) for i, (s, k) in want.items()} and got[0] == (59, 1.0)
+    assert nearest.nearest(df, df.where("false")).count() == 0

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from waymark.functions import features as X
 from waymark.functions.report import format_percent
 from waymark.functions.scoring import softmax
-from waymark.operators import baselines, learned, losses, metrics, rank
+from waymark.operators import baselines, learned, losses, metrics, nearest, rank
 from waymark.sources import bindings as B
 from waymark.sources import schema
 
@@ -488,6 +488,24 @@ def embedding_match(spark: SparkSession, d: str) -> DataFrame:
     return rank.top(scored).select("query_id", F.col("pos").alias("candidate"), "score", "same_label")
 
 
+ASKED = 50
+
+
+@query(f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS candidate, a.label = b.label AS same_label, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
+  FROM embeddings a JOIN embeddings b ON b.vec_id <> a.vec_id WHERE a.vec_id % {ASKED} = 0),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate) AS r FROM p WHERE score IS NOT NULL AND NOT isnan(score)) WHERE r = 1)
+SELECT e.vec_id AS query_id, candidate, score, same_label FROM embeddings e LEFT JOIN best ON best.query_id = e.vec_id WHERE e.vec_id % {ASKED} = 0""")
+def embedding_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The best of all other vectors for every vector whose id divides by ASKED."""
+    vectors = B.table(spark, d, "embeddings")
+    asked = vectors.where(F.col("vec_id") % ASKED == 0)
+    pair = [F.col("vec_id").alias("id"), F.col("embedding").alias("e")]
+    best = nearest.nearest(vectors.select(*pair), asked.select(*pair))
+    found = asked.select(F.col("vec_id").alias("query_id"), F.col("label").alias("la")).join(best, "query_id", "left")
+    labels = vectors.select(F.col("vec_id").alias("candidate"), "label")
+    return found.join(labels, "candidate", "left").select("query_id", "candidate", "score", (F.col("la") == F.col("label")).alias("same_label"))
+
+
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     candidates = _orders(spark, d, "l_quantity", "l_discount", "l_tax")[0]
     gold = B.order_gold(candidates).withColumnRenamed("gold", "candidate_id").withColumn("label", F.lit(1.0))
