@@ -200,6 +200,23 @@ def test_differing_branches_locate_an_edit():
     assert merkle.differing(trees[0], trees[0]) == []
 
 
+def test_leaves_by_content_have_one_rule_for_all_lengths(spark):
+    words = "the cat sat on a mat and one more line of plain words came by then " * 5
+    long, short = words[:260], words[:250]
+    assert merkle.likeness(merkle.content_leaves(long), merkle.content_leaves(short), False) > 0.8
+    rows = spark.createDataFrame([(2, long), (1, "short")], "doc_id long, text string")
+    assert 0.3 < merkle.fingerprints(rows, cut=merkle.content_leaves).where("doc_id = 2").first()["near_edited"] < 0.7
+
+
+@pytest.mark.parametrize("n", [40, 400])
+def test_an_insertion_changes_only_the_leaves_it_touches(n):
+    rng = random.Random(n)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(n)]
+    changed = [w + "x" if i == 10 else w for i, w in enumerate(words)]
+    a, b = (Counter(merkle.content_leaves(" ".join(w))) for w in (words, changed))
+    assert 1 <= (a - b).total() <= 3 and 1 <= (b - a).total() <= 3
+
+
 # --- 8: BPE
 
 PATH = public_tokenizers.path("word_bpe_49k.json")

@@ -10,8 +10,10 @@ differ, only sections whose digests differ need to be looked into to find the ed
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ from waymark.llm.common import tidy
 PIECE, SECTION = 64, 16
 #: Texts of at most SHORT code points have pieces of FINE, so that half of one is still told.
 SHORT, FINE = 256, 16
+#: Leaves by content end with a word end after one of some last signs; the same for every length of text.
+WORD_END = r"([adeny0-4.,;:!?\x{80}-\x{10FFFF}][\x00-\x09\x0B-/:-@\[-`{-~\x{3000}-\x{3002}\x{FF01}-\x{FF1F}])"
 #: Documents of one block of the id order, about, as long as that makes BLOCKS or fewer; then blocks
 #: grow. A task streams its blocks and holds two documents of them, so long blocks are no matter of memory.
 BLOCK, BLOCKS = 4000, 4096
@@ -45,6 +49,27 @@ def leaves_of(text: str) -> list[str]:
     return out
 
 
+_word_end = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda x: rf"\U{int(x[1], 16):08x}", WORD_END))
+
+
+def content_leaves(text: str) -> list[str]:
+    """As leaves_of, but lines are cut at word ends that their signs choose; runs without one, at PIECE code points.
+
+    So an insertion changes the leaf it falls into, and no leaf after that run.
+    """
+    if not text:
+        return []
+    out = []
+    for line in text.split("\n"):
+        if not line:
+            out.append(digest("\n", 8))
+            continue
+        for run in _word_end.sub("\\1\n", line).split("\n"):
+            for i in range(0, len(run), PIECE):
+                out.append(digest(run[i : i + PIECE], 8))
+    return out
+
+
 def fingerprint(text: str, leaves: list[str]) -> str:
     """root|section:leaf,leaf,...|section:..., digests in hex."""
     bodies = (",".join(leaves[i : i + SECTION]) for i in range(0, len(leaves), SECTION))
@@ -100,13 +125,13 @@ def _blocks(df: DataFrame, key: str, per_block: int) -> list[int]:
 SCHEMA = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", per_block: int = BLOCK) -> DataFrame:
+def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", per_block: int = BLOCK, cut: Callable[[str], list[str]] = leaves_of) -> DataFrame:
     """Per document: n_chars, its fingerprint, that of its edited text, and likeness to both that and the next document.
 
     The next document is the next smaller key, after the smallest the largest; equal keys follow
     each other by text, null keys come after all others. Null text counts as empty. A lone
     document is its own next. Only key and text are read, so other columns cannot clash; an
-    empty table gives no rows.
+    empty table gives no rows. `cut` makes the leaves of a text.
 
     One shuffle deals blocks of the order to tasks; the document that opens a block also goes to
     the end of the block before it, so no task needs another's rows.
@@ -125,7 +150,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", per_blo
     dealt = dealt.select("k", "t", F.col("at.b").alias("b"), F.col("at.copy").alias("copy"))
     order = [F.col("b"), F.col("copy"), F.col("k").desc_nulls_last(), F.col("t")]
     dealt = dealt.repartitionById(max(n, 1), F.col("b")).sortWithinPartitions(*order)
-    return dealt.mapInArrow(tidy(_walk), f"`{key}` {kind}, {SCHEMA}")
+    return dealt.mapInArrow(tidy(partial(_walk, cut=cut)), f"`{key}` {kind}, {SCHEMA}")
 
 
 def _position(k: Column, heads: list[int], kind: str) -> Column:
@@ -142,7 +167,7 @@ def _position(k: Column, heads: list[int], kind: str) -> Column:
     return part(0, len(heads))
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _walk(batches: Iterator[pa.RecordBatch], cut: Callable[[str], list[str]]) -> Iterator[pa.RecordBatch]:
     """Rows of a block in order, each with the row after it; copies of the next block's head only follow."""
     held: tuple | None = None  # key, text, leaves, tree, block of the row whose next isn't known
     out: list[tuple] = []
@@ -152,10 +177,10 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if copies[i] and held is None:
                 continue
             text = texts[i].as_py()
-            leaves = leaves_of(text)
+            leaves = cut(text)
             now = (keys[i].as_py(), text, leaves, fingerprint(text, leaves), blocks[i])
             if held is not None:
-                out.append(_pair(held, now))
+                out.append(_pair(held, now, cut))
             held = None if copies[i] else now
         if len(out) >= 500:
             yield _batch(out, batch.schema.field(0).type)
@@ -166,10 +191,10 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(out, kind)
 
 
-def _pair(row: tuple, following: tuple) -> tuple:
+def _pair(row: tuple, following: tuple, cut: Callable[[str], list[str]]) -> tuple:
     key, text, leaves, tree, _ = row
     new = edited(text, following[1])
-    new_leaves = leaves_of(new)
+    new_leaves = cut(new)
     new_tree = fingerprint(new, new_leaves)
     digest = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
     return (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from waymark.llm import merkle, mixing, ngram_join, suffix_dedup, url_filter
 
 
@@ -124,6 +126,13 @@ def _leaves(text: str) -> str:
     return f"CASE WHEN {text} = '' THEN [] ELSE flatten(list_transform(string_split({text}, chr(10)), lambda line: CASE WHEN line = '' THEN [substr(md5(chr(10)), 1, 8)] ELSE {pieces} END)) END"
 
 
+def _content_leaves(text: str) -> str:
+    n = merkle.PIECE
+    pieces = f"list_transform(range(0, CAST(ceil(length(run) / {n}.0) AS BIGINT)), lambda j: substr(md5(substr(run, j * {n} + 1, {n})), 1, 8))"
+    runs = f"string_split(regexp_replace(line, '{merkle.WORD_END}', '\\1' || chr(10), 'g'), chr(10))"
+    return f"CASE WHEN {text} = '' THEN [] ELSE flatten(list_transform(string_split({text}, chr(10)), lambda line: CASE WHEN line = '' THEN [substr(md5(chr(10)), 1, 8)] ELSE flatten(list_transform({runs}, lambda run: {pieces})) END)) END"
+
+
 def _tree(text: str, leaves: str) -> str:
     n = merkle.SECTION
     bodies = f"list_transform(range(0, CAST(ceil(len({leaves}) / {n}.0) AS BIGINT)), lambda k: array_to_string({leaves}[k * {n} + 1:k * {n} + {n}], ','))"
@@ -141,13 +150,17 @@ def _near(tree: str, leaves: str, both: str) -> str:
     return f"CASE WHEN substr(t, 1, 16) = substr({tree}, 1, 16) THEN 1.0::DOUBLE WHEN len(l) = 0 OR len({leaves}) = 0 THEN 0.0::DOUBLE ELSE CAST(2 * coalesce({both}, 0) AS DOUBLE) / CAST(len(l) + len({leaves}) AS DOUBLE) END"
 
 
-MERKLE = f"""
+def _merkle(leaves: Callable[[str], str]) -> str:
+    return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS x, lead(doc_id) OVER (ORDER BY doc_id DESC) AS next_id FROM documents),
 e AS (SELECT d.*, f.x AS y, substr(d.x, 1, length(d.x) - length(d.x) // 2) || substr(f.x, 1, length(d.x) // 2) AS z FROM d JOIN d f ON f.doc_id = coalesce(d.next_id, (SELECT max(doc_id) FROM d))),
-le AS (SELECT *, {_leaves("x")} AS l, {_leaves("y")} AS m, {_leaves("z")} AS o FROM e),
+le AS (SELECT *, {leaves("x")} AS l, {leaves("y")} AS m, {leaves("z")} AS o FROM e),
 trees AS (SELECT *, {_tree("x", "l")} AS t, {_tree("y", "m")} AS u, {_tree("z", "o")} AS v FROM le),
 p AS ({_likeness("o")}), q AS ({_likeness("m")})
 SELECT trees.doc_id, CAST(length(x) AS BIGINT) AS n_chars, sha256(z) AS edited_sha256, t AS fingerprint, v AS edited_fingerprint,
   {_near("v", "o", "p.both")} AS near_edited, {_near("u", "m", "q.both")} AS near_next
 FROM trees LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)
 """
+
+
+MERKLE, MERKLE_CONTENT = _merkle(_leaves), _merkle(_content_leaves)

@@ -60,6 +60,11 @@ def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def merkle_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves cut by content; op7_merkle has pieces at fixed places, as its SQL says."""
+    return merkle.fingerprints(_table(spark, sf_dir, "documents"), cut=merkle.content_leaves)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ["doc_id"])
     return coded.select(
@@ -92,6 +97,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
     "lm_scoring_order3": lm_scoring_order3,
+    "merkle_content": merkle_content,
 }
 
-ORACLES = {"op1_lm_scoring": lm_scoring.ORACLE, "lm_scoring_order3": lm_scoring.ORACLE_3, "op2_url_filter": oracles.URL_FILTER, "op4_mixing": oracles.MIXING, "op6_ngram_join": oracles.NGRAM_JOIN, "op7_merkle": oracles.MERKLE, "op10_suffix_dedup": oracles.SUFFIX_DEDUP}
+ORACLES = {"op1_lm_scoring": lm_scoring.ORACLE, "lm_scoring_order3": lm_scoring.ORACLE_3, "op2_url_filter": oracles.URL_FILTER, "op4_mixing": oracles.MIXING, "op6_ngram_join": oracles.NGRAM_JOIN, "op7_merkle": oracles.MERKLE, "merkle_content": oracles.MERKLE_CONTENT, "op10_suffix_dedup": oracles.SUFFIX_DEDUP}
