@@ -247,3 +247,11 @@ def test_trie_walk_equals_merging(monkeypatch):
     texts = ["one two three four five six", "seven one eight"]
     assert [a for a, _ in fresh.encode(texts)] == [a for a, _ in own.encode(texts)]
     assert own.decode(np.frombuffer(own.encode(texts)[0][0], "<u4").tolist()) == own.encode(texts)[0][1]
+
+
+@pytest.mark.parametrize("control", ["\x1c", "\x1d", "\x1e", "\x1f"])
+def test_separators_are_tokens_as_in_the_library(control):
+    library = Tokenizer.from_file(PATH)
+    for text in (f"ab{control}cd", f"{control}Ab {control} cd\n{control}"):
+        ids, _ = bpe.encoder(PATH).encode([text])[0]
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids

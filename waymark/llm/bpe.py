@@ -60,7 +60,8 @@ class Encoder:
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.rare = re.compile("[^\x00-\u024f\u2010-\u2027\u20ac]")
+        # U+001C to U+001F are white space to Python only
+        self.rare = re.compile("[^\x00-\x1b\x20-\u024f\u2010-\u2027\u20ac]")
         self.library = Tokenizer.from_str(json.dumps({**spec, "model": {**model, "vocab": {}, "merges": []}, "added_tokens": []}))
         self.signs = byte_signs()
         self.byte = {s: b for b, s in enumerate(self.signs)}
