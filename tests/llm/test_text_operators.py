@@ -168,53 +168,100 @@ def test_media_columns_of_odd_documents(spark):
 # --- 7: Merkle trees
 
 
-@pytest.mark.parametrize("per_block", [4000, 7])
-def test_fingerprints_equal_brute_force(spark, per_block):
+def brute_pieces(text):
+    """The rule sign by sign, without a pattern."""
+    parts = lambda c: c != "\n" and (c < "\x0a" or "\x0b" <= c <= "/" or ":" <= c <= "@" or "[" <= c <= "`" or "{" <= c <= "\x7f" or "\u3000" <= c <= "\u3002" or "\uff01" <= c <= "\uff1f")
+    out, start = [], 0
+    for i, c in enumerate(text):
+        if i < start:
+            continue
+        n = i - start + 1
+        ends = c == "\n" or (n >= 2 and (text[i - 1] in "y0.,;:!?" or text[i - 1] >= "\x80") and parts(c))
+        if (ends and n - (1 if c == "\n" else 2) <= 62) or n == 64:
+            out.append(text[start : i + 1])
+            start = i + 1
+    return [*out, text[start:]] if start < len(text) else out
+
+
+def brute_tree(text):
+    leaves = [hashlib.md5(p.encode()).hexdigest() for p in brute_pieces(text)]
+    parts, own = [], []
+    for i, leaf in enumerate(leaves):
+        own.append(leaf)
+        if leaf.startswith("0") or i == len(leaves) - 1:
+            body = ",".join(own)
+            parts.append((hashlib.md5(body.encode()).hexdigest(), body))
+            own = []
+    return "|".join([hashlib.md5(",".join(n for n, _ in parts).encode()).hexdigest(), *(f"{n}:{b}" for n, b in parts)]), Counter(leaves)
+
+
+def brute_near(a, b):
+    (s, x), (t, y) = brute_tree(a), brute_tree(b)
+    return 1.0 if s == t else 2 * (x & y).total() / (x.total() + y.total()) if x and y else 0.0
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 25, 500])
+def test_fingerprints_equal_brute_force(spark, block_bytes):
     docs = edge.documents(spark, clashing=True)
-    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
-    got = merkle.fingerprints(docs, per_block=per_block).collect()
+    hashed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).collect()
+    rows = [(k, t) for k, t, _ in sorted(hashed, key=lambda r: (r[0] is None, -(r[0] or 0), -r[2]))]
     want = []
     for i, (key, text) in enumerate(rows):
         following = rows[(i + 1) % len(rows)][1]
-        new = merkle.edited(text, following)
-        tree = lambda t: merkle.fingerprint(t, merkle.leaves_of(t))
-        want.append((key, len(text), hashlib.sha256(new.encode()).hexdigest(), tree(text), tree(new)))
-        assert len(new) == len(text) - len(text) // 2 + min(len(text) // 2, len(following))
-    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str)
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+        half = len(text) // 2
+        new = text[: len(text) - half] + following[:half]
+        want.append((key, len(text), hashlib.sha256(new.encode()).hexdigest(), brute_tree(text)[0], brute_tree(new)[0], brute_near(text, new), brute_near(text, following)))
+    got = merkle.fingerprints(docs, block_bytes=block_bytes).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
+    assert all(merkle.consistent(r["fingerprint"]) for r in got)
     assert merkle.fingerprints(edge.none(spark)).count() == 0
 
 
-def test_a_lone_document_is_its_own_next(spark):
+def test_pieces_are_the_text_whatever_it_holds():
+    rng = random.Random(3)
+    signs = ["a", "y", "0", ".", ",", " ", "\n", "é", "。", "中", "🙂", "-", "x" * 30, "\r", "\x85", "\u2028"]
+    for _ in range(2000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(0, 60)))
+        assert "".join(merkle.pieces_of(text)) == text and merkle.pieces_of(text) == brute_pieces(text)
+    assert merkle.fingerprint(merkle.leaves_of("key a")) != merkle.fingerprint(merkle.leaves_of("key\na"))
+
+
+def test_string_keys_and_a_lone_document(spark):
     r = merkle.fingerprints(spark.createDataFrame([(5, "a b c")], "doc_id long, text string")).first()
     assert r["near_next"] == 1 and merkle.fingerprints(spark.createDataFrame([(None, "x")], "doc_id long, text string")).count() == 1
+    got = merkle.fingerprints(spark.createDataFrame([("b", "abcd"), ("a", "xy"), ("c", "q")], "doc_id string, text string"), block_bytes=1)
+    edited = {r["doc_id"]: r["edited_sha256"] for r in got.collect()}
+    assert edited == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in (("b", "abxy"), ("a", "xq"), ("c", "q"))}
 
 
-def test_differing_branches_locate_an_edit():
-    lines = [f"paragraph {i} of a text with some words" for i in range(100)]
-    trees = []
-    for changed in (None, 42):
-        text = "\n".join("changed" if i == changed else x for i, x in enumerate(lines))
-        trees.append(merkle.fingerprint(text, merkle.leaves_of(text)))
-    assert merkle.differing(trees[1], trees[0]) == [(42 // merkle.SECTION, 42 % merkle.SECTION)]
-    assert merkle.differing(trees[0], trees[0]) == []
+@pytest.mark.parametrize("lines", [30, 200])
+def test_differing_branches_locate_edits(lines):
+    rng = random.Random(lines)
+    text = ["".join(rng.choice("abcdefghi ") for _ in range(40)) for _ in range(lines)]
+    tree = lambda x: merkle.fingerprint(merkle.leaves_of("\n".join(x)))
+    whole, front = tree(text), tree(["one more line put in front", *text])
+    assert merkle.differing(front, whole) == [(0, 0)] and merkle.differing(whole, front) == [] == merkle.differing(whole, whole)
+    changed = tree([*text[:12], text[12] + " and more", *text[13:]])
+    place = len(merkle.leaves_of("\n".join(text[:12]) + "\n"))
+    flat = [(s, p) for s, (_, leaves) in enumerate(merkle.sections(changed)) for p in range(len(leaves))]
+    assert merkle.differing(changed, whole) == [flat[place]]
 
 
-def test_leaves_by_content_have_one_rule_for_all_lengths(spark):
-    words = "the cat sat on a mat and one more line of plain words came by then " * 5
-    long, short = words[:260], words[:250]
-    assert merkle.likeness(merkle.content_leaves(long), merkle.content_leaves(short), False) > 0.8
-    rows = spark.createDataFrame([(2, long), (1, "short")], "doc_id long, text string")
-    assert 0.3 < merkle.fingerprints(rows, cut=merkle.content_leaves).where("doc_id = 2").first()["near_edited"] < 0.7
+def test_one_rule_for_all_lengths(spark):
+    words = "the cat sat on my mat, and one more line of plain words came by then. " * 5
+    for a, b in ((words[:256], words[:257]), (words[:260], words[:250])):
+        assert merkle.likeness(merkle.leaves_of(a), merkle.leaves_of(b), False) > 0.8
+    rows = spark.createDataFrame([(2, words[:300]), (1, "short text of fifty signs, or somewhat near to that")], "doc_id long, text string")
+    assert 0.4 < merkle.fingerprints(rows).where("doc_id = 2").first()["near_edited"] < 0.8
 
 
 @pytest.mark.parametrize("n", [40, 400])
 def test_an_insertion_changes_only_the_leaves_it_touches(n):
     rng = random.Random(n)
-    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(n)]
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) + rng.choice(["", "", ",", "."]) for _ in range(n)]
     changed = [w + "x" if i == 10 else w for i, w in enumerate(words)]
-    a, b = (Counter(merkle.content_leaves(" ".join(w))) for w in (words, changed))
-    assert 1 <= (a - b).total() <= 3 and 1 <= (b - a).total() <= 3
+    a, b = (Counter(merkle.leaves_of(" ".join(w))) for w in (words, changed))
+    assert 1 <= (a - b).total() <= 2 and 1 <= (b - a).total() <= 2
 
 
 # --- 8: BPE

@@ -1,85 +1,88 @@
 """Operator 7, document fingerprints: a Merkle tree over paragraphs and sections.
 
-Leaves are paragraphs: lines, and pieces of PIECE code points of longer lines. SECTION leaves
-that follow one another form a section, whose digest is over the leaves' digests; the root is
-over the text and the sections' digests. The fingerprint writes the tree down:
-root, then each section's digest with its leaves. Equal roots mean equal texts; where roots
-differ, only sections whose digests differ need to be looked into to find the edited paragraphs.
+Paragraphs (leaves) are pieces that end with a line end or with a word end after one of some last
+signs, or else after PIECE code points; line ends belong to their piece, so the pieces together
+are the text. A section ends with a leaf whose digest begins with SECTION_END, or with the text.
+Both cuts are made by content alone, at every length of text: an insertion changes the leaf it
+falls into, and no leaf after the next cut.
+
+Every digest is MD5 (128 bits): a leaf's over its piece, a section's over its leaves' digests, the
+root's over the sections' digests. The fingerprint writes the tree down, root, then each section's
+digest with its leaves, so every node can be computed again from its children. Equal roots mean
+equal texts; where roots differ, differing() opens only the branches that have no equal on the
+other side.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Callable, Iterator
-from functools import partial
+from collections.abc import Iterator
+from difflib import SequenceMatcher
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import tidy
 
-PIECE, SECTION = 64, 16
-#: Texts of at most SHORT code points have pieces of FINE, so that half of one is still told.
-SHORT, FINE = 256, 16
-#: Leaves by content end with a word end after one of some last signs; the same for every length of text.
-WORD_END = r"([adeny0-4.,;:!?\x{80}-\x{10FFFF}][\x00-\x09\x0B-/:-@\[-`{-~\x{3000}-\x{3002}\x{FF01}-\x{FF1F}])"
-#: Documents of one block of the id order, about, as long as that makes BLOCKS or fewer; then blocks
-#: grow. A task streams its blocks and holds two documents of them, so long blocks are no matter of memory.
-BLOCK, BLOCKS = 4000, 4096
+PIECE = 64
+#: A piece: up to a last sign of a word and what parts it from the next, or a line end, else PIECE code points. Any regex engine of first matches reads it alike.
+PIECES = (
+    r"(?s:.{0,62}?(?:[y0.,;:!?\x{80}-\x{10FFFF}][\x{00}-\x{09}\x{0B}-/:-@\[-`{-~\x{3000}-\x{3002}\x{FF01}-\x{FF1F}]|\n)|.{1,64})"
+)
+SECTION_END = "0"
+#: Bytes of text of a block of the order of ids, about.
+BLOCK_BYTES = 32 << 20
 
+_pieces = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda x: rf"\U{int(x[1], 16):08x}", PIECES))
 
-def digest(text: str, digits: int) -> str:
-    return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()[:digits]
 
-
-def leaves_of(text: str) -> list[str]:
-    """Digests (8 hex digits) of the paragraphs; an empty line has that of a line end."""
-    if not text:
-        return []
-    out, piece = [], FINE if len(text) <= SHORT else PIECE
-    for line in text.split("\n"):
-        for i in range(0, len(line), piece):
-            out.append(digest(line[i : i + piece], 8))
-        if not line:
-            out.append(digest("\n", 8))
-    return out
+def digest(text: str) -> str:
+    return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-_word_end = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda x: rf"\U{int(x[1], 16):08x}", WORD_END))
+def pieces_of(text: str) -> list[str]:
+    """The paragraphs of a text; joined they are the text."""
+    return _pieces.findall(text)
 
 
-def content_leaves(text: str) -> list[str]:
-    """As leaves_of, but lines are cut at word ends that their signs choose; runs without one, at PIECE code points.
-
-    So an insertion changes the leaf it falls into, and no leaf after that run.
-    """
-    if not text:
-        return []
+def leaves_of(text: str, known: dict[str, str] | None = None) -> list[str]:
+    """Digests of the paragraphs; `known` has digests of pieces seen before and takes new ones."""
+    known = {} if known is None else known
     out = []
-    for line in text.split("\n"):
-        if not line:
-            out.append(digest("\n", 8))
-            continue
-        for run in _word_end.sub("\\1\n", line).split("\n"):
-            for i in range(0, len(run), PIECE):
-                out.append(digest(run[i : i + PIECE], 8))
+    for piece in pieces_of(text):
+        leaf = known.get(piece)
+        if leaf is None:
+            leaf = known[piece] = digest(piece)
+        out.append(leaf)
     return out
 
 
-def fingerprint(text: str, leaves: list[str]) -> str:
+def fingerprint(leaves: list[str]) -> str:
     """root|section:leaf,leaf,...|section:..., digests in hex."""
-    bodies = (",".join(leaves[i : i + SECTION]) for i in range(0, len(leaves), SECTION))
-    parts = [f"{digest(body, 16)}:{body}" for body in bodies]
-    root = digest("|".join([text, *(p[:16] for p in parts)]), 16)
-    return "|".join([root, *parts])
+    if not leaves:
+        return digest("")
+    bodies = "".join([leaf + ("|" if leaf[0] == SECTION_END else ",") for leaf in leaves])[:-1].split("|")
+    names = [digest(body) for body in bodies]
+    return "|".join([digest(",".join(names)), *(f"{n}:{b}" for n, b in zip(names, bodies, strict=True))])
+
+
+def root(tree: str) -> str:
+    return tree[:32]
 
 
 def sections(tree: str) -> list[tuple[str, list[str]]]:
-    return [(p[:16], p[17:].split(",")) for p in tree.split("|")[1:]]
+    return [(p[:32], p[33:].split(",")) for p in tree.split("|")[1:]]
+
+
+def consistent(tree: str) -> bool:
+    """Whether every inner node is the digest of its children."""
+    found = sections(tree)
+    names = [n for n, _ in found]
+    return root(tree) == digest(",".join(names)) and all(n == digest(",".join(leaves)) for n, leaves in found)
 
 
 def likeness(a: list[str], b: list[str], same_root: bool) -> float:
@@ -91,16 +94,33 @@ def likeness(a: list[str], b: list[str], same_root: bool) -> float:
     return 2 * (Counter(a) & Counter(b)).total() / (len(a) + len(b))
 
 
+def _unlike(a: list[str], b: list[str]) -> list[tuple[int, int, int, int]]:
+    """Runs a[i:j] that b has as b[k:l] otherwise, after equal ends are taken off and the rest is aligned."""
+    low, n, m = 0, len(a), len(b)
+    while low < min(n, m) and a[low] == b[low]:
+        low += 1
+    while min(n, m) > low and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    found = SequenceMatcher(None, a[low:n], b[low:m], autojunk=False).get_opcodes()
+    return [(i + low, j + low, k + low, end + low) for tag, i, j, k, end in found if tag != "equal"]
+
+
 def differing(a: str, b: str) -> list[tuple[int, int]]:
-    """(section, leaf) of the leaves of `a` that differ from `b`; opens only branches whose digests differ."""
-    if a.split("|", 1)[0] == b.split("|", 1)[0]:
+    """(section, leaf) of the leaves of tree `a` that tree `b` lacks at that place of the aligned order.
+
+    Sections are aligned by their digests first; only those without an equal are opened, and their
+    leaves aligned. What `b` only has besides shows in differing(b, a).
+    """
+    if root(a) == root(b):
         return []
-    found, other = [], sections(b)
-    for i, (digest, leaves) in enumerate(sections(a)):
-        beside = other[i] if i < len(other) else ("", [])
-        if digest != beside[0]:
-            found += [(i, k) for k, leaf in enumerate(leaves) if k >= len(beside[1]) or leaf != beside[1][k]]
-    return found
+    ours, theirs = sections(a), sections(b)
+    out = []
+    for i, j, k, end in _unlike([n for n, _ in ours], [n for n, _ in theirs]):
+        places = [(s, p) for s in range(i, j) for p in range(len(ours[s][1]))]
+        leaves = [ours[s][1][p] for s, p in places]
+        for x, y, _, _ in _unlike(leaves, [leaf for _, own in theirs[k:end] for leaf in own]):
+            out += places[x:y]
+    return out
 
 
 def edited(text: str, following: str) -> str:
@@ -109,98 +129,98 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _blocks(df: DataFrame, key: str, per_block: int) -> list[int]:
-    """Ids that open the blocks of the descending order: the upper ends of id ranges, as a range partitioner's bounds.
-
-    One number for each of at most BLOCKS blocks comes to the driver.
-    """
-    spread = df.agg(F.count(key).alias("n"), F.max(key).alias("top")).first()
-    n = min(-(-spread["n"] // per_block), BLOCKS)
-    if n <= 1:
-        return [spread["top"]] if spread["n"] else []
-    found = df.select(F.percentile_approx(key, [i / n for i in range(1, n + 1)], max(10_000, 20 * n)).alias("p")).first()["p"]
-    return sorted({*found, spread["top"]}, reverse=True)
-
-
 SCHEMA = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", per_block: int = BLOCK, cut: Callable[[str], list[str]] = leaves_of) -> DataFrame:
+def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: n_chars, its fingerprint, that of its edited text, and likeness to both that and the next document.
 
     The next document is the next smaller key, after the smallest the largest; equal keys follow
-    each other by text, null keys come after all others. Null text counts as empty. A lone
-    document is its own next. Only key and text are read, so other columns cannot clash; an
-    empty table gives no rows. `cut` makes the leaves of a text.
-
-    One shuffle deals blocks of the order to tasks; the document that opens a block also goes to
-    the end of the block before it, so no task needs another's rows.
+    each other by a hash of the text, null keys come after all others. Rows that agree in key and
+    text follow one another. Null text counts as empty: no leaves, and likeness 1 to another empty
+    text. A lone document is its own next. Only key and text are read, so other columns cannot
+    clash; an empty table gives no rows. A task holds two texts at a time, however long.
+
+    The order is cut into blocks of about `block_bytes` at rows that a hash chooses (heads) and the
+    highest; only the heads' keys come to the driver, one for each block, as a range partitioner's
+    bounds do. One shuffle deals the blocks to tasks; a head also goes to the end of the block
+    before it (the highest to the end of the last), so no task needs another's rows.
     """
     kind = df.schema[key].dataType.simpleString()
-    docs = df.select(df[key].alias("k"), F.coalesce(df[text], F.lit("")).alias("t"))
-    heads = _blocks(docs, "k", per_block)
-    n = len(heads)
-    # block i holds heads[i] >= k > heads[i + 1]; nulls are in the last block
-    ascending = F.array(*(F.lit(h).cast(kind) for h in reversed(heads))) if heads else None
-    block = _position(F.col("k"), heads, kind)
-    last = max(n - 1, 0)
-    is_head = F.coalesce(F.array_contains(ascending, F.col("k")), F.lit(False)) if heads else F.lit(True)
-    before = F.when(F.col("b") == 0, last).otherwise(F.col("b") - 1)
-    dealt = docs.withColumn("b", block).withColumn("at", F.explode(F.when(is_head, F.array(F.struct(F.col("b").alias("b"), F.lit(0).alias("copy")), F.struct(before.cast("int").alias("b"), F.lit(1).alias("copy")))).otherwise(F.array(F.struct(F.col("b").alias("b"), F.lit(0).alias("copy"))))))
-    dealt = dealt.select("k", "t", F.col("at.b").alias("b"), F.col("at.copy").alias("copy"))
-    order = [F.col("b"), F.col("copy"), F.col("k").desc_nulls_last(), F.col("t")]
-    dealt = dealt.repartitionById(max(n, 1), F.col("b")).sortWithinPartitions(*order)
-    return dealt.mapInArrow(tidy(partial(_walk, cut=cut)), f"`{key}` {kind}, {SCHEMA}")
-
-
-def _position(k: Column, heads: list[int], kind: str) -> Column:
-    """Index of the last head that is >= k, by halving; the depth is the logarithm of the number of blocks."""
-    if not heads:
-        return F.lit(0)
-
-    def part(low: int, high: int) -> Column:
-        if high - low == 1:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(k > F.lit(heads[middle]).cast(kind), part(low, middle)).otherwise(part(middle, high))
-
-    return part(0, len(heads))
-
-
-def _walk(batches: Iterator[pa.RecordBatch], cut: Callable[[str], list[str]]) -> Iterator[pa.RecordBatch]:
-    """Rows of a block in order, each with the row after it; copies of the next block's head only follow."""
-    held: tuple | None = None  # key, text, leaves, tree, block of the row whose next isn't known
+    docs = df.select(df[key].alias("k"), F.coalesce(df[text], F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    place = F.struct(F.col("k").isNotNull().alias("there"), "k", "h")
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("t").cast("long")).alias("b"), F.max(place).alias("top")).first()
+    spacing = max(1, size["n"] * block_bytes // max(size["b"] or 0, 1))
+    chosen = docs.where(F.pmod(F.xxhash64(F.lit("head"), "k", "h"), F.lit(spacing)) == 0).select("k", "h").distinct().collect()
+    heads = sorted({_place(r["k"], r["h"]) for r in [*chosen, *([size["top"]] if size["n"] else [])]})
+    dealt = docs.mapInArrow(tidy(_deal(heads)), f"k {kind}, t string, b int, copy int, h long")
+    order = [F.col("b"), F.col("copy"), F.col("k").desc_nulls_last(), F.desc("h")]
+    dealt = dealt.repartitionById(max(len(heads), 1), F.col("b")).sortWithinPartitions(*order).drop("h")
+    return dealt.mapInArrow(tidy(_walk), f"`{key}` {kind}, {SCHEMA}")
+
+
+def _place(k, h: int) -> tuple:
+    """Where a row comes in the rising order: null keys first."""
+    return (k is not None, k if k is not None else 0, h)
+
+
+def _deal(heads: list[tuple]):
+    """Adds the block: that of the least head at or above the row. A head's copy ends the block above it, the highest one's the lowest block."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, block, copy = [], [], []
+            for i, (k, h) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                at = _place(k, h)
+                own = bisect_left(heads, at)
+                rows.append(i)
+                block.append(own)
+                copy.append(0)
+                if heads[own] == at:
+                    rows.append(i)
+                    block.append((own + 1) % len(heads))
+                    copy.append(1)
+            if rows:
+                k, t, h = batch.take(pa.array(rows)).columns
+                yield pa.RecordBatch.from_arrays([k, t, pa.array(block, pa.int32()), pa.array(copy, pa.int32()), h], names=["k", "t", "b", "copy", "h"])
+
+    return deal
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a block in order, each with the row after it; the first copy of the next block's head only follows."""
+    held: tuple | None = None  # key, text, digests by piece, leaves, tree of the row whose next isn't known
     out: list[tuple] = []
+    size = 0
     for batch in batches:
-        keys, blocks, copies, texts = batch.column(0), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(1)
+        kind = batch.schema.field(0).type
+        keys, texts, copies = batch.column(0), batch.column(1), batch.column(3).to_pylist()
         for i in range(len(batch)):
             if copies[i] and held is None:
                 continue
-            text = texts[i].as_py()
-            leaves = cut(text)
-            now = (keys[i].as_py(), text, leaves, fingerprint(text, leaves), blocks[i])
+            text, known = texts[i].as_py(), {}
+            leaves = leaves_of(text, known)
+            now = (keys[i].as_py(), text, known, leaves, fingerprint(leaves))
             if held is not None:
-                out.append(_pair(held, now, cut))
+                out.append(_pair(held, now))
+                size += len(text)
             held = None if copies[i] else now
-        if len(out) >= 500:
-            yield _batch(out, batch.schema.field(0).type)
-            out = []
-            kind = batch.schema.field(0).type
-        kind = batch.schema.field(0).type
+            if size > 1 << 21 or len(out) >= 500:
+                yield _batch(out, kind)
+                out, size = [], 0
     if out:
         yield _batch(out, kind)
 
 
-def _pair(row: tuple, following: tuple, cut: Callable[[str], list[str]]) -> tuple:
-    key, text, leaves, tree, _ = row
+def _pair(row: tuple, following: tuple) -> tuple:
+    key, text, known, leaves, tree = row
     new = edited(text, following[1])
-    new_leaves = cut(new)
-    new_tree = fingerprint(new, new_leaves)
-    digest = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
+    new_leaves = leaves_of(new, following[2] | known)
+    new_tree = fingerprint(new_leaves)
     return (
-        key, len(text), digest, tree, new_tree,
-        likeness(leaves, new_leaves, tree[:16] == new_tree[:16]),
-        likeness(leaves, following[2], tree[:16] == following[3][:16]),
+        key, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), tree, new_tree,
+        likeness(leaves, new_leaves, root(tree) == root(new_tree)),
+        likeness(leaves, following[3], root(tree) == root(following[4])),
     )
 
 

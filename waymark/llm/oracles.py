@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from waymark.llm import merkle, mixing, ngram_join, suffix_dedup, url_filter
 
 
@@ -121,46 +119,37 @@ FROM d JOIN kept USING (doc_id) GROUP BY d.doc_id
 
 
 def _leaves(text: str) -> str:
-    piece = f"CASE WHEN length({text}) <= {merkle.SHORT} THEN {merkle.FINE} ELSE {merkle.PIECE} END"
-    pieces = f"list_transform(range(0, CAST(ceil(length(line) / CAST({piece} AS DOUBLE)) AS BIGINT)), lambda j: substr(md5(substr(line, j * ({piece}) + 1, {piece})), 1, 8))"
-    return f"CASE WHEN {text} = '' THEN [] ELSE flatten(list_transform(string_split({text}, chr(10)), lambda line: CASE WHEN line = '' THEN [substr(md5(chr(10)), 1, 8)] ELSE {pieces} END)) END"
+    return f"list_transform(regexp_extract_all({text}, '{merkle.PIECES}'), lambda p: md5(p))"
 
 
-def _content_leaves(text: str) -> str:
-    n = merkle.PIECE
-    pieces = f"list_transform(range(0, CAST(ceil(length(run) / {n}.0) AS BIGINT)), lambda j: substr(md5(substr(run, j * {n} + 1, {n})), 1, 8))"
-    runs = f"string_split(regexp_replace(line, '{merkle.WORD_END}', '\\1' || chr(10), 'g'), chr(10))"
-    return f"CASE WHEN {text} = '' THEN [] ELSE flatten(list_transform(string_split({text}, chr(10)), lambda line: CASE WHEN line = '' THEN [substr(md5(chr(10)), 1, 8)] ELSE flatten(list_transform({runs}, lambda run: {pieces})) END)) END"
+def _tree(leaves: str) -> str:
+    marked = f"array_to_string(list_transform({leaves}, lambda d: d || CASE WHEN d[1] = '{merkle.SECTION_END}' THEN '|' ELSE ',' END), '')"
+    bodies = f"CASE WHEN len({leaves}) = 0 THEN [] ELSE string_split({marked}[:-2], '|') END"
+    return f"list_transform({bodies}, lambda b: [md5(b), b])"
 
 
-def _tree(text: str, leaves: str) -> str:
-    n = merkle.SECTION
-    bodies = f"list_transform(range(0, CAST(ceil(len({leaves}) / {n}.0) AS BIGINT)), lambda k: array_to_string({leaves}[k * {n} + 1:k * {n} + {n}], ','))"
-    names = f"list_transform({bodies}, lambda b: substr(md5(b), 1, 16))"
-    root = f"substr(md5(array_to_string(list_concat([{text}], {names}), '|')), 1, 16)"
-    return f"array_to_string(list_concat([{root}], list_transform({bodies}, lambda b: substr(md5(b), 1, 16) || ':' || b)), '|')"
+def _written(sections: str) -> str:
+    """The root over the sections' digests, then the sections."""
+    names = f"array_to_string(list_transform({sections}, lambda s: s[1]), ',')"
+    return f"array_to_string(list_concat([md5({names})], list_transform({sections}, lambda s: s[1] || ':' || s[2])), '|')"
 
 
 def _likeness(other: str) -> str:
-    return f"""SELECT doc_id, sum(least(a.c, b.c)) AS both FROM (SELECT doc_id, leaf, count(*) AS c FROM (SELECT doc_id, unnest(l) AS leaf FROM trees) GROUP BY ALL) a
-  JOIN (SELECT doc_id, leaf, count(*) AS c FROM (SELECT doc_id, unnest({other}) AS leaf FROM trees) GROUP BY ALL) b USING (doc_id, leaf) GROUP BY doc_id"""
+    return f"""SELECT doc_id, sum(least(a.c, b.c)) AS both FROM (SELECT doc_id, leaf, count(*) AS c FROM (SELECT doc_id, unnest(l) AS leaf FROM le) GROUP BY ALL) a
+  JOIN (SELECT doc_id, leaf, count(*) AS c FROM (SELECT doc_id, unnest({other}) AS leaf FROM le) GROUP BY ALL) b USING (doc_id, leaf) GROUP BY doc_id"""
 
 
-def _near(tree: str, leaves: str, both: str) -> str:
-    return f"CASE WHEN substr(t, 1, 16) = substr({tree}, 1, 16) THEN 1.0::DOUBLE WHEN len(l) = 0 OR len({leaves}) = 0 THEN 0.0::DOUBLE ELSE CAST(2 * coalesce({both}, 0) AS DOUBLE) / CAST(len(l) + len({leaves}) AS DOUBLE) END"
+def _near(text: str, leaves: str, both: str) -> str:
+    return f"CASE WHEN x = {text} THEN 1.0::DOUBLE WHEN len(l) = 0 OR len({leaves}) = 0 THEN 0.0::DOUBLE ELSE CAST(2 * coalesce({both}, 0) AS DOUBLE) / CAST(len(l) + len({leaves}) AS DOUBLE) END"
 
 
-def _merkle(leaves: Callable[[str], str]) -> str:
-    return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS x, lead(doc_id) OVER (ORDER BY doc_id DESC) AS next_id FROM documents),
-e AS (SELECT d.*, f.x AS y, substr(d.x, 1, length(d.x) - length(d.x) // 2) || substr(f.x, 1, length(d.x) // 2) AS z FROM d JOIN d f ON f.doc_id = coalesce(d.next_id, (SELECT max(doc_id) FROM d))),
-le AS (SELECT *, {leaves("x")} AS l, {leaves("y")} AS m, {leaves("z")} AS o FROM e),
-trees AS (SELECT *, {_tree("x", "l")} AS t, {_tree("y", "m")} AS u, {_tree("z", "o")} AS v FROM le),
-p AS ({_likeness("o")}), q AS ({_likeness("m")})
-SELECT trees.doc_id, CAST(length(x) AS BIGINT) AS n_chars, sha256(z) AS edited_sha256, t AS fingerprint, v AS edited_fingerprint,
-  {_near("v", "o", "p.both")} AS near_edited, {_near("u", "m", "q.both")} AS near_next
-FROM trees LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)
+MERKLE = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS x, lead(doc_id) OVER (ORDER BY doc_id DESC) AS next_id FROM documents),
+e AS MATERIALIZED (SELECT d.doc_id, d.x, f.x AS y, substr(d.x, 1, length(d.x) - length(d.x) // 2) || substr(f.x, 1, length(d.x) // 2) AS z FROM d JOIN d f ON f.doc_id = coalesce(d.next_id, (SELECT max(doc_id) FROM d))),
+le AS MATERIALIZED (SELECT *, {_leaves("x")} AS l, {_leaves("y")} AS m, {_leaves("z")} AS o FROM e),
+trees AS MATERIALIZED (SELECT doc_id, {_tree("l")} AS t, {_tree("o")} AS v FROM le),
+p AS MATERIALIZED ({_likeness("o")}), q AS MATERIALIZED ({_likeness("m")})
+SELECT le.doc_id, CAST(length(x) AS BIGINT) AS n_chars, sha256(z) AS edited_sha256, {_written("t")} AS fingerprint, {_written("v")} AS edited_fingerprint,
+  {_near("z", "o", "p.both")} AS near_edited, {_near("y", "m", "q.both")} AS near_next
+FROM le JOIN trees USING (doc_id) LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)
 """
-
-
-MERKLE, MERKLE_CONTENT = _merkle(_leaves), _merkle(_content_leaves)

