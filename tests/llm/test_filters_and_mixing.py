@@ -1,8 +1,10 @@
 """Operators 2, 4 and 9, and the pipeline."""
 
+import hashlib
 import math
 import os
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -140,18 +142,99 @@ def test_held_out_accuracy(spark):
     assert np.mean([r["q_kept"] == (r["doc_id"] % 5 > 0) for r in got if r["doc_id"] % 3]) > 0.97
 
 
+M64 = (1 << 64) - 1
+
+
+def brute_mixed(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & M64
+    return x ^ (x >> 31)
+
+
+def brute_buckets(text):
+    """Buckets of a text's unigrams and bigrams, token by token."""
+    kind = lambda b: 0 if b in (32, 9, 10, 11, 12, 13) else 1 if b >= 128 or chr(b).isalnum() else 2
+    tokens, last = [], 0
+    for b in text.encode():
+        if kind(b) and kind(b) == last:
+            tokens[-1].append(b)
+        elif kind(b):
+            tokens.append([b])
+        last = kind(b)
+    names = [brute_mixed(sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(t)) & M64) for t in tokens]
+    second = (0x9E3779B97F4A7C15 * 0xD1342543DE82EF95 + 0x2545F4914F6CDD1D | 1) & M64
+    pair = lambda a, b: 0x5EED if a == b else brute_mixed((0x51ED270B0129 * 2 + a * 0x9E3779B97F4A7C15 + b * second) & M64)
+    return [x % quality.BUCKETS for x in [*names, *(pair(a, b) for a, b in zip(names, names[1:], strict=False))]]
+
+
+def brute_quality(docs, labels, seed="quality-1"):
+    """doc_id, log ratio, weight, kept of each (doc_id, text), from tables alone."""
+    marks = {}
+    for k, q, *_ in labels:
+        if k is not None and q is not None:
+            marks[k] = max(q, marks.get(k, q))
+    held = {k for k in marks if zlib.crc32(str(k).encode()) % 4 == 0}
+    grams = [brute_buckets(t or "") for _, t in docs]
+    raw = Counter(b for g in grams for b in g)
+    target = Counter(b for (k, _), g in zip(docs, grams, strict=True) for b in g if marks.get(k) == 1 and k not in held)
+    log = lambda c, b: math.log((c[b] + 0.1) / (c.total() + 0.1 * 65536))
+    sums = [sum(log(target, b) - log(raw, b) for b in g) if target else 0.0 for g in grams]
+    fit = quality.fitted([(s, len(g), marks[k]) for (k, _), s, g in zip(docs, sums, grams, strict=True) if k in held])
+    if fit is None:
+        return [(k, round(s, 6), 0.0, True) for (k, _), s in zip(docs, sums, strict=True)]
+    ratios = [s + fit.shift * len(g) for s, g in zip(sums, grams, strict=True)]
+    k_ = round(sum(1 / (1 + math.exp(-(fit.slope * r + fit.intercept))) for r in ratios))
+    noise = lambda k: -math.log(-math.log((int(hashlib.md5(f"{seed}:{'-' if k is None else k}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48))
+    weights = [fit.slope * r + noise(k) for (k, _), r in zip(docs, ratios, strict=True)]
+    least = sorted(weights, reverse=True)[k_ - 1]
+    return [(k, r, w, w >= least) for (k, _), r, w in zip(docs, ratios, weights, strict=True)]
+
+
+def corpus_between(spark, n=300):
+    """As corpus(), with texts that mix both kinds of words."""
+    rng = random.Random(8)
+    share = lambda i: (i * 37 % 101) / 100
+    word = lambda p: rng.choice(["the", "of", "river", "stone", "light"]) if rng.random() < p else rng.choice(["BUY", "now", "###", "$$$"])
+    rows = [(i, " ".join(word(share(i)) for _ in range(rng.randrange(3, 60)))) for i in range(n)] + [(None, "no id"), (n, None)]
+    marks = [(i, int(share(i) + rng.gauss(0, 0.15) > 0.5), 0) for i in range(0, n, 2)]
+    return rows, marks
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    rows, marks = corpus_between(spark)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    key = lambda r: (r[0] is None, r[0] or 0)
+    got = sorted((tuple(r) for r in queries.QUERIES["op9_quality"](spark, str(tmp_path)).select("doc_id", "log_ratio", "q_weight", "kept").collect()), key=key)
+    want = sorted(brute_quality(rows, marks), key=key)
+    assert [(r[0], r[3]) for r in got] == [(r[0], r[3]) for r in want]
+    assert np.allclose([r[1:3] for r in got], [r[1:3] for r in want], atol=1e-4)
+    plain = sorted((r[1] for r in want), reverse=True)[sum(r[3] for r in want) - 1]
+    assert any((r[1] >= plain) != r[3] for r in want)  # the noise has a say
+
+
+def test_inclusion_follows_the_weights(spark):
+    weights = [0.0, 0.5, 1.0, 2.0]
+    rows = spark.range(16_000).select("id", (F.col("id") % 4).alias("i"), F.floor(F.col("id") / 4).alias("draw"))
+    log_weight = F.get(F.array(*map(F.lit, weights)), F.col("i").cast("int"))
+    first = rows.groupBy("draw").agg(F.max_by("i", log_weight + quality.gumbel("s", F.col("id"))).alias("i")).groupBy("i").count().collect()
+    got = np.array([n for _, n in sorted((r["i"], r["count"]) for r in first)]) / 4000
+    assert np.allclose(got, np.exp(weights) / np.exp(weights).sum(), atol=0.03)
+
+
 def test_log_ratios_equal_brute_force(spark):
     docs, marks = corpus(spark, 60)
     marked = docs.join(marks.select("doc_id", F.col("quality").alias("good")), "doc_id", "left")
-    raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
-    for r in marked.collect():
-        body = np.frombuffer(r["text"].encode(), np.uint8)
-        bucket, _ = quality.grams(body, np.array([0, len(body)]))
-        np.add.at(raw, bucket, 1)
-        if r["good"]:
-            np.add.at(target, bucket, 1)
-    smooth = lambda x: np.log((x + quality.SMOOTH) / (x.sum() + quality.SMOOTH * quality.BUCKETS))
-    assert np.allclose(quality.log_ratios(marked), smooth(target) - smooth(raw))
+    rows = marked.collect()
+    raw = Counter(b for r in rows for b in brute_buckets(r["text"]))
+    target = Counter(b for r in rows if r["good"] for b in brute_buckets(r["text"]))
+    want = [math.log((target[b] + 0.1) / (target.total() + 6553.6)) - math.log((raw[b] + 0.1) / (raw.total() + 6553.6)) for b in range(65536)]
+    assert np.allclose(quality.log_ratios(marked), want)
+
+
+def test_what_does_not_tell_apart_keeps_all():
+    assert quality.fitted([]) is None and quality.fitted([(1.0, 3, 1)] * 4) is None
+    assert quality.fitted([(-5.0, 3, 1), (5.0, 3, 0)] * 20) is None
 
 
 @pytest.mark.parametrize("k", [0, 1, 7, 50, 99, 100, 200])

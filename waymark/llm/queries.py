@@ -77,7 +77,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", F.round("q_mean", 6).alias("log_ratio"), "q_weight", F.col("q_kept").alias("kept"))
+    return judged.select("doc_id", F.col("q_ratio").alias("log_ratio"), "q_weight", F.col("q_kept").alias("kept"))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
