@@ -105,18 +105,69 @@ def test_find_keeps_base_spans_and_redacts(spark):
     assert pii.find(edge.none(spark), ["doc_id"], None).count() == 0 and pii.learn(edge.none(spark)) is None
 
 
+def planted(rng, n, first=0):
+    """Texts with one base form each, and the forms that only a learned span can find, with their places."""
+    words = lambda: " ".join(rng.choice(["river", "stone", "light", "and", "was", "green", "call", "mail"]) for _ in range(8))
+    card = lambda: next(c for c in iter(lambda: str(rng.randrange(4 * 10**15, 5 * 10**15)), "") if pii.luhn(c))
+    forms = [
+        lambda: f"x{rng.randrange(99)}@mail{rng.randrange(9)}.example.com", lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), card,
+        lambda: f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}",
+    ]
+    rows, wanted = [], []
+    for i in range(n):
+        kind = i % 4
+        body = forms[kind]()
+        look, new = pii.lookalike(kind, forms[kind](), rng), pii.variant(kind, body, rng)
+        rows.append((first + i, f"{words()} {body} {words()}"))
+        head = words() + " "
+        wanted.append((first + i, f"{head}{new} {words()}", f"{words()} {look} {words()}", f"{pii.KINDS[kind]}:{len(head)}:{len(head) + len(new)}"))
+    return rows, wanted
+
+
+def brute_added(text, trees):
+    """All proposals against the thresholds, each compared with all that were taken."""
+    taken = [(a, b) for a, _, b in brute_spans(text)]
+    found = [(-trees.score(np.array([pii.features(text, s)]))[0], s) for s in pii.proposals(text)]
+    out = []
+    for p, s in sorted(found):
+        if -p >= trees.least[s.kind] and not any(a < s.end and s.start < b for a, b in taken):
+            out.append(tuple(s))
+            taken.append((s.start, s.end))
+    return out
+
+
 def test_learned_spans_join_what_the_patterns_miss(spark):
     rng = random.Random(4)
-    number = lambda: f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"
-    rows = [(i, f"call {number()} or 12345678 of item 99-88-77-66-55") for i in range(600)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rows, _ = planted(rng, 1600)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     trees = pii.learn(docs)
-    asked = spark.createDataFrame([(0, "call 1 (415) 555-2671 or"), (1, "of item 99-88-77-66-55")], "doc_id long, text string")
-    got = {r["doc_id"]: (r["base"], r["spans"]) for r in pii.find(asked, ["doc_id"], trees).collect()}
-    assert got[1] == ("", "") and got[0][0] == "" and got[0][1].startswith("phone:")
-    x = np.array([pii.features(t, s) for _, t in rows[:50] for s in pii.proposals(t)])
-    y = np.array([s in pii.base_spans(t) for _, t in rows[:50] for s in pii.proposals(t)])
-    assert ((trees.score(x) > 0.5) == y).mean() > 0.95
+    assert all(t <= 1 for t in trees.least)
+    _, wanted = planted(rng, 400, 10_000)
+    asked = spark.createDataFrame([(k, t) for k, t, _, _ in wanted] + [(-k, t) for k, _, t, _ in wanted], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.find(asked, ["doc_id"], trees).collect()}
+    caught = np.mean([w in got[k] for k, _, _, w in wanted])
+    wrong = np.mean([got[-k] != [""] for k, _, _, _ in wanted])
+    assert caught > 0.85 and wrong < 0.1, (caught, wrong)
+    texts = [t for _, t, _, _ in wanted[:60]] + [" ".join(t for _, t, _, _ in wanted[i : i + 20]) for i in range(60, 200, 20)]
+    found = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.find(found, ["doc_id"], trees).collect():
+        want = sorted(brute_spans(texts[r["doc_id"]]) + brute_added(texts[r["doc_id"]], trees))
+        assert r["spans"] == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in want)
+    untouched = [t for _, t in rows[:50]]
+    assert all(pii.added_spans(t, pii.base_spans(t), trees) == [] for t in untouched)
+
+
+def test_a_proposal_within_a_long_base_span_is_not_added():
+    text = "1.1.1.1.2.2.2.2.3.3.3.3.4.4.4.4.5.5.5.5.6.6.6.6.555.123.4567@a.example.com"
+    base = pii.base_spans(text)
+    everything = pii.Trees(np.zeros(1, int), np.zeros(1), np.zeros(1, int), np.zeros(1, int), np.ones(1), [0], [9.0], [0.0] * 4)
+    assert len(base) > 6 and pii.added_spans(text, base, everything) == []
+
+
+def test_find_takes_columns_of_any_name(spark):
+    docs = edge.documents(spark).selectExpr("doc_id", "text", "'kept' as text_", "'kept' as __text")
+    got = pii.find(docs, ["doc_id", "text", "text_", "__text"], None)
+    assert got.count() == docs.count() and got.select("__text").distinct().first()[0] == "kept"
 
 
 # --- 5: media
