@@ -44,8 +44,9 @@ def brute_scores(rows, order, least, backoff):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_scores_equal_brute_force(spark, order):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_equal_brute_force(spark, monkeypatch, order):
+    monkeypatch.setattr(lm_scoring, "GRAM_GROUP", 2000)
     docs = edge.documents(spark, clashing=True)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     got = lm_scoring.score_documents(docs, order=order).withColumn("log_score", F.round("log_score", 6)).collect()
@@ -55,11 +56,16 @@ def test_scores_equal_brute_force(spark, order):
 def test_the_query_of_order_3_equals_brute_force(spark, tmp_path):
     rows = [(1, "a b c a b c d"), (2, "a b c"), (3, "b c d a b"), (4, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = [tuple(r) for r in queries.QUERIES["lm_scoring_order3"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in queries.QUERIES["op1_lm_scoring"](spark, str(tmp_path)).collect()]
     want = brute_scores(rows, 3, 2, 0.4)
     assert sorted(r[:3] for r in got) == [r[:3] for r in want] and [r[3] for r in sorted(got)] == pytest.approx([r[3] for r in want], abs=1e-4)
 
 
+def test_counts_pass_a_byte_whole():
+    numbers = np.array([1, 254, 255, 256, 10**12, 1, 300])
+    assert (lm_scoring.widened(*lm_scoring.narrow(numbers)) == numbers).all()
+
+
 def test_scores_of_nothing(spark):
     assert lm_scoring.score_documents(edge.none(spark)).count() == 0
 
