@@ -290,7 +290,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, small):
     from tests.llm.test_join_and_dedup import brute_classes
 
     order = sorted(kept, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] is not None, r["text"] or ""))
-    heads = [i for i, n, c in brute_classes([(i, r["text"]) for i, r in enumerate(order)]) if i == c]
+    heads = [i for i, n, c, _ in brute_classes([(i, r["text"]) for i, r in enumerate(order)]) if i == c]
     unique = [order[i] for i in heads]
     joined = ngram_join.one_of_each(spark.createDataFrame(kept, docs.schema)).collect()
     assert sorted(map(str, joined)) == sorted(map(str, unique))

@@ -4,11 +4,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import edge
 from waymark.llm import ngram_join, suffix_dedup
+from waymark.llm.common import numbered
 
 
 def brute_classes(rows):
@@ -16,7 +18,7 @@ def brute_classes(rows):
     for _, text in rows:
         words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
         sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set()))
-    parent = list(range(len(rows)))
+    parent, linked = list(range(len(rows))), [0] * len(rows)
 
     def find(x):
         while parent[x] != x:
@@ -28,11 +30,13 @@ def brute_classes(rows):
             both = len(a & b)
             if a and b and 100 * both >= 75 * (len(a) + len(b) - both):
                 parent[find(i)] = find(j)
+                linked[i] += 1
+                linked[j] += 1
     groups: dict[int, list] = {}
     for i in range(len(rows)):
         groups.setdefault(find(i), []).append(rows[i][0])
     least = {g: min((k for k in ids if k is not None), default=None) for g, ids in groups.items()}
-    return sorted(((k, len(sets[i]), least[find(i)]) for i, (k, _) in enumerate(rows)), key=str)
+    return sorted(((k, len(sets[i]), least[find(i)], linked[i]) for i, (k, _) in enumerate(rows)), key=str)
 
 
 def near_copies(seed, n=300):
@@ -75,11 +79,54 @@ def test_one_of_each_component_stays(spark):
     docs = edge.documents(spark, clashing=True)
     kept = ngram_join.one_of_each(docs)
     assert kept.columns == docs.columns and kept.select("row").distinct().collect()[0][0] == "kept"
-    classes = {c for _, n, c in brute_classes([(i, r["text"]) for i, r in enumerate(docs.collect())]) if n}
+    classes = {c for _, n, c, _ in brute_classes([(i, r["text"]) for i, r in enumerate(docs.collect())]) if n}
     assert kept.where(F.trim(F.translate("text", "\n\t", "  ")) != "").count() == len(classes)
     assert kept.where("doc_id in (100, 101, 102)").count() == 3
 
 
+def test_a_line_in_every_document_stays_in_small_groups(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_SHARE", 4)
+    monkeypatch.setattr(ngram_join, "TILE", 7)
+    line = "all rights of this line are kept by those who wrote it here"
+    rows = [(i, f"{line} {t}") for i, t in near_copies(3, 150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r) for r in ngram_join.classes(docs).collect()), key=str) == brute_classes(rows)
+    arrays = docs.select("text").mapInArrow(ngram_join._arrays, "set_key long, n long, hashes binary, bits binary")
+    hot = ngram_join.hot_shingles(arrays, len(rows))
+    shingles = ngram_join.shingle_sets(*ngram_join.utf8(pa.array([line])))[0]
+    assert set(shingles.tolist()) <= set(hot.tolist())
+    held = ngram_join.Postings(4, np.uint64)
+    for i in range(1000):  # a task's part: one witness for all of its sets, or none if the shingles are known to be hot
+        held.add(i, len(shingles), shingles)
+    batch = held.rows(reduced=True).to_pydict()
+    assert sum(len(h) // 8 for h in batch["hashes"]) == len(shingles)
+
+
+def test_sums_in_tiles_equal_all_pairs():
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 1 << 60, 80, dtype=np.uint64))
+    arrays = [np.sort(rng.choice(base, rng.integers(50, 80), replace=False)) for _ in range(60)] + [base[:3], base[:4]]
+    docs, side = rng.integers(1, 5, 62), rng.integers(0, 2, 62)
+    for own in (None, side):
+        want = [sum(docs[j] for j in range(62) if j != i and (own is None or own[i] != own[j]) and ngram_join.links(arrays[i], arrays[j])) for i in range(62)]
+        assert ngram_join.count_in_tile(arrays, docs, own).tolist() == want
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_ids_of_any_kind_and_without_python(spark, kind):
+    rows = [("b", "one two three four five six"), ("a", "one two three four five six"), (None, "one two three four five six"), ("a", "q"), (None, None)]
+    if kind == "long":
+        rows = [(None if k is None else ord(k), t) for k, t in rows]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+    kept = sorted(ngram_join.one_of_each(docs).collect(), key=str)
+    assert [(r["doc_id"] in ("a", ord("a")), r["text"]) for r in kept] == [(True, "one two three four five six"), (True, "q"), (False, None)]
+    cut = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in suffix_dedup.dedup(docs, length=20, gram=8).collect()}
+    first = "a" if kind == "string" else ord("a")
+    assert cut[first, 27] == 0 and sum(cut.values()) == 54
+    plan = numbered(docs, "n", "doc_id", ["text"])._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_join_tile_finds_a_link_for_each_pair_of_components():
     a = np.arange(100, dtype=np.uint64)
     arrays = [a, a[:80], a[:60], a + np.uint64(1000)]

@@ -110,16 +110,33 @@ def join_checked(big: DataFrame, small: DataFrame, on: str | list[str], how: str
     return big.join(F.broadcast(small) if small_enough(small, row_bytes) else small, on, how)
 
 
+#: A key of a join is hot beyond this share of the rows: one in so many, so there are no more hot keys than that.
+HOT_SHARE = 1000
+
+
+def join_skewed(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """left join right, which has each key once, where a few keys may have most of the rows of `left` (a saved table).
+
+    Rows of the at most HOT_SHARE hot keys stay where they are and meet a broadcast table of as many rows; the rest is shuffled.
+    """
+    rows = left.count()
+    hot = F.broadcast(left.groupBy(on).agg(F.count("*").alias("hot_rows")).where(F.col("hot_rows") * HOT_SHARE > rows).select(on))
+    cold = left.join(hot, on, "left_anti").join(right, on, how)
+    warm = left.join(hot, on, "left_semi").join(F.broadcast(right.join(hot, on, "left_semi")), on, how)
+    return cold.unionByName(warm)
+
+
 def numbered(docs: DataFrame, name: str, key: str, ties: list[str]) -> DataFrame:
-    """Adds `name` (long, unique), in the order of key, nulls last, then ties: the key itself where keys are unique and not null.
+    """Adds `name` (long, unique), in the order of key, nulls last, then ties: the key itself where keys are unique whole numbers and not null.
 
-    Otherwise rows get their places in a distributed sort.
+    Otherwise, and for keys of any other type, rows get rising numbers in a distributed sort, which is written down.
     """
-    seen = docs.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("ids")).first()
-    if seen["rows"] == seen["ids"]:
-        return docs.withColumn(name, F.col(key).cast("long"))
-    ordered = docs.orderBy(F.col(key).asc_nulls_last(), *ties).rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return save(docs.sparkSession.createDataFrame(ordered, docs.schema.add(name, "long")))
+    if docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long"):
+        seen = docs.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("ids")).first()
+        if seen["rows"] == seen["ids"]:
+            return docs.withColumn(name, F.col(key).cast("long"))
+    order = [F.col(key).asc_nulls_last(), *ties]
+    return save(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()))
 
 
 def groups_for(units: int, per_group: int, least: int = 12) -> int:

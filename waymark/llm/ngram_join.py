@@ -21,6 +21,13 @@ same set form a class; classes are joined, not documents.
    passes is verified by intersecting the sorted arrays, and a link is kept if its sets were not
    yet joined.
    So no link between components is lost, and no group is expanded into all its pairs.
+5. Links. Every link lies within a component. The sets of each component (in size-banded tiles of
+   blocks, where there are more than TILE) meet once more under the same bound and the exact test,
+   and each set adds up the documents of the sets that it links with; only these sums leave a tile.
+
+A shingle that very many sets hold meets no more than a task's own part of them: what a task has
+seen in two sets is shared for certain, so one witness goes on for all; and shingles in more than
+one of HOT_SHARE sets are told to the tasks beforehand and stand last in the order of rarity.
 """
 
 from __future__ import annotations
@@ -34,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import gram_hashes, groups_for, join_checked, mixed, numbered, save, steps, tidy, utf8, whole, word_hashes
+from waymark.llm.common import gram_hashes, groups_for, join_checked, join_skewed, mixed, numbered, save, steps, tidy, utf8, whole, word_hashes
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Bits of a signature, and the ratio of neighbouring bands' sizes.
@@ -43,6 +50,10 @@ BITS, BAND = 512, 0.75
 TILE, ROUNDS = 2048, 2
 #: Shingles of a group of the first filter and of the later ones; rows that a task gathers before it sends them on.
 FILTER_GROUP, SHINGLE_GROUP, SET_GROUP, LEADER_GROUP, GATHER = 1_000_000, 500_000, 20_000, 30_000, 1 << 19
+#: A shingle in more than one of so many sets is hot; there are at most so many times the mean number of a set's shingles.
+HOT_SHARE = 100
+#: Rarity of hot shingles, beyond that of all others; and who stands for a witness (a task sends fewer sets at once).
+HOT, WITNESS = 1 << 50, 65_535
 
 _U = np.uint64
 
@@ -138,17 +149,43 @@ class Postings:
             self.count += len(hashes)
         return self.count >= GATHER or len(self.keys) >= 60_000
 
-    def rows(self) -> pa.RecordBatch:
+    def rows(self, reduced: bool = False, hot: np.ndarray | None = None) -> pa.RecordBatch:
+        """`reduced`: of hashes that two sets or more hold here only a witness goes on, and each set's number of them.
+
+        `hot`: hashes that go on with their sets alone. Both kinds of sure knowledge have no `who`.
+        """
         hashes = np.concatenate(self.hashes)
         who = np.repeat(np.arange(len(self.keys), dtype=np.uint16), [len(h) for h in self.hashes])
+        sure: list[tuple] = []
+        if reduced:
+            order = np.argsort(hashes, kind="stable")
+            ordered = hashes[order]
+            same = ordered[1:] == ordered[:-1]
+            both = np.zeros(len(hashes), bool)
+            both[order] = np.append(False, same) | np.append(same, False)
+            times = np.bincount(who[both], minlength=len(self.keys))
+            own = np.flatnonzero(times)
+            witnesses = np.unique(hashes[both])
+            hashes = np.append(hashes[~both], witnesses)
+            who = np.append(who[~both], np.full(len(witnesses), WITNESS, np.uint16))
+            sure = [(self.keys[own[0]] % self.groups, b"", b"", np.array(self.keys, np.uint64)[own].tobytes(), times[own].astype(np.int64).tobytes())] if len(own) else []
+        elif hot is not None and len(hot):
+            place = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
+            known = hot[place] == hashes
+            keys, sizes = np.array(self.keys, np.uint64)[who[known]], np.array(self.sizes, np.int64)[who[known]]
+            sure = [(int(keys[0]) % self.groups, hashes[known].tobytes(), b"", keys.tobytes(), sizes.tobytes())] if len(keys) else []
+            hashes, who = hashes[~known], who[~known]
         g = (mixed(hashes) % _U(self.groups)).astype(np.int64)
         order = np.argsort(g, kind="stable")
         g, hashes, who = g[order], hashes[order].astype(self.kind), who[order]
-        edges = np.flatnonzero(np.diff(g, prepend=-1, append=self.groups + 1))
+        edges = np.flatnonzero(np.diff(g, prepend=-1, append=self.groups + 1)) if len(g) else np.zeros(1, int)
         keys, sizes = np.array(self.keys, np.uint64), np.array(self.sizes, np.int64)
-        out = []
+        out = sure
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             own, place = np.unique(who[a:b], return_inverse=True)
+            if len(own) and own[-1] == WITNESS:
+                own = own[:-1]
+                place = np.where(place == len(own), WITNESS, place)
             out.append((int(g[a]), hashes[a:b].tobytes(), place.astype(np.uint16).tobytes(), keys[own].tobytes(), sizes[own].tobytes()))
         self.clear()
         return pa.RecordBatch.from_arrays([*map(pa.array, zip(*out, strict=True))], names=["g", "hashes", "who", "keys", "sizes"])
@@ -162,27 +199,37 @@ def _prefixes(groups: int):
                 for s in shingle_sets(data, offsets):
                     n = len(s)
                     if n and held.add(set_key(s), n, s[: n - least_overlap(n) + n // 4 + 1]):
-                        yield held.rows()
+                        yield held.rows(reduced=True)
         if held.count:
-            yield held.rows()
+            yield held.rows(reduced=True)
 
     return send
 
 
-def _met(group: pd.DataFrame, kind: type) -> tuple[np.ndarray, ...]:
-    """Of a group's postings, without repeats and by hash and set: hash, set, its size, number of sets with the hash; only hashes of two sets or more."""
+def _postings(group: pd.DataFrame, kind: type) -> tuple[np.ndarray, ...]:
+    """Hashes, whose, their sizes, and which are witnesses, of a group's rows."""
     hashes = np.frombuffer(b"".join(group["hashes"]), kind)
     parts = [(np.frombuffer(w, np.uint16), np.frombuffer(k, np.uint64), np.frombuffer(z, np.int64)) for w, k, z in zip(group["who"], group["keys"], group["sizes"], strict=True)]
-    keys = np.concatenate([k[w] for w, k, _ in parts])
-    sizes = np.concatenate([z[w] for w, _, z in parts])
+    witness = np.concatenate([np.zeros(0, bool), *(w == WITNESS for w, _, _ in parts)])
+    keys, sizes = np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), np.int64)
+    keys[~witness] = np.concatenate([np.zeros(0, np.uint64), *(k[w[w != WITNESS]] for w, k, _ in parts)])
+    sizes[~witness] = np.concatenate([np.zeros(0, np.int64), *(z[w[w != WITNESS]] for w, _, z in parts)])
+    return hashes, keys, sizes, witness
+
+
+def _met(group: pd.DataFrame, kind: type) -> tuple[np.ndarray, ...]:
+    """Of a group's postings, without repeats and by hash and set: hash, set, its size, number of sets with the hash; only hashes of two sets or more, or with a witness."""
+    hashes, keys, sizes, witness = _postings(group, kind)
+    seen = np.unique(hashes[witness])
+    hashes, keys, sizes = hashes[~witness], keys[~witness], sizes[~witness]
     order = np.lexsort((keys, hashes))
     hashes, keys, sizes = hashes[order], keys[order], sizes[order]
-    new = np.append(True, (hashes[1:] != hashes[:-1]) | (keys[1:] != keys[:-1]))
+    new = np.append(True, (hashes[1:] != hashes[:-1]) | (keys[1:] != keys[:-1]))[: len(hashes)]
     hashes, keys, sizes = hashes[new], keys[new], sizes[new]
-    starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+    starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)])
     counts = np.diff(np.append(starts, len(hashes)))
     held = np.repeat(counts, counts)
-    shared = held > 1
+    shared = (held > 1) | np.isin(hashes, seen)
     return hashes[shared], keys[shared], sizes[shared], held[shared]
 
 
@@ -202,10 +249,13 @@ def _by_set(groups: int, keys: np.ndarray, **more: np.ndarray) -> pd.DataFrame:
 
 def _count_shared(groups: int):
     def count(group: pd.DataFrame) -> pd.DataFrame:
-        _, keys, _, _ = _met(group, np.uint32)
+        sure = group["who"].str.len() == 0
+        _, keys, _, _ = _met(group[~sure], np.uint32)
         own, times = np.unique(keys, return_counts=True)
+        own = np.concatenate([own, *(np.frombuffer(k, np.uint64) for k in group["keys"][sure])])
+        times = np.concatenate([times.astype(np.int64), *(np.frombuffer(z, np.int64) for z in group["sizes"][sure])])
         nothing = np.zeros(len(own), np.int8)
-        return _by_set(groups, own, a=times.astype(np.int64), b=nothing, sizes=nothing)
+        return _by_set(groups, own, a=times, b=nothing, sizes=nothing)
 
     return count
 
@@ -227,23 +277,53 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["set_key", "n", "hashes", "bits"])
 
 
-def _all_shingles(groups: int):
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles that one of HOT_SHARE sets or more hold among those a task has at once, with the number of these sets."""
+    held, many = [], 0
+
+    def flush() -> pa.RecordBatch:
+        found, times = np.unique(np.concatenate(held), return_counts=True)
+        often = times >= max(2, len(held) // HOT_SHARE)
+        return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(times[often])], names=["hash", "sets"])
+
+    for batch in batches:
+        for hashes in batch.column(0).to_pylist():
+            held.append(np.frombuffer(hashes, np.uint64))
+            many += len(held[-1])
+            if many >= GATHER:
+                yield flush()
+                held, many = [], 0
+    if held:
+        yield flush()
+
+
+def hot_shingles(arrays: DataFrame, sets: int) -> np.ndarray:
+    """Shingles known to be in more than one of HOT_SHARE sets, ascending: HOT_SHARE times a set's mean number of shingles at most."""
+    counted = arrays.select("hashes").mapInArrow(tidy(_frequent), "hash long, sets long")
+    often = counted.groupBy("hash").agg(F.sum("sets").alias("sets")).where(F.col("sets") > max(TILE, sets // HOT_SHARE))
+    return np.sort(np.array([r["hash"] for r in often.select("hash").collect()], np.int64).view(np.uint64))
+
+
+def _all_shingles(groups: int, hot: np.ndarray):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Postings(groups, np.uint64)
         for batch in batches:
             for key, n, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if held.add(key & 0xFFFFFFFFFFFFFFFF, n, np.frombuffer(hashes, np.uint64)):
-                    yield held.rows()
+                    yield held.rows(hot=hot)
         if held.count:
-            yield held.rows()
+            yield held.rows(hot=hot)
 
     return send
 
 
 def _frequencies(groups: int):
     def count(group: pd.DataFrame) -> pd.DataFrame:
-        hashes, keys, sizes, held = _met(group, np.uint64)
-        return _by_set(groups, keys, a=hashes, b=held.astype(np.int64), sizes=sizes)
+        sure = group["who"].str.len() == 0
+        hashes, keys, sizes, held = _met(group[~sure], np.uint64)
+        more = [np.frombuffer(b"".join(group[c][sure]), kind) for c, kind in (("keys", np.uint64), ("hashes", np.uint64), ("sizes", np.int64))]
+        rarity = np.append(held.astype(np.int64), np.full(len(more[0]), HOT))
+        return _by_set(groups, np.append(keys, more[0]), a=np.append(hashes, more[1]), b=rarity, sizes=np.append(sizes, more[2]))
 
     return count
 
@@ -364,10 +444,10 @@ def components(links_: DataFrame, start: DataFrame | None = None) -> DataFrame:
     labels = save(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")))
     while True:
         named = labels.select(F.col("node").alias("other"), F.col("component").alias("c"))
-        near = both.join(named, "other").groupBy("node").agg(F.min("c").alias("near"))
-        spread = labels.join(near, "node").select("node", F.least("component", "near").alias("to"), F.col("component").alias("was"))
+        near = join_skewed(both, named, "other").groupBy("node").agg(F.min("c").alias("near"))
+        spread = save(labels.join(near, "node").select("node", F.least("component", "near").alias("to"), F.col("component").alias("was")))
         jump = spread.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        new = save(spread.join(jump, "to", "left").select("node", F.coalesce("further", "to").alias("component"), "was"))
+        new = save(join_skewed(spread, jump, "to", "left").select("node", F.coalesce("further", "to").alias("component"), "was"))
         if new.where("component <> was").isEmpty():
             return new.select("node", "component")
         labels = new.select("node", "component")
@@ -379,9 +459,9 @@ def _led(rare: DataFrame, arrays: DataFrame, joined: DataFrame | None) -> DataFr
     if joined is not None:
         named = joined.select(F.col("node").alias("set_key"), "component")
         held = rare.join(named, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
-        heads = held.groupBy("hash", "component").agg(F.min("set_key").alias("set_key")).drop("component")
+        heads = save(held.groupBy("hash", "component").agg(F.min("set_key").alias("set_key")).drop("component"))
     blocks = heads.groupBy("hash").agg(F.count("*").alias("held")).where("held > 1").select("hash", F.ceil(F.col("held") / TILE).alias("blocks"))
-    rows = save(heads.join(blocks, "hash").select("hash", "set_key", F.pmod(F.xxhash64("set_key"), "blocks").cast("int").alias("block")))
+    rows = save(join_skewed(heads, blocks, "hash").select("hash", "set_key", F.pmod(F.xxhash64("set_key"), "blocks").cast("int").alias("block")))
     tile = F.pmod(F.xxhash64("hash", "block"), F.lit(groups_for(rows.count(), LEADER_GROUP))).alias("tile")
     outline = arrays.select("set_key", "n", "bits").dropDuplicates(["set_key"])
     postings = rows.join(outline, "set_key").select(tile, "hash", "block", "set_key", "n", "bits")
@@ -396,9 +476,9 @@ def _apart(rare: DataFrame, arrays: DataFrame, joined: DataFrame) -> DataFrame:
     component already goes to one tile each, and is not met with itself.
     """
     named = joined.select(F.col("node").alias("set_key"), "component")
-    held = rare.join(named, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
+    held = save(rare.join(named, "set_key", "left").withColumn("component", F.coalesce("component", "set_key")))
     shared = held.groupBy("hash").agg(F.min("set_key").alias("owner"), F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d")
-    members = save(held.join(shared.select("hash", "owner"), "hash").select("owner", "set_key", "component").distinct())
+    members = save(join_skewed(held, shared.select("hash", "owner"), "hash").select("owner", "set_key", "component").distinct())
     sizes = members.groupBy("owner", "component").agg(F.count("*").alias("held")).groupBy("owner")
     largest = F.max(F.struct("held", "component"))
     blocks = lambda n: F.greatest(F.ceil(n / TILE), F.lit(1)).cast("int")
@@ -406,7 +486,7 @@ def _apart(rare: DataFrame, arrays: DataFrame, joined: DataFrame) -> DataFrame:
         largest["component"].alias("largest"), blocks(largest["held"]).alias("big_blocks"), blocks(F.sum("held") - largest["held"]).alias("blocks")
     )
     size_band = F.floor(F.ln("n") / -math.log(BAND) + 1e-9).cast("int").alias("band")
-    rows = members.join(sizes, "owner").join(arrays.select("set_key", "n", size_band).dropDuplicates(["set_key"]), "set_key")
+    rows = join_skewed(members, sizes, "owner").join(arrays.select("set_key", "n", size_band).dropDuplicates(["set_key"]), "set_key")
     rows = rows.withColumn("big", F.col("component") == F.col("largest"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("set_key"), F.when(F.col("big"), F.col("big_blocks")).otherwise(F.col("blocks"))).cast("int"))
     each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -423,13 +503,93 @@ def _apart(rare: DataFrame, arrays: DataFrame, joined: DataFrame) -> DataFrame:
     return save(full.drop("n").groupBy("tile").applyInPandas(tidy(_tiles), "a long, b long"))
 
 
-def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: key, n_shingles and component (the least key reachable by links, itself included).
+# --- step 5 ----------------------------------------------------------------------------
+
+
+def count_in_tile(arrays: list[np.ndarray], docs: np.ndarray, side: np.ndarray | None) -> np.ndarray:
+    """For each set the documents of the sets in the tile that it links with; with `side`, only sets of different sides meet."""
+    n = np.array([len(a) for a in arrays])
+    order = np.argsort(n, kind="stable")
+    arrays, n, docs = [arrays[i] for i in order], n[order], docs[order]
+    side = None if side is None else side[order]
+    width = min(1 << 13, 1 << int(4 * n.max()).bit_length())
+    bits = np.zeros((len(n), width // 8), np.uint8)
+    for i, hashes in enumerate(arrays):
+        row = np.zeros(width, np.uint8)
+        row[(hashes & _U(width - 1)).astype(np.int64)] = 1
+        bits[i] = np.packbits(row)
+    last = np.searchsorted(n, n * DENOMINATOR // NUMERATOR, "right")  # larger ones can't link
+    all_, place = np.unique(np.concatenate(arrays), return_inverse=True)
+    starts = np.append(0, np.cumsum(n))
+    mark, sums = np.zeros(len(all_), np.int32), np.zeros(len(n), np.int64)
+    for i in range(len(n)):
+        others = np.arange(i + 1, last[i])
+        others = others if side is None else others[side[others] != side[i]]
+        if not len(others):
+            continue
+        others = others[may_link(bits[others], n[others], bits[i], n[i])]
+        if not len(others):
+            continue
+        if 4 * len(others) >= last[i] - i:  # many: all sorted arrays behind this one are met in one sweep
+            own = place[starts[i] : starts[i + 1]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[place[starts[i + 1] : starts[last[i]]]], starts[i + 1 : last[i]] - starts[i + 1])[others - i - 1]
+            mark[own] = 0
+            found = others[DENOMINATOR * both >= NUMERATOR * (n[i] + n[others] - both)]
+        else:
+            found = others[[links(arrays[i], arrays[j]) for j in others]]
+        sums[i] += docs[found].sum()
+        sums[found] += docs[i]
+    out = np.zeros(len(n), np.int64)
+    out[order] = sums
+    return out
+
+
+def _sum_tiles(group: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    for (_, _, _, one, two), tile in group.groupby(["component", "band", "kind", "one", "two"]):
+        side = tile["side"].to_numpy() if one != two or tile["kind"].iloc[0] else None
+        sums = count_in_tile([np.frombuffer(h, np.uint64) for h in tile["hashes"]], tile["docs"].to_numpy(), side)
+        out.append(pd.DataFrame({"set_key": tile["set_key"].to_numpy(), "links": sums}))
+    return pd.concat(out)
+
+
+def link_sums(members: DataFrame, arrays: DataFrame) -> DataFrame:
+    """set_key, links: documents of other sets that a set links with. `members`: sets (set_key, docs) of components of several (component, held).
+
+    A component of up to TILE sets is a tile. A larger one is cut by band of size, and bands into
+    blocks: kind 0 tiles have two blocks of a band (or one), kind 1 a block each of a band and the next.
+    """
+    size_band = F.floor(F.ln("n") / -math.log(BAND) + 1e-9).cast("int").alias("own_band")
+    rows = save(members.join(arrays.select("set_key", "n", size_band).dropDuplicates(["set_key"]), "set_key"))
+    whole_ = rows.where(F.col("held") <= TILE).select("set_key", "component", "docs", "n", *(F.lit(0).alias(c) for c in ("band", "kind", "one", "two", "side")))
+    large = rows.where(F.col("held") > TILE).withColumn("cell", F.xxhash64("component", "own_band"))
+    cells = large.groupBy("component", "own_band", "cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    beside = lambda step, name: cells.select("component", (F.col("own_band") - step).alias("own_band"), F.col("blocks").alias(name))
+    cells = cells.join(beside(1, "above"), ["component", "own_band"], "left").join(beside(-1, "below"), ["component", "own_band"], "left").drop("component", "own_band")
+    dealt = join_skewed(large, cells, "cell").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
+    each = lambda n: F.when(F.coalesce(F.col(n), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    band, own = F.col("own_band"), F.col("block")
+    place = lambda b, kind, one, two, side: F.struct(b.alias("band"), F.lit(kind).alias("kind"), one.alias("one"), two.alias("two"), side.cast("int").alias("side"))
+    same = F.transform(each("blocks"), lambda j: place(band, 0, F.least(own, j), F.greatest(own, j), own > j))
+    up = F.transform(each("above"), lambda j: place(band, 1, own, j, F.lit(0)))
+    down = F.transform(each("below"), lambda i: place(band - 1, 1, i, own, F.lit(1)))
+    dealt = dealt.withColumn("to", F.explode(F.concat(same, up, down))).select("set_key", "component", "docs", "n", "to.*")
+    rows = whole_.unionByName(dealt)
+    groups = groups_for(rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"], SHINGLE_GROUP)
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("component", "band", "kind", "one", "two"), F.lit(groups)))
+    full = rows.join(arrays.select("set_key", "hashes").dropDuplicates(["set_key"]), "set_key")
+    sums = full.drop("n").groupBy("tile").applyInPandas(tidy(_sum_tiles), "set_key long, links long")
+    return save(sums.groupBy("set_key").agg(F.sum("links").alias("links")))
+
+
+def classes(df: DataFrame, key: str = "doc_id", text: str = "text", count_links: bool = True) -> DataFrame:
+    """Per document: key, n_shingles, component (the least key reachable by links, itself included) and n_links (documents that it links with; without `count_links` left out).
 
-    Null or empty texts have no shingles and are components of their own. Rows with equal sets are
-    one component, whatever their keys; keys may repeat or be null (a component of null keys only
-    has a null component). Only key and text are read, so other columns cannot clash; no rows in,
-    no rows out.
+    Null or empty texts have no shingles, link with nothing and are components of their own. Rows
+    with equal sets link, whatever their keys; keys may repeat or be null (a component of null keys
+    only has a null component). Whole texts of any length are read; a set is held by one task. Only
+    key and text are read, so other columns cannot clash; no rows in, no rows out.
     """
     docs = df.select(df[key].alias("k"), F.coalesce(df[text], F.lit("")).alias("t"), F.xxhash64(F.coalesce(df[text], F.lit(""))).alias("text_key"))
     kind = docs.schema["k"].dataType.simpleString()
@@ -451,7 +611,8 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     arrays = save(join_checked(named, names, "name", "left_semi", "8").select("t").mapInArrow(tidy(_arrays), "set_key long, n long, hashes binary, bits binary"))
     # 2: rarest shingles
     groups = groups_for(tokens, SHINGLE_GROUP)
-    counted = arrays.select("set_key", "n", "hashes").mapInArrow(tidy(_all_shingles(groups)), POSTINGS).groupBy("g").applyInPandas(tidy(_frequencies(groups)), BY_SET)
+    hot = hot_shingles(arrays, sizes["sets"])
+    counted = arrays.select("set_key", "n", "hashes").mapInArrow(tidy(_all_shingles(groups, hot)), POSTINGS).groupBy("g").applyInPandas(tidy(_frequencies(groups)), BY_SET)
     rare = save(counted.groupBy("g").applyInPandas(tidy(_rare_prefixes), "hash long, set_key long"))
     # 3 and 4: links enough to join what links
     joined, found = None, None
@@ -460,16 +621,22 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         if joined is None or not new.isEmpty():
             found = new if found is None else found.unionByName(new)
             joined = components(found)
-    # components by name, for classes and then for documents
-    placed = sets.join(joined.select(F.col("node").alias("set_key"), "component"), "set_key", "left").select("set_key", "least", F.coalesce("component", "set_key").alias("component"))
-    heads = placed.groupBy("component").agg(F.min("least").alias("head"))
-    final = placed.join(heads, "component").select("set_key", "head")
-    own = F.when(F.col("n") == 0, F.col("k")).otherwise(F.col("head"))
-    return summary.join(final, "set_key", "left").select(F.col("k").alias(key), F.col("n").alias("n_shingles"), own.alias("component"))
+    # components by name, for sets and then for documents
+    placed = sets.join(joined.select(F.col("node").alias("set_key"), "component"), "set_key", "left")
+    placed = save(placed.select("set_key", "least", "docs", F.coalesce("component", "set_key").alias("component")))
+    heads = placed.groupBy("component").agg(F.min("least").alias("head"), F.count("*").alias("held"))
+    final = save(join_skewed(placed, heads, "component"))
+    own = F.when(F.col("n") == 0, F.col("k")).otherwise(F.col("head")).alias("component")
+    out = [F.col("k").alias(key), F.col("n").alias("n_shingles"), own]
+    named = final.select("set_key", "head", "docs")
+    if count_links:
+        named = named.join(link_sums(final.where("held > 1").select("set_key", "component", "held", "docs"), arrays), "set_key", "left")
+        out.append(F.when(F.col("n") == 0, 0).otherwise(F.col("docs") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
+    return join_skewed(summary, named, "set_key", "left").select(*out)
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs`, of each component that with the least key only (of equal keys the first by text); rows without shingles all stay."""
+    """The rows of `docs`, of each component that with the least key only (of equal keys the first by text); rows without shingles all stay. Keys of any type, null keys last; columns of any name stay as they are."""
     rows = numbered(docs.select(docs[key].alias("k"), docs[text].alias("t"), whole(docs)), "n", "k", ["t"])
-    heads = save(classes(rows, "n", "t").where(F.col("component") == F.col("n")).select("n"))
+    heads = save(classes(rows, "n", "t", count_links=False).where(F.col("component") == F.col("n")).select("n"))
     return join_checked(rows.select("n", "row"), heads, "n", "left_semi", "8").select("row.*")

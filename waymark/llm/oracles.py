@@ -96,11 +96,11 @@ sh AS (
 ),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-links AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE {ngram_join.DENOMINATOR} * c >= {ngram_join.NUMERATOR} * (a.n + b.n - c)),
+links AS MATERIALIZED (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE {ngram_join.DENOMINATOR} * c >= {ngram_join.NUMERATOR} * (a.n + b.n - c)),
 reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
 least AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(least.y, d.doc_id)) AS component_id
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least ON least.x = d.doc_id
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(least.y, d.doc_id)) AS component_id, CAST(coalesce(own.c, 0) AS BIGINT) AS n_links
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least ON least.x = d.doc_id LEFT JOIN (SELECT x, count(*) AS c FROM links GROUP BY x) own ON own.x = d.doc_id
 """
 
 LENGTH = suffix_dedup.LENGTH

@@ -53,7 +53,7 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.classes(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "n_links")
 
 
 def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
