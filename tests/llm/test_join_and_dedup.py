@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -175,6 +176,31 @@ def test_dedup_equals_brute_force(spark, hot):
     assert collected(got) == brute_dedup(rows, 100)
 
 
+def test_a_line_in_every_document_is_settled_by_the_sender(spark):
+    rng = random.Random(9)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    rows = [(i, "".join(rng.choice("ijklmnop ") for _ in range(200)) + line + "".join(rng.choice("ijklmnop ") for _ in range(200))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "n long, t string").repartition(3)
+    hot = suffix_dedup.hot_anchors(docs, 100, 32, 50)
+    assert 0 < len(hot) < 40
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["n", "t"])
+    found = np.concatenate([value for _, _, value, _, _ in suffix_dedup._gathered(iter([batch]), 100, 32)])
+    assert max(Counter(found.tolist()).values()) >= 300
+    sent = [r for b in suffix_dedup._send_anchors(4, 100, 32, hot)(iter([batch])) for r in b.to_pylist() if r["kind"] == suffix_dedup.MEET]
+    met = Counter(np.frombuffer(b"".join(r["hash"] for r in sent), np.uint64).tolist())
+    assert max(met.values()) <= 50  # what one group can get of an anchor
+    want = brute_dedup(rows, 100)
+    assert collected(suffix_dedup.dedup(docs, "n", "t", hot=50)) == want
+
+
+def test_anchors_do_not_depend_on_what_else_a_step_holds():
+    text = np.frombuffer(b"abcabcabd" * 40 + bytes(range(97, 123)) * 9, np.uint8)
+    alone = suffix_dedup.anchors(text, np.array([0, len(text)]))
+    more = np.concatenate([text, np.zeros(100_000, np.uint8)])
+    both = suffix_dedup.anchors(more, np.array([0, len(text), len(more)]))
+    assert all((a == b[both[0] == 0]).all() for a, b in zip(alone, both, strict=True))
+
+
 def test_dedup_of_odd_documents(spark):
     docs = edge.documents(spark, clashing=True)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]

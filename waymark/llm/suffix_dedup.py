@@ -6,7 +6,8 @@ is first cut down, without loss, to small texts in which all equal windows meet:
 1. Each window of LENGTH bytes points to one anchor, the GRAM-byte piece in it of least hash (the
    leftmost of equals). Equal windows hold equal anchors at equal places.
 2. Anchors are dealt by hash, each with a hash of its context: all bytes that windows around it
-   can reach. Within equal anchors, a context that also occurs earlier is covered by it whole.
+   can reach. Within equal anchors, a context that also occurs earlier is covered by it whole; each
+   task settles that among its own before it sends first occurrences on.
    What is left are first occurrences of differing contexts. Every window holds its anchor and
    half of what it reaches beyond it on one side or the other, so contexts whose halves (32-bit
    hashes) no other context of the anchor has are left out: the edges of repeats remain.
@@ -14,8 +15,9 @@ is first cut down, without loss, to small texts in which all equal windows meet:
    Burrows-Wheeler transform, and extends all intervals backward breadth-first: level l finds
    every place where neighbouring suffixes share exactly l bytes, and the work stops at LENGTH.
    Suffixes that no level parted share a window; all but the earliest are covered.
-   An anchor with more than HOT differing contexts goes another exact way: its windows, by hash,
-   each keep the earliest start, aggregated map-side.
+   An anchor with more than HOT differing contexts (or occurrences, where a first count already
+   tells it) goes another exact way, so that none gathers in one task: its windows, by hash, each
+   keep the earliest start, aggregated map-side.
 4. What is covered is merged by document and cut out.
 """
 
@@ -36,6 +38,10 @@ LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM  # a window begins at most so far before its anchor
 #: An anchor with more differing contexts than this takes the way by window hashes.
 HOT = 32_768
+#: Hot anchors told to the tasks beforehand are so many at most.
+HOT_LIST = 1_000_000
+#: Bits of an anchor's hash and of its place that choose it; of equal ones the leftmost, whatever else a step holds.
+PLACE_BITS = np.uint64(32)
 #: Bytes of documents for a group of anchors, and of contexts for a group of suffixes.
 ANCHOR_GROUP, SUFFIX_GROUP = 16 << 20, 1 << 20
 #: Anchors that a task gathers before it sends them on.
@@ -76,7 +82,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     if n < length:
         return none, none, *[none.astype(np.uint64)] * 3
     grams = gram_values(data, gram)
-    bits = _U(max(1, n.bit_length()))
+    bits = PLACE_BITS
     least = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
     size = 1
     while size * 2 <= reach + 1:
@@ -107,8 +113,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
 # --- from documents to anchors, and from anchors to what is covered ------------
 
 PACKED = "key long, kind int, doc binary, at binary, hash binary, context binary, halves binary"
-#: Kinds of packed rows after step 2: covered as a whole; to compare by suffixes; by window hashes.
-COVERED, EDGE, HOT_EDGE = 0, 1, 2
+#: Kinds of packed rows: covered as a whole; to compare by suffixes; by window hashes; and, before step 2, to be met by anchor.
+COVERED, EDGE, HOT_EDGE, MEET = 0, 1, 2, 3
 
 
 def _packed(key: np.ndarray, kind: int, doc: np.ndarray, at: np.ndarray, value: np.ndarray, context: np.ndarray, halves: np.ndarray) -> dict[str, list]:
@@ -135,27 +141,62 @@ def _unpacked(group: pd.DataFrame) -> tuple[np.ndarray, ...]:
     return tuple(np.frombuffer(b"".join(group[name]), kind) for name, kind in kinds)
 
 
-def _send_anchors(groups: int, length: int, gram: int):
+def _gathered(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Document, place, anchor hash, context and halves of about GATHER anchors at a time."""
+    held: list[tuple[np.ndarray, ...]] = []
+    many = 0
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        for low, high, data, offsets in steps(*utf8(batch.column(1))):
+            row, *found = anchors(data, offsets, length, gram)
+            held.append((ids[low:high][row], *found))
+            many += len(row)
+            if many >= GATHER:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, many = [], 0
+    if many:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _first(doc: np.ndarray, at: np.ndarray, value: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by anchor, context, document and place, and which of the ordered are the first of their anchor and context."""
+    order = np.lexsort((at, doc, context, value))
+    value, context = value[order], context[order]
+    return order, np.append(True, (value[1:] != value[:-1]) | (context[1:] != context[:-1]))[: len(order)]
+
+
+def _send_anchors(groups: int, length: int, gram: int, hot: np.ndarray):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for low, high, data, offsets in steps(*utf8(batch.column(1))):
-                row, *found = anchors(data, offsets, length, gram)
-                held.append((ids[low:high][row], *found))
-                if sum(len(x[0]) for x in held) >= GATHER:
-                    yield flush(held)
-                    held = []
-        if held:
-            yield flush(held)
-
-    def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        doc, at, value, *more = (np.concatenate(x) for x in zip(*held, strict=True))
-        return _record(_packed((value % _U(groups)).astype(np.int64), 0, doc, at, value, *more))
+        for doc, at, value, context, halves in _gathered(batches, length, gram):
+            order, first = _first(doc, at, value, context)
+            later, first = order[~first], order[first]
+            is_hot = np.isin(value[first], hot)
+            ways = ((MEET, first[~is_hot]), (COVERED, later), (HOT_EDGE, first[is_hot]))
+            for kind, own in ways:
+                if not len(own):
+                    continue
+                key = value[own] if kind == MEET else mixed(doc[own].view(np.uint64))
+                more = [x[own] for x in (value, context, halves)]
+                more = more if kind == MEET else [more[0][: len(own) * (kind == HOT_EDGE)], more[1][:0], more[2][:0]]
+                yield _record(_packed((key % _U(groups)).astype(np.int64), kind, doc[own], at[own], *more))
 
     return send
 
 
+def hot_anchors(docs: DataFrame, length: int, gram: int, hot: int) -> np.ndarray:
+    """Anchors with more than `hot` occurrences among those that a task holds twice at once, HOT_LIST at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, value, context, _ in _gathered(batches, length, gram):
+            pairs = np.unique(np.stack([value, context]), axis=1)[0] if len(value) else value
+            found, times = np.unique(pairs, return_counts=True)
+            often = times > 1
+            yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(times[often])], names=["anchor", "times"])
+
+    counted = docs.select("n", "t").mapInArrow(tidy(count), "anchor long, times long").groupBy("anchor").agg(F.sum("times").alias("times"))
+    return np.array([r["anchor"] for r in counted.where(F.col("times") > hot).orderBy(F.desc("times"), "anchor").limit(HOT_LIST).collect()], np.int64).view(np.uint64)
+
+
 def _shared(anchor: np.ndarray, half: np.ndarray) -> np.ndarray:
     """Whether another entry of the same anchor has the same half (0 is none)."""
     order = np.lexsort((half, anchor))
@@ -168,21 +209,23 @@ def _shared(anchor: np.ndarray, half: np.ndarray) -> np.ndarray:
 
 def _meet_anchors(doc_groups: int, hot: int):
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        packed = _unpacked(group)
-        order = np.lexsort((packed[1], packed[0], packed[3], packed[2]))
+        packed = _unpacked(group[group["kind"] == MEET])
+        order, first = _first(*packed[:4])
         doc, at, value, context, halves = (x[order] for x in packed)
-        new = np.append(True, value[1:] != value[:-1])
-        first = new.copy()
-        first[1:] |= context[1:] != context[:-1]
+        new = np.append(True, value[1:] != value[:-1])[: len(value)]
         anchor = np.cumsum(new) - 1
         edge = np.zeros(len(doc), bool)
         edge[first] = _shared(anchor[first], halves[first] >> _U(32)) | _shared(anchor[first], halves[first] & _U(0xFFFFFFFF))
-        edges_of = np.bincount(anchor[edge], minlength=anchor[-1] + 1)[anchor]
+        edges_of = np.bincount(anchor[edge], minlength=int(new.sum()))[anchor]
+        ways = [(COVERED, doc[~first], at[~first], value[:0])]
+        ways += [(kind, doc[own], at[own], value[own]) for kind, own in ((EDGE, edge & (edges_of <= hot)), (HOT_EDGE, edge & (edges_of > hot)))]
+        for kind in (COVERED, HOT_EDGE):  # what the senders settled
+            d, a, v, *_ = _unpacked(group[group["kind"] == kind])
+            ways.append((kind, d, a, v))
         out = []
-        for kind, chosen in ((COVERED, ~first), (EDGE, edge & (edges_of <= hot)), (HOT_EDGE, edge & (edges_of > hot))):
-            d = doc[chosen]
+        for kind, d, a, v in ways:
             key = (mixed(d.view(np.uint64)) % _U(doc_groups)).astype(np.int64)
-            out.append(pd.DataFrame(_packed(key, kind, d, at[chosen], value[chosen] if kind else value[:0], value[:0], value[:0])))
+            out.append(pd.DataFrame(_packed(key, kind, d, a, v, value[:0], value[:0])))
         return pd.concat(out)
 
     return meet
@@ -394,14 +437,16 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     Bytes are those of the text in UTF-8; matches never cross documents. Each byte in a string of
     `length` bytes that also starts earlier (smaller key, or same document and earlier start) is
     removed; strings are judged on the input. Null text counts as empty; texts shorter than
-    `length` stay whole. Equal keys are ordered by text; null keys come last. Only key and text are
-    read, so other columns cannot clash; no rows in, no rows out.
+    `length` stay whole, and texts of any length are read whole. Equal keys are ordered by text; null
+    keys come last; keys may be of any type. Of equal rows all but one are earlier strings again.
+    Only key and text are read, so other columns cannot clash; no rows in, no rows out.
     """
     reach = length - gram
     docs = numbered(df.select(df[key].alias("k"), df[text].alias("t")), "n", "k", ["t"])
     total = docs.agg(F.coalesce(F.sum(F.octet_length("t").cast("long")), F.lit(0)).alias("b")).first()["b"]
     groups = groups_for(total, ANCHOR_GROUP)
-    sent = docs.select("n", "t").mapInArrow(tidy(_send_anchors(groups, length, gram)), PACKED)
+    often = hot_anchors(docs, length, gram, hot)
+    sent = docs.select("n", "t").mapInArrow(tidy(_send_anchors(groups, length, gram, often)), PACKED)
     met = sent.groupBy("key").applyInPandas(tidy(_meet_anchors(groups, hot)), PACKED)
     known = save(met.groupBy("key").applyInPandas(tidy(_by_document(reach, length)), "n long, low binary, high binary, edge binary, anchor binary, how binary"))
     sizes = "octet_length(low) + octet_length(high) + octet_length(edge) + octet_length(anchor) + octet_length(how) + 40"
