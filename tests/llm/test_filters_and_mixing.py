@@ -65,13 +65,13 @@ def test_model_tells_apart_what_it_has_seen(spark):
 def brute_fill(budget, nodes):
     """nodes: name -> (capacity, weight). Serves by rising capacity per weight."""
     out, left, weight = {}, budget, sum(w for _, w in nodes.values())
-    order = sorted(nodes, key=lambda n: (nodes[n][0] / nodes[n][1], n))
+    order = sorted(nodes, key=lambda n: (nodes[n][0] * 1_000_000 // nodes[n][1], n))
     for i, name in enumerate(order):
         cap, w = nodes[name]
         if cap * weight <= left * w:
             out[name], left, weight = cap, left - cap, weight - w
         else:
-            out |= {n: min(math.floor(float(left) * nodes[n][1] / weight), nodes[n][0]) for n in order[i:]}
+            out |= {n: min(left * nodes[n][1] // weight, nodes[n][0]) for n in order[i:]}
             break
     return out
 
@@ -108,6 +108,17 @@ def test_shortage_goes_to_siblings_first():
     assert filled == {"a": 10, "b": 30, "c": 60}
 
 
+def test_budgets_beyond_doubles_are_exact(spark):
+    leaves = [("d0", "en", "a", 3_000_000_000_000_001), ("d0", "de", "a", 7_000_000_000_000_003), ("d1", "en", "b", 900_000_000_000_007), ("d2", "x", "src0", 11)]
+    df = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long")
+    got = {r["domain"] + r["lang"]: r["grant"] for r in mixing.leaf_budgets(df, 0.5, 1, mixing.WEIGHTS, mixing.DEFAULT_WEIGHT).collect()}
+    total = math.floor(float(sum(x[3] for x in leaves)) * 0.5)
+    weight = lambda level, name: mixing.WEIGHTS[level].get(name, mixing.DEFAULT_WEIGHT)
+    top = brute_fill(total, {"d0": (10_000_000_000_000_004, 400_000), "d1": (900_000_000_000_007, 300_000), "d2": (11, 150_000)})
+    below = brute_fill(top["d0"], {"en": (3_000_000_000_000_001, weight("lang", "en")), "de": (7_000_000_000_000_003, weight("lang", "de"))})
+    assert got == {"d0en": below["en"], "d0de": below["de"], "d1en": top["d1"], "d2x": top["d2"]}
+
+
 def test_taken_keeps_rows_whole(spark):
     docs = edge.documents(spark, clashing=True)
     mixed = mixing.mix(docs)

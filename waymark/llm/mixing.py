@@ -55,18 +55,21 @@ def _fill(nodes: DataFrame, parents: list[str]) -> DataFrame:
     """Water-filling: budget, capacity and weight give each node of a parent its grant.
 
     A node is full if the level at which it and all fuller ones are served exceeds its capacity
-    per weight; the others share what is left by weight, rounded down to tokens.
+    per weight; the others share what is left by weight, rounded down to tokens. Products are of
+    whole numbers in decimals, so no budget is too large for them; capacities per weight are
+    ordered by their quotient in tokens and then their rest in millionths.
     """
-    order = [(F.col("capacity").cast("double") / F.col("weight")).asc(), F.col("name").asc()]
+    order = [F.expr("capacity div weight").asc(), F.expr("(capacity % weight) * 1000000 div weight").asc(), F.col("name").asc()]
     before = Window.partitionBy(*parents).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*parents)
     left = F.col("budget") - F.coalesce(F.sum("capacity").over(before), F.lit(0))
     weight_left = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     nodes = nodes.withColumns({"left": left, "weight_left": weight_left})
-    full = F.col("capacity").cast("double") * F.col("weight_left") <= F.col("left").cast("double") * F.col("weight")
+    full = F.expr("cast(capacity as decimal(19,0)) * cast(weight_left as decimal(19,0)) <= cast(`left` as decimal(19,0)) * cast(weight as decimal(19,0))")
     nodes = nodes.withColumn("full", full)
     open_left = F.max(F.when(~F.col("full"), F.struct("weight_left", "left"))).over(whole)
-    share = F.floor(open_left["left"].cast("double") * F.col("weight") / open_left["weight_left"])
+    nodes = nodes.withColumns({"open_left": open_left["left"], "open_weight": open_left["weight_left"]})
+    share = F.expr("cast(open_left as decimal(19,0)) * cast(weight as decimal(18,0)) div open_weight")
     grant = F.when(F.col("full"), F.col("capacity")).otherwise(F.least(share, F.col("capacity")))
     return nodes.withColumn("grant", grant.cast("long"))
 

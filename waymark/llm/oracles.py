@@ -12,12 +12,12 @@ def _weight(level: str, column: str) -> str:
 
 def _filled(name: str, source: str, parents: str) -> str:
     over = f"PARTITION BY {parents}" if parents else ""
-    before = f"{over} ORDER BY CAST(cap AS DOUBLE) / w, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    before = f"{over} ORDER BY cap // w, (cap % w) * 1000000 // w, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     return f"""{name}0 AS (SELECT *, budget - coalesce(sum(cap) OVER ({before}), 0) AS lft, sum(w) OVER ({over}) - coalesce(sum(w) OVER ({before}), 0) AS wl FROM {source}),
-{name}1 AS (SELECT *, CAST(cap AS DOUBLE) * wl <= CAST(lft AS DOUBLE) * w AS is_full FROM {name}0),
+{name}1 AS (SELECT *, CAST(cap AS HUGEINT) * wl <= CAST(lft AS HUGEINT) * w AS is_full FROM {name}0),
 {name}2 AS (SELECT *, max(CASE WHEN NOT is_full THEN wl END) OVER ({over}) AS owl FROM {name}1),
 {name}3 AS (SELECT *, max(CASE WHEN NOT is_full AND wl = owl THEN lft END) OVER ({over}) AS olft FROM {name}2),
-{name} AS (SELECT *, CAST(CASE WHEN is_full THEN cap ELSE least(floor(CAST(olft AS DOUBLE) * w / owl), cap) END AS BIGINT) AS granted FROM {name}3)"""
+{name} AS (SELECT *, CAST(CASE WHEN is_full THEN cap ELSE least(CAST(olft AS HUGEINT) * w // owl, cap) END AS BIGINT) AS granted FROM {name}3)"""
 
 
 NUMBER = "regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1)"
