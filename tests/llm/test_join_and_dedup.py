@@ -64,6 +64,7 @@ def near_copies(seed, n=300):
 @pytest.mark.parametrize(("seed", "tile"), [(1, 2048), (2, 7)])
 def test_classes_equal_brute_force(spark, monkeypatch, seed, tile):
     monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "LINK_TILE", tile)
     rows = near_copies(seed)
     got = ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_classes(rows)

@@ -22,7 +22,7 @@ same set form a class; classes are joined, not documents.
    yet joined.
    So no link between components is lost, and no group is expanded into all its pairs.
 5. Links. Every link lies within a component. The sets of each component (in size-banded tiles of
-   blocks, where there are more than TILE) meet once more under the same bound and the exact test,
+   blocks, where there are more than LINK_TILE) meet once more under the same bound and the exact test,
    and each set adds up the documents of the sets that it links with; only these sums leave a tile.
 
 A shingle that very many sets hold meets no more than a task's own part of them: what a task has
@@ -48,6 +48,8 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 BITS, BAND = 512, 0.75
 #: Sets of one tile beyond which it is cut into blocks, and rounds of leaders.
 TILE, ROUNDS = 2048, 2
+#: Sets of a block when links are counted: smaller, since every component has to be met whole.
+LINK_TILE = 512
 #: Shingles of a group of the first filter and of the later ones; rows that a task gathers before it sends them on.
 FILTER_GROUP, SHINGLE_GROUP, SET_GROUP, LEADER_GROUP, GATHER = 1_000_000, 500_000, 20_000, 30_000, 1 << 19
 #: A shingle in more than one of so many sets is hot; there are at most so many times the mean number of a set's shingles.
@@ -557,14 +559,14 @@ def _sum_tiles(group: pd.DataFrame) -> pd.DataFrame:
 def link_sums(members: DataFrame, arrays: DataFrame) -> DataFrame:
     """set_key, links: documents of other sets that a set links with. `members`: sets (set_key, docs) of components of several (component, held).
 
-    A component of up to TILE sets is a tile. A larger one is cut by band of size, and bands into
+    A component of up to LINK_TILE sets is a tile. A larger one is cut by band of size, and bands into
     blocks: kind 0 tiles have two blocks of a band (or one), kind 1 a block each of a band and the next.
     """
     size_band = F.floor(F.ln("n") / -math.log(BAND) + 1e-9).cast("int").alias("own_band")
     rows = save(members.join(arrays.select("set_key", "n", size_band).dropDuplicates(["set_key"]), "set_key"))
-    whole_ = rows.where(F.col("held") <= TILE).select("set_key", "component", "docs", "n", *(F.lit(0).alias(c) for c in ("band", "kind", "one", "two", "side")))
-    large = rows.where(F.col("held") > TILE).withColumn("cell", F.xxhash64("component", "own_band"))
-    cells = large.groupBy("component", "own_band", "cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    whole_ = rows.where(F.col("held") <= LINK_TILE).select("set_key", "component", "docs", "n", *(F.lit(0).alias(c) for c in ("band", "kind", "one", "two", "side")))
+    large = rows.where(F.col("held") > LINK_TILE).withColumn("cell", F.xxhash64("component", "own_band"))
+    cells = large.groupBy("component", "own_band", "cell").agg(F.ceil(F.count("*") / LINK_TILE).cast("int").alias("blocks"))
     beside = lambda step, name: cells.select("component", (F.col("own_band") - step).alias("own_band"), F.col("blocks").alias(name))
     cells = cells.join(beside(1, "above"), ["component", "own_band"], "left").join(beside(-1, "below"), ["component", "own_band"], "left").drop("component", "own_band")
     dealt = join_skewed(large, cells, "cell").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
