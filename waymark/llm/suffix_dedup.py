@@ -75,12 +75,9 @@ def window_values(grams: np.ndarray, starts: np.ndarray, length: int, gram: int)
     return total
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Row, place in the row, anchor hash, context hash and the hashes of both halves (32 bits each, 0: none) of every anchor."""
-    none = np.zeros(0, np.int64)
+def anchor_places(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the anchors, their rows, and the hash of the gram at every place."""
     n, reach = len(data), length - gram
-    if n < length:
-        return none, none, *[none.astype(np.uint64)] * 3
     grams = gram_values(data, gram)
     bits = PLACE_BITS
     least = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
@@ -89,10 +86,23 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
         least = np.minimum(least[:-size], least[size:])
         size *= 2
     least = np.minimum(least[: n - length + 1], least[reach + 1 - size : reach + 1 - size + n - length + 1])
+    places = (least & ((_U(1) << bits) - _U(1))).astype(np.int64)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     inside = row[: n - length + 1] == row[length - 1 :]
-    at = np.unique((least[inside] & ((_U(1) << bits) - _U(1))).astype(np.int64))
-    begin, end = offsets[row[at]], offsets[row[at] + 1]
+    seen = np.zeros(n, bool)
+    seen[places[inside]] = True
+    at = np.flatnonzero(seen)
+    return at, row[at], grams
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Row, place in the row, anchor hash, context hash and the hashes of both halves (32 bits each, 0: none) of every anchor."""
+    none = np.zeros(0, np.int64)
+    n, reach = len(data), length - gram
+    if n < length:
+        return none, none, *[none.astype(np.uint64)] * 3
+    at, row, grams = anchor_places(data, offsets, length, gram)
+    begin, end = offsets[row], offsets[row + 1]
     low, high = np.maximum(at - reach, begin), np.minimum(at + length, end)
     context = np.zeros(len(at), np.uint64)
     whole = (low == at - reach) & (high == at + length)
@@ -107,7 +117,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
         there = (start >= begin) & (stop <= end)
         side[there] = window_values(grams, start[there], gram + half, gram) >> _U(32) | _U(1)
         sides.append(side)
-    return row[at], at - begin, grams[at], context, sides[0] << _U(32) | sides[1]
+    return row, at - begin, grams[at], context, sides[0] << _U(32) | sides[1]
 
 
 # --- from documents to anchors, and from anchors to what is covered ------------
@@ -159,10 +169,12 @@ def _gathered(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
 
 
 def _first(doc: np.ndarray, at: np.ndarray, value: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order by anchor, context, document and place, and which of the ordered are the first of their anchor and context."""
-    order = np.lexsort((at, doc, context, value))
-    value, context = value[order], context[order]
-    return order, np.append(True, (value[1:] != value[:-1]) | (context[1:] != context[:-1]))[: len(order)]
+    """The order by anchor and context (as one hash), document and place, and which of the ordered are the first of their anchor and context."""
+    both = mixed(value ^ mixed(context))
+    rising = len(doc) < 2 or bool((doc[1:] >= doc[:-1]).all())  # places within a document rise anyway
+    order = np.argsort(both, kind="stable") if rising else np.lexsort((at, doc, both))
+    both = both[order]
+    return order, np.append(True, both[1:] != both[:-1])[: len(order)]
 
 
 def _send_anchors(groups: int, length: int, gram: int, hot: np.ndarray):
@@ -184,16 +196,36 @@ def _send_anchors(groups: int, length: int, gram: int, hot: np.ndarray):
 
 
 def hot_anchors(docs: DataFrame, length: int, gram: int, hot: int) -> np.ndarray:
-    """Anchors with more than `hot` occurrences among those that a task holds twice at once, HOT_LIST at most."""
+    """Anchors that more than `hot` times are seen beside something else by tasks that hold them twice at once, HOT_LIST at most.
+
+    They only choose a way; the result is the same whatever they are. A neighbourhood of three grams stands for the context.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, value, context, _ in _gathered(batches, length, gram):
-            pairs = np.unique(np.stack([value, context]), axis=1)[0] if len(value) else value
-            found, times = np.unique(pairs, return_counts=True)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        many = 0
+
+        def flush() -> pa.RecordBatch:
+            value, around = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, one = np.unique(mixed(value ^ around), return_index=True)
+            found, times = np.unique(value[one], return_counts=True)
             often = times > 1
-            yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(times[often])], names=["anchor", "times"])
+            return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(times[often])], names=["anchor", "times"])
 
-    counted = docs.select("n", "t").mapInArrow(tidy(count), "anchor long, times long").groupBy("anchor").agg(F.sum("times").alias("times"))
+        for batch in batches:
+            for _, _, data, offsets in steps(*utf8(batch.column(0))):
+                if len(data) < length:
+                    continue
+                at, _, grams = anchor_places(data, offsets, length, gram)
+                held.append((grams[at], grams[np.maximum(at - gram, 0)] ^ mixed(grams[np.minimum(at + gram, len(grams) - 1)])))
+                many += len(at)
+                if many >= GATHER:
+                    yield flush()
+                    held, many = [], 0
+        if many:
+            yield flush()
+
+    counted = docs.select("t").mapInArrow(tidy(count), "anchor long, times long").groupBy("anchor").agg(F.sum("times").alias("times"))
     return np.array([r["anchor"] for r in counted.where(F.col("times") > hot).orderBy(F.desc("times"), "anchor").limit(HOT_LIST).collect()], np.int64).view(np.uint64)
 
 
@@ -210,9 +242,11 @@ def _shared(anchor: np.ndarray, half: np.ndarray) -> np.ndarray:
 def _meet_anchors(doc_groups: int, hot: int):
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         packed = _unpacked(group[group["kind"] == MEET])
-        order, first = _first(*packed[:4])
+        order = np.lexsort((packed[1], packed[0], packed[3], packed[2]))
         doc, at, value, context, halves = (x[order] for x in packed)
         new = np.append(True, value[1:] != value[:-1])[: len(value)]
+        first = new.copy()
+        first[1:] |= context[1:] != context[:-1]
         anchor = np.cumsum(new) - 1
         edge = np.zeros(len(doc), bool)
         edge[first] = _shared(anchor[first], halves[first] >> _U(32)) | _shared(anchor[first], halves[first] & _U(0xFFFFFFFF))
