@@ -2,9 +2,11 @@
 
 import json
 
+import waymark
+from waymark.operators import metrics
 from waymark.operators.structured import StructuredRanker, pair_features
 from waymark.plans import jobs
-from waymark.sources import schema
+from waymark.sources import schema, screens
 
 
 def element(text="", ident="", kind="", clickable=True, **more):
@@ -43,8 +45,66 @@ def test_import_evaluate_summarize(spark, tmp_path):
     assert (total["dataset"], total["correct"], total["total"], total["top1"]) == ("tiny", 2, 4, "50.00%")
 
 
+def test_order_of_rows_does_not_depend_on_the_sizes_of_files(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for name, n in (("a", 1), ("b", 400), ("c", 3)):
+        rows = [{"query_id": f"{name}{i}", "target_candidates": [], "gold_candidate_id": None} for i in range(n)] + [{"query_id": "same", "target_candidates": [], "gold_candidate_id": name}]
+        (folder / f"{name}.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    queries = schema.load_queries(spark, str(folder))
+    assert [r["query_id"][0] for r in queries.where("query_id like '%0' or query_id like '%1'").orderBy("ord").collect()] == sorted(r["query_id"][0] for r in queries.where("query_id like '%0' or query_id like '%1'").collect())
+    made = spark.createDataFrame([("same", "c")], "query_id string, selected string")
+    assert metrics.top1_code(queries.withColumnRenamed("gold_candidate_id", "gold"), made).first()["correct"] == 1
+
+
+def test_unlabeled_queries_are_no_absent_targets(spark, tmp_path):
+    rows = [{"query_id": "n", "target_candidates": [], "gold_candidate_id": None}, {"query_id": "u", "target_candidates": []}, {"query_id": "c", "target_candidates": [], "gold_candidate_id": "x"}]
+    queries = schema.load_queries(spark, written(tmp_path, rows))
+    assert {r["query_id"]: r["gold_kind"] for r in queries.collect()} == {"n": "NULL", "u": "UNLABELED", "c": "CONCRETE"}
+    schema.write_jsonl(queries, str(tmp_path / "again"))
+    assert {r["query_id"]: r["gold_kind"] for r in schema.load_queries(spark, str(tmp_path / "again")).collect()} == {"n": "NULL", "u": "UNLABELED", "c": "CONCRETE"}
+    made = spark.createDataFrame([("n", "x", {}), ("u", "x", {}), ("c", "x", {})], "query_id string, selected_candidate_id string, scores map<string,double>")
+    row = jobs.evaluate(queries, made, "tiny", "test", "m").first()
+    assert (row["correct"], row["total"], row["gold_null"], row["false_positive"], row["false_positive_rate"]) == (1, 1, 1, 1, 1.0)
+
+
+def test_external_models_and_latency(spark, tmp_path):
+    def model(batches):
+        for batch in batches:
+            ids = [[c["candidate_id"] for c in json.loads(x)] for x in batch["candidates"]]
+            yield batch[["query_id"]].assign(selected_candidate_id=[i[-1] if i else None for i in ids], scores=[dict.fromkeys(i, 1.0) for i in ids])
+
+    queries = schema.load_queries(spark, written(tmp_path, ROWS))
+    took = spark.createDataFrame([(1.0,), (3.0,)], "ms double")
+    report = jobs.evaluate(queries, jobs.external(model), "tiny", "test", "last", "a.json", "warm", took)
+    total = jobs.summarize([report]).first()
+    assert (total["correct"], total["total"], total["abstain_accuracy"], total["mean_ms"], total["latency_setting"], total["artifact"]) == (2, 2, 1.0, 2.0, "warm", "a.json")
+
+
+def test_trees_screenshots_and_results(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "s1.xml").write_text('<hierarchy><node text="List" bounds="[0,0][10,10]"><node text="One" resource-id="id/1" clickable="true" bounds="[0,0][4,4]"/><node content-desc="Two" bounds="[4,0][8,4]"/></node></hierarchy>')
+    (tmp_path / "x" / "s2.xml").write_text("<node>")
+    (tmp_path / "x" / "s3.xml").write_text('<!DOCTYPE x [<!ENTITY a "b">]><node/>')
+    found = screens.load_trees(spark, str(tmp_path / "x"))
+    rows = {(r["screen_id"], r["node_id"]): r for r in screens.row_context(screens.parent_context(found)).collect()}
+    one, two = rows["s1.xml", "0.0.0"], rows["s1.xml", "0.0.1"]
+    assert (one["parent_text"], one["row_texts"], two["row_pos"], two["text"], one["clickable"], two["clickable"]) == ("List", ["One", "Two"], 1, "Two", True, None)
+    assert rows["s2.xml", None]["error"] and rows["s3.xml", None]["error"] == "document types are not read"
+    met = {(r["a"], r["b"], r["relation"]): (r["dx"], r["dy"]) for r in screens.relations(found).collect()}
+    assert met["0.0.0", "0.0.1", "next"] == (4.0, 0.0) and met["0.0", "0.0.0", "child"] == (-3.0, -3.0)
+    (tmp_path / "shot.png").write_bytes(b"12345")
+    assert screens.screenshots(spark, str(tmp_path / "shot.png")).first()["bytes"] == 5
+    (tmp_path / "r.json").write_text('[\n {"dataset": "d",\n "correct": 3}\n]')
+    assert (r := screens.load_results(spark, str(tmp_path / "r.json")).first())["correct"] == 3 and r["total"] is None
+
+
+def test_the_package_exports_its_row_types():
+    assert "target_candidates" in waymark.Query.names and "scores" in waymark.Prediction.names and "bbox" in waymark.Candidate.names
+
+
 def test_predictions_made_elsewhere(spark, tmp_path):
-    queries = schema.load_queries(spark, written(tmp_path, ROWS)).selectExpr("*", "0L AS ord")
+    queries = schema.load_queries(spark, written(tmp_path, ROWS))
     made = tmp_path / "made.jsonl"
     made.write_text('{"query_id": "q1", "selected_candidate_id": "b", "scores": {"b": 1.0}}\n{"query_id": "q3", "selected_candidate_id": null, "scores": {}}\n')
     row = jobs.evaluate(queries, schema.load_predictions(spark, str(made)), "tiny", "test", "external").first()

@@ -14,6 +14,12 @@ def last_queries(queries: DataFrame) -> DataFrame:
     return queries.withColumn("r", F.row_number().over(last)).where("r = 1").drop("r")
 
 
+def labeled(queries: DataFrame) -> DataFrame:
+    """last_queries() without those whose gold_kind, where there is one, is UNLABELED: no metric of absent targets may count these."""
+    last = last_queries(queries)
+    return last.where(F.coalesce(F.col("gold_kind"), F.lit("")) != "UNLABELED") if "gold_kind" in queries.columns else last
+
+
 def top1_code(queries: DataFrame, predictions: DataFrame) -> DataFrame:
     """correct, total and accuracy over predictions whose query has a gold id; repeated predictions each count, queries without one don't."""
     met = last_queries(queries).select("query_id", "gold").join(predictions.select("query_id", "selected"), "query_id").where("gold is not null")
@@ -22,8 +28,8 @@ def top1_code(queries: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 def top1_doc(queries: DataFrame, predictions: DataFrame) -> DataFrame:
-    """The share of all queries whose selected id is the gold one; absent targets are right where nothing is selected."""
-    met = last_queries(queries).join(predictions.select("query_id", "selected", F.lit(True).alias("made")), "query_id", "left")
+    """The share of all labeled queries whose selected id is the gold one; absent targets are right where nothing is selected."""
+    met = labeled(queries).join(predictions.select("query_id", "selected", F.lit(True).alias("made")), "query_id", "left")
     right = F.coalesce(F.col("made"), F.lit(False)) & F.col("selected").eqNullSafe(F.col("gold"))
     counts = met.agg(F.count_if(right).alias("correct"), F.count("*").alias("total"))
     return counts.withColumn("top1", ratio(F.col("correct"), F.col("total")))
@@ -31,7 +37,7 @@ def top1_doc(queries: DataFrame, predictions: DataFrame) -> DataFrame:
 
 def safety_counts(queries: DataFrame, predictions: DataFrame) -> DataFrame:
     """Counts by what was right and what was selected; every prediction is in one of them."""
-    met = last_queries(queries).select("query_id", "gold").join(predictions.select("query_id", "selected"), "query_id")
+    met = labeled(queries).select("query_id", "gold").join(predictions.select("query_id", "selected"), "query_id")
     absent, nothing = F.col("gold").isNull(), F.col("selected").isNull()
     return met.agg(
         F.count_if(~absent).alias("gold_concrete"), F.count_if(absent).alias("gold_null"),

@@ -17,7 +17,7 @@ from waymark.functions.report import format_percent
 from waymark.functions.scoring import softmax
 from waymark.operators import baselines, learned, losses, metrics, nearest, rank
 from waymark.sources import bindings as B
-from waymark.sources import schema
+from waymark.sources import schema, screens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -473,32 +473,20 @@ def two_layer(spark: SparkSession, d: str) -> DataFrame:
     return _best(scored.select("query_id", "pos", "candidate_id", "score"))
 
 
-NEAR = 20
+#: Queries are the vectors whose id divides by this: of embedding_match, and of embedding_nearest.
+OFTEN, ASKED = 10, 50
 
 
-@query(f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS candidate, a.label AS la, b.label AS lb, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
-  FROM (SELECT *, unnest(range(1, {NEAR} + 1)) AS k FROM embeddings) a JOIN embeddings b ON b.vec_id = a.vec_id + a.k)
-SELECT query_id, candidate, score, la = lb AS same_label FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate) AS r FROM p) WHERE r = 1""")
-def embedding_match(spark: SparkSession, d: str) -> DataFrame:
-    """Each vector's candidates are the {NEAR} that follow it, as a screen's are given."""
-    vectors = B.table(spark, d, "embeddings")
-    asked = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"), F.col("label").alias("la"), F.explode(F.sequence(F.lit(1), F.lit(NEAR))).alias("k"))
-    met = asked.withColumn("vec_id", F.col("query_id") + F.col("k")).join(vectors, "vec_id")
-    scored = met.select("query_id", F.col("vec_id").alias("pos"), F.round(X.cosine(F.col("e"), F.col("embedding")), 6).alias("score"), (F.col("la") == F.col("label")).alias("same_label"))
-    return rank.top(scored).select("query_id", F.col("pos").alias("candidate"), "score", "same_label")
-
-
-ASKED = 50
+def _nearest_sql(asked: int) -> str:
+    return f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS candidate, a.label = b.label AS same_label, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
+  FROM embeddings a JOIN embeddings b ON b.vec_id <> a.vec_id WHERE a.vec_id % {asked} = 0),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate) AS r FROM p WHERE score IS NOT NULL AND NOT isnan(score)) WHERE r = 1)
+SELECT e.vec_id AS query_id, candidate, score, same_label FROM embeddings e LEFT JOIN best ON best.query_id = e.vec_id WHERE e.vec_id % {asked} = 0"""
 
 
-@query(f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS candidate, a.label = b.label AS same_label, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
-  FROM embeddings a JOIN embeddings b ON b.vec_id <> a.vec_id WHERE a.vec_id % {ASKED} = 0),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate) AS r FROM p WHERE score IS NOT NULL AND NOT isnan(score)) WHERE r = 1)
-SELECT e.vec_id AS query_id, candidate, score, same_label FROM embeddings e LEFT JOIN best ON best.query_id = e.vec_id WHERE e.vec_id % {ASKED} = 0""")
-def embedding_nearest(spark: SparkSession, d: str) -> DataFrame:
-    """The best of all other vectors for every vector whose id divides by ASKED."""
+def _nearest(spark: SparkSession, d: str, asked_every: int) -> DataFrame:
     vectors = B.table(spark, d, "embeddings")
-    asked = vectors.where(F.col("vec_id") % ASKED == 0)
+    asked = vectors.where(F.col("vec_id") % asked_every == 0)
     pair = [F.col("vec_id").alias("id"), F.col("embedding").alias("e")]
     best = nearest.nearest(vectors.select(*pair), asked.select(*pair))
     found = asked.select(F.col("vec_id").alias("query_id"), F.col("label").alias("la")).join(best, "query_id", "left")
@@ -506,6 +494,18 @@ def embedding_nearest(spark: SparkSession, d: str) -> DataFrame:
     return found.join(labels, "candidate", "left").select("query_id", "candidate", "score", (F.col("la") == F.col("label")).alias("same_label"))
 
 
+@query(_nearest_sql(OFTEN))
+def embedding_match(spark: SparkSession, d: str) -> DataFrame:
+    """The best of all other vectors for every vector whose id divides by OFTEN."""
+    return _nearest(spark, d, OFTEN)
+
+
+@query(_nearest_sql(ASKED))
+def embedding_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The best of all other vectors for every vector whose id divides by ASKED."""
+    return _nearest(spark, d, ASKED)
+
+
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     candidates = _orders(spark, d, "l_quantity", "l_discount", "l_tax")[0]
     gold = B.order_gold(candidates).withColumnRenamed("gold", "candidate_id").withColumn("label", F.lit(1.0))
@@ -548,8 +548,7 @@ def jsonl_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     boxed = candidates.select("query_id", "pos", "candidate_id", _box().alias("bbox"), F.parse_json(F.lit("{}")).alias("metadata"))
     nested = rank.nest_variants(boxed)
     rows = queries.join(nested, "query_id", "left").select("query_id", F.parse_json(F.lit("{}")).alias("source"), "target_candidates", F.col("gold").alias("gold_candidate_id"))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/waymark-jsonl"
-    path = f"{folder}/queries-{uuid.uuid4().hex}"
+    path = f"{schema.scratch_folder(spark)}/queries-{uuid.uuid4().hex}"
     schema.write_jsonl(rows, path)
     back = schema.load_queries(spark, path)
     total = F.aggregate("target_candidates", F.lit(0.0), lambda a, c: a + c["bbox"]["x0"])
@@ -568,3 +567,40 @@ def external_predictions(spark: SparkSession, d: str) -> DataFrame:
     box = F.struct(x0.alias("x0"), F.lit(0.05).alias("y0"), (x0 + 0.3).alias("x1"), F.lit(0.35).alias("y1"))
     predicted = B.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("query_id"), box.alias("box"))
     return baselines.from_boxes(predicted, candidates.select("query_id", "pos", "candidate_id", "bbox"))
+
+
+@query(f"""WITH {CAND}, {GOLD}, k AS (SELECT query_id, CAST(query_id AS BIGINT) AS ord, CASE WHEN CAST(query_id AS BIGINT) % 5 = 0 THEN NULL ELSE gold END AS gold, CASE WHEN CAST(query_id AS BIGINT) % 5 = 0 THEN 'UNLABELED' WHEN gold IS NULL THEN 'NULL' ELSE 'CONCRETE' END AS kind FROM q),
+met AS (SELECT k.query_id, k.gold, k.kind, CASE WHEN k.ord % 3 = 0 THEN NULL ELSE k.query_id || '-1' END AS selected FROM k)
+SELECT kind AS gold_kind, count(*) AS queries, count(selected) AS selected, count(*) FILTER (WHERE kind <> 'UNLABELED' AND gold IS NULL AND selected IS NOT NULL) AS false_positive, count(*) FILTER (WHERE kind <> 'UNLABELED' AND gold IS NULL AND selected IS NULL) AS abstain_right FROM met GROUP BY kind""")
+def gold_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Orders divisible by 5 are unlabeled, written and read as JSON Lines; safety counts of each kind leave those out."""
+    candidates, queries = _orders(spark, d)
+    unlabeled = F.col("ord") % 5 == 0
+    kind = F.when(unlabeled, schema.UNLABELED).otherwise(schema.gold_kind(F.col("gold")))
+    rows = queries.select("query_id", F.parse_json(F.lit("{}")).alias("source"), F.lit(None).cast("array<struct<candidate_id string, bbox struct<x0 double, y0 double, x1 double, y1 double>, metadata variant>>").alias("target_candidates"), F.when(~unlabeled, F.col("gold")).alias("gold_candidate_id"), kind.alias("gold_kind"))
+    path = f"{schema.scratch_folder(spark)}/queries-{uuid.uuid4().hex}"
+    schema.write_jsonl(rows, path)
+    back = schema.load_queries(spark, path).select("query_id", "ord", F.col("gold_candidate_id").alias("gold"), "gold_kind")
+    made = back.select("query_id", F.when(F.col("query_id").cast("long") % 3 != 0, F.concat("query_id", F.lit("-1"))).alias("selected"), "gold_kind")
+    parts = []
+    for one in (schema.CONCRETE, schema.NULL, schema.UNLABELED):
+        own = made.where(F.col("gold_kind") == one)
+        counts = metrics.safety_counts(back, own).select("false_positive", "abstain_right")
+        parts.append(own.groupBy("gold_kind").agg(F.count("*").alias("queries"), F.count("selected").alias("selected")).crossJoin(F.broadcast(counts)))  # one row each
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(range(0, len(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)))) AS pos FROM pages)
+SELECT CAST(page_id AS VARCHAR) AS screen_id, '0.' || CAST(pos AS VARCHAR) AS node_id, href AS resource_id, 'page' AS parent_text, CAST(pos AS BIGINT) AS row_pos, count(*) OVER (PARTITION BY page_id) AS row_size, pos % 2 = 0 AS clickable, CAST(10 * pos - 45 AS DOUBLE) AS dx FROM l""")
+def screen_trees(spark: SparkSession, d: str) -> DataFrame:
+    """Pages' links written as XML trees and read back as nodes, with parent, row and layout against the parent."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    at = F.col("pos") * 10
+    node = F.concat(F.lit('<node class="a" resource-id="'), safe(F.col("href")), F.lit('" clickable="'), (F.col("pos") % 2 == 0).cast("string"), F.lit('" bounds="['), at.cast("string"), F.lit(",0]["), (at + 10).cast("string"), F.lit(',20]"/>'))
+    links = B.links(spark, d).select("page_id", F.struct("pos", node.alias("node")).alias("n"))
+    inside = F.concat_ws("", F.transform(F.array_sort(F.collect_list("n")), lambda x: x["node"]))
+    trees = links.groupBy("page_id").agg(F.concat(F.lit('<node text="page" bounds="[0,0][100,200]">'), inside, F.lit("</node>")).alias("xml"))
+    found = screens.nodes(trees.withColumnRenamed("page_id", "screen_id"))
+    row = screens.row_context(screens.parent_context(found)).where("parent_id is not null")
+    beside = screens.relations(found).where("relation = 'child'").select("screen_id", F.col("b").alias("node_id"), "dx")
+    return row.join(beside, ["screen_id", "node_id"]).select("screen_id", "node_id", F.coalesce("resource_id", F.lit("")).alias("resource_id"), "parent_text", F.col("row_pos").cast("long").alias("row_pos"), F.size("row_texts").cast("long").alias("row_size"), "clickable", "dx")

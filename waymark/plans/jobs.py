@@ -2,38 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions.report import format_percent
+from waymark.functions.scoring import ratio
 from waymark.operators import metrics
 from waymark.operators.rank import Matcher, flatten
 from waymark.sources import schema
 
 
 def import_dataset(spark: SparkSession, source: str, out: str) -> DataFrame:
-    """JSON Lines (a path or a registered name) to Parquet, in the order of the file; returns what validation finds."""
-    queries = schema.load_queries(spark, source).withColumn("ord", F.monotonically_increasing_id())
+    """JSON Lines (a path or a registered name) to Parquet, with each row's place in its file; returns what validation finds."""
+    queries = schema.load_queries(spark, source)
     queries.write.mode("overwrite").parquet(out)
     back = spark.read.parquet(out).withColumnRenamed("gold_candidate_id", "gold")
     nothing = spark.createDataFrame([], "query_id string, selected string")
     return schema.validate_queries(back, flatten(back), nothing)
 
 
-def evaluate(queries: DataFrame, matcher: Matcher | DataFrame, dataset: str, split: str, name: str) -> DataFrame:
-    """One report row; `matcher` makes predictions or is the predictions."""
+#: What a report row is reported under.
+KEY = ("dataset", "artifact", "split", "matcher", "latency_setting")
+COUNTS = ("correct", "total", "gold_null", "gold_concrete", "false_positive", "abstain_right", "wrong_target")
+
+
+def evaluate(queries: DataFrame, matcher: Matcher | DataFrame, dataset: str, split: str, name: str, artifact: str = "", latency_setting: str = "", latency: DataFrame | None = None) -> DataFrame:
+    """One report row; `matcher` makes predictions or is the predictions. `latency` has a column ms, one row for each call."""
     made = matcher if isinstance(matcher, DataFrame) else queries.transform(matcher)
     made = made.select("query_id", F.col("selected_candidate_id").alias("selected"))
-    gold = queries.select("query_id", "ord", F.col("gold_candidate_id").alias("gold"))
-    key = {"dataset": F.lit(dataset), "split": F.lit(split), "matcher": F.lit(name)}
-    accuracy, safety = metrics.top1_code(gold, made).withColumns(key), metrics.safety_rates(gold, made).withColumns(key)
-    return accuracy.join(safety, list(key))
+    gold = queries.select("query_id", "ord", F.col("gold_candidate_id").alias("gold"), *(c for c in ("gold_kind",) if c in queries.columns))
+    key = dict(zip(KEY, map(F.lit, (dataset, artifact, split, name, latency_setting)), strict=True))
+    counts = metrics.safety_counts(gold, made).drop("correct").withColumns(key)
+    row = metrics.top1_code(gold, made).withColumns(key).join(counts, list(KEY))
+    row = row.withColumns(_rates())
+    if latency is None:
+        return row.withColumns({"mean_ms": F.lit(None).cast("double"), "p95_ms": F.lit(None).cast("double")})
+    took = metrics.latency_summary(latency.withColumn("component", F.lit(name)), "component", "ms").select("mean_ms", "p95_ms")
+    return row.crossJoin(F.broadcast(took))  # one row each
+
+
+def _rates() -> dict:
+    rates = {"false_positive_rate": ("false_positive", "gold_null"), "abstain_accuracy": ("abstain_right", "gold_null"), "wrong_target_rate": ("wrong_target", "gold_concrete")}
+    return {name: ratio(F.col(a), F.col(b)) for name, (a, b) in rates.items()}
 
 
 def summarize(reports: list[DataFrame]) -> DataFrame:
-    """Report rows of one key added up, with accuracy as a percentage."""
+    """Report rows of one key added up: counts, safety rates, accuracy as a percentage, and the worst mean and 95th percentile of latency."""
     rows = reduce(DataFrame.unionByName, reports)
-    sums = rows.groupBy("dataset", "split", "matcher").agg(F.sum("correct").alias("correct"), F.sum("total").alias("total"))
-    return sums.withColumn("top1", format_percent(F.coalesce(F.try_divide("correct", "total"), F.lit(0.0))))
+    sums = rows.groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in COUNTS), F.max("mean_ms").alias("mean_ms"), F.max("p95_ms").alias("p95_ms"))
+    return sums.withColumns(_rates() | {"top1": format_percent(F.coalesce(F.try_divide("correct", "total"), F.lit(0.0)))})
+
+
+def external(model: Callable[[Iterator], Iterator]) -> Matcher:
+    """A matcher from a model outside Spark: a function over batches (pandas) of query_id, source (JSON) and candidates (JSON), to batches of query_id, selected_candidate_id and scores."""
+
+    def match(queries: DataFrame) -> DataFrame:
+        asked = queries.select("query_id", F.to_json("source").alias("source"), F.to_json("target_candidates").alias("candidates"))
+        return asked.mapInPandas(model, "query_id string, selected_candidate_id string, scores map<string,double>")
+
+    return match

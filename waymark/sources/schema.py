@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,13 +48,25 @@ def bbox_struct(box: Column) -> Column:
 
 
 def load_queries(spark: SparkSession, source: str) -> DataFrame:
-    """Queries from JSON Lines at a path or of a registered dataset; malformed lines raise."""
-    rows = spark.read.schema(QUERY_FILE).option("mode", "FAILFAST").json(REGISTRY.get(source, source))
+    """Queries from JSON Lines at a path or of a registered dataset; malformed lines raise.
+
+    ord is the row's place by file name, then place in the file, however files are read. A gold id
+    of null is an absent target, a line without the field is unlabeled.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")]
+    lines = spark.read.text(REGISTRY.get(source, source)).where(F.trim("value") != "").select("value", F.struct(*place).alias("ord"))
+    kinds = F.from_json("value", QUERY_FILE, {"mode": "FAILFAST"})
+    rows = lines.select(kinds.alias("q"), F.parse_json("value").alias("v"), "ord").select("q.*", "ord", gold_given(F.col("v")).alias("labeled"))
     boxed = F.transform(
         "target_candidates",
         lambda c: F.struct(c["candidate_id"].alias("candidate_id"), bbox_struct(c["bbox"]).alias("bbox"), c["metadata"].alias("metadata")),
     )
-    return rows.withColumns({"target_candidates": F.coalesce(boxed, F.array()), "gold_kind": gold_kind(F.col("gold_candidate_id"))})
+    return rows.withColumns({"target_candidates": F.coalesce(boxed, F.array()), "gold_kind": gold_kind(F.col("gold_candidate_id"), F.col("labeled"))}).drop("labeled")
+
+
+def gold_given(row: Column) -> Column:
+    """Whether a line (variant) has the gold field, be it null."""
+    return F.variant_get(row, "$.gold_candidate_id", "variant").isNotNull()
 
 
 def load_predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -65,7 +80,7 @@ def gold_kind(gold: Column, labeled: Column | None = None) -> Column:
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
-    """Rows as JSON Lines, bbox structs as arrays, absent fields left out."""
+    """Rows as JSON Lines, bbox structs as arrays; absent fields are left out but for the gold id, which is null unless unlabeled."""
     if "target_candidates" in df.columns:
         flat = F.transform(
             "target_candidates",
@@ -75,10 +90,23 @@ def write_jsonl(df: DataFrame, path: str) -> None:
                 c["metadata"].alias("metadata"),
             ),
         )
-        df = df.withColumn("target_candidates", flat).drop("gold_kind")
+        df = df.withColumn("target_candidates", flat)
+        kind = F.col("gold_kind") if "gold_kind" in df.columns else F.lit(NULL)
+        line = F.to_json(F.struct(*(c for c in df.columns if c not in ("gold_kind", "ord"))))
+        null = F.when(F.col("gold_candidate_id").isNull() & (kind != UNLABELED), F.concat(F.lit('{"gold_candidate_id":null,'), F.substring(line, F.lit(2), F.length(line))))
+        df.select(F.coalesce(null, line)).write.mode("overwrite").text(path)
+        return
     df.write.mode("overwrite").json(path)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; an own one only where driver and executors are one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return folder or "file://" + tempfile.mkdtemp(prefix="waymark-")
+
+
 def validate_queries(queries: DataFrame, candidates: DataFrame, predictions: DataFrame) -> DataFrame:
     """Violations (query_id, violation): repeated candidate ids, a gold id or a selected id that is no candidate, repeated queries, predictions without a query. Drops nothing."""
     ids = candidates.select("query_id", "candidate_id")
