@@ -4,18 +4,21 @@ import hashlib
 import math
 import os
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
 from tests.llm import edge
-from waymark.llm import mixing, ngram_join, pii, quality, queries, url_filter
+from waymark.llm import mixing, pii, quality, queries, url_filter
 
 DATA = "/root/testdata/sf0.001"
 
@@ -194,7 +197,7 @@ def brute_quality(docs, labels, seed="quality-1"):
     if fit is None:
         return [(k, round(s, 6), 0.0, True) for (k, _), s in zip(docs, sums, strict=True)]
     ratios = [s + fit.shift * len(g) for s, g in zip(sums, grams, strict=True)]
-    k_ = round(sum(1 / (1 + math.exp(-(fit.slope * r + fit.intercept))) for r in ratios))
+    k_ = round(sum(1 / (1 + math.exp(min(700, -(fit.slope * r + fit.intercept)))) for r in ratios))
     noise = lambda k: -math.log(-math.log((int(hashlib.md5(f"{seed}:{'-' if k is None else k}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48))
     weights = [fit.slope * r + noise(k) for (k, _), r in zip(docs, ratios, strict=True)]
     least = sorted(weights, reverse=True)[k_ - 1]
@@ -288,31 +291,88 @@ def test_query_equals_sql(spark, name):
 @pytest.fixture(scope="module")
 def small(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("tables"))
-    edge.documents(spark).write.parquet(f"{folder}/documents.parquet")
-    edge.labels(spark).write.parquet(f"{folder}/labels.parquet")
+    rng = random.Random(6)
+    word = lambda p: rng.choice(["the", "of", "river", "stone", "light", "call"]) if rng.random() < p else rng.choice(["BUY", "now", "###", "$$$"])
+    more = [(200 + i, " ".join(word(0.1 if i % 4 == 0 else 0.9) for _ in range(rng.randrange(4, 60))), "en", f"src{i % 3}", 0) for i in range(120)]
+    edge.documents(spark).union(spark.createDataFrame(more, edge.COLUMNS)).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    marks = [(200 + i, int(i % 4 > 0), 0) for i in range(120)]
+    edge.labels(spark).where("doc_id < 10 or doc_id is null").union(spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).write.parquet(f"{folder}/labels.parquet")
     return folder
 
 
-def test_pipeline_equals_its_stages_by_brute_force(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    labels = spark.read.parquet(f"{small}/labels.parquet")
-    kept = quality.keep_good(docs, labels).collect()
-    # one of each component, by brute force
+def brute_copies(rows):
+    """How often the mixture takes each (doc_id, text, lang, source)."""
+    weight = lambda level, name: {"domain": {"d0": 400_000, "d1": 300_000}, "lang": {"en": 500_000, "de": 250_000}, "source": {"src0": 200_000}}[level].get(name, 150_000)
+    number = lambda source: re.search("([0-9]{1,9})$", source or "")
+    leaf = [(f"d{int(number(s)[1]) % 4 if number(s) else 0}", lang or "-", "-" if s is None else s) for _, _, lang, s in rows]
+    n = [max(len(re.split("[ \t\n\r]+", (t or "").strip(" "))), 1) for _, t, _, _ in rows]
+    size = Counter()
+    for k, x in zip(leaf, n, strict=True):
+        size[k] += x
+    budgets = {(): min(math.floor(sum(n) * 0.5), 4 * sum(n))}
+    for depth, level in enumerate(("domain", "lang", "source")):
+        new = {}
+        for parent, budget in budgets.items():
+            below = Counter()
+            for k, x in size.items():
+                if k[:depth] == parent:
+                    below[k[depth]] += 4 * x
+            new |= {(*parent, name): b for name, b in brute_fill(budget, {name: (c, weight(level, name)) for name, c in below.items()}).items()}
+        budgets = new
+    key = [(hashlib.md5(f"mix-1:{budgets[k] // size[k]}:{'-' if r[0] is None else r[0]}".encode()).hexdigest(), x) for r, k, x in zip(rows, leaf, n, strict=True)]
+    out = []
+    for i, k in enumerate(leaf):
+        before = sum(n[j] for j in range(len(rows)) if leaf[j] == k and key[j] < key[i])
+        out.append(budgets[k] // size[k] + (before < budgets[k] % size[k]))
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, small):
     from tests.llm.test_join_and_dedup import brute_classes
+    from tests.llm.test_text_operators import brute_added, brute_spans
 
-    order = sorted(kept, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] is not None, r["text"] or ""))
-    heads = [i for i, n, c, _ in brute_classes([(i, r["text"]) for i, r in enumerate(order)]) if i == c]
-    unique = [order[i] for i in heads]
-    joined = ngram_join.one_of_each(spark.createDataFrame(kept, docs.schema)).collect()
-    assert sorted(map(str, joined)) == sorted(map(str, unique))
-    unique = spark.createDataFrame(unique, docs.schema)
-    clean = pii.redacted(unique, pii.learn(unique))
-    copies = Counter(r["doc_id"] for r in mixing.taken(clean).collect())
-    got = corpus_pipeline.run(spark, small)
-    assert Counter(r["doc_id"] for r in got.collect()) == copies
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect()]
+    marks = [tuple(r) for r in spark.read.parquet(f"{small}/labels.parquet").collect()]
+    kept = [r for r, q in zip(rows, brute_quality([r[:2] for r in rows], marks), strict=True) if q[3]]
+    assert len(kept) < len(rows)  # some go
+    order = sorted(kept, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or ""))
+    unique = [order[i] for i, _, c, _ in brute_classes([(i, r[1]) for i, r in enumerate(order)]) if i == c]
+    trees = pii.learn(spark.createDataFrame([(*r, None) for r in unique], docs.schema))
+
+    def clean(text):
+        if text is None:
+            return None
+        spans = sorted(brute_spans(text) + (brute_added(text, trees) if trees else []))
+        while spans:
+            out, at = "", 0
+            for a, k, b in spans:
+                out, at = (out + text[at:a] + f"[{('EMAIL', 'IP', 'CARD', 'PHONE')[k]}]" if a >= at else out), max(at, b)
+            text = out + text[at:]
+            spans = brute_spans(text)
+        return text
+
+    cleaned = [(r[0], clean(r[1]), *r[2:]) for r in unique]
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library.no_truncation()
+    library.no_padding()
+    want = []
+    for r, copies in zip(cleaned, brute_copies(cleaned), strict=True):
+        ids = library.encode(r[1] or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        want += [(r[0], r[2], r[3], len(ids), np.array(ids, "<u4").tobytes(), hashlib.sha256(decoded.encode()).hexdigest())] * copies
+    got = [(r["doc_id"], r["lang"], r["source"], r["n_tokens"], bytes(r["ids"]), r["decoded_sha256"]) for r in corpus_pipeline.run(spark, small).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 10
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "personal_data", "mixing", "encoding"]
 
 
+def test_every_stage_takes_clashing_names(spark, small):
+    docs = edge.documents(spark, clashing=True)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, small)
+        assert out.count() > 0 and (name == "encoding" or out.columns == docs.columns)
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     edge.none(spark).write.parquet(f"{tmp_path}/documents.parquet")
     edge.labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
