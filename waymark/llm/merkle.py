@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.llm.common import tidy
@@ -38,6 +38,8 @@ SECTION_END = "0"
 BLOCK_BYTES = 32 << 20
 #: So many rows for each block are chosen and every so manieth of them, in order, is a head: blocks come out even.
 DRAWN = 16
+#: Drawn keys that one task puts in order, about.
+RANGE = 1 << 16
 
 _pieces = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda x: rf"\U{int(x[1], 16):08x}", PIECES))
 
@@ -144,18 +146,22 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", block_b
     clash; an empty table gives no rows. A task holds two texts at a time, however long.
 
     The order is cut into blocks of about `block_bytes` at rows that a hash chooses (heads) and the
-    highest; only the keys drawn come to the driver, DRAWN for each block, as a range
-    partitioner's sample does. One shuffle deals the blocks to tasks; a head also goes to the end of the block
-    before it (the highest to the end of the last), so no task needs another's rows.
+    highest. DRAWN keys for each block are put in order by Spark and only every DRAWN-th of them, one
+    key for each block, comes to the driver, as a range partitioner's bounds do. One shuffle deals
+    the blocks to tasks; a head also goes to the end of the block before it (the highest to the end
+    of the last), so no task needs another's rows.
     """
     kind = df.schema[key].dataType.simpleString()
     docs = df.select(df[key].alias("k"), F.coalesce(df[text], F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
     place = F.struct(F.col("k").isNotNull().alias("there"), "k", "h")
     size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("t").cast("long")).alias("b"), F.max(place).alias("top")).first()
     spacing = max(1, size["n"] * block_bytes // max(size["b"] or 0, 1) // DRAWN)
-    chosen = docs.where(F.pmod(F.xxhash64(F.lit("head"), "k", "h"), F.lit(spacing)) == 0).select("k", "h").distinct().collect()
-    drawn = sorted(_place(r["k"], r["h"]) for r in chosen)[DRAWN - 1 :: DRAWN]
-    heads = sorted({*drawn, *([_place(size["top"]["k"], size["top"]["h"])] if size["n"] else [])})
+    drawn = docs.where(F.pmod(F.xxhash64(F.lit("head"), "k", "h"), F.lit(spacing)) == 0).select("k", "h").distinct()
+    rising = [F.col("k").isNotNull(), F.col("k"), F.col("h")]
+    ranges = drawn.repartitionByRange(1 + size["n"] // spacing // RANGE, *rising).withColumn("part", F.spark_partition_id())
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(*rising))
+    chosen = ranges.withColumn("nth", nth).where(F.col("nth") % DRAWN == 0).select("k", "h").collect()
+    heads = sorted({*(_place(r["k"], r["h"]) for r in chosen), *([_place(size["top"]["k"], size["top"]["h"])] if size["n"] else [])})
     dealt = docs.mapInArrow(tidy(_deal(heads)), f"k {kind}, t string, b int, copy int, h long")
     order = [F.col("b"), F.col("copy"), F.col("k").desc_nulls_last(), F.desc("h")]
     dealt = dealt.repartitionById(max(len(heads), 1), F.col("b")).sortWithinPartitions(*order).drop("h")
