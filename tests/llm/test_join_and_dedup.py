@@ -104,6 +104,16 @@ def test_a_line_in_every_document_stays_in_small_groups(spark, monkeypatch):
     assert sum(len(h) // 8 for h in batch["hashes"]) == len(shingles)
 
 
+def test_links_added_to_components_equal_those_of_all_links(spark):
+    first = [(1, 2), (2, 3), (10, 11), (20, 21), (30, 31), *((40, k) for k in range(41, 60))]
+    more = [(3, 11), (21, 30), (5, 6), (6, 60), (41, 42), *((59, k) for k in range(70, 90))]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    added = ngram_join.joined_by(frame(more), ngram_join.components(frame(first)))
+    at_once = ngram_join.components(frame(first + more))
+    assert sorted(map(tuple, added.collect())) == sorted(map(tuple, at_once.collect()))
+    assert dict(map(tuple, added.collect()))[11] == 1
+
+
 def test_sums_in_tiles_equal_all_pairs():
     rng = np.random.default_rng(3)
     base = np.unique(rng.integers(0, 1 << 60, 80, dtype=np.uint64))

@@ -437,7 +437,7 @@ def _links(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     return save(both.mapInArrow(tidy(_verified), "a long, b long"))
 
 
-def components(links_: DataFrame, start: DataFrame | None = None) -> DataFrame:
+def components(links_: DataFrame) -> DataFrame:
     """node, component (the least node reachable): least labels spread along links, then jump to the label's label.
 
     Each round writes its labels to the shared folder; rounds go with the logarithm of the longest path, about.
@@ -455,6 +455,18 @@ def components(links_: DataFrame, start: DataFrame | None = None) -> DataFrame:
         labels = new.select("node", "component")
 
 
+def joined_by(links_: DataFrame, joined: DataFrame) -> DataFrame:
+    """node, component of `joined` and the links together: only components that a link joins take part in further rounds."""
+    at = lambda side: joined.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+    ends = join_skewed(save(join_skewed(links_, at("a"), "a", "left")), at("b"), "b", "left")
+    ends = save(ends.select("a", "b", F.coalesce("c_a", "a").alias("c_a"), F.coalesce("c_b", "b").alias("c_b")))
+    merged = components(ends.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).where("a <> b").distinct())
+    fresh = ends.where("a = c_a").select("a").union(ends.where("b = c_b").select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("component"))
+    nodes = save(joined.union(fresh.join(joined.select("node"), "node", "left_anti")))
+    further = merged.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    return save(join_skewed(nodes, further, "component", "left").select("node", F.coalesce("least", "component").alias("component")))
+
+
 def _led(rare: DataFrame, arrays: DataFrame, joined: DataFrame | None) -> DataFrame:
     """Links (a, b) from one round of leaders, among the first sets of the components that hold a shingle."""
     heads = rare
@@ -617,12 +629,13 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", count_links:
     counted = arrays.select("set_key", "n", "hashes").mapInArrow(tidy(_all_shingles(groups, hot)), POSTINGS).groupBy("g").applyInPandas(tidy(_frequencies(groups)), BY_SET)
     rare = save(counted.groupBy("g").applyInPandas(tidy(_rare_prefixes), "hash long, set_key long"))
     # 3 and 4: links enough to join what links
-    joined, found = None, None
+    joined = None
     for step in (*[_led] * ROUNDS, _apart):
         new = step(rare, arrays, joined)
-        if joined is None or not new.isEmpty():
-            found = new if found is None else found.unionByName(new)
-            joined = components(found)
+        if joined is None:
+            joined = components(new)
+        elif not new.isEmpty():
+            joined = joined_by(new, joined)
     # components by name, for sets and then for documents
     placed = sets.join(joined.select(F.col("node").alias("set_key"), "component"), "set_key", "left")
     placed = save(placed.select("set_key", "least", "docs", F.coalesce("component", "set_key").alias("component")))
