@@ -9,8 +9,9 @@ whole tokens, by window functions over the few nodes of the tree.
 Each leaf then takes a token-prefix of its documents in a seeded order: whole epochs first, then
 the prefix of one more epoch. A prefix ends with the document that reaches the budget, so a leaf
 overshoots by less than one document. A hot leaf is not sorted by one task: tokens are summed by
-(leaf, bucket of the hash order), a window runs over the bounded number of buckets, and only the
-one bucket of each leaf in which the budget ends is ordered by document.
+(leaf, bucket of the hash order), windows run over bounded numbers of bins and of buckets, the one
+bucket in which the budget ends is cut into buckets again, and only what is left of the leaf, 1 of
+4096 * 4096, is ordered by document.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ SEED = "mix-1"
 #: Weights in millionths by level and name; names not listed weigh DEFAULT_WEIGHT.
 WEIGHTS = {"domain": {"d0": 400_000, "d1": 300_000}, "lang": {"en": 500_000, "de": 250_000}, "source": {"src0": 200_000}}
 DEFAULT_WEIGHT = 150_000
-#: Hex digits of the order key that name a bucket: 16 ** BUCKET_DIGITS buckets for each leaf.
-BUCKET_DIGITS = 3
+#: First and number of the hex digits of the order key that name a bucket in each round: BINS ** 2 buckets for each leaf.
+ROUNDS = ((1, 3), (4, 3))
+#: Buckets are summed by BINS first, so that no window over a leaf has more rows than these.
+BINS = 64
 LEVELS = ("domain", "lang", "source")
 
 
@@ -98,6 +101,22 @@ def _order_key(seed: str, epoch: Column, doc_id: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("-"))).cast("binary"))
 
 
+def _end_of_rest(sums: DataFrame, leaf: list[str]) -> DataFrame:
+    """The bucket of each leaf in which its rest ends, with the tokens before it.
+
+    `sums` has rest, before, bucket and n; the leaf's bins are walked first, then the buckets of one bin.
+    """
+
+    def ending(rows: DataFrame, place: str) -> DataFrame:
+        earlier = Window.partitionBy(*leaf).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        return rows.where("before < rest and rest <= before + n").select(*leaf, place, "before")
+
+    sums = sums.withColumn("bin", F.floor(F.col("bucket") / BINS).cast("int"))
+    bins = sums.groupBy(*leaf, "rest", "before", "bin").agg(F.sum("n").alias("n"))
+    return ending(sums.drop("before").join(ending(bins, "bin"), [*leaf, "bin"]), "bucket")
+
+
 def mix(
     docs: DataFrame,
     share: float = SHARE,
@@ -125,18 +144,17 @@ def mix(
             *leaf, F.floor(F.col("grant") / F.col("tokens")).cast("long").alias("full_epochs"), (F.col("grant") % F.col("tokens")).alias("rest")
         )
     )
-    # where in the order of each leaf the rest ends: bucket first, then document
+    # where in the order of each leaf the rest ends: bucket, bucket in that bucket, then document
     size = "length(domain) + length(lang) + length(source) + 60"
-    keyed = join_checked(narrow, grants.where("rest > 0"), leaf, "inner", size).withColumn("key", _order_key(seed, F.col("full_epochs"), F.col("doc_id")))
-    keyed = keyed.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
-    sums = keyed.groupBy(*leaf, "bucket", "rest").agg(F.sum("n").alias("n"))
-    before = Window.partitionBy(*leaf).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    ends = save(sums.where("before < rest and rest <= before + n").select(*leaf, "bucket", "before"))
+    keyed = join_checked(narrow, grants.where("rest > 0"), leaf, "inner", size)
+    keyed = keyed.select(*leaf, "rest", "n", _order_key(seed, F.col("full_epochs"), F.col("doc_id")).alias("key"), F.lit(0).cast("long").alias("before"))
+    for first, digits in ROUNDS:
+        keyed = keyed.withColumn("bucket", F.conv(F.substring("key", first, digits), 16, 10).cast("int"))
+        ends = save(_end_of_rest(save(keyed.groupBy(*leaf, "rest", "before", "bucket").agg(F.sum("n").alias("n"))), leaf))
+        keyed = save(join_checked(keyed.drop("before"), ends, [*leaf, "bucket"], "inner", size).drop("bucket"))
     within = Window.partitionBy(*leaf).orderBy("key", "n").rowsBetween(Window.unboundedPreceding, -1)
     cuts = (
-        join_checked(keyed, ends, [*leaf, "bucket"], "inner", size)
-        .withColumn("so_far", F.col("before") + F.coalesce(F.sum("n").over(within), F.lit(0)))
+        keyed.withColumn("so_far", F.col("before") + F.coalesce(F.sum("n").over(within), F.lit(0)))
         .where("so_far < rest")
         .groupBy(*leaf)
         .agg(F.max(F.struct("key", "n")).alias("cut"))
