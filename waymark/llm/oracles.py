@@ -153,3 +153,75 @@ SELECT le.doc_id, CAST(length(x) AS BIGINT) AS n_chars, sha256(z) AS edited_sha2
   {_near("z", "o", "p.both")} AS near_edited, {_near("y", "m", "q.both")} AS near_next
 FROM le JOIN trees USING (doc_id) LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)
 """
+
+
+#: Words, pieces and counts of phrases as the contract has them.
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_FOLDED = f"translate(coalesce(text, ''), '{_UP}', '{_LOW}')"
+PHRASES = f"""
+WITH pieces AS (SELECT lang, s, row_number() OVER () AS pid FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_FOLDED}, '[.,;:!?\\x0A-\\x0D]')) AS s FROM documents)),
+lists AS (SELECT lang, pid, list_filter(string_split_regex(s, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+words AS (SELECT lang, pid, unnest(ws) AS w1, generate_subscripts(ws, 1) AS i FROM lists),
+rows5 AS (SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(w1, 3) OVER o AS w4, lead(w1, 4) OVER o AS w5 FROM words WINDOW o AS (PARTITION BY pid ORDER BY i)),
+f AS (
+  SELECT lang, w1 AS phrase, 1 AS k, count(*) AS a FROM rows5 GROUP BY ALL
+  UNION ALL SELECT lang, w1 || ' ' || w2, 2, count(*) FROM rows5 WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, 3, count(*) FROM rows5 WHERE w3 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, 4, count(*) FROM rows5 WHERE w4 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5, 5, count(*) FROM rows5 WHERE w5 IS NOT NULL GROUP BY ALL
+),
+total AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
+cand AS (SELECT lang, phrase, k, a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2 AND a >= 100),
+spans AS (SELECT lang, ws, k, a, i, unnest(range(i + 1, least(k, i + k - 2) + 1)) AS j FROM (SELECT *, unnest(range(1, k)) AS i FROM cand WHERE k >= 3)),
+inside AS (SELECT lang, array_to_string(list_slice(ws, i, j), ' ') AS phrase, max(a) AS longer FROM spans WHERE j - i + 1 < k GROUP BY ALL),
+kept AS (SELECT cand.* FROM cand LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a),
+cuts AS (SELECT lang, phrase, a, c, array_to_string(list_slice(ws, 1, c), ' ') AS head, array_to_string(list_slice(ws, c + 1, k), ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS c FROM kept)),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, c, x.a AS l, y.a AS r, n, CAST((CAST(1000 AS HUGEINT) * cuts.a * n) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = tail JOIN total ON total.lang = cuts.lang
+),
+least_cut AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM least_cut)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
+def _vector_codes() -> str:
+    near = lambda books: f"SELECT x.rid, x.p, min(((x.c1 - b.c1) * (x.c1 - b.c1) + (x.c2 - b.c2) * (x.c2 - b.c2) + (x.c3 - b.c3) * (x.c3 - b.c3) + (x.c4 - b.c4) * (x.c4 - b.c4)) * 64 + b.e) AS k FROM parts x JOIN {books} b ON b.p = x.p GROUP BY x.rid, x.p"
+    down = lambda c: f"coalesce((m.s{c} - ((m.s{c} % m.n) + m.n) % m.n) // m.n, b.c{c}) AS c{c}"
+    ctes = []
+    for i in (1, 2):
+        ctes.append(f"near{i} AS ({near(f'book{i - 1}')})")
+        ctes.append(f"mean{i} AS (SELECT p, k % 64 AS e, count(*) AS n, {', '.join(f'CAST(sum(c{c}) AS BIGINT) AS s{c}' for c in (1, 2, 3, 4))} FROM near{i} JOIN parts USING (rid, p) GROUP BY p, k % 64)")
+        ctes.append(f"book{i} AS (SELECT b.p, b.e, {', '.join(map(down, (1, 2, 3, 4)))} FROM book{i - 1} b LEFT JOIN mean{i} m ON m.p = b.p AND m.e = b.e)")
+    return f"""
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS z FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+),
+parts AS (SELECT rid, vec_id, p, z[4 * p + 1] AS c1, z[4 * p + 2] AS c2, z[4 * p + 3] AS c3, z[4 * p + 4] AS c4 FROM v, (SELECT unnest(range(16)) AS p)),
+book0 AS (SELECT p, e, c1, c2, c3, c4 FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM parts) WHERE e < 64),
+{", ".join(ctes)},
+last AS ({near("book2")}),
+coded AS (SELECT rid, string_agg(printf('%02x', k % 64), '' ORDER BY p) AS code, CAST(sum(k // 64) AS BIGINT) AS error FROM last GROUP BY rid),
+labels_ AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM coded JOIN v USING (rid) GROUP BY label),
+digest AS (SELECT sha256(string_agg(CAST(c1 AS VARCHAR) || ',' || CAST(c2 AS VARCHAR) || ',' || CAST(c3 AS VARCHAR) || ',' || CAST(c4 AS VARCHAR), ',' ORDER BY p, e)) AS d FROM book2)
+SELECT vec_id, code, error, label_error, (SELECT d FROM digest) AS codebooks_sha256 FROM coded JOIN v USING (rid) JOIN labels_ ON labels_.label IS NOT DISTINCT FROM v.label
+"""
+
+
+VECTOR_CODES = _vector_codes()
+_LISTED = f"list_filter(string_split_regex({_FOLDED}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+DECONTAMINATION = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {_LISTED} AS ws FROM documents),
+items AS (SELECT item_id, {_LISTED} AS ws FROM benchmark),
+wins AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(list_slice(ws, i, i + 9), ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM items WHERE len(ws) > 0)),
+words AS (SELECT rid, len(ws) AS total, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM docs),
+ten AS (SELECT rid, total, i, [w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o, lead(w, 5) OVER o, lead(w, 6) OVER o, lead(w, 7) OVER o, lead(w, 8) OVER o, lead(w, 9) OVER o] AS t FROM words WINDOW o AS (PARTITION BY rid ORDER BY i)),
+sized AS (SELECT rid, i, n, array_to_string(list_slice(t, 1, n), ' ') AS g FROM ten, (SELECT DISTINCT n FROM wins) WHERE i + n - 1 <= total),
+hits AS (SELECT DISTINCT rid, i, n, item_id FROM sized JOIN wins USING (n, g)),
+counted AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT rid, i, n FROM hits)) GROUP BY rid),
+named AS (SELECT rid, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS x FROM hits WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN counted USING (rid) LEFT JOIN named USING (rid)
+"""

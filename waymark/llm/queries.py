@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, lm_scoring, media, merkle, mixing, ngram_join, oracles, pii, quality, suffix_dedup, url_filter
+from waymark.llm import bpe, decontaminate, lm_scoring, media, merkle, mixing, ngram_join, oracles, phrases, pii, quality, suffix_dedup, url_filter, vector_codes
 from waymark.llm.common import small_batches
 
 
@@ -85,6 +85,20 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+    return coded.select("row.vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_url_filter": op2_url_filter,
@@ -96,8 +110,12 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_phrase_mining": op11_phrase_mining,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_decontamination": op13_decontamination,
     "lm_scoring_order3": lm_scoring_order3,
     "merkle_content": merkle_content,
 }
 
-ORACLES = {"op1_lm_scoring": lm_scoring.ORACLE, "lm_scoring_order3": lm_scoring.ORACLE, "op2_url_filter": oracles.URL_FILTER, "op4_mixing": oracles.MIXING, "op6_ngram_join": oracles.NGRAM_JOIN, "op7_merkle": oracles.MERKLE, "merkle_content": oracles.MERKLE, "op10_suffix_dedup": oracles.SUFFIX_DEDUP}
+ORACLES = {"op1_lm_scoring": lm_scoring.ORACLE, "lm_scoring_order3": lm_scoring.ORACLE, "op2_url_filter": oracles.URL_FILTER, "op4_mixing": oracles.MIXING, "op6_ngram_join": oracles.NGRAM_JOIN, "op7_merkle": oracles.MERKLE, "merkle_content": oracles.MERKLE, "op10_suffix_dedup": oracles.SUFFIX_DEDUP,
+           "op11_phrase_mining": oracles.PHRASES, "op12_vector_codes": oracles.VECTOR_CODES, "op13_decontamination": oracles.DECONTAMINATION}
