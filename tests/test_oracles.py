@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from waymark.plans import catalog
+from waymark.plans import catalog, learning  # noqa: F401  learning registers its queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -7,7 +7,6 @@ doubles are rounded to 6 digits on both sides.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,24 +15,11 @@ from waymark.functions import features as X
 from waymark.functions.report import format_percent
 from waymark.functions.scoring import softmax
 from waymark.operators import baselines, learned, losses, metrics, nearest, rank
+from waymark.plans.registry import ORACLES, QUERIES, query
 from waymark.sources import bindings as B
 from waymark.sources import schema, screens
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query, and the SQL that must give the same rows."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["ORACLES", "QUERIES"]
 
 # --- shared SQL -----------------------------------------------------------------------
 
