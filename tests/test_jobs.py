@@ -87,7 +87,7 @@ def test_trees_screenshots_and_results(spark, tmp_path):
     (tmp_path / "x" / "s2.xml").write_text("<node>")
     (tmp_path / "x" / "s3.xml").write_text('<!DOCTYPE x [<!ENTITY a "b">]><node/>')
     found = screens.load_trees(spark, str(tmp_path / "x"))
-    rows = {(r["screen_id"], r["node_id"]): r for r in screens.row_context(screens.parent_context(found)).collect()}
+    rows = {(r["screen_id"].rsplit("/", 1)[-1], r["node_id"]): r for r in screens.row_context(screens.parent_context(found)).collect()}
     one, two = rows["s1.xml", "0.0.0"], rows["s1.xml", "0.0.1"]
     assert (one["parent_text"], one["row_texts"], two["row_pos"], two["text"], one["clickable"], two["clickable"]) == ("List", ["One", "Two"], 1, "Two", True, None)
     assert rows["s2.xml", None]["error"] and rows["s3.xml", None]["error"] == "document types are not read"

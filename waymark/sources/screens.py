@@ -54,11 +54,58 @@ def nodes(trees: DataFrame) -> DataFrame:
 
 
 def load_trees(spark: SparkSession, path: str) -> DataFrame:
-    """Nodes of the XML files at a path; a screen is named by its file."""
-    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("screen_id"), F.col("value").alias("xml"))
+    """Nodes of the XML files at a path; a screen is named by its file's whole path."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("screen_id"), F.col("value").alias("xml"))
     return nodes(files)
 
 
+#: What is no element in a page, its tags, and elements that hold nothing or end where the next of their kind begins.
+NO_TAGS = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
+TAG = "<(/?[a-zA-Z][a-zA-Z0-9]*)[^>]*>"
+EMPTY_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+ENDING_TAGS = ("li", "p")
+
+
+def _elements(tags: list[str]) -> Iterator[tuple[str, str | None, int, str, int]]:
+    """node_id, parent_id, pos, tag and ord (place among the tags) of a page's elements; an end tag without a start counts for nothing."""
+    open_: list[list] = []  # path, tag, children so far
+    roots = 0
+    for at, tag in enumerate(tags):
+        if tag.startswith("/"):
+            name = tag[1:]
+            last = next((i for i in reversed(range(len(open_))) if open_[i][1] == name), None)
+            if last is not None:
+                del open_[last:]
+            continue
+        if tag in ENDING_TAGS and open_ and open_[-1][1] == tag:
+            open_.pop()
+        above = open_[-1] if open_ else None
+        pos = above[2] if above else roots
+        path = f"{above[0]}.{pos}" if above else str(pos)
+        if above:
+            above[2] += 1
+        else:
+            roots += 1
+        yield path, above[0] if above else None, pos, tag, at
+        if tag not in EMPTY_TAGS:
+            open_.append([path, tag, 0])
+
+
+def html_nodes(pages: DataFrame) -> DataFrame:
+    """Elements of web pages (screen_id, html) as nodes with tag and ord. A task holds one page's tags at a time."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32()]
+        for batch in batches:
+            for screen, tags in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if rows := [(screen, *r) for r in _elements(tags)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["screen_id", "node_id", "parent_id", "pos", "tag", "ord"])
+
+    bare = F.regexp_replace(F.coalesce("html", F.lit("")), NO_TAGS, "")
+    tags = F.transform(F.regexp_extract_all(bare, F.lit(TAG), F.lit(1)), lambda t: F.lower(t))
+    return pages.select(F.col("screen_id").cast("string").alias("screen_id"), tags.alias("tags")).mapInArrow(parse, "screen_id string, node_id string, parent_id string, pos int, tag string, ord int")
+
+
 def edges(found: DataFrame) -> DataFrame:
     """screen_id, a, b, relation: child (a holds b) and next (b follows a under one parent)."""
     child = found.where("parent_id is not null").select("screen_id", F.col("parent_id").alias("a"), F.col("node_id").alias("b"), F.lit("child").alias("relation"))
