@@ -13,8 +13,8 @@ drops those of k + 1 words into 2^BITS hash buckets:
 * Pass 2 also writes down the runs of words that can still hold three words (trimming); later passes
   read these alone.
 
-Bitmaps only ever keep too much; what is returned was counted exactly. Each task merges counts
-within runs of CHUNK bytes of text, so a very common phrase costs a row for each chunk. Beyond some 10^11 words
+Bitmaps only ever keep too much; what is returned was counted exactly. Each task merges its
+counts, HELD at a time, so a very common phrase costs a row for each task. Beyond some 10^11 words
 all buckets fill and only the Apriori bitmaps and exact counting prune; results stay the same.
 
 A phrase is cut where it scores lowest: with a uses of the phrase, l and r of the two parts and n words in
@@ -45,8 +45,10 @@ SUPPORT, LONGEST, ABSORB, TOP = 100, 5, 100, 2000
 MARKS = b".,;:!?\n\x0b\x0c\r"
 #: Buckets are 2^BITS, in groups of 2^LOW; a bitmap has 2^BITS / 8 bytes.
 BITS, LOW = 26, 15
-#: Bytes of text, and of hashes of trimmed runs, within which a task merges counts; hashes in one row of a trimmed run.
+#: Bytes of text, and of hashes of trimmed runs, that are counted at once; hashes in one row of a trimmed run.
 CHUNK, RUN = 8 << 20, 1 << 17
+#: Counts that a task holds; beyond that, and if merging doesn't halve them, it hands them on.
+HELD = 1 << 20
 
 _U = np.uint64
 
@@ -117,14 +119,64 @@ def _rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, KIND[c])) for c in NAMES], names=NAMES)
 
 
-def _buckets(hashes: np.ndarray, support: int) -> pa.RecordBatch:
-    """How often each bucket came, up to `support`: a row for each group of buckets."""
-    bucket, times = np.unique((hashes & _U((1 << BITS) - 1)).astype(np.int64), return_counts=True)
-    group = bucket >> LOW
-    edges = [*np.flatnonzero(np.diff(group, prepend=-1)).tolist(), len(bucket)]
-    low, times = (bucket & ((1 << LOW) - 1)).astype(np.uint16), np.minimum(times, support).astype(np.uint16)
-    cut = [(a, b) for a, b in pairwise(edges)]
-    return _rows(g=[int(group[a]) for a, _ in cut], places=[low[a:b].tobytes() for a, b in cut], counts=[times[a:b].tobytes() for a, b in cut])
+class Buckets:
+    """How often each bucket came in a task, up to `support`; handed on as a row for each group of buckets."""
+
+    def __init__(self, support: int) -> None:
+        self.support, self.parts, self.size = support, [], 0
+
+    def add(self, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append(np.unique((hashes & _U((1 << BITS) - 1)).astype(np.int64), return_counts=True))
+        self.size += len(self.parts[-1][0])
+        if self.size > HELD:
+            self.parts = [self.merged()]
+            self.size = len(self.parts[0][0])
+            if self.size > HELD // 2:
+                yield from self.rest()
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        bucket, place = np.unique(np.concatenate([b for b, _ in self.parts]), return_inverse=True)
+        return bucket, np.bincount(place, np.concatenate([n for _, n in self.parts]), len(bucket)).astype(np.int64)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            bucket, times = self.merged()
+            self.parts, self.size = [], 0
+            group = bucket >> LOW
+            edges = [*np.flatnonzero(np.diff(group, prepend=-1)).tolist(), len(bucket)]
+            low, times = (bucket & ((1 << LOW) - 1)).astype(np.uint16), np.minimum(times, self.support).astype(np.uint16)
+            cut = [(a, b) for a, b in pairwise(edges)]
+            yield _rows(g=[int(group[a]) for a, _ in cut], places=[low[a:b].tobytes() for a, b in cut], counts=[times[a:b].tobytes() for a, b in cut])
+
+
+class Counts:
+    """Exact counts of a task's phrases: rows with gram and n, those of one gram merged."""
+
+    def __init__(self) -> None:
+        self.parts: list[pa.RecordBatch] = []
+        self.size = 0
+
+    def add(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        self.parts.append(rows)
+        self.size += len(rows)
+        if self.size > HELD:
+            self.parts = [self.merged()]
+            self.size = len(self.parts[0])
+            if self.size > HELD // 2:
+                yield from self.rest()
+
+    def merged(self) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(self.parts).combine_chunks()
+        _, first, place = np.unique(rows["gram"].to_numpy(), return_index=True, return_inverse=True)
+        n = np.bincount(place, rows["n"].to_numpy(), len(first)).astype(np.int64)
+        return rows.take(pa.array(first)).set_column(NAMES.index("n"), "n", pa.array(n)).combine_chunks().to_batches()[0]
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            rows = self.merged()
+            self.parts, self.size = [], 0
+            for low in range(0, len(rows), 1 << 16):
+                yield rows.slice(low, 1 << 16)
 
 
 def _counted(words: np.ndarray, grams: np.ndarray, at: np.ndarray, k: int) -> pa.RecordBatch:
@@ -151,6 +203,7 @@ def _first(support: int):
     """Pass 1: exact counts of words, with their letters, and buckets of pairs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, buckets = Counts(), Buckets(support)
         for words, follows, starts, stops, row, data, langs in _texts(batches):
             if not len(words):
                 continue
@@ -159,10 +212,12 @@ def _first(support: int):
             edge = np.append(0, np.cumsum(size))
             letters = LOWER[data[np.arange(edge[-1]) - np.repeat(edge[:-1] - a, size)]]
             text = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(edge.astype(np.int32).tobytes()), pa.py_buffer(letters.tobytes())])
-            yield _rows(gram=signed(gram), n=times, w1=signed(gram), word=text.cast(pa.string()), lang=[langs[i] for i in row[first].tolist()])
+            yield from held.add(_rows(gram=signed(gram), n=times, w1=signed(gram), word=text.cast(pa.string()), lang=[langs[i] for i in row[first].tolist()]))
             pairs = gram_hashes(words, 2)[follows[:-1]]
             if len(pairs):
-                yield _buckets(pairs, support)
+                yield from buckets.add(pairs)
+        yield from held.rest()
+        yield from buckets.rest()
 
     return count
 
@@ -171,6 +226,7 @@ def _second(support: int, frequent, likely):
     """Pass 2: exact counts of pairs, buckets of triples, and the runs that can hold triples."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, buckets = Counts(), Buckets(support)
         for words, follows, *_ in _texts(batches):
             if len(words) < 2:
                 continue
@@ -178,11 +234,13 @@ def _second(support: int, frequent, likely):
             here = follows[:-1] & ok[:-1] & ok[1:]
             here[here] = set_in(likely.value, grams[here])
             if here.any():
-                yield _counted(words, grams, np.flatnonzero(here), 2)
+                yield from held.add(_counted(words, grams, np.flatnonzero(here), 2))
             triple = here[:-1] & here[1:]
             if triple.any():
-                yield _buckets(gram_hashes(words, 3)[triple], support)
+                yield from buckets.add(gram_hashes(words, 3)[triple])
                 yield from _trimmed(words, here, triple)
+        yield from held.rest()
+        yield from buckets.rest()
 
     return count
 
@@ -207,6 +265,7 @@ def _longer(support: int, k: int, last: bool, frequent, likely):
     """Pass k over trimmed runs: exact counts of phrases of k words, buckets of k + 1."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, buckets = Counts(), Buckets(support)
         for words in _runs(batches):
             if len(words) < k:
                 continue
@@ -217,10 +276,12 @@ def _longer(support: int, k: int, last: bool, frequent, likely):
             here[here] = set_in(likely.value, grams[here])
             if not here.any():
                 continue
-            yield _counted(words, grams, np.flatnonzero(here), k)
+            yield from held.add(_counted(words, grams, np.flatnonzero(here), k))
             after = here[:-1] & here[1:]
             if not last and after.any():
-                yield _buckets(gram_hashes(words, k + 1)[after], support)
+                yield from buckets.add(gram_hashes(words, k + 1)[after])
+        yield from held.rest()
+        yield from buckets.rest()
 
     return count
 
