@@ -2,8 +2,11 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 import waymark
-from waymark.operators import metrics
+from waymark.functions import features
+from waymark.operators import losses, metrics, sketches
 from waymark.operators.structured import StructuredRanker, pair_features
 from waymark.plans import jobs
 from waymark.sources import schema, screens
@@ -99,8 +102,66 @@ def test_trees_screenshots_and_results(spark, tmp_path):
     assert (r := screens.load_results(spark, str(tmp_path / "r.json")).first())["correct"] == 3 and r["total"] is None
 
 
-def test_the_package_exports_its_row_types():
-    assert "target_candidates" in waymark.Query.names and "scores" in waymark.Prediction.names and "bbox" in waymark.Candidate.names
+def test_the_package_exports_constructors_of_its_rows(spark):
+    target = waymark.Candidate("target-1", (0.0, 1.0, 2.0, 3.0))
+    one = spark.range(1).select(
+        waymark.Query("q1", {"point": [1, 2]}, [target, waymark.Candidate("b", metadata={"text": "B"})]).alias("q"),
+        waymark.Prediction("q1", "target-1", {"target-1": 1.0}).alias("p"),
+    )
+    assert [f.dataType for f in one.schema] == [schema.QUERY_FILE, schema.PREDICTION_FILE] or [f.dataType.names for f in one.schema] == [schema.QUERY_FILE.names, schema.PREDICTION_FILE.names]
+    row = one.selectExpr("q.query_id", "p.selected_candidate_id = q.target_candidates[0].candidate_id AS right", "q.target_candidates[0].bbox AS box", "q.gold_candidate_id AS gold", "p.scores['target-1'] AS score", "variant_get(q.source, '$.point[1]', 'int') AS y").first()
+    assert tuple(row) == ("q1", True, [0.0, 1.0, 2.0, 3.0], None, 1.0, 2)
+    ids = spark.createDataFrame([("a",), ("b",)], "id string").select(waymark.Candidate(F.col("id")).alias("c"))
+    assert [r["c"]["candidate_id"] for r in ids.collect()] == ["a", "b"]
+
+
+def test_ambiguous_queries_count_apart(spark, tmp_path):
+    rows = [
+        {"query_id": "n", "target_candidates": [], "gold_candidate_id": None}, {"query_id": "a", "target_candidates": [], "gold_candidate_id": "x", "ambiguous": True},
+        {"query_id": "b", "target_candidates": [], "gold_candidate_id": None, "ambiguous": True}, {"query_id": "c", "target_candidates": [], "gold_candidate_id": "x", "ambiguous": False},
+    ]
+    queries = schema.load_queries(spark, written(tmp_path, rows))
+    kinds = {"n": "NULL", "a": "AMBIGUOUS", "b": "AMBIGUOUS", "c": "CONCRETE"}
+    assert {r["query_id"]: r["gold_kind"] for r in queries.collect()} == kinds
+    schema.write_jsonl(queries, str(tmp_path / "again"))
+    assert {r["query_id"]: r["gold_kind"] for r in schema.load_queries(spark, str(tmp_path / "again")).collect()} == kinds
+    made = spark.createDataFrame([("n", "x"), ("a", None), ("b", "x"), ("c", "x")], "query_id string, selected_candidate_id string").withColumn("scores", F.create_map())
+    row = jobs.summarize([jobs.evaluate(queries, made, "tiny", "test", "m")]).first()
+    assert (row["gold_null"], row["gold_ambiguous"], row["false_positive"], row["ambiguous_abstained"], row["correct"]) == (1, 2, 1, 1, 1)
+    assert (row["false_positive_rate"], row["abstain_accuracy"]) == (1.0, 1 / 3)
+
+
+def test_report_levels_sum_every_subset(spark):
+    rows = [("a", "x", 1), ("a", "y", 2), (None, "x", 4)]
+    got = {(r["level"], r["k"], r["m"]): r["n"] for r in metrics.report_levels(spark.createDataFrame(rows, "k string, m string, n long"), ["k", "m"], ["n"]).collect()}
+    assert got == {(0, "a", "x"): 1, (0, "a", "y"): 2, (0, None, "x"): 4, (1, "a", None): 3, (1, None, None): 4, (2, None, "x"): 5, (2, None, "y"): 2, (3, None, None): 7}
+
+
+def test_sketches_merge_within_their_bounds(spark):
+    rows = spark.range(60_000).select((F.col("id") % 3).alias("kind"), (F.col("id") % 7).alias("part"), ((F.col("id") * 7919) % 50_021).cast("double").alias("ms"), (F.col("id") % 4001).alias("who"))
+    rows = rows.unionByName(spark.range(5).select(F.lit(9).cast("long").alias("kind"), F.lit(0).cast("long").alias("part"), F.lit(None).cast("double").alias("ms"), F.lit(1).cast("long").alias("who")))
+    found = sketches.estimates(sketches.merged(sketches.sketched(rows, ["kind", "part"], "ms", "who"), ["kind"]), ["kind"], 0.9)
+    for r in found.collect():
+        if r["kind"] == 9:
+            assert (r["n"], r["quantile"], r["n_who"]) == (0, None, 1)
+            continue
+        share = rows.where((F.col("kind") == r["kind"]) & (F.col("ms") <= r["quantile"])).count() / r["n"]
+        assert abs(share - 0.9) <= sketches.RANK_ERROR + 1e-4 and abs(r["n_who"] - 4001) <= sketches.DISTINCT_ERROR * 4001
+
+
+def test_patch_masks_of_boxes(spark):
+    box = "struct<x0 double, y0 double, x1 double, y1 double>"
+    rows = [("q", 0, "a", 0.0, "a", (0.0, 0.0, 0.5, 0.5)), ("q", 1, "b", 0.0, "a", (0.0, 0.0, 1.0, 1.0)), ("r", 0, "c", 0.0, "z", (0.0, 0.0, 1.0, 1.0))]
+    found = losses.patch_masks(spark.createDataFrame(rows, f"query_id string, pos int, candidate_id string, score double, gold string, bbox {box}"), 2).collect()
+    assert [r["query_id"] for r in found] == ["q"] and found[0]["gold_mask"] == [1.0, 0.0, 0.0, 0.0]
+    assert [round(x, 6) for x in found[0]["predicted"]] == [0.99, 0.5, 0.5, 0.5]
+
+
+def test_what_can_be_seen_and_acted_on(spark):
+    rows = [([0.0, 0.0, 5.0, 5.0], True, None), ([0.0, 0.0, 0.0, 5.0], True, None), ([20.0, 0.0, 25.0, 5.0], True, None), ([-5.0, 0.0, 1.0, 5.0], False, True), (None, True, True), ([0.0, 0.0, 5.0, 5.0], None, None)]
+    df = spark.createDataFrame(rows, "bounds array<double>, clickable boolean, editable boolean")
+    seen = features.visible(F.col("bounds"), F.lit(10), F.lit(10)) & features.actionable(F.col("clickable"), F.col("editable"), F.lit(None).cast("boolean"))
+    assert [r[0] for r in df.select(seen).collect()] == [True, False, False, True, False, False]
 
 
 def test_predictions_made_elsewhere(spark, tmp_path):

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from waymark.plans import catalog, graphs, histories, learning, streams, times  # noqa: F401  they register their queries
+from waymark.plans import catalog, graphs, histories, learning, reports, streams, times  # noqa: F401  they register their queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

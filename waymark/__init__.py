@@ -1,7 +1,5 @@
 """Target relocation analytics and corpus operators on Spark DataFrames."""
 
-from waymark.sources.schema import CANDIDATE_FILE as Candidate
-from waymark.sources.schema import PREDICTION_FILE as Prediction
-from waymark.sources.schema import QUERY_FILE as Query
+from waymark.sources.rows import Candidate, Prediction, Query
 
 __all__ = ["Candidate", "Prediction", "Query"]

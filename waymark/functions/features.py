@@ -64,3 +64,14 @@ def overlap_ratio(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def visible(bounds: Column, width: Column, height: Column) -> Column:
+    """Whether a box (array of corners) has an area and lies at least in part on a screen of that size."""
+    x0, y0, x1, y1 = (F.get(bounds, i) for i in range(4))
+    return F.coalesce((x1 > x0) & (y1 > y0) & (x0 < width) & (y0 < height) & (x1 > 0) & (y1 > 0), F.lit(False))
+
+
+def actionable(clickable: Column, editable: Column, scrollable: Column) -> Column:
+    """Whether any flag is set; flags that are not known are not."""
+    return F.coalesce(clickable, F.lit(False)) | F.coalesce(editable, F.lit(False)) | F.coalesce(scrollable, F.lit(False))

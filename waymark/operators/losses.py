@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.functions.scoring import binary_cross_entropy, log_sum_exp
+from waymark.functions.features import inside
+from waymark.functions.scoring import binary_cross_entropy, log_sum_exp, softmax
 from waymark.operators.rank import top
 
 
@@ -30,6 +31,24 @@ def margin_loss(scored: DataFrame, margin: float) -> DataFrame:
     return both.where("own is not null").select("query_id", loss.alias("loss"))
 
 
+def patch_masks(scored: DataFrame, cells: int) -> DataFrame:
+    """query_id, predicted and gold_mask (arrays, row by row) over cells * cells patches of a screen of size 1.
+
+    scored has bbox besides. A patch belongs to a box that holds its center. What is predicted for a patch is the
+    probability (softmax) of the candidates whose boxes hold it, between 0.01 and 0.99; queries without a gold candidate have no mask.
+    """
+    weighed = scored.withColumn("p", softmax(F.col("score")))
+    centers = [((x + 0.5) / cells, (y + 0.5) / cells) for y in range(cells) for x in range(cells)]
+    inside_of = lambda x, y: inside(F.lit(x), F.lit(y), F.col("bbox"))
+    right = F.col("candidate_id") == F.col("gold")
+    sums = weighed.groupBy("query_id").agg(
+        F.count_if(right).alias("n"),
+        F.array(*(F.sum(F.when(inside_of(x, y), F.col("p")).otherwise(0.0)) for x, y in centers)).alias("heat"),
+        F.array(*(F.max(F.when(inside_of(x, y) & right, 1.0).otherwise(0.0)) for x, y in centers)).alias("gold_mask"),
+    )
+    return sums.where("n > 0").select("query_id", F.transform("heat", lambda h: 0.01 + 0.98 * F.least(h, F.lit(1.0))).alias("predicted"), "gold_mask")
+
+
 def patch_loss(masks: DataFrame) -> DataFrame:
     """Mean binary cross-entropy of predicted and gold patch masks (arrays)."""
     return masks.select("query_id", binary_cross_entropy(F.col("predicted"), F.col("gold_mask")).alias("loss"))

@@ -36,27 +36,45 @@ def top1_doc(queries: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 def safety_counts(queries: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Counts by what was right and what was selected; every prediction is in one of them."""
-    met = labeled(queries).select("query_id", "gold").join(predictions.select("query_id", "selected"), "query_id")
-    absent, nothing = F.col("gold").isNull(), F.col("selected").isNull()
+    """Counts by what was right and what was selected; every prediction is in one of them.
+
+    Where queries have a gold_kind, ambiguous ones are no absent targets and count in columns of their own.
+    """
+    kinds = "gold_kind" in queries.columns
+    own = ["query_id", "gold", *(["gold_kind"] if kinds else [])]
+    met = labeled(queries).select(*own).join(predictions.select("query_id", "selected"), "query_id")
+    unclear = F.coalesce(F.col("gold_kind") == "AMBIGUOUS", F.lit(False)) if kinds else F.lit(False)
+    absent, nothing, concrete = F.col("gold").isNull() & ~unclear, F.col("selected").isNull(), F.col("gold").isNotNull() & ~unclear
+    more = {"gold_ambiguous": unclear, "ambiguous_abstained": unclear & nothing} if kinds else {}
     return met.agg(
-        F.count_if(~absent).alias("gold_concrete"), F.count_if(absent).alias("gold_null"),
-        F.count_if(~absent & (F.col("selected") == F.col("gold"))).alias("correct"),
+        F.count_if(concrete).alias("gold_concrete"), F.count_if(absent).alias("gold_null"),
+        F.count_if(concrete & (F.col("selected") == F.col("gold"))).alias("correct"),
         F.count_if(absent & ~nothing).alias("false_positive"), F.count_if(absent & nothing).alias("abstain_right"),
-        F.count_if(~absent & ~nothing & (F.col("selected") != F.col("gold"))).alias("wrong_target"), F.count_if(~absent & nothing).alias("abstain_wrong"),
+        F.count_if(concrete & ~nothing & (F.col("selected") != F.col("gold"))).alias("wrong_target"), F.count_if(concrete & nothing).alias("abstain_wrong"),
+        *(F.count_if(c).alias(name) for name, c in more.items()),
     )
 
 
 def safety_rates(queries: DataFrame, predictions: DataFrame) -> DataFrame:
-    """False positives and right abstentions of absent targets, wrong targets of concrete ones."""
+    """False positives of absent targets, right abstentions of absent and ambiguous ones, wrong targets of concrete ones."""
     c = safety_counts(queries, predictions)
+    unclear = (F.col("ambiguous_abstained"), F.col("gold_ambiguous")) if "gold_kind" in queries.columns else (F.lit(0), F.lit(0))
     return c.select(
         ratio(F.col("false_positive"), F.col("gold_null")).alias("false_positive_rate"),
-        ratio(F.col("abstain_right"), F.col("gold_null")).alias("abstain_accuracy"),
+        ratio(F.col("abstain_right") + unclear[0], F.col("gold_null") + unclear[1]).alias("abstain_accuracy"),
         ratio(F.col("wrong_target"), F.col("gold_concrete")).alias("wrong_target_rate"),
     )
 
 
+def report_levels(facts: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
+    """Sums of counts by every subset of keys, with `level`: a bit for each key, the first the highest, set where all its values are summed up.
+
+    Rows are summed by all keys first, so that only these sums are repeated for the subsets. A null key is a value like others.
+    """
+    finest = facts.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in counts))
+    return finest.cube(*keys).agg(F.grouping_id().alias("level"), *(F.sum(c).alias(c) for c in counts))
+
+
 def latency_summary(rows: DataFrame, component: str, millis: str) -> DataFrame:
     """Mean and exact 95th percentile (linear between ranks) for each component."""
     return rows.groupBy(component).agg(F.count(millis).alias("n"), F.avg(millis).alias("mean_ms"), F.percentile(millis, F.lit(0.95)).alias("p95_ms"))

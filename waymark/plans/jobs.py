@@ -26,7 +26,7 @@ def import_dataset(spark: SparkSession, source: str, out: str) -> DataFrame:
 
 #: What a report row is reported under.
 KEY = ("dataset", "artifact", "split", "matcher", "latency_setting")
-COUNTS = ("correct", "total", "gold_null", "gold_concrete", "false_positive", "abstain_right", "wrong_target")
+COUNTS = ("correct", "total", "gold_null", "gold_concrete", "gold_ambiguous", "false_positive", "abstain_right", "ambiguous_abstained", "wrong_target")
 
 
 def evaluate(queries: DataFrame, matcher: Matcher | DataFrame, dataset: str, split: str, name: str, artifact: str = "", latency_setting: str = "", latency: DataFrame | None = None) -> DataFrame:
@@ -36,6 +36,7 @@ def evaluate(queries: DataFrame, matcher: Matcher | DataFrame, dataset: str, spl
     gold = queries.select("query_id", "ord", F.col("gold_candidate_id").alias("gold"), *(c for c in ("gold_kind",) if c in queries.columns))
     key = dict(zip(KEY, map(F.lit, (dataset, artifact, split, name, latency_setting)), strict=True))
     counts = metrics.safety_counts(gold, made).drop("correct").withColumns(key)
+    counts = counts.withColumns({c: F.lit(0).cast("long") for c in ("gold_ambiguous", "ambiguous_abstained") if c not in counts.columns})
     row = metrics.top1_code(gold, made).withColumns(key).join(counts, list(KEY))
     row = row.withColumns(_rates())
     if latency is None:
@@ -45,8 +46,11 @@ def evaluate(queries: DataFrame, matcher: Matcher | DataFrame, dataset: str, spl
 
 
 def _rates() -> dict:
-    rates = {"false_positive_rate": ("false_positive", "gold_null"), "abstain_accuracy": ("abstain_right", "gold_null"), "wrong_target_rate": ("wrong_target", "gold_concrete")}
-    return {name: ratio(F.col(a), F.col(b)) for name, (a, b) in rates.items()}
+    return {
+        "false_positive_rate": ratio(F.col("false_positive"), F.col("gold_null")),
+        "abstain_accuracy": ratio(F.col("abstain_right") + F.col("ambiguous_abstained"), F.col("gold_null") + F.col("gold_ambiguous")),
+        "wrong_target_rate": ratio(F.col("wrong_target"), F.col("gold_concrete")),
+    }
 
 
 def summarize(reports: list[DataFrame]) -> DataFrame:

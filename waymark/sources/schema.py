@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from waymark.sources.scratch import folder
+
 BBOX = T.StructType([T.StructField(c, T.DoubleType()) for c in ("x0", "y0", "x1", "y1")])
 #: bbox is an array in files: JSON arrays don't read into structs.
 CANDIDATE_FILE = T.StructType(
@@ -38,7 +37,7 @@ PREDICTION_FILE = T.StructType(
 #: Named datasets; load_queries takes these names as well as paths.
 REGISTRY: dict[str, str] = {}
 
-CONCRETE, NULL, UNLABELED = "CONCRETE", "NULL", "UNLABELED"
+CONCRETE, NULL, UNLABELED, AMBIGUOUS = "CONCRETE", "NULL", "UNLABELED", "AMBIGUOUS"
 
 
 def bbox_struct(box: Column) -> Column:
@@ -51,17 +50,19 @@ def load_queries(spark: SparkSession, source: str) -> DataFrame:
     """Queries from JSON Lines at a path or of a registered dataset; malformed lines raise.
 
     ord is the row's place by file name, then place in the file, however files are read. A gold id
-    of null is an absent target, a line without the field is unlabeled.
+    of null is an absent target, a line without the field is unlabeled, one with "ambiguous": true has no single target.
     """
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")]
     lines = spark.read.text(REGISTRY.get(source, source)).where(F.trim("value") != "").select("value", F.struct(*place).alias("ord"))
     kinds = F.from_json("value", QUERY_FILE, {"mode": "FAILFAST"})
-    rows = lines.select(kinds.alias("q"), F.parse_json("value").alias("v"), "ord").select("q.*", "ord", gold_given(F.col("v")).alias("labeled"))
+    rows = lines.select(kinds.alias("q"), F.parse_json("value").alias("v"), "ord").select("q.*", "ord", gold_given(F.col("v")).alias("labeled"), is_ambiguous(F.col("v")).alias("ambiguous"))
     boxed = F.transform(
         "target_candidates",
         lambda c: F.struct(c["candidate_id"].alias("candidate_id"), bbox_struct(c["bbox"]).alias("bbox"), c["metadata"].alias("metadata")),
     )
-    return rows.withColumns({"target_candidates": F.coalesce(boxed, F.array()), "gold_kind": gold_kind(F.col("gold_candidate_id"), F.col("labeled"))}).drop("labeled")
+    kind = F.when(F.col("ambiguous"), AMBIGUOUS).otherwise(gold_kind(F.col("gold_candidate_id"), F.col("labeled")))
+    gold = F.when(~F.col("ambiguous"), F.col("gold_candidate_id"))
+    return rows.withColumns({"target_candidates": F.coalesce(boxed, F.array()), "gold_kind": kind, "gold_candidate_id": gold}).drop("labeled", "ambiguous")
 
 
 def gold_given(row: Column) -> Column:
@@ -69,6 +70,11 @@ def gold_given(row: Column) -> Column:
     return F.variant_get(row, "$.gold_candidate_id", "variant").isNotNull()
 
 
+def is_ambiguous(row: Column) -> Column:
+    """Whether a line (variant) says that several candidates are as right as each other."""
+    return F.coalesce(F.try_variant_get(row, "$.ambiguous", "boolean"), F.lit(False))
+
+
 def load_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PREDICTION_FILE).option("mode", "FAILFAST").json(path)
 
@@ -92,7 +98,7 @@ def write_jsonl(df: DataFrame, path: str) -> None:
         )
         df = df.withColumn("target_candidates", flat)
         kind = F.col("gold_kind") if "gold_kind" in df.columns else F.lit(NULL)
-        line = F.to_json(F.struct(*(c for c in df.columns if c not in ("gold_kind", "ord"))))
+        line = F.to_json(F.struct(*(c for c in df.columns if c not in ("gold_kind", "ord")), F.when(kind == AMBIGUOUS, True).alias("ambiguous")))
         null = F.when(F.col("gold_candidate_id").isNull() & (kind != UNLABELED), F.concat(F.lit('{"gold_candidate_id":null,'), F.substring(line, F.lit(2), F.length(line))))
         df.select(F.coalesce(null, line)).write.mode("overwrite").text(path)
         return
@@ -100,11 +106,8 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; an own one only where driver and executors are one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return folder or "file://" + tempfile.mkdtemp(prefix="waymark-")
+    """The folder for files that a job writes for itself."""
+    return folder(spark)
 
 
 def validate_queries(queries: DataFrame, candidates: DataFrame, predictions: DataFrame) -> DataFrame:
