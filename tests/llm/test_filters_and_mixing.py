@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 import __spark_entry__
 import corpus_pipeline
 from tests.llm import edge
-from waymark.llm import mixing, pii, quality, queries, url_filter
+from waymark.llm import mixing, oracles, pii, quality, queries, url_filter
 
 DATA = "/root/testdata/sf0.001"
 
@@ -103,7 +103,32 @@ def test_budgets_equal_brute_force(spark):
         taken[leaf] += r["m_tokens"] * r["m_copies"]
         largest[leaf] = max(largest[leaf], r["m_tokens"])
     for leaf, budget in budgets.items():
-        assert budget <= taken[leaf] < budget + max(2 * largest[leaf], 1) and max(r["m_copies"] for r in rows) <= 2
+        assert budget <= taken[leaf] < budget + max(largest[leaf], 1) and max(r["m_copies"] for r in rows) <= 2
+
+
+ODD_IDS = {
+    "null ids": [(None, f"{i} two three") for i in range(100)],
+    "null ids and one text": [(None, "one two three") for i in range(100)],
+    "one id has most rows": [(7 if i < 60 else i, f"word {i} x") for i in range(100)],
+    "most rows are the same": [(7, "a b c d") if i < 60 else (i, f"word {i} x") for i in range(100)],
+    "null texts": [(i % 3, None) for i in range(50)],
+}
+
+
+@pytest.mark.parametrize("case", ODD_IDS)
+def test_repeated_and_null_ids_keep_to_the_budget_and_equal_the_sql(spark, case):
+    rows = [(i, t, "en", "src0", None) for i, t in ODD_IDS[case]]
+    docs = spark.createDataFrame(rows, edge.COLUMNS).repartition(4)
+    got = mixing.mix(docs).select("doc_id", F.col("m_domain").alias("domain"), "lang", "source", F.col("m_tokens").alias("n_tokens"), F.col("m_copies").alias("n_copies")).collect()
+    budget = sum(r["n_tokens"] for r in got) // 2
+    assert budget <= sum(r["n_tokens"] * r["n_copies"] for r in got) < budget + max(r["n_tokens"] for r in got)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", rows)
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(oracles.MIXING).fetchall()))
+    assert sorted(map(str, [r["n_copies"] for r in got])) == sorted(map(str, brute_copies([r[:4] for r in rows])))
+    again = mixing.taken(docs)
+    assert again.count() == sum(r["n_copies"] for r in got)
 
 
 def test_shortage_goes_to_siblings_first():
@@ -277,7 +302,7 @@ def test_quality_of_odd_documents(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got = queries.QUERIES[name](spark, DATA).toArrow()
     found = con.execute(queries.ORACLES[name])
@@ -319,7 +344,8 @@ def brute_copies(rows):
                     below[k[depth]] += 4 * x
             new |= {(*parent, name): b for name, b in brute_fill(budget, {name: (c, weight(level, name)) for name, c in below.items()}).items()}
         budgets = new
-    key = [(hashlib.md5(f"mix-1:{budgets[k] // size[k]}:{'-' if r[0] is None else r[0]}".encode()).hexdigest(), x) for r, k, x in zip(rows, leaf, n, strict=True)]
+    text = [hashlib.md5((r[1] or "").encode()).hexdigest() for r in rows]
+    key = [(hashlib.md5(f"mix-1:{budgets[k] // size[k]}:{'-' if r[0] is None else r[0]}:{t}".encode()).hexdigest(), i) for i, (r, k, t) in enumerate(zip(rows, leaf, text, strict=True))]
     out = []
     for i, k in enumerate(leaf):
         before = sum(n[j] for j in range(len(rows)) if leaf[j] == k and key[j] < key[i])

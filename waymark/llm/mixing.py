@@ -11,7 +11,8 @@ the prefix of one more epoch. A prefix ends with the document that reaches the b
 overshoots by less than one document. A hot leaf is not sorted by one task: tokens are summed by
 (leaf, bucket of the hash order), windows run over bounded numbers of bins and of buckets, the one
 bucket in which the budget ends is cut into buckets again, and only what is left of the leaf, 1 of
-4096 * 4096, is ordered by document.
+4096 * 4096, is ordered by document. The order's key is a hash of the epoch, the id and the text, so documents
+of one id, or without ids, are in different places; of rows equal in both as many are taken as the budget needs.
 """
 
 from __future__ import annotations
@@ -97,8 +98,8 @@ def leaf_budgets(leaves: DataFrame, share: float, epochs: int, weights: dict, de
     return nodes.drop("capacity").join(above, list(LEVELS)).withColumnRenamed("budget", "grant")
 
 
-def _order_key(seed: str, epoch: Column, doc_id: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(seed), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("-"))).cast("binary"))
+def _order_key(seed: str, epoch: Column, doc_id: Column, digest: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(seed), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("-")), digest).cast("binary"))
 
 
 def _end_of_rest(sums: DataFrame, leaf: list[str]) -> DataFrame:
@@ -127,18 +128,20 @@ def mix(
 ) -> DataFrame:
     """Adds m_domain, m_tokens and m_copies (how often the document is taken; 0: not) to each row.
 
-    Null language or source count as the name '-'; a null text has one token. Rows that agree in
-    doc_id and tokens share one place in the order and one fate. Empty input gives no rows.
-    Other columns are kept; columns by the added names are replaced.
+    Null language or source count as the name '-'; a null text has one token and is ordered like an
+    empty one. Of rows that agree in doc_id and text some may be taken once more than others; which, if other
+    columns differ, is not defined. Texts are whole, however long. Empty input gives no rows. Other
+    columns are kept; columns by the added names are replaced.
     """
     weights = WEIGHTS if weights is None else weights
     added = ["m_domain", "m_tokens", "m_copies"]
     kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in added]
     leaf = list(LEVELS)
     places = [F.col("m_domain").alias("domain"), *(F.coalesce(F.col(c), F.lit("-")).alias(c) for c in ("lang", "source"))]
-    counted = docs.select(whole(docs), "doc_id", "lang", "source", domain_of(F.col("source")).alias("m_domain"), tokens_of(F.col("text")).alias("m_tokens"))
-    placed = counted.select("row", "m_domain", "doc_id", "m_tokens", *places)
-    narrow = placed.select(*leaf, "doc_id", F.col("m_tokens").alias("n"))
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest")
+    counted = docs.select(whole(docs), "doc_id", "lang", "source", digest, domain_of(F.col("source")).alias("m_domain"), tokens_of(F.col("text")).alias("m_tokens"))
+    placed = counted.select("row", "m_domain", "doc_id", "digest", "m_tokens", *places)
+    narrow = placed.select(*leaf, "doc_id", "digest", F.col("m_tokens").alias("n"))
     grants = save(
         leaf_budgets(narrow.groupBy(*leaf).agg(F.sum("n").alias("tokens")), share, epochs, weights, default).select(
             *leaf, F.floor(F.col("grant") / F.col("tokens")).cast("long").alias("full_epochs"), (F.col("grant") % F.col("tokens")).alias("rest")
@@ -147,23 +150,34 @@ def mix(
     # where in the order of each leaf the rest ends: bucket, bucket in that bucket, then document
     size = "length(domain) + length(lang) + length(source) + 60"
     keyed = join_checked(narrow, grants.where("rest > 0"), leaf, "inner", size)
-    keyed = keyed.select(*leaf, "rest", "n", _order_key(seed, F.col("full_epochs"), F.col("doc_id")).alias("key"), F.lit(0).cast("long").alias("before"))
+    keyed = keyed.select(*leaf, "rest", "n", _order_key(seed, F.col("full_epochs"), F.col("doc_id"), F.col("digest")).alias("key"), F.lit(0).cast("long").alias("before"))
     for first, digits in ROUNDS:
         keyed = keyed.withColumn("bucket", F.conv(F.substring("key", first, digits), 16, 10).cast("int"))
         ends = save(_end_of_rest(save(keyed.groupBy(*leaf, "rest", "before", "bucket").agg(F.sum("n").alias("n"))), leaf))
         keyed = save(join_checked(keyed.drop("before"), ends, [*leaf, "bucket"], "inner", size).drop("bucket"))
-    within = Window.partitionBy(*leaf).orderBy("key", "n").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = (
-        keyed.withColumn("so_far", F.col("before") + F.coalesce(F.sum("n").over(within), F.lit(0)))
-        .where("so_far < rest")
-        .groupBy(*leaf)
-        .agg(F.max(F.struct("key", "n")).alias("cut"))
-    )
+    equal = keyed.groupBy(*leaf, "rest", "before", "key").agg(F.max("n").alias("n"), F.count("*").alias("rows"))
+    within = Window.partitionBy(*leaf).orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    ended = equal.withColumn("so_far", F.col("before") + F.coalesce(F.sum(F.col("n") * F.col("rows")).over(within), F.lit(0))).where("so_far < rest")
+    cuts = ended.groupBy(*leaf).agg(F.max(F.struct("key", "rows", F.expr("least(rows, (rest - so_far + n - 1) div n)").alias("wanted"))).alias("cut"))
     plan = save(grants.join(cuts, leaf, "left").select(*leaf, "full_epochs", "cut"))
-    key = F.struct(_order_key(seed, F.col("full_epochs"), F.col("doc_id")).alias("key"), F.col("m_tokens").alias("n"))
-    copies = F.col("full_epochs") + F.when(F.col("cut").isNotNull() & (key <= F.col("cut")), 1).otherwise(0)
     met = join_checked(placed, plan, leaf, "left", size)
-    return met.select(*kept, "m_domain", "m_tokens", copies.cast("long").alias("m_copies"))
+    key = _order_key(seed, F.col("full_epochs"), F.col("doc_id"), F.col("digest"))
+    met = met.withColumns({"once_more": F.coalesce((key <= F.col("cut.key")).cast("int"), F.lit(0)), "parted": F.coalesce((key == F.col("cut.key")) & (F.col("cut.wanted") < F.col("cut.rows")), F.lit(False))})
+    copies = (F.col("full_epochs") + F.col("once_more")).cast("long").alias("m_copies")
+    if plan.where("cut.wanted < cut.rows").isEmpty():
+        return met.select(*kept, "m_domain", "m_tokens", copies)
+    parted = _numbered(met.where("parted"), leaf).withColumn("once_more", (F.col("number") <= F.col("cut.wanted")).cast("int"))
+    return met.where("NOT parted").select(*kept, "m_domain", "m_tokens", copies).unionByName(parted.select(*kept, "m_domain", "m_tokens", copies))
+
+
+def _numbered(rows: DataFrame, leaf: list[str]) -> DataFrame:
+    """Adds number, from 1 in each leaf. Rows are numbered within the files of a written table, so that many equal rows need no common task."""
+    rows = save(rows.withColumns({"task": F.spark_partition_id(), "place": F.monotonically_increasing_id()}))
+    counts = rows.groupBy(*leaf, "task").agg(F.count("*").alias("own"))
+    earlier = Window.partitionBy(*leaf).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*leaf, "task", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("start"))
+    within = Window.partitionBy(*leaf, "task").orderBy("place")
+    return rows.join(starts, [*leaf, "task"]).withColumn("number", F.col("start") + F.row_number().over(within))
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:

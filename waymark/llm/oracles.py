@@ -25,7 +25,7 @@ MIXING = f"""
 WITH p AS (
   SELECT doc_id, lang, source, coalesce(lang, '-') AS l, coalesce(source, '-') AS s,
     'd' || CAST(CASE WHEN {NUMBER} = '' THEN 0 ELSE CAST({NUMBER} AS INTEGER) % 4 END AS VARCHAR) AS d,
-    greatest(len(string_split_regex(trim(coalesce(text, '')), '[ \\t\\n\\r]+')), 1) AS n
+    greatest(len(string_split_regex(trim(coalesce(text, '')), '[ \\t\\n\\r]+')), 1) AS n, md5(coalesce(text, '')) AS digest
   FROM documents
 ),
 leaf AS (SELECT d, l, s, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(n) * {mixing.EPOCHS} AS BIGINT) AS cap FROM p GROUP BY ALL),
@@ -37,8 +37,8 @@ b AS (SELECT x.d, l, l AS name, CAST(sum(x.cap) AS BIGINT) AS cap, {_weight("lan
 c AS (SELECT x.d, x.l, s, s AS name, x.cap, x.tokens, {_weight("source", "s")} AS w, lng.granted AS budget FROM leaf x JOIN lng ON lng.d = x.d AND lng.l = x.l),
 {_filled("src", "c", "d, l")},
 plan AS (SELECT d, l, s, granted // tokens AS e, granted % tokens AS rest FROM src),
-keyed AS (SELECT p.*, e, rest, md5('{mixing.SEED}:' || CAST(e AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), '-')) AS key FROM p JOIN plan USING (d, l, s)),
-ranked AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY d, l, s ORDER BY key, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so_far FROM keyed)
+keyed AS (SELECT p.*, e, rest, md5('{mixing.SEED}:' || CAST(e AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || digest) AS key FROM p JOIN plan USING (d, l, s)),
+ranked AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY d, l, s ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so_far FROM keyed)
 SELECT doc_id, d AS domain, lang, source, n AS n_tokens, CAST(e + CASE WHEN so_far < rest THEN 1 ELSE 0 END AS BIGINT) AS n_copies FROM ranked
 """
 
