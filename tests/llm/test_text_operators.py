@@ -252,6 +252,20 @@ def brute_tree(text):
     return "|".join([hashlib.md5(",".join(n for n, _ in parts).encode()).hexdigest(), *(f"{n}:{b}" for n, b in parts)]), Counter(leaves)
 
 
+def brute_fingerprint(text):
+    whole = brute_tree(text)[0].split("|")
+    names = [p[:32] for p in whole[1:]]
+    while len(names) > 16:
+        groups, own = [], []
+        for i, n in enumerate(names):
+            own.append(n)
+            if n.startswith("0") or i == len(names) - 1:
+                groups.append(hashlib.md5(",".join(own).encode()).hexdigest())
+                own = []
+        names = groups
+    return whole[0] + ("|" + ",".join(n[:16] for n in names) if names else "")
+
+
 def brute_near(a, b):
     (s, x), (t, y) = brute_tree(a), brute_tree(b)
     return 1.0 if s == t else 2 * (x & y).total() / (x.total() + y.total()) if x and y else 0.0
@@ -267,10 +281,11 @@ def test_fingerprints_equal_brute_force(spark, block_bytes):
         following = rows[(i + 1) % len(rows)][1]
         half = len(text) // 2
         new = text[: len(text) - half] + following[:half]
-        want.append((key, len(text), hashlib.sha256(new.encode()).hexdigest(), brute_tree(text)[0], brute_tree(new)[0], brute_near(text, new), brute_near(text, following)))
+        want.append((key, len(text), hashlib.sha256(new.encode()).hexdigest(), brute_fingerprint(text), brute_fingerprint(new), brute_near(text, new), brute_near(text, following)))
     got = merkle.fingerprints(docs, block_bytes=block_bytes).collect()
     assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
-    assert all(merkle.consistent(r["fingerprint"]) for r in got)
+    assert all(merkle.consistent(merkle.written(merkle.leaves_of(t))) for _, t in rows)
+    assert max(len(r["fingerprint"]) for r in got) <= 32 + 16 * 17
     assert merkle.fingerprints(edge.none(spark)).count() == 0
 
 
@@ -280,7 +295,7 @@ def test_pieces_are_the_text_whatever_it_holds():
     for _ in range(2000):
         text = "".join(rng.choice(signs) for _ in range(rng.randrange(0, 60)))
         assert "".join(merkle.pieces_of(text)) == text and merkle.pieces_of(text) == brute_pieces(text)
-    assert merkle.fingerprint(merkle.leaves_of("key a")) != merkle.fingerprint(merkle.leaves_of("key\na"))
+    assert merkle.fingerprint(merkle.written(merkle.leaves_of("key a"))) != merkle.fingerprint(merkle.written(merkle.leaves_of("key\na")))
 
 
 def test_string_keys_and_a_lone_document(spark):
@@ -295,7 +310,7 @@ def test_string_keys_and_a_lone_document(spark):
 def test_differing_branches_locate_edits(lines):
     rng = random.Random(lines)
     text = ["".join(rng.choice("abcdefghi ") for _ in range(40)) for _ in range(lines)]
-    tree = lambda x: merkle.fingerprint(merkle.leaves_of("\n".join(x)))
+    tree = lambda x: merkle.written(merkle.leaves_of("\n".join(x)))
     whole, front = tree(text), tree(["one more line put in front", *text])
     assert merkle.differing(front, whole) == [(0, 0)] and merkle.differing(whole, front) == [] == merkle.differing(whole, whole)
     changed = tree([*text[:12], text[12] + " and more", *text[13:]])

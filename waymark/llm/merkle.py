@@ -7,10 +7,14 @@ Both cuts are made by content alone, at every length of text: an insertion chang
 falls into, and no leaf after the next cut.
 
 Every digest is MD5 (128 bits): a leaf's over its piece, a section's over its leaves' digests, the
-root's over the sections' digests. The fingerprint writes the tree down, root, then each section's
+root's over the sections' digests. written() is the whole tree, root, then each section's
 digest with its leaves, so every node can be computed again from its children. Equal roots mean
 equal texts; where roots differ, differing() opens only the branches that have no equal on the
 other side.
+
+The fingerprint is the root and at most BRANCHES branches of TAG hex digits each: the sections, or, where
+those are more, groups of them that end as sections do, and groups of groups. So it is bounded, whatever the text's
+length, and fingerprints that differ tell which branches do. Likeness is that of the leaves of both trees.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ PIECES = (
     r"(?s:.{0,62}?(?:[y0.,;:!?\x{80}-\x{10FFFF}][\x{00}-\x{09}\x{0B}-/:-@\[-`{-~\x{3000}-\x{3002}\x{FF01}-\x{FF1F}]|\n)|.{1,64})"
 )
 SECTION_END = "0"
+#: Branches in a fingerprint at most, and hex digits of each.
+BRANCHES, TAG = 16, 16
 #: Bytes of text of a block of the order of ids, about.
 BLOCK_BYTES = 32 << 20
 #: So many rows for each block are chosen and every so manieth of them, in order, is a head: blocks come out even.
@@ -65,15 +71,28 @@ def leaves_of(text: str, known: dict[str, str] | None = None) -> list[str]:
     return out
 
 
-def fingerprint(leaves: list[str]) -> str:
+def grouped(digests: list[str]) -> list[str]:
+    """Bodies of the groups of digests, each up to one that begins with SECTION_END."""
+    return "".join([d + ("|" if d[0] == SECTION_END else ",") for d in digests])[:-1].split("|")
+
+
+def written(leaves: list[str]) -> str:
     """root|section:leaf,leaf,...|section:..., digests in hex."""
     if not leaves:
         return digest("")
-    bodies = "".join([leaf + ("|" if leaf[0] == SECTION_END else ",") for leaf in leaves])[:-1].split("|")
+    bodies = grouped(leaves)
     names = [digest(body) for body in bodies]
     return "|".join([digest(",".join(names)), *(f"{n}:{b}" for n, b in zip(names, bodies, strict=True))])
 
 
+def fingerprint(tree: str) -> str:
+    """root|branch,branch,... of a written tree."""
+    names = [n for n, _ in sections(tree)]
+    while len(names) > BRANCHES:
+        names = [digest(body) for body in grouped(names)]
+    return "|".join([root(tree), ",".join(n[:TAG] for n in names)]) if names else root(tree)
+
+
 def root(tree: str) -> str:
     return tree[:32]
 
@@ -209,7 +228,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             text, known = texts[i].as_py(), {}
             leaves = leaves_of(text, known)
-            now = (keys[i].as_py(), text, known, leaves, fingerprint(leaves))
+            now = (keys[i].as_py(), text, known, leaves, written(leaves))
             if held is not None:
                 out.append(_pair(held, now))
                 size += len(text)
@@ -225,9 +244,9 @@ def _pair(row: tuple, following: tuple) -> tuple:
     key, text, known, leaves, tree = row
     new = edited(text, following[1])
     new_leaves = leaves_of(new, following[2] | known)
-    new_tree = fingerprint(new_leaves)
+    new_tree = written(new_leaves)
     return (
-        key, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), tree, new_tree,
+        key, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint(tree), fingerprint(new_tree),
         likeness(leaves, new_leaves, root(tree) == root(new_tree)),
         likeness(leaves, following[3], root(tree) == root(following[4])),
     )

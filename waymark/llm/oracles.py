@@ -128,10 +128,19 @@ def _tree(leaves: str) -> str:
     return f"list_transform({bodies}, lambda b: [md5(b), b])"
 
 
-def _written(sections: str) -> str:
-    """The root over the sections' digests, then the sections."""
-    names = f"array_to_string(list_transform({sections}, lambda s: s[1]), ',')"
-    return f"array_to_string(list_concat([md5({names})], list_transform({sections}, lambda s: s[1] || ':' || s[2])), '|')"
+def _names(sections: str) -> str:
+    return f"list_transform({sections}, lambda s: s[1])"
+
+
+def _fingerprint(names: str, branches: str) -> str:
+    """The root over the sections' digests, then the branches."""
+    tags = f"array_to_string(list_transform({branches}, lambda n: n[1:16]), ',')"
+    return f"md5(array_to_string({names}, ',')) || CASE WHEN len({branches}) > 0 THEN '|' || {tags} ELSE '' END"
+
+
+def _fewer(level: str, column: str) -> str:
+    """Groups of branches where these are more than 16."""
+    return f"CASE WHEN len({level}) > 16 THEN {_names(_tree(level))} ELSE {level} END AS {column}"
 
 
 def _likeness(other: str) -> str:
@@ -147,11 +156,14 @@ MERKLE = f"""
 WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS x, lead(doc_id) OVER (ORDER BY doc_id DESC) AS next_id FROM documents),
 e AS MATERIALIZED (SELECT d.doc_id, d.x, f.x AS y, substr(d.x, 1, length(d.x) - length(d.x) // 2) || substr(f.x, 1, length(d.x) // 2) AS z FROM d JOIN d f ON f.doc_id = coalesce(d.next_id, (SELECT max(doc_id) FROM d))),
 le AS MATERIALIZED (SELECT *, {_leaves("x")} AS l, {_leaves("y")} AS m, {_leaves("z")} AS o FROM e),
-trees AS MATERIALIZED (SELECT doc_id, {_tree("l")} AS t, {_tree("o")} AS v FROM le),
+trees AS MATERIALIZED (SELECT doc_id, {_names(_tree("l"))} AS t, {_names(_tree("o"))} AS v FROM le),
+t2 AS MATERIALIZED (SELECT *, {_fewer("t", "t2")}, {_fewer("v", "v2")} FROM trees),
+t3 AS MATERIALIZED (SELECT *, {_fewer("t2", "t3")}, {_fewer("v2", "v3")} FROM t2),
+t4 AS MATERIALIZED (SELECT *, {_fewer("t3", "t4")}, {_fewer("v3", "v4")} FROM t3),
 p AS MATERIALIZED ({_likeness("o")}), q AS MATERIALIZED ({_likeness("m")})
-SELECT le.doc_id, CAST(length(x) AS BIGINT) AS n_chars, sha256(z) AS edited_sha256, {_written("t")} AS fingerprint, {_written("v")} AS edited_fingerprint,
+SELECT le.doc_id, CAST(length(x) AS BIGINT) AS n_chars, sha256(z) AS edited_sha256, {_fingerprint("t", "t4")} AS fingerprint, {_fingerprint("v", "v4")} AS edited_fingerprint,
   {_near("z", "o", "p.both")} AS near_edited, {_near("y", "m", "q.both")} AS near_next
-FROM le JOIN trees USING (doc_id) LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)
+FROM le JOIN t4 USING (doc_id) LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)
 """
 
 
