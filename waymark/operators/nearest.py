@@ -2,69 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Queries of one broadcast block, and vectors that meet them at once in a task.
-BLOCK, STEP = 4096, 512
-
-
-def _units(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
-    """Vectors of length 1; of NaN where one has no direction."""
-    values = np.array(column.to_pylist(), np.float64).reshape(-1, width)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return values / np.sqrt((values * values).sum(1, keepdims=True))
-
-
-def _best(ids: np.ndarray, queries: np.ndarray):
-    """For each query the best of a task's vectors: by rounded cosine, then the least id."""
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score, found = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64)
-        for batch in batches:
-            for low in range(0, len(batch), STEP):
-                part = batch.slice(low, STEP)
-                own = part.column(0).to_numpy(zero_copy_only=False)
-                order = np.argsort(own, kind="stable")
-                own = own[order]
-                met = np.round(queries @ _units(part.column(1), queries.shape[1])[order].T, 6)
-                met[np.isnan(met) | (ids[:, None] == own)] = -np.inf
-                at = met.argmax(1)
-                top = met[np.arange(len(ids)), at]
-                better = (top > score) | ((top == score) & (own[at] < found))
-                score[better], found[better] = top[better], own[at][better]
-        has = score > -np.inf
-        yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(found[has]), pa.array(score[has])], names=["query_id", "candidate", "score"])
-
-    return best
+from waymark.operators import retrieval
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, block: int | None = None) -> DataFrame:
     """query_id, candidate and score (cosine, 6 decimals) of the best other vector, for queries that have one.
 
-    Both have `id` (long) and `e` (array of numbers, all of one length). Queries go to all vectors
-    in blocks of at most `block`; a task gives one row for each query of a block. Ties go to the
-    least id. The work is the product of both sizes.
+    Both have `id` (long) and `e` (array of numbers, all of one length). Queries and vectors are dealt into
+    blocks (of at most `block` queries, about) which all meet in one shuffle; a block gives one row for each of its queries.
+    Ties go to the least id; of vectors of one id the most alike counts. The work is the product of both sizes.
     """
-    vectors, queries = (df.where("id IS NOT NULL AND e IS NOT NULL") for df in (vectors, queries))
-    parts = []
-    n = -(-queries.count() // block)
-    order = queries.select("id").distinct()
-    edges = sorted({*order.select(F.percentile_approx("id", [i / n for i in range(1, n)], 100 * n)).first()[0]}) if n > 1 else []
-    for low, high in zip([None, *edges], [*edges, None], strict=True):
-        some = queries
-        some = some.where(F.col("id") > low) if low is not None else some
-        some = some.where(F.col("id") <= high) if high is not None else some
-        held = some.dropDuplicates(["id"]).toArrow()
-        if len(held):
-            ids = held["id"].to_numpy()
-            parts.append(vectors.select("id", "e").mapInArrow(_best(ids, _units(held["e"], len(held["e"][0]))), "query_id long, candidate long, score double"))
-    if not parts:
-        return vectors.select(F.col("id").alias("query_id"), F.col("id").alias("candidate"), F.lit(0.0).alias("score")).where("false")
-    best = reduce(DataFrame.unionAll, parts).groupBy("query_id").agg(F.max(F.struct("score", (-F.col("candidate")).alias("c"))).alias("b"))
-    return best.select("query_id", (-F.col("b.c")).alias("candidate"), "b.score")
+    timeless = lambda df: df.select("id", F.lit(0).alias("at"), "e")
+    index = retrieval.build(timeless(vectors), cells=1)
+    if index is None:
+        return queries.select(F.col("id").alias("query_id"), F.col("id").alias("candidate"), F.lit(0.0).alias("score")).where("false")
+    found = retrieval.search(index, timeless(queries), 1, probes=1, queries_block=block)
+    return found.select("query_id", "candidate", "score")

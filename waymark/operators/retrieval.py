@@ -156,11 +156,11 @@ def _meet(k: int, earlier: bool):
     return meet
 
 
-def _searched(index: Index, asked: DataFrame, k: int, earlier: bool) -> DataFrame:
+def _searched(index: Index, asked: DataFrame, k: int, earlier: bool, queries_block: int | None = None) -> DataFrame:
     """Best k of each query and block for (id, at, e, cell), saved."""
     spark = asked.sparkSession
     n_asked = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    blocks = [(c, -(-int(index.counts[c]) // ROWS_BLOCK), -(-n // QUERIES_BLOCK)) for c, n in n_asked.items()]
+    blocks = [(c, -(-int(index.counts[c]) // ROWS_BLOCK), -(-n // (queries_block or QUERIES_BLOCK))) for c, n in n_asked.items()]
     shape = F.broadcast(spark.createDataFrame(blocks, "cell int, row_blocks long, query_blocks long"))  # a row for each cell
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     rows = index.rows.join(shape, "cell").withColumn("row_block", F.pmod(F.xxhash64("id"), "row_blocks")).withColumn("query_block", every("query_blocks"))
@@ -171,20 +171,20 @@ def _searched(index: Index, asked: DataFrame, k: int, earlier: bool) -> DataFram
     return save(met)
 
 
-def search(index: Index, queries: DataFrame, k: int, probes: int = PROBES, exact: bool = False, earlier: bool = False) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int, probes: int = PROBES, exact: bool = False, earlier: bool = False, queries_block: int | None = None) -> DataFrame:
     """query_id, rank (from 1), candidate and score of the k best rows other than the query itself.
 
     `earlier` leaves only rows whose `at` is less than the query's. Ids of queries are unique.
     """
     width = index.centers.shape[1]
     asked = save(_directed(queries, width).mapInArrow(_nearest_cells(index, probes), "id long, at long, e array<double>, cell int"))
-    found = _searched(index, asked, k, earlier)
+    found = _searched(index, asked, k, earlier, queries_block)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("candidate"))
     if exact:
         ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
         bound = _directed(queries, width).join(ranked, "id", "left").select("id", "at", "e", "least")
         more = bound.mapInArrow(_possible_cells(index), "id long, at long, e array<double>, cell int").join(asked.select("id", "cell"), ["id", "cell"], "left_anti")
-        found = found.unionByName(_searched(index, save(more.select("id", "at", "e", "cell")), k, earlier))
+        found = found.unionByName(_searched(index, save(more.select("id", "at", "e", "cell")), k, earlier, queries_block))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "candidate", "score")
 
 

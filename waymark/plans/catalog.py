@@ -279,23 +279,24 @@ def _jaccard_sql(a: str, b: str) -> str:
     return f"coalesce(CAST(len(list_intersect(list_distinct({a}), list_distinct({b}))) AS DOUBLE) / nullif(len(list_distinct(list_concat({a}, {b}))), 0), 0.0)"
 
 
-@query(f"""SELECT a.doc_id, round({_jaccard_sql("string_split(a.text, ' ')", "string_split(b.text, ' ')")}, 6) AS overlap FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1""")
+@query(f"""SELECT a.doc_id, round({_jaccard_sql("string_split(a.text, ' ')", "string_split(b.text, ' ')")}, 6) AS overlap FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id + 1""")
 def feature_text(spark: SparkSession, d: str) -> DataFrame:
-    """Words that each whole text shares with the next."""
+    """Words that each whole text shares with the next; 0 where no document has the next id."""
     docs = B.table(spark, d, "documents").select("doc_id", F.array_distinct(F.split("text", " ")).alias("words"))
     other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("words").alias("others"))
-    return docs.join(other, "doc_id").select("doc_id", F.round(X.jaccard(F.col("words"), F.col("others")), 6).alias("overlap"))
+    return docs.join(other, "doc_id", "left").select("doc_id", F.round(X.jaccard(F.col("words"), F.col("others")), 6).alias("overlap"))
 
 
 @query(f"""SELECT a.p_partkey, round({_jaccard_sql("string_split_regex(a.p_brand || '/' || a.p_type, '[_/:#]')", "string_split_regex(b.p_brand || '/' || b.p_type, '[_/:#]')")}, 6) AS id_overlap,
   CASE WHEN a.p_type = b.p_type THEN 1e0 ELSE 0e0 END AS same_class, round(1 - levenshtein(a.p_name, b.p_name) * 1e0 / greatest(length(a.p_name), length(b.p_name)), 6) AS name_likeness
-FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1""")
+FROM part a LEFT JOIN part b ON b.p_partkey = a.p_partkey + 1""")
 def feature_id_class(spark: SparkSession, d: str) -> DataFrame:
+    """Each part against that of the next key; a part without one is like nothing, by name unknown."""
     part = B.table(spark, d, "part").select("p_partkey", "p_name", "p_type", F.concat_ws("/", "p_brand", "p_type").alias("ident"))
     other = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("n"), F.col("p_type").alias("t"), F.col("ident").alias("i"))
-    return part.join(other, "p_partkey").select(
+    return part.join(other, "p_partkey", "left").select(
         "p_partkey", F.round(X.id_overlap(F.col("ident"), F.col("i")), 6).alias("id_overlap"), X.same(F.col("p_type"), F.col("t")).alias("same_class"),
-        F.round(X.edit_likeness(F.col("p_name"), F.col("n")), 6).alias("name_likeness"),
+        F.when(F.col("n").isNotNull(), F.round(X.edit_likeness(F.col("p_name"), F.col("n")), 6)).alias("name_likeness"),
     )
 
 
@@ -401,12 +402,13 @@ def baseline_coordinate(spark: SparkSession, d: str) -> DataFrame:
     return baselines.coordinate(points, candidates.select("query_id", "pos", "candidate_id", "bbox"))
 
 
-@query(f"""WITH {CAND}, {PAIRS} SELECT query_id, candidate_id AS selected, round(s, 6) AS score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, pos) AS r FROM (SELECT *, name_overlap * 2.0 + size_likeness * 1.0 + same_type * 0.5 AS s FROM pairs WHERE pos > 1)) WHERE r = 1""")
+@query(f"""WITH {CAND}, {PAIRS} SELECT src.query_id, b.candidate_id AS selected, round(s, 6) AS score FROM src LEFT JOIN (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, pos) AS r FROM (SELECT *, name_overlap * 2.0 + size_likeness * 1.0 + same_type * 0.5 AS s FROM pairs WHERE pos > 1)) b ON b.query_id = src.query_id AND b.r = 1""")
 def baseline_text(spark: SparkSession, d: str) -> DataFrame:
-    """The candidate most like the first, among the others."""
-    pairs = _pairs(spark, d).where("pos > 1").withColumnsRenamed({"name_overlap": "text", "size_likeness": "ident", "same_type": "kind"})
-    return _rounded(baselines.text_scorer(pairs, (2.0, 1.0, 0.5)), "score")
+    """The candidate most like the first, among the others; none where there are no others."""
+    pairs = _pairs(spark, d).withColumnsRenamed({"name_overlap": "text", "size_likeness": "ident", "same_type": "kind"})
+    best = _rounded(baselines.text_scorer(pairs.where("pos > 1"), (2.0, 1.0, 0.5)), "score")
+    return pairs.where("pos = 1").select("query_id").join(best, "query_id", "left")
 
 
 SCREENS = f"""{LINKS},
