@@ -208,6 +208,64 @@ def test_unfilter_undoes_all_filters():
     assert (media.unfilter(rows) == image).all()
 
 
+def plain_png(data):
+    """Samples of an 8-bit grey PNG, byte by byte as the format tells, without the operator's reader."""
+    at, body, width, height = 8, b"", 0, 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "big")
+        kind, own = data[at + 4 : at + 8], data[at + 8 : at + 8 + n]
+        if kind == b"IHDR":
+            width, height = int.from_bytes(own[:4], "big"), int.from_bytes(own[4:8], "big")
+            assert own[8:] == bytes([8, 0, 0, 0, 0])
+        body += own if kind == b"IDAT" else b""
+        at += 12 + n
+    raw, rows = zlib.decompress(body), []
+    for y in range(height):
+        kind, line, row = raw[y * (width + 1)], raw[y * (width + 1) + 1 : (y + 1) * (width + 1)], []
+        for x, value in enumerate(line):
+            guess = {0: 0, 1: row[x - 1] if x else 0, 2: rows[y - 1][x] if y else 0}[kind]
+            row.append((value + guess) & 255)
+        rows.append(row)
+    return rows
+
+
+def plain_terms(rows):
+    """The 64 low-frequency cosine terms of the image scaled to 32 by 32, each as its sum."""
+    wide = len(rows[0]) // 32
+    across = [[sum(row[x * wide : (x + 1) * wide]) / wide for x in range(32)] for row in rows]
+    n = len(across)
+    if n >= 32:
+        bands = [across[y * n // 32 : (y + 1) * n // 32] for y in range(32)]
+        small = [[sum(row[x] for row in band) / len(band) for x in range(32)] for band in bands]
+    else:
+        small = [across[y * n // 32] for y in range(32)]
+    wave = [[math.cos(math.pi * k * (2 * x + 1) / 64) for x in range(32)] for k in range(8)]
+    return [math.fsum(small[y][x] * wave[k][y] * wave[j][x] for y in range(32) for x in range(32)) for k in range(8) for j in range(8)]
+
+
+@pytest.mark.parametrize("size", [0, 1, 575, 5_000, 18_431, 40_000])
+def test_media_and_feature_equal_a_plain_decoder_and_direct_sums(size):
+    text = "".join(random.Random(size).choice(["the ", "river ", "é", "\n", "0 1 2 ", "stone."]) for _ in range(size // 3)).encode()[:size]
+    _, data, n, digest, _, feature = media.one(text)
+    rows = plain_png(data)
+    back = b"".join(map(bytes, rows))
+    assert back == text + b"\xff" * (-len(text) % 576 if text else 576) and (n, digest) == (len(back), hashlib.sha256(back).hexdigest())
+    terms = plain_terms(rows)
+    middle = sorted(terms[1:])[31]
+    bits = [byte >> (7 - i) & 1 for byte in feature for i in range(8)]
+    for term, bit in zip(terms, bits, strict=True):
+        assert bit == (term > middle) or abs(term - middle) < 1e-5  # rounded to 6 digits there
+
+
+def test_features_of_near_texts_are_near():
+    rng = random.Random(8)
+    words = [rng.choice(["light ", "GREEN ", "stone ", "7 ", "river\n"]) for _ in range(4000)]
+    other = [rng.choice(["~~~ ", "zzzz ", "{} ", "yy "]) for _ in range(4000)]
+    edit = [*words[:2000], "a few ", "words ", *words[2003:]]
+    of = lambda w: int.from_bytes(media.one("".join(w).encode())[5], "big")
+    assert (of(words) ^ of(edit)).bit_count() < (of(words) ^ of(other)).bit_count()
+
+
 def test_media_columns_of_odd_documents(spark):
     docs = edge.documents(spark, clashing=True)
     got = media.media_columns(docs, ["doc_id", "text"]).collect()
