@@ -92,7 +92,8 @@ def test_trees_screenshots_and_results(spark, tmp_path):
     found = screens.load_trees(spark, str(tmp_path / "x"))
     rows = {(r["screen_id"].rsplit("/", 1)[-1], r["node_id"]): r for r in screens.row_context(screens.parent_context(found)).collect()}
     one, two = rows["s1.xml", "0.0.0"], rows["s1.xml", "0.0.1"]
-    assert (one["parent_text"], one["row_texts"], two["row_pos"], two["text"], one["clickable"], two["clickable"]) == ("List", ["One", "Two"], 1, "Two", True, None)
+    assert (one["parent_text"], one["row_size"], two["row_pos"], two["text"], one["clickable"], two["clickable"]) == ("List", 2, 1, "Two", True, None)
+    assert {r["parent_id"]: r["texts"] for r in screens.containers(found).collect()} == {"0": ["List"], "0.0": ["One", "Two"]}
     assert rows["s2.xml", None]["error"] and rows["s3.xml", None]["error"] == "document types are not read"
     met = {(r["a"], r["b"], r["relation"]): (r["dx"], r["dy"]) for r in screens.relations(found).collect()}
     assert met["0.0.0", "0.0.1", "next"] == (4.0, 0.0) and met["0.0", "0.0.0", "child"] == (-3.0, -3.0)

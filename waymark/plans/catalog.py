@@ -574,7 +574,8 @@ def gold_kinds(spark: SparkSession, d: str) -> DataFrame:
     for one in (schema.CONCRETE, schema.NULL, schema.UNLABELED):
         own = made.where(F.col("gold_kind") == one)
         counts = metrics.safety_counts(back, own).select("false_positive", "abstain_right")
-        parts.append(own.groupBy("gold_kind").agg(F.count("*").alias("queries"), F.count("selected").alias("selected")).crossJoin(F.broadcast(counts)))  # one row each
+        totals = own.groupBy("gold_kind").agg(F.count("*").alias("queries"), F.count("selected").alias("selected"))
+        parts.append(totals.withColumns({c: counts.select(c).scalar() for c in counts.columns}))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -591,4 +592,4 @@ def screen_trees(spark: SparkSession, d: str) -> DataFrame:
     found = screens.nodes(trees.withColumnRenamed("page_id", "screen_id"))
     row = screens.row_context(screens.parent_context(found)).where("parent_id is not null")
     beside = screens.relations(found).where("relation = 'child'").select("screen_id", F.col("b").alias("node_id"), "dx")
-    return row.join(beside, ["screen_id", "node_id"]).select("screen_id", "node_id", F.coalesce("resource_id", F.lit("")).alias("resource_id"), "parent_text", F.col("row_pos").cast("long").alias("row_pos"), F.size("row_texts").cast("long").alias("row_size"), "clickable", "dx")
+    return row.join(beside, ["screen_id", "node_id"]).select("screen_id", "node_id", F.coalesce("resource_id", F.lit("")).alias("resource_id"), "parent_text", F.col("row_pos").cast("long").alias("row_pos"), "row_size", "clickable", "dx")

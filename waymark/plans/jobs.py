@@ -42,7 +42,7 @@ def evaluate(queries: DataFrame, matcher: Matcher | DataFrame, dataset: str, spl
     if latency is None:
         return row.withColumns({"mean_ms": F.lit(None).cast("double"), "p95_ms": F.lit(None).cast("double")})
     took = metrics.latency_summary(latency.withColumn("component", F.lit(name)), "component", "ms").select("mean_ms", "p95_ms")
-    return row.crossJoin(F.broadcast(took))  # one row each
+    return row.withColumns({c: took.select(c).scalar() for c in took.columns})
 
 
 def _rates() -> dict:

@@ -121,10 +121,15 @@ def parent_context(found: DataFrame) -> DataFrame:
 
 
 def row_context(found: DataFrame) -> DataFrame:
-    """Each node with the texts of its container in order (row_texts), and its place there from 0 (row_pos)."""
-    row = Window.partitionBy("screen_id", "parent_id").orderBy("pos")
-    whole = row.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return found.withColumns({"row_texts": F.collect_list(F.coalesce("text", F.lit(""))).over(whole), "row_pos": F.row_number().over(row) - 1})
+    """Each node with its place in its container from 0 (row_pos) and how many nodes that has (row_size); containers() has their texts."""
+    row = Window.partitionBy("screen_id", "parent_id")
+    return found.withColumns({"row_pos": F.row_number().over(row.orderBy("pos")) - 1, "row_size": F.count("*").over(row)})
+
+
+def containers(found: DataFrame) -> DataFrame:
+    """screen_id, parent_id and texts (in order) of each container: one row, however many nodes share it."""
+    own = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("text"))))
+    return found.where("parent_id is not null").groupBy("screen_id", "parent_id").agg(F.transform(own, lambda x: x["text"]).alias("texts"))
 
 
 def relations(found: DataFrame) -> DataFrame:
