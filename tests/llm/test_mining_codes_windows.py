@@ -64,6 +64,41 @@ def test_phrases_equal_brute_force(spark, support, absorb, top):
     assert got or support == 400
 
 
+def test_phrases_beyond_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "small_enough", lambda *_: False)
+    rows = corpus(7, 80)
+    docs = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(rows)], "doc_id long, lang string, text string")
+    assert sorted(tuple(r) for r in phrases.collocations(docs, 2).collect()) == brute_phrases(rows, 2)
+
+
+def test_a_task_hands_counts_on_when_it_holds_too_many(monkeypatch):
+    monkeypatch.setattr(phrases, "HELD", 50)
+    rng = np.random.default_rng(2)
+    held, buckets = phrases.Counts(), phrases.Buckets(100)
+    want, want_buckets, got, found = Counter(), Counter(), Counter(), Counter()
+    for _ in range(30):
+        words = rng.integers(1, 60, 40).astype(np.uint64)
+        grams = phrases.gram_hashes(words, 2)
+        want.update(grams.astype(np.int64).tolist())
+        want_buckets.update((grams & np.uint64((1 << phrases.BITS) - 1)).tolist())
+        batches = [*held.add(phrases._counted(words, grams, np.arange(len(grams)), 2))]
+        batches += [*buckets.add(grams)]
+        for b in batches:
+            tally(b, got, found)
+    for b in [*held.rest(), *buckets.rest()]:
+        tally(b, got, found)
+    assert got == want and found == {k: v for k, v in want_buckets.items()}
+
+
+def tally(batch, grams, buckets):
+    for gram, n, g, places, counts in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("gram", "n", "g", "places", "counts")), strict=True):
+        if gram is not None:
+            grams[gram] += n
+        else:
+            for place, times in zip(np.frombuffer(places, np.uint16).tolist(), np.frombuffer(counts, np.uint16).tolist(), strict=True):
+                buckets[(g << phrases.LOW) + place] += times
+
+
 def test_phrases_of_odd_documents_and_of_nothing(spark):
     docs = edge.documents(spark, clashing=True)
     rows = [(r["lang"], r["text"]) for r in docs.collect()]
