@@ -48,7 +48,7 @@ BITS, LOW = 26, 15
 #: Bytes of text, and of hashes of trimmed runs, that are counted at once; hashes in one row of a trimmed run.
 CHUNK, RUN = 8 << 20, 1 << 17
 #: Counts that a task holds; beyond that, and if merging doesn't halve them, it hands them on.
-HELD = 1 << 20
+HELD = 1 << 19
 
 _U = np.uint64
 
