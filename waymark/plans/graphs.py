@@ -9,7 +9,6 @@ from waymark.operators import graph
 from waymark.plans.registry import query
 from waymark.sources import bindings as B
 from waymark.sources import screens
-from waymark.sources.scratch import save
 
 #: Edges between the anchor (a page's first link) and what counts as near it.
 NEAR = 4
@@ -40,7 +39,7 @@ anc AS (
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    return save(screens.html_nodes(B.table(spark, d, "pages").select(F.col("page_id").alias("screen_id"), "html")))
+    return graph.by_screen(screens.html_nodes(B.table(spark, d, "pages").select(F.col("page_id").alias("screen_id"), "html")))
 
 
 @query(f"""WITH {TREE},
@@ -55,9 +54,7 @@ SELECT met.screen_id, met.node AS ord, tag, own_up + up AS distance, depth AS co
 FROM met JOIN nodes ON nodes.screen_id = met.screen_id AND nodes.node = met.node JOIN depths ON depths.screen_id = met.screen_id AND depths.node = met.ancestor WHERE own_up + up <= {NEAR}""")
 def graph_relations(spark: SparkSession, d: str) -> DataFrame:
     """Elements at most NEAR edges from the first link of their page: distance, depth of the lowest common ancestor and relation."""
-    nodes = _nodes(spark, d)
-    anchors = nodes.where("tag = 'a'").groupBy("screen_id").agg(F.min_by("node_id", "ord").alias("anchor_id"))
-    near = graph.within(anchors, nodes, NEAR).join(nodes.select("screen_id", "node_id", "tag", "ord"), ["screen_id", "node_id"])
+    near = graph.around(_nodes(spark, d), F.col("tag") == "a", NEAR)
     return near.select("screen_id", "ord", "tag", "distance", graph.depth(F.col("ancestor_id")).alias("common_depth"), graph.relation(F.col("anchor_id"), F.col("node_id")).alias("relation"))
 
 
@@ -65,5 +62,4 @@ def graph_relations(spark: SparkSession, d: str) -> DataFrame:
 SELECT nodes.screen_id, nodes.node AS ord, tag, count(*) - 1 AS n_below, max(up) AS height FROM anc JOIN nodes ON nodes.screen_id = anc.screen_id AND nodes.node = anc.ancestor GROUP BY ALL""")
 def graph_subtrees(spark: SparkSession, d: str) -> DataFrame:
     """How many elements are below each element of a page, and how deep they go."""
-    nodes = _nodes(spark, d)
-    return graph.subtrees(nodes).join(nodes.select("screen_id", "node_id", "tag", "ord"), ["screen_id", "node_id"]).select("screen_id", "ord", "tag", "n_below", "height")
+    return graph.subtrees(_nodes(spark, d), "tag", "ord").select("screen_id", "ord", "tag", "n_below", "height")
