@@ -191,6 +191,6 @@ SELECT query_id, round(lc.loss + {LAMBDA_PATCH} * patch.loss + {LAMBDA_MARGIN} *
 def loss_masks(spark: SparkSession, d: str) -> DataFrame:
     """The whole loss where every query has a patch mask: the heat of its candidates' boxes against the gold box."""
     candidates, _ = _orders(spark, d, "l_quantity")
-    scored = candidates.withColumn("bbox", _box()).join(B.order_gold(candidates), "query_id")
+    scored = B.with_gold(candidates).withColumn("bbox", _box())
     parts = losses.candidate_loss(_scored(spark, d)), losses.patch_loss(losses.patch_masks(scored, PATCHES)), losses.margin_loss(scored, MARGIN_LOSS)
     return _rounded(losses.total_loss(*parts, LAMBDA_PATCH, LAMBDA_MARGIN), "loss")
