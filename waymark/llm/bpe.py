@@ -191,6 +191,10 @@ class Encoder:
             out.append((b"".join([a for a, _ in found]), " ".join([b for _, b in found])))
         return out
 
+    def forget(self) -> None:
+        """Drop the words and pairs kept so far; they are made again when they are met."""
+        self.kept, self.pairs = {}, {}
+
     def decode(self, ids: list[int]) -> str:
         """Without a decoder in the file, tokens are joined by spaces."""
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
@@ -201,12 +205,13 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_decode(df: DataFrame, path: str, keys: list[str], text: str = "text", batch_chars: int = 1 << 20) -> DataFrame:
+def encode_decode(df: DataFrame, path: str, keys: list[str], text: str = "text", batch_chars: int = 1 << 20, forget: bool = False) -> DataFrame:
     """For each row its `keys`, ids (binary, little-endian unsigned 32-bit) and decoded (string).
 
     `path`: the tokenizers file, at the same place on every worker. Null text counts as empty and
     gives no ids and an empty string. Rows are independent (no shuffle); a worker holds one run
-    of texts of about `batch_chars` and a bounded cache. Only `keys` and the text are read.
+    of texts of about `batch_chars` and a bounded cache, which with `forget` goes at the end of each
+    task, where other jobs share the workers. Only `keys` and the text are read.
     """
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
@@ -222,5 +227,7 @@ def encode_decode(df: DataFrame, path: str, keys: list[str], text: str = "text",
                 columns = batch.slice(low, high - low).columns[: len(keys)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=[*keys, "ids", "decoded"])
                 low = high
+        if forget:
+            own.forget()
 
     return df.select(*keys, df[text]).mapInArrow(tidy(convert), fields(df, keys, "ids binary, decoded string"))
