@@ -13,6 +13,7 @@ from waymark.functions.scoring import ratio
 from waymark.operators import metrics
 from waymark.operators.rank import Matcher, flatten
 from waymark.sources import schema
+from waymark.sources.scratch import save
 
 
 def import_dataset(spark: SparkSession, source: str, out: str) -> DataFrame:
@@ -32,7 +33,7 @@ COUNTS = ("correct", "total", "gold_null", "gold_concrete", "gold_ambiguous", "f
 def evaluate(queries: DataFrame, matcher: Matcher | DataFrame, dataset: str, split: str, name: str, artifact: str = "", latency_setting: str = "", latency: DataFrame | None = None) -> DataFrame:
     """One report row; `matcher` makes predictions or is the predictions. `latency` has a column ms, one row for each call."""
     made = matcher if isinstance(matcher, DataFrame) else queries.transform(matcher)
-    made = made.select("query_id", F.col("selected_candidate_id").alias("selected"))
+    made = save(made.select("query_id", F.col("selected_candidate_id").alias("selected")))  # counts read them several times
     gold = queries.select("query_id", "ord", F.col("gold_candidate_id").alias("gold"), *(c for c in ("gold_kind",) if c in queries.columns))
     key = dict(zip(KEY, map(F.lit, (dataset, artifact, split, name, latency_setting)), strict=True))
     counts = metrics.safety_counts(gold, made).drop("correct").withColumns(key)
