@@ -74,11 +74,16 @@ def select_or_abstain(candidates: DataFrame, queries: DataFrame, null_score: flo
 
 
 def predictions(candidates: DataFrame) -> DataFrame:
-    """A prediction for each query: selected_candidate_id and the map of scores (of equal ids the last counts)."""
-    best = top(candidates).select("query_id", F.col("candidate_id").alias("selected_candidate_id"))
-    unique = candidates.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "candidate_id").orderBy(F.desc("pos")))).where("r = 1")
-    scores = unique.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("candidate_id", "score"))).alias("scores"))
-    return best.join(scores, "query_id")
+    """A prediction for each query: selected_candidate_id (as top() ranks) and the map of scores (of equal ids the last counts).
+
+    One grouping by query_id, so the candidates are made once.
+    """
+    best = F.max_by("candidate_id", F.struct(clean(F.col("score")), -F.col("pos")))
+    listed = F.sort_array(F.collect_list(F.struct("candidate_id", "pos", "score")))
+    rows = candidates.where("query_id is not null").groupBy("query_id").agg(best.alias("selected_candidate_id"), listed.alias("c"))
+    last = F.filter("c", lambda x, i: F.get("c", i + 1).isNull() | (F.get("c", i + 1)["candidate_id"] != x["candidate_id"]))
+    scores = F.map_from_entries(F.transform(last, lambda x: F.struct(x["candidate_id"], x["score"])))
+    return rows.select("query_id", "selected_candidate_id", scores.alias("scores"))
 
 
 def replay_action(selected: DataFrame, recorded: DataFrame, boxes: DataFrame) -> DataFrame:
