@@ -20,9 +20,14 @@ def edit_likeness(a: Column, b: Column) -> Column:
     return F.coalesce(1 - F.try_divide(F.levenshtein(a, b), F.greatest(F.length(a), F.length(b))), F.lit(1.0))
 
 
+def id_parts(a: Column) -> Column:
+    """Parts of a resource id between _ / : #; splitting at one sign needs no regular expression."""
+    return F.split(F.translate(a, "/:#", "___"), "_")
+
+
 def id_overlap(a: Column, b: Column) -> Column:
     """Of resource ids: their parts between _ / : #."""
-    return jaccard(F.split(a, "[_/:#]"), F.split(b, "[_/:#]"))
+    return jaccard(id_parts(a), id_parts(b))
 
 
 def same(a: Column, b: Column) -> Column:
@@ -61,6 +66,11 @@ def overlap_ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(both, each[0] + each[1] - both), F.lit(0.0))
 
 
+def distance(a: Column, b: Column) -> Column:
+    """Between two points (arrays)."""
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: F.pow(p - q, 2)), F.lit(0.0), lambda s, v: s + v))
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))

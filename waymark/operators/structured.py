@@ -16,8 +16,28 @@ WEIGHTS = {
 }
 
 
-def _text(variant: Column, key: str) -> Column:
-    return F.coalesce(F.try_variant_get(variant, f"$.{key}", "string"), F.lit(""))
+#: What is read of a candidate's metadata and of a source; fields of other types or missing are null.
+ELEMENT = "text string, resource_id string, class string, parent string, " + ", ".join(f"{f} boolean" for f in FLAGS)
+SOURCE = f"{ELEMENT}, bbox array<double>, screen array<double>"
+
+
+def _parts(row: Column) -> Column:
+    """An element's fields (null texts are empty) and the parts of its texts."""
+    text = {n: F.coalesce(row[n], F.lit("")) for n in ("text", "resource_id", "class", "parent")}
+    parts = {"words": F.split(text["text"], " "), "ids": X.id_parts(text["resource_id"]), "above": F.split(text["parent"], " ")}
+    return F.struct(*(c.alias(n) for n, c in (text | parts | {f: row[f] for f in FLAGS}).items()))
+
+
+CORNERS = ("x0", "y0", "x1", "y1")
+
+
+def _size(source: Column) -> Column:
+    return F.struct(*(F.coalesce(F.get(source["screen"], i), F.lit(1.0)).alias(n) for i, n in enumerate(("w", "h"))))
+
+
+def _box(source: Column) -> Column:
+    """The source's box in shares of its screen."""
+    return F.struct(*(F.try_divide(F.get(source["bbox"], i), F.coalesce(F.get(source["screen"], i % 2), F.lit(1.0))).alias(n) for i, n in enumerate(CORNERS)))
 
 
 def _both(a: Column, b: Column, feature: Column) -> Column:
@@ -29,33 +49,36 @@ def pair_features(queries: DataFrame) -> DataFrame:
     """A row for each candidate of each query with the features of WEIGHTS.
 
     The source has text, resource_id, class, parent, flags, bbox (array of corners) and screen
-    (width and height, 1 and 1 by default); a candidate's metadata has the same but bbox.
+    (width and height, 1 and 1 by default); a candidate's metadata has the same but bbox. Each
+    variant is read once. As one generated method the features would be beyond the 8000 bytes
+    up to which the JVM compiles methods; X.distance() has lambdas, so Spark makes these
+    columns outside of whole-stage code, in methods that it splits.
     """
-    rows = queries.select("query_id", "source", F.posexplode("target_candidates").alias("pos", "c"))
-    source, other = F.col("source"), F.col("c.metadata")
-    names = ("text", "resource_id", "class", "parent")
-    mine, its = ({n: _text(v, n) for n in names} for v in (source, other))
-    size = [F.coalesce(F.try_variant_get(source, f"$.screen[{i}]", "double"), F.lit(1.0)) for i in (0, 1)]
-    corner = lambda box, i: F.try_divide(box, size[i % 2])
-    own = [corner(F.try_variant_get(source, f"$.bbox[{i}]", "double"), i) for i in range(4)]
-    box = [corner(F.col("c.bbox")[n], i) for i, n in enumerate(("x0", "y0", "x1", "y1"))]
-    boxed = lambda b: F.struct(*(v.alias(n) for v, n in zip(b, ("x0", "y0", "x1", "y1"), strict=True)))
-    middle = lambda b: ((b[0] + b[2]) / 2, (b[1] + b[3]) / 2)
+    read = lambda variant, fields: F.try_variant_get(variant, "$", f"struct<{fields}>")
+    rows = queries.select("query_id", read(F.col("source"), SOURCE).alias("s"), "target_candidates")
+    rows = rows.select("query_id", _parts(F.col("s")).alias("s"), _box(F.col("s")).alias("own"), _size(F.col("s")).alias("size"), F.posexplode("target_candidates").alias("pos", "c"))
+    rows = rows.withColumn("e", read(F.col("c.metadata"), ELEMENT))
+    made = _features(F.col("s"), F.col("own"), F.col("size"), _parts(F.col("e")), F.col("c.bbox"))
+    return rows.select("query_id", "pos", F.col("c.candidate_id").alias("candidate_id"), *(f.alias(n) for n, f in made.items()))
+
+
+def _features(mine: Column, own: Column, size: Column, its: Column, bbox: Column) -> dict[str, Column]:
+    """The features of WEIGHTS of a source and a candidate (_parts() of both, and boxes)."""
+    box = {n: F.try_divide(bbox[n], size["wh"[i % 2]]) for i, n in enumerate(CORNERS)}
+    middle = lambda b: ((b["x0"] + b["x1"]) / 2, (b["y0"] + b["y1"]) / 2)
     (sx, sy), (cx, cy) = middle(own), middle(box)
     known = F.coalesce(sx, sy, cx, cy).isNotNull() & sx.isNotNull() & cx.isNotNull()
-    flags = {f: X.same(F.try_variant_get(source, f"$.{f}", "boolean"), F.try_variant_get(other, f"$.{f}", "boolean")) for f in FLAGS}
-    return rows.select(
-        "query_id", "pos", F.col("c.candidate_id").alias("candidate_id"),
-        _both(mine["text"], its["text"], X.text_overlap(mine["text"], its["text"])).alias("text_overlap"),
-        _both(mine["text"], its["text"], X.edit_likeness(mine["text"], its["text"])).alias("text_likeness"),
-        _both(mine["resource_id"], its["resource_id"], X.id_overlap(mine["resource_id"], its["resource_id"])).alias("id_overlap"),
-        _both(mine["class"], its["class"], X.same(mine["class"], its["class"])).alias("same_class"),
-        _both(mine["parent"], its["parent"], X.text_overlap(mine["parent"], its["parent"])).alias("parent_overlap"),
-        *(c.alias(f) for f, c in flags.items()),
-        F.when(known, X.overlap_ratio(boxed(own), boxed(box))).otherwise(0.0).alias("box_overlap"),
-        F.when(known, X.same(X.region(*own), X.region(*box))).otherwise(0.0).alias("same_region"),
-        F.when(known, F.sqrt(F.pow(sx - cx, 2) + F.pow(sy - cy, 2))).otherwise(0.0).alias("distance"),
-    )
+    return {
+        "text_overlap": _both(mine["text"], its["text"], X.jaccard(mine["words"], its["words"])),
+        "text_likeness": _both(mine["text"], its["text"], X.edit_likeness(mine["text"], its["text"])),
+        "id_overlap": _both(mine["resource_id"], its["resource_id"], X.jaccard(mine["ids"], its["ids"])),
+        "same_class": _both(mine["class"], its["class"], X.same(mine["class"], its["class"])),
+        "parent_overlap": _both(mine["parent"], its["parent"], X.jaccard(mine["above"], its["above"])),
+        **{f: X.same(mine[f], its[f]) for f in FLAGS},
+        "box_overlap": F.when(known, X.overlap_ratio(own, box)).otherwise(0.0),
+        "same_region": F.when(known, X.same(X.region(*(own[n] for n in CORNERS)), X.region(*box.values()))).otherwise(0.0),
+        "distance": F.when(known, X.distance(F.array(sx, sy), F.array(cx, cy))).otherwise(0.0),
+    }
 
 
 class StructuredRanker:

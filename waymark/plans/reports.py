@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import features as X
@@ -42,23 +42,26 @@ scored AS (SELECT *, {" + ".join(f"{name} * {weight}e0" for name, weight in stru
 NAMES = list(structured.WEIGHTS)
 
 
-def _variant(**fields: Column) -> Column:
-    return F.parse_json(F.to_json(F.struct(*(c.alias(n) for n, c in fields.items()))))
-
-
 def queries_of(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as query rows: parts are elements, the first one is the source; gold is the dearest line."""
+    """Orders as query rows: parts are elements, the first one is the source; gold is the dearest line.
+
+    One grouping makes source, candidates and gold, so the lines are read and joined once.
+    """
     part = B.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_type")
-    lines = _orders(spark, d, "l_partkey", "l_returnflag", "l_linestatus", "l_quantity")[0].join(part, "l_partkey").withColumn("bbox", _box())
+    lines = _orders(spark, d, "l_partkey", "l_returnflag", "l_linestatus", "l_quantity")[0].where("query_id is not null").join(part, "l_partkey").withColumn("bbox", _box())
     own = {
         "text": F.col("p_name"), "resource_id": F.concat_ws("/", "p_brand", "p_type"), "class": F.col("p_type"), "parent": F.concat_ws(" ", "l_returnflag", "l_linestatus"),
         "clickable": F.col("l_returnflag") == "A", "editable": F.col("l_linestatus") == "O", "scrollable": F.col("l_quantity") > 25,
     }
-    box = F.array(*(F.col("bbox")[c] for c in ("x0", "y0", "x1", "y1")))
-    source = lines.where("pos = 1").select("query_id", _variant(**own, bbox=box, screen=F.array(*map(F.lit, SCREEN))).alias("source"))
-    nested = rank.nest_variants(lines.select("query_id", "pos", "candidate_id", "bbox", _variant(**own).alias("metadata")))
-    gold = B.order_gold(lines).withColumnRenamed("gold", "gold_candidate_id")
-    return source.join(nested, "query_id").join(gold, "query_id")
+    rows = lines.select("query_id", "pos", "candidate_id", "l_extendedprice", "bbox", F.struct(*(c.alias(n) for n, c in own.items())).alias("own"))
+    first, gold = F.min_by(F.struct("own", "bbox"), "pos"), F.max_by("candidate_id", F.struct("l_extendedprice", -F.col("pos")))
+    candidate = F.struct("pos", "candidate_id", "bbox", F.to_variant_object("own").alias("metadata"))
+    listed = F.array_sort(F.collect_list(candidate), lambda a, b: a["pos"] - b["pos"])
+    nested = rows.groupBy("query_id").agg(first.alias("first"), listed.alias("c"), gold.alias("gold_candidate_id"))
+    box = F.array(*(F.col("first.bbox")[c] for c in ("x0", "y0", "x1", "y1")))
+    source = F.to_variant_object(F.struct("first.own.*", box.alias("bbox"), F.array(*map(F.lit, SCREEN)).alias("screen")))
+    candidates = F.transform("c", lambda c: F.struct(*(c[n].alias(n) for n in ("candidate_id", "bbox", "metadata"))))
+    return nested.select("query_id", source.alias("source"), candidates.alias("target_candidates"), "gold_candidate_id")
 
 
 @query(f"WITH {ROWS} SELECT query_id, candidate_id, {', '.join(f'round({n}, 6) AS {n}' for n in NAMES)} FROM feat")
