@@ -1,6 +1,7 @@
 """Operators 1, 3, 5, 7 and 8 against brute force, libraries and exact round trips."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -11,6 +12,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -441,3 +443,15 @@ def test_an_encoder_forgets_and_gives_the_same():
     assert own.kept
     own.forget()
     assert not own.kept and not own.pairs and own.encode(["some words, and a few more words"]) == first
+
+
+def test_plain_texts_are_split_as_by_the_pattern_of_the_file():
+    """op8_bpe: the pattern ran in a module that is slower than re, after white space had been replaced."""
+    own = bpe.Encoder(PATH)
+    with open(PATH, encoding="utf-8") as f:
+        asked = regex.compile(json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+    assert isinstance(own.split, re.Pattern)
+    signs = [chr(i) for i in range(0x2100) if not own.rare.search(chr(i))]
+    for text in [*signs, "".join(signs), "".join(f"a{s}1" for s in signs), "x's it're \u0085 we'll\xa0d'd 12"]:
+        normal = own.normal(text)
+        assert own.plain(text) == asked.findall(re.sub(r"\s+", " ", normal)) == asked.findall(normal)

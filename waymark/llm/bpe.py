@@ -30,6 +30,8 @@ KEPT_WORDS = 200_000
 #: Pairs of tokens whose validity a worker keeps.
 KEPT_PAIRS = 300_000
 SUFFIX = "</w>"
+#: Signs (as a class of a regular expression) of texts that are normalized and split here.
+PLAIN = "\x00-\x1b\x20-\u024f\u2010-\u2027\u20ac"
 
 
 def byte_signs() -> list[str]:
@@ -58,16 +60,17 @@ class Encoder:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.tokens = {v: k for k, v in [*self.vocab.items(), *self.special.items()]}
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.split = self.plain_split(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         # U+001C to U+001F are white space to Python only
-        self.rare = re.compile("[^\x00-\x1b\x20-\u024f\u2010-\u2027\u20ac]")
+        self.rare = re.compile(f"[^{PLAIN}]")
         self.library = Tokenizer.from_str(json.dumps({**spec, "model": {**model, "vocab": {}, "merges": []}, "added_tokens": []}))
         self.signs = byte_signs()
         self.byte = {s: b for b, s in enumerate(self.signs)}
         self.alike = str.maketrans({b: s for b, s in enumerate(self.signs)})  # latin-1 text of the bytes
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.kept: dict[str, tuple[bytes, str]] = {}
+        self.kept: dict[str, bytes] = {}
+        self.said: dict[str, str] = {}
         whole = {s for a, b in self.rank for s in (a, b, a + b)} | {s for s in self.vocab if len(s.removesuffix(SUFFIX)) == 1}
         #: Entries that the merges reach; of others no encoding has any. Keyed by text, with or without suffix.
         self.entries = {s for s in whole if s in self.vocab and self.merged(self.symbols(s)) == [s]}
@@ -75,6 +78,15 @@ class Encoder:
         self.heads = {s[:k] for s in (x.removesuffix(SUFFIX) for x in self.entries) for k in range(1, len(s) + 1)}
         self.tails: tuple[dict[str, tuple], dict[str, tuple]] = ({}, {})
 
+    @staticmethod
+    def plain_split(pattern: str) -> re.Pattern:
+        """The splitting pattern for re, which is faster: its classes as lists of the signs that normal() makes of plain ones."""
+        signs = {y for x in regex.findall(f"[{PLAIN}]", "".join(map(chr, range(0x2100)))) for y in x + Encoder.normal(x)}
+        for name in ("\\s", "\\p{L}", "\\p{N}"):
+            members = "".join(re.escape(x) for x in sorted(signs) if regex.match(name, x))
+            pattern = pattern.replace(name, members)
+        return re.compile(pattern)
+
     @staticmethod
     def symbols(token: str) -> list[str]:
         body = token.removesuffix(SUFFIX)
@@ -111,14 +123,18 @@ class Encoder:
         return known
 
     def words(self, words: list[str]) -> dict[str, list[int]]:
-        """Encodings of distinct words (in byte signs): depth-first over the trie that their sorted order is.
+        """Ids of distinct words (in byte signs)."""
+        return {word: [self.vocab[t] for t in tokens] for word, tokens in self.tokenized(words).items()}
+
+    def tokenized(self, words: list[str]) -> dict[str, list[str]]:
+        """Tokens of distinct words (in byte signs): depth-first over the trie that their sorted order is.
 
         path[k] is the state of the prefix of k signs: its last token, where that begins, and the
         longest tail of the prefix that begins an entry.
         """
-        out: dict[str, list[int]] = {}
+        out: dict[str, list[str]] = {}
         path: list[tuple[str, int, str]] = [("", 0, "")]
-        before, heads, fits, candidates, vocab = "", self.heads, self.fits, self.candidates, self.vocab
+        before, heads, fits, candidates, pairs, (inner, last) = "", self.heads, self.fits, self.candidates, self.pairs, self.tails
         for word in sorted(words):
             shared, n = 0, len(word)
             for a, b in zip(before, word[:-1], strict=False):
@@ -131,26 +147,32 @@ class Encoder:
                 tail += word[i - 1]
                 while tail not in heads:
                     tail = tail[1:]
-                for token, length in candidates(tail, i == n):
+                found = (inner if i < n else last).get(tail)
+                for token, length in candidates(tail, i == n) if found is None else found:
                     low = i - length
-                    if low == 0 or fits(path[low][0], token):
+                    if low == 0:
+                        break
+                    pair = path[low][0], token
+                    known = pairs.get(pair)
+                    if fits(*pair) if known is None else known:
                         break
                 else:
                     raise ValueError("the vocabulary lacks a byte")
                 if i < n:
                     path.append((token, low, tail))
             before = word
-            ids = [vocab[token]]
+            tokens = [token]
             while low:
                 token, low, _ = path[low]
-                ids.append(vocab[token])
-            out[word] = ids[::-1]
+                tokens.append(token)
+            tokens.reverse()
+            out[word] = tokens
         return out
 
-    def normal(self, text: str) -> str:
-        """NFC, white space to single spaces, lower case sign by sign."""
-        text = re.sub(r"\s+", " ", unicodedata.normalize("NFC", text))
-        return text.replace("Σ", "σ").lower()
+    @staticmethod
+    def normal(text: str) -> str:
+        """NFC, lower case sign by sign. White space stays: it only separates words."""
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def pieces(self, text: str) -> list[str]:
         """Words of a text, with the special tokens that it spells out in their places."""
@@ -174,26 +196,27 @@ class Encoder:
         new = [p for p in pieces if p not in self.kept]
         if len(self.kept) + len(new) > KEPT_WORDS:
             self.kept.clear()
+            self.said.clear()
             new = list(pieces)
         signs = {p: (p if p.isascii() and p.isprintable() else p.encode("utf-8").decode("latin-1").translate(self.alike)) for p in new if p not in self.special}
-        coded = self.words(list(set(signs.values())))
+        coded, vocab = self.tokenized(list(set(signs.values()))), self.vocab
         for p in new:
-            ids = [self.special[p]] if p in self.special else coded[signs[p]]
-            self.kept[p] = array("I", ids).tobytes(), " ".join(self.tokens[i] for i in ids)
+            if p in self.special:
+                self.kept[p], self.said[p] = array("I", [self.special[p]]).tobytes(), p
+                continue
+            tokens = coded[signs[p]]
+            self.kept[p], self.said[p] = array("I", map(vocab.__getitem__, tokens)).tobytes(), " ".join(tokens)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """For each text its ids (little-endian, 32 bits) and what they decode to."""
         split = [self.pieces(t) for t in texts]
         self.learn(set(chain.from_iterable(split)))
-        kept, out = self.kept, []
-        for pieces in split:
-            found = [kept[p] for p in pieces]
-            out.append((b"".join([a for a, _ in found]), " ".join([b for _, b in found])))
-        return out
+        ids, said = self.kept.__getitem__, self.said.__getitem__
+        return [(b"".join(map(ids, pieces)), " ".join(map(said, pieces))) for pieces in split]
 
     def forget(self) -> None:
         """Drop the words and pairs kept so far; they are made again when they are met."""
-        self.kept, self.pairs = {}, {}
+        self.kept, self.said, self.pairs = {}, {}, {}
 
     def decode(self, ids: list[int]) -> str:
         """Without a decoder in the file, tokens are joined by spaces."""
