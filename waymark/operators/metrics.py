@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.scoring import ratio
@@ -23,8 +23,11 @@ def labeled(queries: DataFrame) -> DataFrame:
 def top1_code(queries: DataFrame, predictions: DataFrame) -> DataFrame:
     """correct, total and accuracy over predictions whose query has a gold id; repeated predictions each count, queries without one don't."""
     met = last_queries(queries).select("query_id", "gold").join(predictions.select("query_id", "selected"), "query_id").where("gold is not null")
-    counts = met.agg(F.count_if(F.col("selected") == F.col("gold")).alias("correct"), F.count("*").alias("total"))
-    return counts.withColumn("top1", ratio(F.col("correct"), F.col("total")))
+    return met.agg(*_top1()).withColumn("top1", ratio(F.col("correct"), F.col("total")))
+
+
+def _top1() -> list[Column]:
+    return [F.count_if(F.col("selected") == F.col("gold")).alias("correct"), F.count_if(F.col("gold").isNotNull()).alias("total")]
 
 
 def top1_doc(queries: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -43,16 +46,29 @@ def safety_counts(queries: DataFrame, predictions: DataFrame) -> DataFrame:
     kinds = "gold_kind" in queries.columns
     own = ["query_id", "gold", *(["gold_kind"] if kinds else [])]
     met = labeled(queries).select(*own).join(predictions.select("query_id", "selected"), "query_id")
+    return met.agg(*(F.count_if(c).alias(name) for name, c in _safety(kinds).items()))
+
+
+def _safety(kinds: bool) -> dict[str, Column]:
+    """What safety_counts() counts of queries met by predictions."""
     unclear = F.coalesce(F.col("gold_kind") == "AMBIGUOUS", F.lit(False)) if kinds else F.lit(False)
     absent, nothing, concrete = F.col("gold").isNull() & ~unclear, F.col("selected").isNull(), F.col("gold").isNotNull() & ~unclear
     more = {"gold_ambiguous": unclear, "ambiguous_abstained": unclear & nothing} if kinds else {}
-    return met.agg(
-        F.count_if(concrete).alias("gold_concrete"), F.count_if(absent).alias("gold_null"),
-        F.count_if(concrete & (F.col("selected") == F.col("gold"))).alias("correct"),
-        F.count_if(absent & ~nothing).alias("false_positive"), F.count_if(absent & nothing).alias("abstain_right"),
-        F.count_if(concrete & ~nothing & (F.col("selected") != F.col("gold"))).alias("wrong_target"), F.count_if(concrete & nothing).alias("abstain_wrong"),
-        *(F.count_if(c).alias(name) for name, c in more.items()),
-    )
+    return {
+        "gold_concrete": concrete, "gold_null": absent, "correct": concrete & (F.col("selected") == F.col("gold")),
+        "false_positive": absent & ~nothing, "abstain_right": absent & nothing,
+        "wrong_target": concrete & ~nothing & (F.col("selected") != F.col("gold")), "abstain_wrong": concrete & nothing, **more,
+    }
+
+
+def report_counts(queries: DataFrame, predictions: DataFrame) -> DataFrame:
+    """top1_code() and, but for its own `correct`, safety_counts(): queries and predictions are put in order and joined once."""
+    kinds = "gold_kind" in queries.columns
+    own = ["query_id", "gold", *(["gold_kind"] if kinds else [])]
+    met = last_queries(queries).select(*own).join(predictions.select("query_id", "selected"), "query_id")
+    known = F.coalesce(F.col("gold_kind"), F.lit("")) != "UNLABELED" if kinds else F.lit(True)
+    safety = [F.count_if(known & c).alias(name) for name, c in _safety(kinds).items() if name != "correct"]
+    return met.agg(*_top1(), *safety).withColumn("top1", ratio(F.col("correct"), F.col("total")))
 
 
 def safety_rates(queries: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from waymark.functions.report import format_percent
 from waymark.functions.scoring import ratio
 from waymark.operators import metrics
-from waymark.operators.rank import Matcher, flatten
+from waymark.operators.rank import Matcher
 from waymark.sources import schema
 from waymark.sources.scratch import save
 
@@ -19,10 +19,8 @@ from waymark.sources.scratch import save
 def import_dataset(spark: SparkSession, source: str, out: str) -> DataFrame:
     """JSON Lines (a path or a registered name) to Parquet, with each row's place in its file; returns what validation finds."""
     queries = schema.load_queries(spark, source)
-    queries.write.mode("overwrite").parquet(out)
-    back = spark.read.parquet(out).withColumnRenamed("gold_candidate_id", "gold")
-    nothing = spark.createDataFrame([], "query_id string, selected string")
-    return schema.validate_queries(back, flatten(back), nothing)
+    queries.write.mode("overwrite").option("compression", "zstd").parquet(out)
+    return schema.validate_rows(spark.read.schema(queries.schema).parquet(out))
 
 
 #: What a report row is reported under.
@@ -36,10 +34,9 @@ def evaluate(queries: DataFrame, matcher: Matcher | DataFrame, dataset: str, spl
     made = save(made.select("query_id", F.col("selected_candidate_id").alias("selected")))  # counts read them several times
     gold = queries.select("query_id", "ord", F.col("gold_candidate_id").alias("gold"), *(c for c in ("gold_kind",) if c in queries.columns))
     key = dict(zip(KEY, map(F.lit, (dataset, artifact, split, name, latency_setting)), strict=True))
-    counts = metrics.safety_counts(gold, made).drop("correct").withColumns(key)
+    counts = metrics.report_counts(gold, made)
     counts = counts.withColumns({c: F.lit(0).cast("long") for c in ("gold_ambiguous", "ambiguous_abstained") if c not in counts.columns})
-    row = metrics.top1_code(gold, made).withColumns(key).join(counts, list(KEY))
-    row = row.withColumns(_rates())
+    row = counts.withColumns(key | _rates())
     if latency is None:
         return row.withColumns({"mean_ms": F.lit(None).cast("double"), "p95_ms": F.lit(None).cast("double")})
     took = metrics.latency_summary(latency.withColumn("component", F.lit(name)), "component", "ms").select("mean_ms", "p95_ms")

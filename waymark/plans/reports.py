@@ -12,7 +12,7 @@ from waymark.plans.catalog import ABSTAIN, CAND, GOLD, LAMBDA_MARGIN, LAMBDA_PAT
 from waymark.plans.registry import query
 from waymark.sources import bindings as B
 from waymark.sources import schema, screens
-from waymark.sources.scratch import place
+from waymark.sources.scratch import drop, place
 
 # --- structured rows ------------------------------------------------------------------
 
@@ -45,22 +45,22 @@ NAMES = list(structured.WEIGHTS)
 def queries_of(spark: SparkSession, d: str) -> DataFrame:
     """Orders as query rows: parts are elements, the first one is the source; gold is the dearest line.
 
-    One grouping makes source, candidates and gold, so the lines are read and joined once.
+    Lines get their parts before they are numbered, so the shuffle that numbers them is also that of the one grouping which
+    makes source, candidates and gold. A part's rows travel as one list: a key that repeats doesn't change how lines are numbered.
     """
-    part = B.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_type")
-    lines = _orders(spark, d, "l_partkey", "l_returnflag", "l_linestatus", "l_quantity")[0].where("query_id is not null").join(part, "l_partkey").withColumn("bbox", _box())
+    part = B.table(spark, d, "part").groupBy(F.col("p_partkey").alias("l_partkey")).agg(F.collect_list(F.struct("p_name", "p_brand", "p_type")).alias("parts"))
+    lines = B.order_candidates(spark, d, "parts", "l_returnflag", "l_linestatus", "l_quantity", lines=B.table(spark, d, "lineitem").join(part, "l_partkey", "left"))
+    lines = lines.where("query_id is not null").withColumn("part", F.explode("parts")).withColumn("bbox", _box())
     own = {
-        "text": F.col("p_name"), "resource_id": F.concat_ws("/", "p_brand", "p_type"), "class": F.col("p_type"), "parent": F.concat_ws(" ", "l_returnflag", "l_linestatus"),
+        "text": F.col("part.p_name"), "resource_id": F.concat_ws("/", "part.p_brand", "part.p_type"), "class": F.col("part.p_type"), "parent": F.concat_ws(" ", "l_returnflag", "l_linestatus"),
         "clickable": F.col("l_returnflag") == "A", "editable": F.col("l_linestatus") == "O", "scrollable": F.col("l_quantity") > 25,
     }
     rows = lines.select("query_id", "pos", "candidate_id", "l_extendedprice", "bbox", F.struct(*(c.alias(n) for n, c in own.items())).alias("own"))
-    first, gold = F.min_by(F.struct("own", "bbox"), "pos"), F.max_by("candidate_id", F.struct("l_extendedprice", -F.col("pos")))
-    candidate = F.struct("pos", "candidate_id", "bbox", F.to_variant_object("own").alias("metadata"))
-    listed = F.array_sort(F.collect_list(candidate), lambda a, b: a["pos"] - b["pos"])
-    nested = rows.groupBy("query_id").agg(first.alias("first"), listed.alias("c"), gold.alias("gold_candidate_id"))
+    listed, gold = F.sort_array(F.collect_list(F.struct("pos", "candidate_id", "bbox", "own"))), F.max_by("candidate_id", F.struct("l_extendedprice", -F.col("pos")))
+    nested = rows.groupBy("query_id").agg(listed.alias("c"), gold.alias("gold_candidate_id")).withColumn("first", F.get("c", 0))
     box = F.array(*(F.col("first.bbox")[c] for c in ("x0", "y0", "x1", "y1")))
     source = F.to_variant_object(F.struct("first.own.*", box.alias("bbox"), F.array(*map(F.lit, SCREEN)).alias("screen")))
-    candidates = F.transform("c", lambda c: F.struct(*(c[n].alias(n) for n in ("candidate_id", "bbox", "metadata"))))
+    candidates = F.transform("c", lambda c: F.struct(c["candidate_id"].alias("candidate_id"), c["bbox"].alias("bbox"), F.to_variant_object(c["own"]).alias("metadata")))
     return nested.select("query_id", source.alias("source"), candidates.alias("target_candidates"), "gold_candidate_id")
 
 
@@ -86,8 +86,9 @@ SELECT 'orders' AS dataset, 'parts' AS artifact, 'all' AS split, 'structured' AS
 def jobs_report(spark: SparkSession, d: str) -> DataFrame:
     """Query rows written as JSON Lines, imported, evaluated with the structured ranker twice, and summarized."""
     path, out = place(spark, "rows"), place(spark, "imported")
-    schema.write_jsonl(queries_of(spark, d), path)
+    schema.write_jsonl(queries_of(spark, d), path, "gzip")
     violations = jobs.import_dataset(spark, path, out).agg(F.count("*").alias("violations"))
+    drop(spark, path)  # all that follows reads what was imported
     queries = spark.read.parquet(out)
     report = jobs.evaluate(queries, structured.StructuredRanker(), "orders", "all", "structured", "parts", "cold")
     total = jobs.summarize([report, report]).withColumn("violations", violations.scalar())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.sources.scratch import folder
+from waymark.sources.scratch import folder, save
 
 BBOX = T.StructType([T.StructField(c, T.DoubleType()) for c in ("x0", "y0", "x1", "y1")])
 #: bbox is an array in files: JSON arrays don't read into structs.
@@ -85,8 +85,16 @@ def gold_kind(gold: Column, labeled: Column | None = None) -> Column:
     return F.when(gold.isNotNull(), CONCRETE).otherwise(absent)
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    """Rows as JSON Lines, bbox structs as arrays; absent fields are left out but for the gold id, which is null unless unlabeled."""
+#: Rows in a compressed file at most: one task reads a whole one.
+FILE_ROWS = 200_000
+
+
+def write_jsonl(df: DataFrame, path: str, compression: str | None = None) -> None:
+    """Rows as JSON Lines, bbox structs as arrays; absent fields are left out but for the gold id, which is null unless unlabeled.
+
+    `compression` is a codec of Spark's text files, such as gzip; files then have FILE_ROWS rows at most.
+    """
+    options = {"compression": compression, "maxRecordsPerFile": FILE_ROWS} if compression else {}
     if "target_candidates" in df.columns:
         flat = F.transform(
             "target_candidates",
@@ -100,9 +108,9 @@ def write_jsonl(df: DataFrame, path: str) -> None:
         kind = F.col("gold_kind") if "gold_kind" in df.columns else F.lit(NULL)
         line = F.to_json(F.struct(*(c for c in df.columns if c not in ("gold_kind", "ord")), F.when(kind == AMBIGUOUS, True).alias("ambiguous")))
         null = F.when(F.col("gold_candidate_id").isNull() & (kind != UNLABELED), F.concat(F.lit('{"gold_candidate_id":null,'), F.substring(line, F.lit(2), F.length(line))))
-        df.select(F.coalesce(null, line)).write.mode("overwrite").text(path)
+        df.select(F.coalesce(null, line)).write.mode("overwrite").options(**options).text(path)
         return
-    df.write.mode("overwrite").json(path)
+    df.write.mode("overwrite").options(**options).json(path)
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -125,3 +133,20 @@ def validate_queries(queries: DataFrame, candidates: DataFrame, predictions: Dat
         part = rows.withColumn("violation", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out.distinct()
+
+
+def validate_rows(queries: DataFrame) -> DataFrame:
+    """validate_queries() of query rows that hold their candidates, without predictions.
+
+    A row whose query_id no other row has is judged by itself; only rows of repeated ids are taken apart and shuffled.
+    """
+    ids = F.col("target_candidates.candidate_id")  # so that nothing else of a candidate is read
+    rows = queries.select("query_id", F.col("gold_candidate_id").alias("gold"), ids.alias("ids"))
+    twice = save(rows.groupBy("query_id").count().where("count > 1").select(F.col("query_id").alias("twice")))
+    same = F.col("query_id").eqNullSafe(F.col("twice"))
+    missing = F.col("gold").isNotNull() & (F.col("query_id").isNull() | ~F.coalesce(F.array_contains("ids", F.col("gold")), F.lit(False)))
+    names = F.array(F.when(F.size(F.array_distinct("ids")) < F.size("ids"), "duplicate_candidate"), F.when(missing, "gold_not_candidate"))
+    found = rows.join(twice, same, "left_anti").select("query_id", F.explode(F.array_compact(names)).alias("violation"))
+    again = save(rows.join(twice, same, "left_semi"))
+    nothing = queries.sparkSession.createDataFrame([], "query_id string, selected string")
+    return found.unionByName(validate_queries(again, again.select("query_id", F.explode("ids").alias("candidate_id")), nothing))
