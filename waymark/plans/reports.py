@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import features as X
@@ -42,11 +44,12 @@ scored AS (SELECT *, {" + ".join(f"{name} * {weight}e0" for name, weight in stru
 NAMES = list(structured.WEIGHTS)
 
 
-def queries_of(spark: SparkSession, d: str) -> DataFrame:
+def queries_of(spark: SparkSession, d: str, free: Callable[[Column], Column] = F.to_variant_object) -> DataFrame:
     """Orders as query rows: parts are elements, the first one is the source; gold is the dearest line.
 
     Lines get their parts before they are numbered, so the shuffle that numbers them is also that of the one grouping which
     makes source, candidates and gold. A part's rows travel as one list: a key that repeats doesn't change how lines are numbered.
+    `free` makes sources and metadata of structs.
     """
     part = B.table(spark, d, "part").groupBy(F.col("p_partkey").alias("l_partkey")).agg(F.collect_list(F.struct("p_name", "p_brand", "p_type")).alias("parts"))
     lines = B.order_candidates(spark, d, "parts", "l_returnflag", "l_linestatus", "l_quantity", lines=B.table(spark, d, "lineitem").join(part, "l_partkey", "left"))
@@ -59,8 +62,8 @@ def queries_of(spark: SparkSession, d: str) -> DataFrame:
     listed, gold = F.sort_array(F.collect_list(F.struct("pos", "candidate_id", "bbox", "own"))), F.max_by("candidate_id", F.struct("l_extendedprice", -F.col("pos")))
     nested = rows.groupBy("query_id").agg(listed.alias("c"), gold.alias("gold_candidate_id")).withColumn("first", F.get("c", 0))
     box = F.array(*(F.col("first.bbox")[c] for c in ("x0", "y0", "x1", "y1")))
-    source = F.to_variant_object(F.struct("first.own.*", box.alias("bbox"), F.array(*map(F.lit, SCREEN)).alias("screen")))
-    candidates = F.transform("c", lambda c: F.struct(c["candidate_id"].alias("candidate_id"), c["bbox"].alias("bbox"), F.to_variant_object(c["own"]).alias("metadata")))
+    source = free(F.struct("first.own.*", box.alias("bbox"), F.array(*map(F.lit, SCREEN)).alias("screen")))
+    candidates = F.transform("c", lambda c: F.struct(c["candidate_id"].alias("candidate_id"), c["bbox"].alias("bbox"), free(c["own"]).alias("metadata")))
     return nested.select("query_id", source.alias("source"), candidates.alias("target_candidates"), "gold_candidate_id")
 
 
@@ -86,7 +89,7 @@ SELECT 'orders' AS dataset, 'parts' AS artifact, 'all' AS split, 'structured' AS
 def jobs_report(spark: SparkSession, d: str) -> DataFrame:
     """Query rows written as JSON Lines, imported, evaluated with the structured ranker twice, and summarized."""
     path, out = place(spark, "rows"), place(spark, "imported")
-    schema.write_jsonl(queries_of(spark, d), path, "gzip")
+    schema.write_jsonl(queries_of(spark, d, lambda row: row), path, "gzip")  # structs: a variant starts a JSON writer for each of its strings
     violations = jobs.import_dataset(spark, path, out).agg(F.count("*").alias("violations"))
     drop(spark, path)  # all that follows reads what was imported
     queries = spark.read.parquet(out)

@@ -92,9 +92,9 @@ FILE_ROWS = 200_000
 def write_jsonl(df: DataFrame, path: str, compression: str | None = None) -> None:
     """Rows as JSON Lines, bbox structs as arrays; absent fields are left out but for the gold id, which is null unless unlabeled.
 
-    `compression` is a codec of Spark's text files, such as gzip; files then have FILE_ROWS rows at most.
+    `compression` is a codec of Spark's text files, such as gzip (at its fastest level); files then have FILE_ROWS rows at most.
     """
-    options = {"compression": compression, "maxRecordsPerFile": FILE_ROWS} if compression else {}
+    options = {"compression": compression, "maxRecordsPerFile": FILE_ROWS, "zlib.compress.level": "BEST_SPEED"} if compression else {}
     if "target_candidates" in df.columns:
         flat = F.transform(
             "target_candidates",
