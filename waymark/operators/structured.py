@@ -57,8 +57,8 @@ def pair_features(queries: DataFrame) -> DataFrame:
     read = lambda variant, fields: F.try_variant_get(variant, "$", f"struct<{fields}>")
     rows = queries.select("query_id", read(F.col("source"), SOURCE).alias("s"), "target_candidates")
     rows = rows.select("query_id", _parts(F.col("s")).alias("s"), _box(F.col("s")).alias("own"), _size(F.col("s")).alias("size"), F.posexplode("target_candidates").alias("pos", "c"))
-    rows = rows.withColumn("e", read(F.col("c.metadata"), ELEMENT))
-    made = _features(F.col("s"), F.col("own"), F.col("size"), _parts(F.col("e")), F.col("c.bbox"))
+    rows = rows.withColumn("e", read(F.col("c.metadata"), ELEMENT)).withColumn("e", _parts(F.col("e")))
+    made = _features(F.col("s"), F.col("own"), F.col("size"), F.col("e"), F.col("c.bbox"))
     return rows.select("query_id", "pos", F.col("c.candidate_id").alias("candidate_id"), *(f.alias(n) for n, f in made.items()))
 
 
