structured_features: features that are 0 or 1 are not rounded

Symptom: structured_features took 252 CPU seconds and 10.2 s of GC in its tasks over 3.6 million lines (6 times sf0.1).
Evidence: Rounding a double goes through decimal text (samples of another query had 13 % of the time in it); all eleven features were rounded, though five are 0 or 1. Candidates made twice and source texts split for each candidate, as in structured_predictions, were mended in the commit before.
Fix: Only the six fractions are rounded.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 1207 -> 1213 s, shuffle 2.88 -> 2.88 GB, spill 0.00 -> 0.00 GB, read 0.84 -> 0.84 GB, longest task 33 -> 34 s, most memory of a task 201 -> 201 MB; at 6 GB of input CPU 8416 -> 6071 s, shuffle 27.27 -> 27.27 GB, spill 0.00 -> 0.00 GB, read 5.78 -> 5.78 GB, longest task 80 -> 43 s, most memory of a task 302 -> 302 MB; with hot keys, at 1 GB of input CPU 1993 -> 1161 s, shuffle 2.80 -> 2.80 GB, spill 0.00 -> 0.00 GB, read 0.82 -> 0.82 GB, longest task 95 -> 41 s, most memory of a task 369 -> 369 MB.

@@ -14,6 +14,8 @@ WEIGHTS = {
     "text_overlap": 2.0, "text_likeness": 1.0, "id_overlap": 2.0, "same_class": 0.5, "parent_overlap": 0.5,
     "clickable": 0.25, "editable": 0.25, "scrollable": 0.25, "box_overlap": 1.0, "same_region": 0.25, "distance": -0.5,
 }
+#: Features that are 0 or 1.
+YES_OR_NO = ("same_class", *FLAGS, "same_region")
 
 
 #: What is read of a candidate's metadata and of a source; fields of other types or missing are null.

@@ -70,7 +70,8 @@ def queries_of(spark: SparkSession, d: str, free: Callable[[Column], Column] = F
 @query(f"WITH {ROWS} SELECT query_id, candidate_id, {', '.join(f'round({n}, 6) AS {n}' for n in NAMES)} FROM feat")
 def structured_features(spark: SparkSession, d: str) -> DataFrame:
     """structured.pair_features() over query rows."""
-    return _rounded(structured.pair_features(queries_of(spark, d)).drop("pos"), *NAMES)
+    fractions = [n for n in NAMES if n not in structured.YES_OR_NO]  # rounding goes through decimal text
+    return _rounded(structured.pair_features(queries_of(spark, d)).drop("pos"), *fractions)
 
 
 @query(f"""WITH {ROWS}, n AS (SELECT query_id, count(*) AS n_scores, round(max(score), 6) AS best FROM scored GROUP BY query_id)
